@@ -1,3 +1,649 @@
-"""Registered queries: name -> (callable, oracle SQL or None)."""
+"""Registered queries: name -> (callable of (spark, sf_dir), oracle SQL or None). Each reads whole tables; questions are the benchmark items."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import astro, enrich, evaluation, ingest, memory, ops, placements, retrieval, verify
+from ..session import ship
+from ..sources import files
 
 QUERIES: dict = {}
+AS_OF, NOON = "2024-01-31 00:00:00", "2024-01-15 12:00:00"
+
+
+def query(oracle: str | None = None, with_: str = ""):
+    def add(f):
+        sql = None if oracle is None else (f"WITH {with_} {oracle}" if with_ else oracle)
+        QUERIES[f.__name__] = (lambda spark, sf_dir: f(Tables(ship(spark), sf_dir)), sql)
+        return f
+
+    return add
+
+
+class Tables:
+    """The tables of a folder, and what they stand for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def chunks(self) -> DataFrame:
+        d = self.documents.select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("collection"), "text", "source")
+        return d.join(self.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
+
+    def questions(self) -> DataFrame:
+        """The first three words of each benchmark item, and the vector of its number."""
+        words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+        b = self.benchmark.select(F.col("item_id").alias("query_id"), words.alias("question"))
+        return b.join(self.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+
+    def log(self) -> DataFrame:
+        thread = F.concat_ws("-", F.col("user_id").cast("string"), F.pmod("event_id", F.lit(5)).cast("string"))
+        return self.events.select(
+            F.col("event_id").alias("trace_id"), "user_id", thread.alias("thread_id"), F.concat("event_type", F.lit(" "), F.col("event_id").cast("string")).alias("question"), F.col("value").alias("cost_usd"),
+            F.round(F.col("value") * 10).cast("long").alias("latency_ms"), F.when(F.col("event_type") == "error", "dropped_blocks").otherwise("ok").alias("validator_result"), F.col("ts").alias("created_at"),
+        )
+
+    def auth(self) -> DataFrame:
+        kind = F.when(F.col("event_type") == "error", "login_failure").when(F.col("event_type") == "signup", "user_created").otherwise("login")
+        return self.events.select("event_id", "user_id", kind.alias("event_type"), F.get_json_object("props", "$.k").alias("ip"), F.col("ts").alias("created_at"))
+
+    def lines(self) -> DataFrame:
+        return self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("seq", "line"))
+
+    def placed_lines(self) -> DataFrame:
+        house = (F.pmod(F.col("l_quantity").cast("int"), F.lit(12)) + 1).alias("house")
+        return self.lineitem.select(F.col("l_orderkey").alias("element_id"), F.lit(1).alias("chart_no"), F.col("l_linestatus").alias("kind"), F.col("l_linenumber").cast("string").alias("body"), F.col("l_returnflag").alias("sign"), house)
+
+    def scores(self) -> DataFrame:
+        named = F.explode(F.array(F.struct(F.lit("faithfulness").alias("metric"), F.col("quality").cast("double").alias("score")), F.struct(F.lit("refusal").alias("metric"), F.col("toxic").cast("double").alias("score"))))
+        return self.labels.join(self.documents.select("doc_id", "lang"), "doc_id").select(F.col("doc_id").alias("question_id"), F.col("lang").alias("qtype"), named.alias("m")).select("question_id", "qtype", "m.*")
+
+    def charts(self) -> DataFrame:
+        """Longitudes made of order numbers: any spread of the circle serves the arithmetic."""
+        bodies = [*astro.PLANETS, "Rahu", "Lagna"]
+        each = F.explode(F.array(*[F.struct(F.lit(b).alias("body"), (F.col("o_orderkey") * (37.7 + 11.3 * i) + 13.1 * i).alias("x")) for i, b in enumerate(bodies)])).alias("e")
+        o = self.orders.select(F.col("o_orderkey").alias("chart_id"), "o_orderdate", each)
+        lon = F.col("e.x") - 360.0 * F.floor(F.col("e.x") / 360.0)
+        return o.select("chart_id", F.col("e.body").alias("body"), lon.alias("longitude"), F.col("e.body").isin("Rahu").alias("retrograde"), F.to_date("o_orderdate").alias("birth"))
+
+
+# Parts of the oracles that several share.
+CHUNKS = "chunks AS (SELECT d.doc_id AS chunk_id, d.lang AS collection, d.text, d.source, e.embedding::DOUBLE[] AS x FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
+ASKED = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS question, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id)"
+SEMANTIC = CHUNKS + ", " + ASKED + """, sim AS (
+  SELECT query_id, chunk_id, round(list_dot_product(x, v) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(v, v))), 9) AS score FROM chunks, q
+), semantic AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM sim QUALIFY rank <= 20)"""
+KEYWORD = """words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks),
+posts AS (SELECT chunk_id, term, count(*) AS tf FROM words GROUP BY ALL),
+terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM q),
+kw AS (SELECT query_id, chunk_id, round(sum(1 + ln(tf)), 9) AS score, count(*) AS found FROM posts JOIN terms USING (term) GROUP BY ALL),
+need AS (SELECT query_id, count(*) AS n FROM terms GROUP BY ALL),
+kw_any AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM kw QUALIFY rank <= 20),
+kw_all AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM kw JOIN need USING (query_id) WHERE found = n QUALIFY rank <= 20)"""
+HYBRID = SEMANTIC + ", " + KEYWORD + """, fused AS (
+  SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.chunk_id, k.chunk_id) AS chunk_id, s.rank AS semantic_rank, k.rank AS keyword_rank,
+    round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0), 9) AS score
+  FROM semantic s FULL JOIN kw_all k ON s.query_id = k.query_id AND s.chunk_id = k.chunk_id
+), hybrid AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM fused QUALIFY rank <= 8)"""
+LOG = """log AS (SELECT event_id AS trace_id, user_id, concat_ws('-', user_id, event_id % 5) AS thread_id, event_type || ' ' || event_id AS question, value AS cost_usd,
+  round(value * 10)::BIGINT AS latency_ms, CASE WHEN event_type = 'error' THEN 'dropped_blocks' ELSE 'ok' END AS validator_result, ts AS created_at FROM events)"""
+AUTH = """auth AS (SELECT event_id, user_id, CASE event_type WHEN 'error' THEN 'login_failure' WHEN 'signup' THEN 'user_created' ELSE 'login' END AS event_type,
+  json_extract_string(props, '$.k') AS ip, ts AS created_at FROM events)"""
+PLACED = """p AS (SELECT l_orderkey AS element_id, l_linestatus AS kind, l_linenumber::VARCHAR AS body, l_returnflag AS sign, l_quantity::INTEGER % 12 + 1 AS house FROM lineitem)"""
+SCORES = """scores AS (SELECT l.doc_id AS question_id, d.lang AS qtype, unnest(['faithfulness', 'refusal']) AS metric, unnest([quality::DOUBLE, toxic::DOUBLE]) AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+SKY = """c AS (SELECT o_orderkey AS chart_id, o_orderdate::DATE AS birth, unnest(['Sun', 'Moon', 'Mars', 'Mercury', 'Jupiter', 'Venus', 'Saturn', 'Rahu', 'Lagna']) AS body, unnest(range(0, 9)) AS i FROM orders),
+x AS (SELECT *, o AS x0, o - 360.0 * floor(o / 360.0) AS lon FROM (SELECT *, chart_id * (37.7::DOUBLE + 11.3::DOUBLE * i) + 13.1::DOUBLE * i AS o FROM c)),
+s AS (SELECT *, (floor(lon / 30) % 12)::INTEGER AS sign_no FROM x),
+pl AS (SELECT *, max(CASE WHEN body = 'Lagna' THEN sign_no END) OVER (PARTITION BY chart_id) AS lagna_no, max(CASE WHEN body = 'Sun' THEN lon END) OVER (PARTITION BY chart_id) AS sun FROM s),
+h AS (SELECT *, (sign_no - lagna_no + 12) % 12 + 1 AS house FROM pl)"""
+MOMENT = f"TIMESTAMP '{AS_OF}'"
+
+
+@query("SELECT * FROM semantic", SEMANTIC)
+def semantic_topn(t: Tables) -> DataFrame:
+    return retrieval.semantic_topn(t.chunks(), t.questions())
+
+
+@query("SELECT * FROM kw_all", f"{CHUNKS}, {ASKED}, {KEYWORD}")
+def keyword_all_topn(t: Tables) -> DataFrame:
+    return retrieval.keyword_topn(t.chunks(), t.questions(), mode="all")
+
+
+@query("SELECT * FROM kw_any", f"{CHUNKS}, {ASKED}, {KEYWORD}")
+def keyword_any_topn(t: Tables) -> DataFrame:
+    return retrieval.keyword_topn(t.chunks(), t.questions(), mode="any")
+
+
+@query(
+    """SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM (
+  SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 9) AS score
+  FROM posts JOIN terms USING (term) JOIN lens USING (chunk_id) JOIN dfs USING (term), stats GROUP BY ALL) QUALIFY rank <= 20""",
+    f"{CHUNKS}, {ASKED}, {KEYWORD}, lens AS (SELECT chunk_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS length FROM chunks), dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(length) AS mean FROM lens)",
+)
+def bm25_topn(t: Tables) -> DataFrame:
+    return retrieval.bm25_topn(t.chunks(), t.questions())
+
+
+@query("SELECT h.query_id, h.chunk_id, h.score, h.rank, semantic_rank, keyword_rank, collection, source FROM hybrid h JOIN chunks USING (chunk_id)", HYBRID)
+def hybrid_rrf(t: Tables) -> DataFrame:
+    return retrieval.hybrid_search(t.chunks(), t.questions()).select("query_id", "chunk_id", "score", "rank", "semantic_rank", "keyword_rank", "collection", "source")
+
+
+@query(
+    """SELECT chunk_id, coalesce(array_to_string(list(element_id || '@' || page ORDER BY pos) FILTER (element_id IS NOT NULL), ' '), '') AS locations
+FROM (SELECT o_orderkey AS chunk_id, i AS pos, CASE i WHEN 0 THEN o_custkey WHEN 1 THEN o_orderkey ELSE -1 END AS want FROM orders, range(0, 3) r(i)) a
+LEFT JOIN (SELECT c_custkey AS element_id, c_nationkey AS page FROM customer) e ON e.element_id = a.want GROUP BY chunk_id"""
+)
+def hybrid_locations(t: Tables) -> DataFrame:
+    chunks = t.orders.select(F.col("o_orderkey").alias("chunk_id"), F.array("o_custkey", "o_orderkey", F.lit(-1).cast("long")).alias("element_ids"))
+    found = retrieval.locations(chunks, t.customer.select(F.col("c_custkey").alias("element_id"), F.col("c_nationkey").alias("page")))
+    text = F.array_join(F.transform("locations", lambda e: F.concat(e["element_id"].cast("string"), F.lit("@"), e["page"].cast("string"))), " ")
+    return found.select("chunk_id", text.alias("locations"))
+
+
+@query(
+    """SELECT element_id, other_id, 'stock' AS method, score, left(coalesce(p_name, ''), 80) AS title FROM (
+  SELECT target_id AS element_id, text_id AS other_id, score FROM links WHERE target_id IN (SELECT id FROM w)
+  UNION ALL SELECT text_id, target_id, score FROM links WHERE text_id IN (SELECT id FROM w) AND target_id NOT IN (SELECT id FROM w)) LEFT JOIN part ON p_partkey = other_id""",
+    "links AS (SELECT DISTINCT l_partkey AS target_id, l_suppkey AS text_id, l_discount AS score FROM lineitem), w AS (SELECT DISTINCT s_suppkey + 3 AS id FROM supplier)",
+)
+def related_items(t: Tables) -> DataFrame:
+    links = t.lineitem.select(F.col("l_partkey").alias("target_id"), F.col("l_suppkey").alias("text_element_id"), F.lit("stock").alias("method"), F.col("l_discount").alias("score")).distinct()
+    titles = t.part.select(F.col("p_partkey").alias("element_id"), tx.excerpt(F.col("p_name"), 80).alias("title"))
+    return retrieval.related_items(links, t.supplier.select((F.col("s_suppkey") + 3).alias("element_id")), titles).withColumn("title", F.coalesce("title", F.lit("")))
+
+
+@query(
+    """SELECT group_id, place, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY rank, query_id, chunk_id)::INTEGER AS place FROM (
+  SELECT query_id % 5 AS group_id, *, row_number() OVER (PARTITION BY query_id % 5, chunk_id ORDER BY rank, query_id) AS k FROM kw_any) WHERE k = 1) WHERE place <= 12""",
+    f"{CHUNKS}, {ASKED}, {KEYWORD}",
+)
+def round_robin_passages(t: Tables) -> DataFrame:
+    hits = retrieval.keyword_topn(t.chunks(), t.questions(), mode="any").select(F.pmod("query_id", F.lit(5)).alias("group_id"), F.col("query_id").alias("query_no"), "rank", "chunk_id")
+    return retrieval.round_robin(hits, 12).select("group_id", "place", "chunk_id")
+
+
+CONDITIONS = [{"body": "1", "houses": [1, 4, 7, 10]}, {"body": "2", "signs": ["R", "A"]}]
+MATCH = PLACED + """, m AS (SELECT element_id FROM p WHERE (body = '1' AND house IN (1, 4, 7, 10)) OR (body = '2' AND sign IN ('R', 'A')) GROUP BY element_id HAVING count(DISTINCT body) = 2)"""
+
+
+@query("SELECT element_id, 1 AS chart_no FROM m", MATCH)
+def placement_match(t: Tables) -> DataFrame:
+    return placements.matching_charts(t.placed_lines(), CONDITIONS)
+
+
+@query("SELECT element_id, kind, array_to_string(list(DISTINCT body || '=' || sign ORDER BY body || '=' || sign), ',') AS placements, (SELECT count(*) FROM m) AS total FROM p JOIN m USING (element_id) GROUP BY element_id, kind", MATCH)
+def placement_match_total(t: Tables) -> DataFrame:
+    found = placements.find_charts(t.placed_lines().dropDuplicates(["element_id", "kind", "body", "sign"]), CONDITIONS)
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("placements"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return found.select("element_id", "kind", text.alias("placements"), "total")
+
+
+@query("SELECT n_nationkey, ((n_nationkey % 12 - n_regionkey) % 12 + 12) % 12 + 1 AS house FROM nation")
+def house_offset(t: Tables) -> DataFrame:
+    return t.nation.select("n_nationkey", placements.house_from(F.col("n_regionkey"), F.col("n_nationkey") % 12).alias("house"))
+
+
+@query(
+    """SELECT element_id, 1 AS chart_no, string_agg(sign || ' (house ' || house || '): ' || bodies, '; ' ORDER BY house, sign) AS line FROM (
+  SELECT element_id, sign, min(house) AS house, array_to_string(list(DISTINCT body ORDER BY body), ', ') AS bodies FROM p GROUP BY ALL) GROUP BY element_id""",
+    PLACED,
+)
+def placement_lines(t: Tables) -> DataFrame:
+    return placements.placement_text(t.placed_lines())
+
+
+@query(
+    """SELECT source AS source_file, count(*) AS documents, sum(en)::BIGINT AS en, sum(de)::BIGINT AS de FROM (
+  SELECT doc_id, source, CASE WHEN lang = 'en' THEN len(string_split(text, chr(10))) ELSE 0 END AS en, CASE WHEN lang = 'de' THEN len(string_split(text, chr(10))) ELSE 0 END AS de FROM documents) GROUP BY ALL"""
+)
+def library_counts(t: Tables) -> DataFrame:
+    d = t.documents
+    chunks = d.select("doc_id", F.col("lang").alias("collection"), F.explode(F.split("text", "\n")))
+    return ops.library_counts(d.select("doc_id", F.col("source").alias("source_file")), chunks, ["en", "de"])
+
+
+@query(f"SELECT created_at::DATE AS day, count(*) AS questions FROM log WHERE created_at > {MOMENT} - INTERVAL 30 DAY AND created_at <= {MOMENT} GROUP BY ALL", LOG)
+def questions_per_day(t: Tables) -> DataFrame:
+    return ops.questions_per_day(t.log(), AS_OF)
+
+
+@query(f"SELECT round(avg((validator_result = 'dropped_blocks')::INTEGER), 6) AS dropped_rate FROM log WHERE created_at > {MOMENT} - INTERVAL 30 DAY AND created_at <= {MOMENT}", LOG)
+def dropped_rate(t: Tables) -> DataFrame:
+    return ops.dropped_rate(t.log(), AS_OF)
+
+
+@query(f"SELECT trace_id, user_id, latency_ms FROM log WHERE created_at > {MOMENT} - INTERVAL 30 DAY AND created_at <= {MOMENT} ORDER BY latency_ms DESC, trace_id LIMIT 10", LOG)
+def slowest_answers(t: Tables) -> DataFrame:
+    return ops.slowest(t.log(), AS_OF)
+
+
+@query(f"SELECT user_id, count(*) AS questions, round(coalesce(sum(cost_usd), 0), 2) AS cost_usd FROM log WHERE created_at > {MOMENT} - INTERVAL 30 DAY AND created_at <= {MOMENT} GROUP BY ALL", LOG)
+def cost_per_user(t: Tables) -> DataFrame:
+    return ops.cost_per_user(t.log(), AS_OF)
+
+
+@query(f"SELECT created_at::DATE AS day, count(*) AS failed FROM auth WHERE event_type = 'login_failure' AND created_at > {MOMENT} - INTERVAL 30 DAY AND created_at <= {MOMENT} GROUP BY ALL", AUTH)
+def failed_per_day(t: Tables) -> DataFrame:
+    return ops.failed_per_day(t.auth(), AS_OF)
+
+
+@query(
+    f"""SELECT user_id, count(*) AS questions, round(coalesce(sum(cost_usd), 0), 2) AS cost_usd, count(*) >= 3 OR round(coalesce(sum(cost_usd), 0), 2) >= 100 AS refused
+FROM log WHERE created_at >= TIMESTAMP '2024-01-15 00:00:00' AND created_at <= TIMESTAMP '{NOON}' GROUP BY user_id""",
+    LOG,
+)
+def usage_today(t: Tables) -> DataFrame:
+    return ops.usage_today(t.log(), NOON, most_questions=3, most_cost=100.0)
+
+
+@query(
+    f"""SELECT 'cost_today' AS alert, cost AS value FROM q WHERE cost > 5 UNION ALL SELECT 'dropped_rate', round(dropped / n, 6) FROM q WHERE n >= 5 AND dropped / n > 0.1
+UNION ALL SELECT 'failed_sign_ins', failed::DOUBLE FROM a WHERE failed > 0""",
+    f"""{LOG}, {AUTH}, q AS (SELECT round(coalesce(sum(cost_usd) FILTER (created_at >= TIMESTAMP '2024-01-15'), 0), 2) AS cost, count(*) FILTER (created_at > TIMESTAMP '{NOON}' - INTERVAL 1 HOUR) AS n,
+  count(*) FILTER (created_at > TIMESTAMP '{NOON}' - INTERVAL 1 HOUR AND validator_result = 'dropped_blocks') AS dropped FROM log WHERE created_at <= TIMESTAMP '{NOON}'),
+a AS (SELECT count(*) AS failed FROM auth WHERE event_type = 'login_failure' AND created_at > TIMESTAMP '{NOON}' - INTERVAL 1 HOUR AND created_at <= TIMESTAMP '{NOON}')""",
+)
+def alerts(t: Tables) -> DataFrame:
+    return ops.alerts(t.log(), t.auth(), NOON, most_dropped=0.1, most_failures=0)
+
+
+@query(f"SELECT 'query_log' AS name, count(*) FILTER (created_at < {MOMENT} - INTERVAL 10 DAY) AS n FROM log UNION ALL SELECT 'auth_events', count(*) FILTER (created_at < {MOMENT} - INTERVAL 20 DAY) FROM auth", f"{LOG}, {AUTH}")
+def retention_counts(t: Tables) -> DataFrame:
+    return ops.retention_counts(t.log(), t.auth(), AS_OF, 10, 20)
+
+
+@query("SELECT DISTINCT conv_id || '-' || turn AS thread_id FROM conversations WHERE conv_id || '-' || turn NOT IN (SELECT thread_id FROM log)", LOG)
+def orphan_threads(t: Tables) -> DataFrame:
+    states = t.conversations.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("thread_id"))
+    return ops.orphan_threads(states, t.log().select("thread_id").distinct())
+
+
+@query(
+    """SELECT event_id, ip, event_type, n AS recent_failures, n >= 2 AS throttled FROM (SELECT *, coalesce(sum((event_type = 'login_failure')::INTEGER) OVER (
+  PARTITION BY ip ORDER BY created_at RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0)::BIGINT AS n FROM auth)""",
+    AUTH,
+)
+def ip_throttle(t: Tables) -> DataFrame:
+    return ops.ip_throttle(t.auth(), most=2, minutes=60).select("event_id", "ip", "event_type", "recent_failures", "throttled")
+
+
+@query()
+def sign_in_replay(t: Tables) -> DataFrame:
+    a = t.auth().select("event_id", "user_id", F.unix_seconds(F.col("created_at").cast("timestamp")).alias("ts_seconds"), (F.col("event_type") != "login_failure").alias("good"))
+    return ops.sign_in_replay(a)
+
+
+THREADS = LOG + ", th AS (SELECT user_id, thread_id, arg_min(question, (created_at, trace_id)) AS title, count(*) AS turns, max(created_at) AS last_at FROM log GROUP BY ALL)"
+
+
+@query("SELECT user_id, thread_id, title, turns, last_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_at DESC, thread_id) AS k FROM th) WHERE k <= 3", THREADS)
+def user_threads(t: Tables) -> DataFrame:
+    return ops.threads_of(t.log(), 3)
+
+
+@query("SELECT trace_id, question, created_at FROM log WHERE user_id = 1 AND thread_id = '1-2'", LOG)
+def thread_turns(t: Tables) -> DataFrame:
+    return ops.thread_turns(t.log(), 1, "1-2").select("trace_id", "question", "created_at")
+
+
+IDLE = f"idle AS (SELECT user_id, thread_id, max(created_at) AS last_at, array_to_string(list(question ORDER BY created_at, trace_id), '|') AS questions FROM log GROUP BY ALL HAVING max(created_at) < {MOMENT} - INTERVAL 4 DAY)"
+
+
+@query("SELECT * FROM idle", f"{LOG}, {IDLE}")
+def idle_threads(t: Tables) -> DataFrame:
+    return memory.idle_threads(t.log(), AS_OF, 4 * 24 * 60).withColumn("questions", F.array_join("questions", "|"))
+
+
+@query("SELECT i.thread_id, i.user_id, i.last_at FROM idle i LEFT JOIN (SELECT thread_id, min(created_at) AS updated_at FROM log GROUP BY ALL) e ON e.thread_id = i.thread_id WHERE e.updated_at IS NULL OR e.updated_at < i.last_at", f"{LOG}, {IDLE}")
+def stale_episodes(t: Tables) -> DataFrame:
+    episodes = t.log().groupBy("thread_id").agg(F.min("created_at").alias("updated_at"))
+    return memory.stale_episodes(memory.idle_threads(t.log(), AS_OF, 4 * 24 * 60), episodes).select("thread_id", "user_id", "last_at")
+
+
+@query(
+    """SELECT query_id, memory_id, kind, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, memory_id)::INTEGER AS place FROM (
+  SELECT m.vec_id AS memory_id, q.vec_id AS query_id, CASE WHEN m.vec_id % 2 = 0 THEN 'semantic' ELSE 'episodic' END AS kind,
+    round(list_dot_product(m.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(m.embedding::DOUBLE[], m.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 9) AS score
+  FROM embeddings m JOIN embeddings q ON m.label = q.label JOIN benchmark ON item_id = q.vec_id)) WHERE place <= CASE kind WHEN 'semantic' THEN 6 ELSE 3 END"""
+)
+def memory_recall(t: Tables) -> DataFrame:
+    kind = F.when(F.col("vec_id") % 2 == 0, "semantic").otherwise("episodic")
+    m = t.embeddings.select(F.col("vec_id").alias("memory_id"), F.col("label").alias("user_id"), kind.alias("kind"), "embedding")
+    q = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("label").alias("user_id"), F.col("embedding").alias("vector"))
+    return memory.recall(m, q)
+
+
+@query(
+    """SELECT collection, count(*) AS questions, round(avg(coalesce(rank <= 5, false)::INTEGER), 4) AS hit5, round(avg(coalesce(rank <= 10, false)::INTEGER), 4) AS hit10,
+  round(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END), 4) AS mrr10 FROM r GROUP BY GROUPING SETS ((collection), ())""",
+    f"{CHUNKS}, {ASKED}, {KEYWORD}, r AS (SELECT q.query_id, c.collection, k.rank FROM q JOIN chunks c ON c.chunk_id = q.query_id LEFT JOIN kw_any k ON k.query_id = q.query_id AND k.chunk_id = q.query_id)",
+)
+def retrieval_hit_mrr(t: Tables) -> DataFrame:
+    hits = retrieval.keyword_topn(t.chunks(), t.questions(), mode="any")
+    own = hits.where("chunk_id = query_id").select("query_id", "rank")
+    kind = t.chunks().select(F.col("chunk_id").alias("query_id"), "collection")
+    return evaluation.retrieval_scores(t.questions().select("query_id").join(kind, "query_id").join(own, "query_id", "left"))
+
+
+@query(
+    """SELECT query_id, round(coalesce(avg(p) FILTER (useful), 0), 9) AS ap FROM (SELECT query_id, useful, (sum(useful::INTEGER) OVER w)::DOUBLE / row_number() OVER w AS p
+  FROM (SELECT s.query_id, s.rank, coalesce(l.quality = 1, false) AS useful FROM semantic s LEFT JOIN labels l ON l.doc_id = s.chunk_id) WINDOW w AS (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)) GROUP BY query_id""",
+    SEMANTIC,
+)
+def average_precision(t: Tables) -> DataFrame:
+    hits = retrieval.semantic_topn(t.chunks(), t.questions()).join(t.labels.select(F.col("doc_id").alias("chunk_id"), "quality"), "chunk_id", "left")
+    return evaluation.average_precision(hits.select("query_id", "rank", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("useful")))
+
+
+@query("SELECT qtype, metric, round(avg(score), 4) AS mean, count(*) AS n FROM scores WHERE score IS NOT NULL GROUP BY GROUPING SETS ((qtype, metric), (metric))", SCORES)
+def metric_summary(t: Tables) -> DataFrame:
+    return evaluation.metric_means(t.scores())
+
+
+@query(
+    """SELECT event_type, n, round(CASE WHEN n = 1 THEN v[1] ELSE v[j] + (v[j + 1] - v[j]) * (pos - j) END, 6) AS p90 FROM (
+  SELECT event_type, count(*) AS n, list(value ORDER BY value) AS v, (count(*) + 1) * 0.9::DOUBLE AS pos, greatest(1, least(count(*) - 1, floor((count(*) + 1) * 0.9::DOUBLE)::BIGINT)) AS j FROM events WHERE value IS NOT NULL GROUP BY event_type)"""
+)
+def p90_exclusive(t: Tables) -> DataFrame:
+    return evaluation.p90(t.events, "event_type", "value")
+
+
+@query(
+    """SELECT a.metric, a.mean, b.mean AS before, CASE WHEN a.metric = 'refusal' AND a.mean < 1 THEN 'must be 1.0' ELSE 'below the baseline' END AS failure
+FROM m a LEFT JOIN m b ON a.metric = b.metric AND b.qtype = 'de' WHERE a.qtype = 'en' AND ((a.metric = 'refusal' AND a.mean < 1) OR (a.metric = 'faithfulness' AND a.mean < b.mean - 0.03))""",
+    SCORES + ", m AS (SELECT qtype, metric, round(avg(score), 4) AS mean FROM scores GROUP BY ALL)",
+)
+def regression_gate(t: Tables) -> DataFrame:
+    m = evaluation.metric_means(t.scores())
+    return evaluation.gate(m.where("qtype = 'en'"), m.where("qtype = 'de'"))
+
+
+@query("SELECT question_id, min(score) AS worst FROM scores WHERE metric = 'faithfulness' GROUP BY ALL ORDER BY worst, question_id LIMIT 5", SCORES)
+def worst_questions(t: Tables) -> DataFrame:
+    return evaluation.worst(t.scores())
+
+
+@query(
+    """SELECT count(*) AS questions, round(median(value), 6) AS median_latency_s, round(any_value(v[j] + (v[j + 1] - v[j]) * (pos - j)), 6) AS p90_latency_s, round(median(value), 6) AS median_cost_usd, round(sum(value), 2) AS total_cost_usd
+FROM events, (SELECT list(value ORDER BY value) AS v, (count(value) + 1) * 0.9::DOUBLE AS pos, floor((count(value) + 1) * 0.9::DOUBLE)::BIGINT AS j FROM events)"""
+)
+def run_summary(t: Tables) -> DataFrame:
+    return evaluation.run_summary(t.events.select(F.col("value").alias("latency_s"), F.col("value").alias("cost_usd"))).withColumn("total_cost_usd", F.round("total_cost_usd", 2))
+
+
+@query("SELECT stratum, id, turn FROM (SELECT source AS stratum, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id)::INTEGER AS turn FROM documents) ORDER BY turn, stratum, id LIMIT 50")
+def stratified_sample(t: Tables) -> DataFrame:
+    return evaluation.stratified(t.documents.select(F.col("source").alias("stratum"), F.col("doc_id").alias("id")), 50)
+
+
+@query(
+    """SELECT l_orderkey, CASE WHEN len(expected) = 0 THEN NULL ELSE len(list_filter(charts, lambda c: len(list_filter(c, lambda v: list_contains(expected, v) OR list_contains(list_transform(expected, lambda e: e / 100), v))) = len(c))) / len(charts) END AS score FROM (
+  SELECT l_orderkey, list(c) AS charts, coalesce(flatten(list(e)), []) AS expected FROM (
+    SELECT l_orderkey, l_linestatus, list(l_quantity) AS c, coalesce(list(l_quantity) FILTER (l_returnflag = 'A'), []) AS e FROM lineitem GROUP BY ALL) GROUP BY ALL)"""
+)
+def chart_numeric(t: Tables) -> DataFrame:
+    charts = t.lineitem.groupBy("l_orderkey", "l_linestatus").agg(F.collect_list("l_quantity").alias("c"), F.collect_list(F.when(F.col("l_returnflag") == "A", F.col("l_quantity"))).alias("e"))
+    g = charts.groupBy("l_orderkey").agg(F.collect_list("c").alias("charts"), F.flatten(F.collect_list("e")).alias("expected"))
+    return g.select("l_orderkey", evaluation.chart_numeric(F.col("charts"), F.col("expected")).alias("score"))
+
+
+@query(
+    """SELECT l_orderkey, round(len(list_filter(cited, lambda c: list_has_any(c, reference))) / len(cited), 6) AS score FROM (
+  SELECT l_orderkey, list([l_partkey, l_suppkey]) AS cited, coalesce(list(l_partkey) FILTER (l_returnflag = 'R'), []) AS reference FROM lineitem GROUP BY ALL)"""
+)
+def citation_accuracy(t: Tables) -> DataFrame:
+    g = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.array("l_partkey", "l_suppkey")).alias("cited"), F.collect_list(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))).alias("reference"))
+    return g.select("l_orderkey", F.round(evaluation.citation_accuracy(F.col("cited"), F.col("reference")), 6).alias("score"))
+
+
+@query(
+    """SELECT question_id, place, id FROM (SELECT k.query_id AS question_id, k.chunk_id AS id, row_number() OVER (PARTITION BY k.query_id ORDER BY s.rank IS NULL, s.rank, k.rank, k.chunk_id)::INTEGER AS place
+  FROM kw_any k LEFT JOIN semantic s ON s.query_id = k.query_id AND s.chunk_id = k.chunk_id) WHERE place <= 20""",
+    f"{SEMANTIC}, {KEYWORD}",
+)
+def context_order(t: Tables) -> DataFrame:
+    ranked = retrieval.semantic_topn(t.chunks(), t.questions()).select(F.col("query_id").alias("question_id"), F.lit(1).alias("search_no"), "rank", F.col("chunk_id").cast("string").alias("id"))
+    seen = retrieval.keyword_topn(t.chunks(), t.questions(), mode="any").select(F.col("query_id").alias("question_id"), F.col("chunk_id").cast("string").alias("id"), F.col("rank").alias("seq"))
+    return evaluation.context_order(ranked, seen).withColumn("id", F.col("id").cast("long"))
+
+
+@query("SELECT run_id, seq, cost, spent FROM (SELECT user_id AS run_id, event_id AS seq, value AS cost, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) AS spent FROM events) WHERE coalesce(spent - cost, 0) < 200 - 5e-7")
+def spend_cap(t: Tables) -> DataFrame:
+    return evaluation.spend_cap(t.events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("value").alias("cost")), 200.0)
+
+
+@query("SELECT event_type AS model, count(*) AS questions, round(median(value), 6) AS median_cost, round(median(round(value * 10)), 6) AS median_latency, round(avg((event_id % 3 = 0)::INTEGER), 4) AS first_try FROM events GROUP BY ALL")
+def model_comparison(t: Tables) -> DataFrame:
+    runs = t.events.select(F.col("event_type").alias("model"), F.col("value").alias("cost_usd"), F.round(F.col("value") * 10).alias("latency_ms"), F.when(F.col("event_id") % 3 == 0, "ok").otherwise("repaired").alias("result"))
+    return evaluation.model_comparison(runs)
+
+
+@query(
+    r"""SELECT key, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, regexp_replace(lower(trim(regexp_replace(l, '\s+', ' ', 'g'))), '\d+', '#', 'g') AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))
+WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) > 3"""
+)
+def furniture_lines(t: Tables) -> DataFrame:
+    return ingest.shared_lines(t.lines())
+
+
+@query(
+    r"""SELECT table_id, column_no, count(*) FILTER (trim(cell) <> '') AS filled, count(*) FILTER (regexp_matches(cell, '^\s*[(\-+]?\s*[$€£]?\s*\d[\d,]*(\.\d+)?\s*%?\)?\s*$')) AS numeric,
+  count(*) FILTER (regexp_matches(cell, '^\s*[(\-+]?\s*[$€£]?\s*\d[\d,]*(\.\d+)?\s*%?\)?\s*$')) >= 0.8 * count(*) FILTER (trim(cell) <> '') AS is_numeric
+FROM (SELECT event_type AS table_id, unnest([1, 2, 3]) AS column_no, unnest([user_id::VARCHAR, props, json_extract_string(props, '$.k')]) AS cell FROM events) GROUP BY ALL"""
+)
+def numeric_columns(t: Tables) -> DataFrame:
+    cells = F.posexplode(F.array(F.col("user_id").cast("string"), "props", F.get_json_object("props", "$.k"))).alias("column_no", "cell")
+    e = t.events.select(F.col("event_type").alias("table_id"), F.col("event_id").alias("row_no"), cells).withColumn("column_no", F.col("column_no") + 1)
+    return ingest.numeric_columns(e)
+
+
+@query(
+    """SELECT doc_id, page, 'empty_page' AS reason FROM (SELECT conv_id AS doc_id, unnest(range(1, max(turn) + 3)) AS page FROM conversations GROUP BY conv_id)
+WHERE (doc_id, page) NOT IN (SELECT (conv_id, turn + 1) FROM conversations WHERE role IN ('user', 'system'))"""
+)
+def page_coverage(t: Tables) -> DataFrame:
+    c = t.conversations.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), "role")
+    pages = c.groupBy("doc_id").agg((F.max("page") + 1).alias("pages")).select("doc_id", "pages")
+    return ingest.page_coverage(pages, c.where("role = 'user'"), c.where("role = 'system'"))
+
+
+@query("SELECT doc_id, quantile_cont(size, 0.5) AS body_size FROM (SELECT role AS doc_id, turn::DOUBLE AS size, unnest(range(0, length(text) % 50 + 1)) FROM conversations) GROUP BY doc_id")
+def weighted_median(t: Tables) -> DataFrame:
+    return ingest.body_size(t.conversations.select(F.col("role").alias("doc_id"), F.col("turn").cast("double").alias("size"), (F.length("text") % 50 + 1).alias("chars")))
+
+
+@query("SELECT doc_id, seq, section, (sum(new) OVER (PARTITION BY doc_id ORDER BY seq))::BIGINT AS island FROM (SELECT conv_id AS doc_id, turn AS seq, role AS section, (role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS new FROM conversations)")
+def islands_sections(t: Tables) -> DataFrame:
+    return enrich.islands(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("role").alias("section")))
+
+
+@query(
+    r"""SELECT doc_id, seq, array_to_string(a[greatest(1, len(a) - 29):], ' ') AS words_before, array_to_string(b[1:30], ' ') AS words_after FROM (
+  SELECT conv_id AS doc_id, turn AS seq, coalesce(flatten(list(w) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)), []) AS a,
+    coalesce(flatten(list(w) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)), []) AS b
+  FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '') AS w FROM conversations))"""
+)
+def context_words(t: Tables) -> DataFrame:
+    return ingest.context_words(t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text"), 30).drop("text")
+
+
+@query(
+    """SELECT DISTINCT p_size AS doc_id, p_partkey AS target_id, l_orderkey * 10 + l_linenumber AS text_element_id, 'explicit' AS method, 1.0::DOUBLE AS score
+FROM lineitem JOIN part ON p_partkey = l_partkey"""
+)
+def explicit_links(t: Tables) -> DataFrame:
+    p = t.part.select("p_size", "p_partkey")
+    targets = p.select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("target_id"), F.lit("figure").alias("kind"), F.concat(F.lit("Figure "), F.col("p_partkey").cast("string"), F.lit(": a part")).alias("label"))
+    said = F.concat(F.lit("As Figure "), F.col("l_partkey").cast("string"), F.lit(" and table 3 show, it fits."))
+    paragraphs = t.lineitem.join(p, F.col("p_partkey") == F.col("l_partkey")).select(F.col("p_size").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("element_id"), said.alias("text"))
+    return enrich.explicit_links(targets, paragraphs)
+
+
+@query(
+    """SELECT p_size AS doc_id, p_size || ':figure:' || row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS chunk_id, p_partkey AS element_id,
+  p_name || chr(10) || 'Labels: ' || p_brand || ' | ' || p_type || chr(10) || 'Section: ' || p_brand AS text FROM part"""
+)
+def figure_docs(t: Tables) -> DataFrame:
+    none, texts = F.lit(None).cast("string"), F.array().cast("array<string>")
+    f = t.part.select(
+        F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("seq"), F.col("p_partkey").alias("element_id"), F.col("p_name").alias("short_caption"), none.alias("description"), F.array("p_brand", "p_type").alias("labels"),
+        texts.alias("keywords"), none.alias("caption"), none.alias("placements"), F.array("p_brand").alias("section"), texts.alias("contexts"),
+    )
+    return enrich.figure_documents(f).withColumn("text", F.regexp_replace("text", r"\n+\z", ""))
+
+
+@query(
+    """SELECT s_nationkey AS doc_id, s_nationkey || ':table:' || row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS chunk_id, s_suppkey AS element_id,
+  s_name || chr(10) || 'in brief' || chr(10) || 'Columns: a | b' || chr(10) || 'Section: x > y' AS dense_text, s_name || chr(10) || 'Columns: a | b' || chr(10) || s_suppkey || ' | ' || s_nationkey AS keyword_text FROM supplier"""
+)
+def table_docs(t: Tables) -> DataFrame:
+    s = t.supplier.select(
+        F.col("s_nationkey").alias("doc_id"), F.col("s_suppkey").alias("seq"), F.col("s_suppkey").alias("element_id"), F.col("s_name").alias("title"), F.lit("in brief").alias("summary"), F.array(F.lit("a"), F.lit("b")).alias("columns"),
+        F.array(F.array(F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string"))).alias("rows"), F.array(F.lit("x"), F.lit("y")).alias("section"),
+    )
+    return enrich.table_documents(s)
+
+
+@query(
+    """SELECT doc_id, hash, page, CASE WHEN k > 1 THEN 'duplicate' WHEN w < 50 THEN 'decorative' END AS skip_reason, CASE WHEN k > 1 OR w < 50 THEN 'skipped' ELSE 'ok' END AS status
+FROM (SELECT source AS doc_id, md5(text) AS hash, doc_id AS page, n_chars AS w, row_number() OVER (PARTITION BY source, md5(text) ORDER BY doc_id) AS k FROM documents)"""
+)
+def dedupe_first_image(t: Tables) -> DataFrame:
+    d = t.documents.select(F.col("source").alias("doc_id"), F.md5("text").alias("hash"), F.col("doc_id").alias("page"), F.lit(0).alias("no"), F.col("n_chars").alias("width"), F.col("n_chars").alias("height"))
+    return ingest.first_images(d).select("doc_id", "hash", "page", "skip_reason", "status")
+
+
+@query("SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def cache_misses(t: Tables) -> DataFrame:
+    return files.cache_misses(t.lineitem.select(F.col("l_partkey").alias("key")), t.part.where("p_size < 25").select(F.col("p_partkey").alias("key")))
+
+
+@query("SELECT p_partkey AS key, p_size AS value FROM part WHERE p_size < 25 UNION ALL SELECT p_partkey, -1 FROM part WHERE p_size >= 25")
+def merge_cache(t: Tables) -> DataFrame:
+    old = t.part.where("p_size < 25").select(F.col("p_partkey").alias("key"), F.col("p_size").alias("value"))
+    return files.merge_absent(old, t.part.select(F.col("p_partkey").alias("key"), F.lit(-1).alias("value")))
+
+
+@query(
+    r"""SELECT doc_id, count(v)::BIGINT AS n, max(v) AS largest FROM (SELECT doc_id, v FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^\w.])(-?\d[\d,]*(?:\.\d+)?(?:\s*%)?)', 1)) AS m FROM documents),
+  LATERAL (SELECT unnest(CASE WHEN m LIKE '%\%' ESCAPE '\' THEN [regexp_replace(m, '[,%\s]', '', 'g')::DOUBLE, round(regexp_replace(m, '[,%\s]', '', 'g')::DOUBLE / 100, 10)] ELSE [regexp_replace(m, '[,%\s]', '', 'g')::DOUBLE] END) AS v) GROUP BY ALL) GROUP BY doc_id"""
+)
+def numbers_in(t: Tables) -> DataFrame:
+    n = t.documents.select("doc_id", tx.numbers_in(F.col("text")).alias("v")).where(F.size("v") > 0)
+    return n.select("doc_id", F.size("v").cast("long").alias("n"), F.array_max("v").alias("largest"))
+
+
+@query(rf"SELECT conv_id, turn, regexp_matches(text, '{tx.REFUSAL}') AS refused FROM conversations")
+def refusal_flag(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", tx.is_refusal(F.col("text")).alias("refused"))
+
+
+@query(r"SELECT conv_id, turn, regexp_replace(text, '\s*[(\[]\s*(?:ids?:\s*)?[\w-]+(?::[\w-]+)+(?:\s*[,;]\s*[\w-]+(?::[\w-]+)+)*\s*[)\]]', '', 'g').regexp_replace(' +([.,;:])', '\1', 'g') || '.' AS text FROM conversations")
+def strip_ids(t: Tables) -> DataFrame:
+    noted = F.concat("text", F.lit(" (id: d:text:"), F.col("turn").cast("string"), F.lit(", d:table:2)."))
+    return t.conversations.select("conv_id", "turn", tx.strip_ids(noted).alias("text"))
+
+
+@query(
+    """SELECT s_suppkey AS doc_id, s_name AS source_file, CASE WHEN s_nationkey < 10 THEN 'new' ELSE 'old' END AS build_hash, CASE WHEN s_nationkey < 10 THEN 2 ELSE 1 END AS version FROM supplier"""
+)
+def doc_replace(t: Tables) -> DataFrame:
+    old = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("source_file"), F.lit("old").alias("build_hash"), F.lit(1).alias("version"))
+    new = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("source_file"), F.when(F.col("s_nationkey") < 10, "new").otherwise("old").alias("build_hash"))
+    return files.replace_document(old, {}, new, {})[0]
+
+
+@query("SELECT lang, source, count(*) AS n, round(sum(n_chars), 2)::DOUBLE AS total FROM documents GROUP BY GROUPING SETS ((), (lang), (source))")
+def grouping_report(t: Tables) -> DataFrame:
+    d = t.documents.select("lang", "source", F.col("n_chars").cast("double").alias("n_chars"))
+    return evaluation.grouping_report(d, ["lang", "source"], "n_chars")
+
+
+@query()
+def paired_bootstrap(t: Tables) -> DataFrame:
+    return evaluation.paired_bootstrap(t.labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("a"), F.col("toxic").alias("b")), rounds=200)
+
+
+@query(
+    """SELECT chart_id, n_errors = 0 AS ok, n_errors FROM (SELECT l_orderkey AS chart_id, count(*) FILTER (q NOT IN (SELECT 0) AND NOT list_contains(known, q))::INTEGER AS n_errors
+  FROM (SELECT l_orderkey, l_quantity AS q, coalesce(list(l_quantity) FILTER (l_linestatus = 'O') OVER (PARTITION BY l_orderkey), []) AS known FROM lineitem) GROUP BY l_orderkey)"""
+)
+def validate_chart(t: Tables) -> DataFrame:
+    li = t.lineitem.select("l_orderkey", F.concat(F.col("l_linenumber").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_suppkey").cast("string")).alias("label"), "l_quantity", "l_linestatus")
+    ref = F.concat(F.lit("ev:"), F.col("l_orderkey").cast("string"))
+    z = F.array_sort(F.collect_list(F.struct("label", "l_quantity")))
+    g = li.groupBy("l_orderkey").agg(z.alias("z"), F.first(ref).alias("ref"))
+    series = F.array(F.struct(F.lit("q").alias("name"), F.transform("z", lambda e: e["l_quantity"]).alias("values"), F.lit("%").alias("unit")))
+    refs = F.map_from_entries(F.array_distinct(F.transform("z", lambda e: F.struct(F.concat(F.lit("q:"), e["label"]), F.col("ref")))))
+    charts = g.select(F.col("l_orderkey").alias("chart_id"), F.lit(1).alias("question_id"), F.lit("bar").alias("chart_type"), F.transform("z", lambda e: e["label"]).alias("labels"), series.alias("series"), refs.alias("value_refs"), F.array().cast("array<string>").alias("citations"))
+    shown = li.where("l_linestatus = 'O'").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.col("l_quantity").cast("string")), " and ").alias("text"))
+    results = shown.select(F.lit(1).alias("question_id"), ref.alias("id"), F.lit("table").alias("kind"), "text", F.lit(None).cast("array<double>").alias("estimated"), F.lit(1).alias("seq"))
+    out = verify.validate_charts(charts, verify.ledger(results))
+    return out.select("chart_id", "ok", F.size("errors").alias("n_errors"))
+
+
+@query()
+def validate_answer(t: Tables) -> DataFrame:
+    """Each conversation turn as an answer that cites its conversation and its next turn."""
+    c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "turn", "text", "role")
+    cite = F.array(F.concat(F.lit("c:"), F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") + 1).cast("string")))
+    block = F.struct(F.when(F.col("role") == "assistant", "text").otherwise("table").alias("type"), F.col("text").alias("markdown"), cite.alias("citations"), F.lit(None).cast("string").alias("element_id"), F.lit(None).cast("string").alias("chart_id"))
+    answers = c.select("answer_id", F.lit(1).alias("question_id"), (F.col("role") == "system").alias("not_found"), F.array(block).alias("blocks"))
+    ids = c.select(F.concat(F.lit("c:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("id"))
+    evidence = ids.select(F.lit(1).alias("question_id"), "id")
+    charts = t.spark.createDataFrame([], "chart_id string, question_id int, citations array<string>")
+    return verify.validate_answers(answers, evidence, ids, t.spark.createDataFrame([], "element_id string, type string"), charts)
+
+
+@query()
+def chunk_text(t: Tables) -> DataFrame:
+    lines = t.lines().select("doc_id", "seq", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("seq").cast("string")).alias("element_id"), F.array().cast("array<string>").alias("section"), F.col("line").alias("text"))
+    out = enrich.chunk_text(lines.where("text <> ''"), max_tokens=200)
+    return out.select("doc_id", "chunk_id", F.size("element_ids").alias("elements"), F.md5("text").alias("text_md5"))
+
+
+@query(
+    """SELECT chart_id, body, sign_no, house, (floor(lon / (360.0::DOUBLE / 27)) % 27)::INTEGER AS nakshatra_no, ((start + floor((lon - 30 * floor(lon / 30)) / (30.0::DOUBLE / 9))) % 12)::INTEGER AS navamsa_no,
+  CASE WHEN ex = sign_no THEN 'exalted' WHEN (ex + 6) % 12 = sign_no THEN 'debilitated' WHEN ex IS NOT NULL AND ruler = body THEN 'own sign' END AS dignity FROM (
+  SELECT *, CASE sign_no % 3 WHEN 0 THEN sign_no WHEN 1 THEN sign_no + 8 ELSE sign_no + 4 END AS start, map {'Sun': 0, 'Moon': 1, 'Mars': 9, 'Mercury': 5, 'Jupiter': 3, 'Venus': 11, 'Saturn': 6}[body] AS ex,
+    ['Mars', 'Venus', 'Mercury', 'Moon', 'Sun', 'Mercury', 'Venus', 'Mars', 'Jupiter', 'Saturn', 'Saturn', 'Jupiter'][sign_no + 1] AS ruler FROM h)""",
+    SKY,
+)
+def chart_placements(t: Tables) -> DataFrame:
+    p = astro.placements(t.charts())
+    at = lambda names, c: (F.array_position(F.array(*map(F.lit, names)), F.col(c)) - 1).cast("int")
+    return p.select("chart_id", "body", "sign_no", "house", at(astro.NAKSHATRAS, "nakshatra").alias("nakshatra_no"), at(astro.SIGNS, "navamsa").alias("navamsa_no"), "dignity")
+
+
+@query(
+    """SELECT chart_id, body, (house + n - 2) % 12 + 1 AS house FROM (SELECT chart_id, body, house, unnest(CASE body WHEN 'Mars' THEN [4, 7, 8] WHEN 'Jupiter' THEN [5, 7, 9] WHEN 'Saturn' THEN [3, 7, 10] ELSE [7] END) AS n
+  FROM h WHERE body NOT IN ('Rahu', 'Lagna'))""",
+    SKY,
+)
+def chart_aspects(t: Tables) -> DataFrame:
+    return astro.aspects(astro.placements(t.charts()))
+
+
+@query(
+    """SELECT chart_id, seq, lord, CASE WHEN seq = 0 THEN birth ELSE birth + floor((upto - years) * 365.25::DOUBLE)::INTEGER END AS start, birth + floor(upto * 365.25::DOUBLE)::INTEGER AS end FROM (
+  SELECT *, sum(years) OVER w - el * first(years) OVER w AS upto FROM (
+    SELECT chart_id, birth, seq, el, ['Ketu', 'Venus', 'Sun', 'Moon', 'Mars', 'Rahu', 'Jupiter', 'Saturn', 'Mercury'][(f + seq) % 9 + 1] AS lord, [7, 20, 6, 10, 7, 18, 16, 19, 17][(f + seq) % 9 + 1]::DOUBLE AS years FROM (
+      SELECT chart_id, birth, unnest(range(0, 9))::INTEGER AS seq, (floor(lon / (360.0::DOUBLE / 27)) % 9)::INTEGER AS f, lon / (360.0::DOUBLE / 27) - floor(lon / (360.0::DOUBLE / 27)) AS el FROM x WHERE body = 'Moon'))
+  WINDOW w AS (PARTITION BY chart_id ORDER BY seq ROWS UNBOUNDED PRECEDING))""",
+    SKY,
+)
+def chart_dashas(t: Tables) -> DataFrame:
+    return astro.dashas(t.charts().where("body = 'Moon'"))
+
+
+@query()
+def chart_yogas(t: Tables) -> DataFrame:
+    return astro.yogas(astro.placements(t.charts()))
