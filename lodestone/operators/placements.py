@@ -26,10 +26,11 @@ def matching_charts(placements: DataFrame, conditions: list[dict], kind: str = "
 
 
 def find_charts(placements: DataFrame, conditions: list[dict], kind: str = "any", k: int | None = None) -> DataFrame:
-    """Matching charts in order, with their placements as a map and the total number."""
+    """Matching charts in order, with their placements as a map (signs of a body that has several joined by /) and the total number."""
     found = matching_charts(placements, conditions, kind)
     total = F.broadcast(found.agg(F.count("*").alias("total")))  # one row
-    full = placements.join(found, ["element_id", "chart_no"]).groupBy("element_id", "chart_no", "kind").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("body", "sign")))).alias("placements"))
+    bodies = placements.join(found, ["element_id", "chart_no"]).groupBy("element_id", "chart_no", "kind", "body").agg(F.array_join(F.array_sort(F.collect_set("sign")), "/").alias("sign"))
+    full = bodies.groupBy("element_id", "chart_no", "kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("body", "sign")))).alias("placements"))
     out = full.crossJoin(total).orderBy("element_id", "chart_no")
     return out.limit(k) if k else out
 

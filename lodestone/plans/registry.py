@@ -178,9 +178,9 @@ def placement_match(t: Tables) -> DataFrame:
     return placements.matching_charts(t.placed_lines(), CONDITIONS)
 
 
-@query("SELECT element_id, kind, array_to_string(list(DISTINCT body || '=' || sign ORDER BY body || '=' || sign), ',') AS placements, (SELECT count(*) FROM m) AS total FROM p JOIN m USING (element_id) GROUP BY element_id, kind", MATCH)
+@query("SELECT element_id, kind, string_agg(body || '=' || signs, ',' ORDER BY body || '=' || signs) AS placements, (SELECT count(*) FROM m) AS total FROM (SELECT element_id, kind, body, array_to_string(list(DISTINCT sign ORDER BY sign), '/') AS signs FROM p JOIN m USING (element_id) GROUP BY ALL) GROUP BY element_id, kind", MATCH)
 def placement_match_total(t: Tables) -> DataFrame:
-    found = placements.find_charts(t.placed_lines().dropDuplicates(["element_id", "kind", "body", "sign"]), CONDITIONS)
+    found = placements.find_charts(t.placed_lines(), CONDITIONS)
     text = F.array_join(F.array_sort(F.transform(F.map_entries("placements"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
     return found.select("element_id", "kind", text.alias("placements"), "total")
 
