@@ -120,7 +120,7 @@ def _linker(differ: int, chunk: int = 512):
 
     def run(batches):
         rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        for batch in [*([None] * 0)] or batches:
+        for batch in batches:
             k = np.concatenate([rest_k, batch.column(0).to_numpy()])
             f = np.concatenate([rest_f, batch.column(1).to_numpy().view(np.uint64)])
             if not len(k):
@@ -173,7 +173,8 @@ def _tile(differ: int, chunk: int = 512):
 
 def fingerprint_links(prints: DataFrame, differ: int = 4, block: int = 4096) -> DataFrame:
     """(u, v): a graph on the distinct values of prints.fp whose components are those of all pairs within `differ` bits (0 to 7)."""
-    distinct = prints.select("fp").distinct()
+    # a fixed number of partitions: a few bytes a fingerprint become 70 keys, which small merged partitions would make in few tasks
+    distinct = prints.select("fp").distinct().repartition(2 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keys = distinct.mapInArrow(_keys(differ), "key long, fp long")
     counts = keys.groupBy("key").count()
     hot = materialize(counts.where(F.col("count") > block))
