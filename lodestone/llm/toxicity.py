@@ -5,7 +5,7 @@ A clause (text between sentence marks or line ends) runs through a cascade of sm
 what follows in its scope, a report or a quotation damps what it reports, a target near an insult or after a threat
 raises it. Clause weights, not isolated words, add up to a document's weight, and a logistic curve makes a score of it.
 The insult and threat stems and the curve are learnt: stems (whole words and word beginnings of 4 to 8 letters) by their
-smoothed log odds between labelled documents. The fit takes a sample of at most `sample` labelled rows, by a hash of doc_id.
+smoothed log odds between labelled documents, less their standard error. The fit takes a sample of at most `sample` labelled rows, by a hash of doc_id.
 
 Defined results: null and empty texts have weight 0 and its score; of a doc_id's labels any 1 counts; with no labels of
 both kinds every score is 0.
@@ -118,7 +118,7 @@ def _counter(batches):
     yield from flush()
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, stems: int = 4096, support: int = 5) -> tuple[dict[str, float], tuple[float, float]]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, stems: int = 4096, support: int = 4) -> tuple[dict[str, float], tuple[float, float]]:
     """Stem weights (at most `stems`) and the curve, from rows of labels (doc_id, toxic) that are not held out."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = usable.count()
@@ -131,7 +131,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, stems: int =
         return {}, (-40.0, 0.0)
     sums = rows.mapInArrow(_counter, "f string, y int, n long").groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    top = sums.where((F.col("bad") >= support) & (odds > 2.5)).select("f", odds.alias("w"), "bad", "good").orderBy(F.desc(F.col("w") * F.sqrt("bad")), "f").limit(stems).collect()
+    # what a stem weighs: by how much its log odds, less their standard error, exceed 2
+    weight = odds - F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)) - 2
+    top = sums.where((F.col("bad") >= support) & (weight > 0)).select("f", weight.alias("w"), "bad").orderBy(F.desc(F.col("w") * F.sqrt("bad")), "f").limit(stems).collect()
     lexicon = {r["f"]: float(r["w"]) for r in top}
 
     def weigh(batches):
