@@ -278,12 +278,12 @@ def line_dedup(docs: DataFrame, differ: int = 2, least: int = 8, near: int = 20)
     docs = docs.select("doc_id", "text")
     links = materialize(near_lines(docs, differ, near))
     lines = _occurrences(docs, least)
-    first = lines.groupBy("h").agg(F.min(_place()).alias("first"))
-    first = materialize(first) if not links.isEmpty() else first
+    first = materialize(lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
     both = links.union(links.select("b", "a")).toDF("h", "other")
-    earlier = both.join(first.toDF("other", "first"), "other").groupBy("h").agg(F.min("first").alias("near_first"))
-    known = first.join(earlier, "h", "left").select("h", F.least("first", F.coalesce("near_first", "first")).alias("earliest"))
-    # lines that occur once and have no earlier neighbour are no reason to move a row
+    earlier = both.join(first.select(F.col("h").alias("other"), "first"), "other").groupBy("h").agg(F.min("first").alias("near_first"))
+    # lines that occur once and have no earlier neighbour are no reason to move a row. Written first: both sides of the join
+    # below are then plain exchanges, of which Spark splits those that one very common line fills
+    known = materialize(first.join(earlier, "h", "left").where("n > 1 OR near_first < first").select("h", F.least("first", F.coalesce("near_first", "first")).alias("earliest")))
     gone = lines.join(known, "h").where(_place() > F.col("earliest")).groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("pos")).alias("gone_lines"))
     gone = materialize(gone)
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
