@@ -234,3 +234,37 @@ def without_flagged(texts: DataFrame, flagged: DataFrame) -> DataFrame:
     kept = s.join(bad, ["text_id", "n"], "left_anti")
     g = kept.groupBy("text_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "s"))), lambda e: e["s"]), " ").alias("text"))
     return texts.select("text_id").join(g, "text_id", "left").select("text_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def fact_claims(text: Column) -> Column:
+    """(kind, body, value) of statements in a text: dignity, lordship, aspect on a house, combustion and retrogression."""
+    names = "|".join([*PLANETS, "Rahu", "Ketu"])
+    nth = r"(\d{1,2})(?:st|nd|rd|th)"
+    kinds = [
+        ("dignity", rf"\b({names})\s+(?:is\s+)?(exalted|debilitated)\b", rf"^({names})", r"(exalted|debilitated)$"),
+        ("lord", rf"\b({names}),?\s+(?:is\s+)?(?:the\s+)?(?:lord|ruler)\s+of\s+the\s+{nth}", rf"^({names})", r"(\d{1,2})(?:st|nd|rd|th)$"),
+        ("aspect", rf"\b({names})\s+aspects\s+the\s+{nth}", rf"^({names})", r"(\d{1,2})(?:st|nd|rd|th)$"),
+        ("combust", rf"\b({names})\s+is\s+(combust)\b", rf"^({names})", r"(combust)$"),
+        ("retrograde", rf"\b({names})\s+is\s+(retrograde)\b", rf"^({names})", r"(retrograde)$"),
+    ]
+
+    def found(kind: str, pattern: str, body: str, value: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(hits, lambda m: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(m, body, 1).alias("body"), F.regexp_extract(m, value, 1).alias("value")))
+
+    return F.concat(*[found(*k) for k in kinds])
+
+
+def chart_claims(placed: DataFrame) -> DataFrame:
+    """(chart_id, kind, body, value): what a text may state of a chart, of the kinds of fact_claims."""
+    dignity = placed.where("dignity IN ('exalted', 'debilitated')").select("chart_id", F.lit("dignity").alias("kind"), "body", F.col("dignity").alias("value"))
+    lord = lordships(placed).select("chart_id", F.lit("lord"), "lord", F.col("house").cast("string"))
+    look = aspects(placed).select("chart_id", F.lit("aspect"), "body", F.col("house").cast("string"))
+    state = [placed.where(c).select("chart_id", F.lit(c), "body", F.lit(c)) for c in ("combust", "retrograde")]
+    return reduce(DataFrame.union, [dignity, lord, look, *state])
+
+
+def unfounded_claims(texts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(text_id, kind, body, value) stated in texts (text_id, chart_id, text) that the chart does not hold."""
+    c = texts.select("text_id", "chart_id", F.explode(fact_claims(F.col("text"))).alias("c")).select("text_id", "chart_id", "c.*")
+    return c.join(chart_claims(placed), ["chart_id", "kind", "body", "value"], "left_anti").select("text_id", "kind", "body", "value")

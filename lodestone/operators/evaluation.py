@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import exclusive_quantile, near_metric
-from ..functions.text import is_refusal
+from ..functions.text import is_refusal, numbers_in
 
 PERFECT = ("chart_numeric", "refusal")
 GATED = ("faithfulness", "multimodal_faithfulness", "response_relevancy", "context_precision", "context_recall", "factual_correctness", "tool_call_accuracy", "figure_hit", "citation_accuracy")
@@ -177,3 +177,36 @@ def failed_reasons(runs: DataFrame, most: int = 8) -> DataFrame:
 def grouping_report(rows: DataFrame, dims: list[str], value: str) -> DataFrame:
     """Sums and counts of a value over all, and over each of dims, in one pass."""
     return rows.groupingSets([[], *[[d] for d in dims]], *dims).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("total"))
+
+
+def draft_pool(elements: DataFrame) -> DataFrame:
+    """Elements (element_id, kind, text, cells) rich enough to ask about: text of 80 words, figures of 30 that are not decorative, tables of four numbers."""
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
+    plain = ~F.lower(F.substring("text", 1, 200)).contains("decorative")
+    rich = ((F.col("kind") == "text") & (words >= 80)) | ((F.col("kind") == "figure") & (words >= 30) & plain) | ((F.col("kind") == "table") & (F.size(numbers_in(F.col("cells"))) >= 4))
+    return elements.where(F.coalesce(rich, F.lit(False)))
+
+
+def draft_coverage(items: DataFrame, goals: DataFrame) -> DataFrame:
+    """(book, qtype, have, goal) of drafted questions against goals (book, qtype, goal)."""
+    have = items.groupBy("book", "qtype").agg(F.count("*").alias("have"))
+    return goals.join(have, ["book", "qtype"], "full_outer").select("book", "qtype", F.coalesce("have", F.lit(0)).alias("have"), F.coalesce("goal", F.lit(0)).alias("goal"))
+
+
+def indexed_only(items: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Questions (question_id, documents) all of whose documents are indexed (doc_id)."""
+    missing = items.select("question_id", F.explode("documents").alias("doc_id")).join(indexed, "doc_id", "left_anti").select("question_id").distinct()
+    return items.join(missing, "question_id", "left_anti")
+
+
+def open_cases(cases: DataFrame, writers: DataFrame, done: DataFrame) -> DataFrame:
+    """(case_id, writer) still to judge: every case with every writer, less those that have a judgement. Writers are a handful of names."""
+    judged = done.where("judgement IS NOT NULL").select("case_id", "writer")
+    return cases.select("case_id").crossJoin(F.broadcast(writers.select("writer"))).join(judged, ["case_id", "writer"], "left_anti")
+
+
+def judge_summary(judgements: DataFrame) -> DataFrame:
+    """(writer, cases, mean, major_per_case, seconds) of judgements (writer, scores map, errors array<struct<severity>>, seconds)."""
+    mean = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, v: a + v) / F.size("scores")
+    major = F.size(F.filter("errors", lambda e: e["severity"] == "major"))
+    return judgements.groupBy("writer").agg(F.count("*").alias("cases"), F.round(F.avg(mean), 4).alias("mean"), F.round(F.avg(major), 4).alias("major_per_case"), F.round(F.median("seconds"), 4).alias("seconds"))

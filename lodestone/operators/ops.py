@@ -138,3 +138,14 @@ def library_counts(documents: DataFrame, chunks: DataFrame, collections: list[st
     c = chunks.groupBy("doc_id").agg(*[F.count_if(F.col("collection") == x).alias(x) for x in collections])
     zero = [F.sum(F.coalesce(F.col(x), F.lit(0))).alias(x) for x in collections]
     return documents.join(c, "doc_id", "left").groupBy("source_file").agg(F.count("*").alias("documents"), *zero)
+
+
+def recent_events(auth: DataFrame, users: DataFrame, n: int = 50) -> DataFrame:
+    """The newest n events with the email of their user, or the one tried."""
+    j = auth.join(users.select("user_id", "email"), "user_id", "left").select("event_id", "created_at", "event_type", F.coalesce("email", "email_attempted").alias("email"), "ip")
+    return j.orderBy(F.desc("created_at"), F.desc("event_id")).limit(n)
+
+
+def list_users(users: DataFrame, as_of: str) -> DataFrame:
+    """(email, status, locked, created_at), by email; locked is null where no lock was ever set."""
+    return users.select("email", "status", (F.col("locked_until") > moment(as_of)).alias("locked"), "created_at").orderBy("email")

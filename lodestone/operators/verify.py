@@ -126,3 +126,28 @@ def close_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
     """results (thread_id, call_id, result) and an error for every call (thread_id, call_id) without one."""
     open_ = calls.select("thread_id", "call_id").join(results, ["thread_id", "call_id"], "left_anti")
     return results.select("thread_id", "call_id", "result").union(open_.select("thread_id", "call_id", F.lit('{"error": "no result"}')))
+
+
+def resolve_ids(ids: DataFrame, elements: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, source_file, page, element_id, pos) of ids: elements, chunks (their elements in order), and pages as 'page:file:n'."""
+    w = ids.select("id").distinct()
+    direct = w.join(elements.select(F.col("element_id").alias("id"), "source_file", "page"), "id").select("id", "source_file", "page", F.col("id").alias("element_id"), F.lit(0).alias("pos"))
+    each = w.join(chunks.select(F.col("chunk_id").alias("id"), F.posexplode("element_ids").alias("pos", "element_id")), "id")
+    via = each.join(elements.select("element_id", "source_file", "page"), "element_id").select("id", "source_file", "page", "element_id", "pos")
+    at = w.where(F.col("id").rlike(r"^page:.+:\d+$"))
+    pages = at.select("id", F.regexp_extract("id", r"^page:(.+):\d+$", 1).alias("source_file"), F.regexp_extract("id", r":(\d+)$", 1).cast("int").alias("page")).join(elements.select("source_file", "page").distinct(), ["source_file", "page"])
+    return direct.union(via).union(pages.select("id", "source_file", "page", F.lit(None).cast("string"), F.lit(0)))
+
+
+def result_ids(result: Column) -> Column:
+    """Ids of a search result's hits in their order, from its JSON."""
+    return F.coalesce(F.transform(F.from_json(result, "hits array<struct<id:string>>")["hits"], lambda h: h["id"]), F.array().cast("array<string>"))
+
+
+def next_step(state: DataFrame, most_rounds: int = 4) -> DataFrame:
+    """(question_id, step) of states (question_id, rounds, calls, wants_chart, nudged, failures, repaired): tools, nudge, repair, give_up or finish."""
+    step = (
+        F.when((F.col("calls") > 0) & (F.col("rounds") < most_rounds), "tools").when(F.col("wants_chart") & ~F.col("nudged") & (F.col("rounds") < most_rounds), "nudge")
+        .when((F.col("failures") > 0) & ~F.col("repaired"), "repair").when(F.col("failures") > 0, "give_up").otherwise("finish")
+    )
+    return state.select("question_id", step.alias("step"))

@@ -391,3 +391,64 @@ def test_tools(spark):
     c = tools.Corpus(chunks, el, el, spark.createDataFrame([("e1", "cap")], "element_id string, caption string"), pl, lambda q: [1.0, 0.0, 0.0], {"t1": {"numbers": [2.0]}})
     out = tools.dispatch(c, [("search_text", {"query": "alpha", "k": 1}), ("find_charts", {"conditions": [{"body": "Saturn", "houses": [7]}]}), ("find_charts", {"conditions": []}), ("compute", {"expression": "x*2", "inputs": {"x": {"value": 2.0, "source": "t1"}}}), ("compute", {"expression": "x", "inputs": {"x": {"value": 3.0, "source": "t1"}}}), ("nope", {}), ("view_page", {"source_file": "f.pdf", "page": 3})])
     assert out[0]["rows"][0]["pages"] == [3] and out[1]["rows"][0]["total"] == 1 and "error" in out[2] and out[3]["rows"][0]["value"] == 4.0 and "error" in out[4] and "error" in out[5] and len(out[6]["rows"]) == 1
+
+
+def test_page_regions(spark):
+    t = spark.createDataFrame([("d", 1, "t1", [0.0, 0.0, 10.0, 10.0], True), ("d", 1, "t2", [50.0, 0.0, 90.0, 40.0], False)], "doc_id string, page int, element_id string, bbox array<double>, low_confidence boolean")
+    f = spark.createDataFrame([("d", 1, "f1", [5.0, 5.0, 20.0, 20.0]), ("d", 1, "f2", [55.0, 5.0, 80.0, 30.0])], "doc_id string, page int, element_id string, bbox array<double>")
+    kept, figures = ingest.arbitrate(t, f)
+    assert [r.element_id for r in kept.collect()] == ["t2"] and {r.element_id: r.reject_reason for r in figures.collect()} == {"f1": None, "f2": "table_region"}
+    pages = spark.createDataFrame([("d", 1, 100.0, 200.0)], "doc_id string, page int, width double, height double")
+    d = spark.createDataFrame([("d", 1, 0, [0.0, 0.0, 100.0, 150.0]), ("d", 1, 1, [10.0, 100.0, 90.0, 101.0]), ("d", 1, 2, [10.0, 100.0, 30.0, 130.0])], "doc_id string, page int, no int, bbox array<double>")
+    assert [r.role for r in ingest.drawing_furniture(d, pages).orderBy("no").collect()] == ["background", "rule", None]
+    labels = spark.createDataFrame([("d", 1, [0.0, 40.0, 5.0, 45.0])], "doc_id string, page int, bbox array<double>")
+    regions = spark.createDataFrame([("d", 1, [0.0, 0.0, 20.0, 20.0]), ("d", 1, [0.0, 50.0, 20.0, 60.0]), ("d", 1, [0.0, 150.0, 20.0, 160.0])], "doc_id string, page int, bbox array<double>")
+    assert sorted(r.bbox for r in ingest.grow_regions(regions, labels).collect()) == [[0.0, 0.0, 20.0, 60.0], [0.0, 150.0, 20.0, 160.0]]
+    b = spark.createDataFrame([("d", 1, 0, [[("Long title", 20.0, True), ("x", 9.0, False)], [(" ", 9.0, False)], [("more", 9.0, False)]])], "doc_id string, page int, no int, lines array<array<struct<text:string,size:double,bold:boolean>>>")
+    r = ingest.block_text(b).first()
+    assert (r.text, r.size, r.bold) == ("Long titlex more", 20.0, True)
+
+
+def test_ids_and_steps(spark):
+    el = spark.createDataFrame([("e1", "f.pdf", 3)], "element_id string, source_file string, page int")
+    ch = spark.createDataFrame([("c1", ["e1"])], "chunk_id string, element_ids array<string>")
+    ids = spark.createDataFrame([("e1",), ("c1",), ("page:f.pdf:3",), ("page:f.pdf:9",), ("zz",)], "id string")
+    assert {(r.id, r.page) for r in verify.resolve_ids(ids, el, ch).collect()} == {("e1", 3), ("c1", 3), ("page:f.pdf:3", 3)}
+    assert one(spark, '{"hits": [{"id": "b"}, {"id": "a"}]}', verify.result_ids) == ["b", "a"] and one(spark, "no", verify.result_ids) == []
+    s = spark.createDataFrame([(1, 0, 2, False, False, 0, False), (2, 4, 2, False, False, 1, False), (3, 1, 0, True, False, 0, False), (4, 4, 0, False, False, 1, True), (5, 1, 0, False, False, 0, False)], "question_id int, rounds int, calls int, wants_chart boolean, nudged boolean, failures int, repaired boolean")
+    assert [r.step for r in verify.next_step(s).orderBy("question_id").collect()] == ["tools", "repair", "nudge", "give_up", "finish"]
+
+
+def test_drafts_and_judges(spark):
+    long = "word " * 90
+    e = spark.createDataFrame([("a", "text", long, None), ("b", "text", "short", None), ("c", "figure", "A decorative " + long, None), ("d", "table", None, "1 2 3 4"), ("e", "table", None, "1 1 1 1")], "element_id string, kind string, text string, cells string")
+    assert {r.element_id for r in evaluation.draft_pool(e).collect()} == {"a", "d"}
+    items = spark.createDataFrame([("q1", ["d1"]), ("q2", ["d1", "d2"])], "question_id string, documents array<string>")
+    assert [r.question_id for r in evaluation.indexed_only(items, spark.createDataFrame([("d1",)], "doc_id string")).collect()] == ["q1"]
+    done = spark.createDataFrame([(1, "w", "good"), (2, "w", None)], "case_id int, writer string, judgement string")
+    left = evaluation.open_cases(spark.createDataFrame([(1,), (2,)], "case_id int"), spark.createDataFrame([("w",), ("v",)], "writer string"), done)
+    assert {(r.case_id, r.writer) for r in left.collect()} == {(2, "w"), (1, "v"), (2, "v")}
+    j = spark.createDataFrame([("w", {"a": 4.0, "b": 5.0}, [("major",), ("minor",)], 3.0)], "writer string, scores map<string,double>, errors array<struct<severity:string>>, seconds double")
+    r = evaluation.judge_summary(j).first()
+    assert (r["mean"], r.major_per_case, r.seconds) == (4.5, 1.0, 3.0)
+
+
+def test_fact_claims(spark):
+    p = astro.placements(sky(spark, Lagna=5, Sun=10, Moon=95, Mars=300, Mercury=12, Jupiter=97, Venus=355, Saturn=15))
+    t = spark.createDataFrame([(1, 1, "Sun is exalted. Moon is debilitated. Mars, lord of the 1st, aspects the 2nd. Saturn aspects the 3rd. Mercury is combust. Venus is combust. Sun is the ruler of the 4th house.")], "text_id int, chart_id int, text string")
+    assert {(r.kind, r.body) for r in astro.unfounded_claims(t, p).collect()} == {("dignity", "Moon"), ("combust", "Venus"), ("lord", "Sun")}
+
+
+def test_settings(tmp_path):
+    from lodestone.sources import config
+
+    (tmp_path / "a.json").write_text('{"search": {"k": 8, "mode": "all"}, "x": 1}')
+    (tmp_path / "b.json").write_text('{"extends": "a.json", "search": {"mode": "any"}}')
+    (tmp_path / "c.json").write_text('{"extends": "c.json"}')
+    s = config.load(tmp_path / "b.json")
+    assert s == {"search": {"k": 8, "mode": "any"}, "x": 1} and config.override(s, ["search.k=5"])["search"]["k"] == 5 and s["search"]["k"] == 8
+    for bad in ("search.none=1", "no.k=1", "x"):
+        with pytest.raises(ValueError):
+            config.override(s, [bad])
+    with pytest.raises(ValueError):
+        config.load(tmp_path / "c.json")
