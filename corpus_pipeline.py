@@ -38,8 +38,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as its source's target takes it."""
-    copies = mix_sources(docs).where("copies > 0").select("doc_id", "copies").distinct()
-    joined = docs.select(*COLUMNS).join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).select(*[docs[c] for c in COLUMNS], "copies")
+    copies = mix_sources(docs).where("copies > 0").select("doc_id", "source", "row_key", "copies").distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("row_key"))
+    same = rows["doc_id"].eqNullSafe(copies["doc_id"]) & rows["source"].eqNullSafe(copies["source"]) & (rows["row_key"] == copies["row_key"])
+    joined = rows.join(copies, same).select(*[rows[c] for c in COLUMNS], "copies")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*COLUMNS)
 
 

@@ -41,8 +41,8 @@ def _key() -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, weight: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of each row of docs (doc_id, source, text)."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, row_key (hash of the text), size, source_size, target, copies, taken of each row of docs (doc_id, source, text)."""
+    sized = docs.select("doc_id", "source", F.xxhash64("text").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = materialize(sized.withColumn("weight", (weight if weight is not None else F.log1p("size")).cast("double")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("heft"))
     wanted = water_filled(sums.select("source", "source_size"), weights, most)
@@ -50,7 +50,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     plan = sums.select(_key(), "heft").join(wanted.select("*", _key()).drop("source"), "source_key")
     plan = plan.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("missing", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     plan = materialize(plan)
-    rows = sized.select("doc_id", "source", "size", "weight", _key()).join(plan, "source_key")
+    rows = sized.select("doc_id", "source", "row_key", "size", "weight", _key()).join(plan, "source_key")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.when(F.col("heft") > 0, F.col("missing") * F.col("weight") / F.col("heft")).otherwise(0.5)))
     q = (u / (1 - u)) / (p / (1 - p))
@@ -77,4 +77,4 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     out = rows.drop("cell").withColumnRenamed("fine", "at").join(ends, "source_key", "left")
     taken = (F.col("missing") > 0) & (F.col("size") > 0) & F.coalesce((F.col("at") < F.col("fine")) | ((F.col("at") == F.col("fine")) & (F.col("rank") <= F.col("last_rank"))), F.lit(False))
     out = out.withColumn("copies", (F.col("whole") + taken.cast("int")).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -424,3 +424,12 @@ def test_pipeline(spark, sf):
     odd = docs(spark).select(*columns)
     for name, stage in p.STAGES:
         assert stage(spark, odd, sf).count() > 0 and stage(spark, odd.limit(0), sf).count() == 0
+
+
+def test_pipeline_mix_keeps_rows_without_id_apart(spark, sf):
+    import corpus_pipeline as p
+
+    rows = [(None, "a b c", "en", "x", 5), (None, "d e f g h i", "en", "y", 11), (1, "j k", "en", "x", 3), (1, "l m n o", "en", "x", 7), (2, "p q", "en", None, 3)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [tuple(r) for r in p.mix(spark, docs_, sf).collect()]
+    assert set(out) <= set(rows) and all(out.count(r) <= 3 for r in rows)
