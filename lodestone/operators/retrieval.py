@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +23,40 @@ def _top(scored: DataFrame, n: int, score: str = "score", key: str = "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def semantic_topn(chunks: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the n chunks nearest to each query (query_id, vector) by cosine.
+def semantic_topn(chunks: DataFrame, queries: DataFrame, n: int = 20, block: int = 4096) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the n chunks nearest to each query (query_id, vector) by cosine, 0 for zero vectors.
 
-    The query side is the small one of a search; each chunk partition is scored where it lies and only its best n rows a
-    query travel, as row_number limits are pushed below the exchange.
+    Up to `block` queries go along with the tasks (counted first): each Arrow batch of chunks is one matrix product, and
+    only its best n rows a query leave the task. Beyond that the pairs are joined and scored row by row.
     """
-    scored = chunks.crossJoin(queries.select("query_id", "vector")).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), 9).alias("score"))
-    return _top(scored, n)
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(block + 1).collect()
+    if len(asked) > block or len({len(r["vector"]) for r in asked}) > 1:
+        scored = chunks.crossJoin(queries.select("query_id", "vector")).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), 9).alias("score"))
+        return _top(scored, n)
+    ids, q = [r["query_id"] for r in asked], np.array([r["vector"] for r in asked], np.float64)
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double"
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def run(frames):
+        by = unit(q) if len(ids) else q
+        for pdf in frames:
+            if not len(ids) or not len(pdf):
+                continue
+            scores = np.round(unit(np.array(pdf["embedding"].tolist(), np.float64)) @ by.T, 9)
+            keys, out = pdf["chunk_id"].to_numpy(), []
+            for k, name in enumerate(ids):
+                s = scores[:, k]
+                cut = np.partition(s, len(s) - n)[len(s) - n] if len(s) > n else -2.0
+                at = np.flatnonzero(s >= cut)
+                at = at[np.lexsort((keys[at], -s[at]))[:n]]
+                out.append(pd.DataFrame({"query_id": name, "chunk_id": keys[at], "score": s[at]}))
+            yield pd.concat(out)
+
+    vectors = chunks.where("embedding IS NOT NULL").select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return _top(vectors.mapInPandas(run, kinds), n)
 
 
 def postings(chunks: DataFrame) -> DataFrame:
