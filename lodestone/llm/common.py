@@ -7,7 +7,6 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -85,7 +84,3 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 def gaps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
-
-def fresh(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that others cannot clash with those an operator adds."""
-    return df.select(*[F.col(n) for n in names])

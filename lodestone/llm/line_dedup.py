@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, materialize, pack, unpack
 
-HOT = 4096
 BLANK = " \t\r\x0b\x0c"
 
 
@@ -158,7 +157,7 @@ def _sender(differ: int, near: int, buckets: int, rows: int = 400_000):
     return run
 
 
-def _pairer():
+def _pairer(most: int):
     """Of a bucket: pairs of lines that share a key, and the lines of keys that too many share (b null, key set)."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -178,7 +177,7 @@ def _pairer():
         for r in several:
             a, b = edge[r], edge[r + 1]
             index, probe = np.unique(h[a:b][p[a:b] == 1]), np.unique(h[a:b][p[a:b] == 0])
-            if len(index) * len(probe) > HOT:
+            if len(index) * len(probe) > most:
                 lines = np.unique(h[a:b])
                 hot_k.append(np.full(len(lines), k[a]))
                 hot_h.append(lines)
@@ -237,11 +236,11 @@ def _tile(differ: int):
     return run
 
 
-def near_lines(docs: DataFrame, differ: int = 2, near: int = 20, block: int = 512) -> DataFrame:
-    """(a, b): hashes of distinct lines at most `differ` edits apart, each pair once."""
+def near_lines(docs: DataFrame, differ: int = 2, near: int = 20, block: int = 512, most: int = 4096) -> DataFrame:
+    """(a, b): hashes of distinct lines at most `differ` edits apart, each pair once. Keys of more than `most` candidates go to tiles of `block` lines a side."""
     buckets = bucket_count(docs)
     sent = docs.select("text").mapInArrow(_sender(differ, near, buckets), "bucket int, blob binary")
-    found = materialize(sent.groupBy("bucket").applyInPandas(_pairer(), "a long, b long, hot boolean"))
+    found = materialize(sent.groupBy("bucket").applyInPandas(_pairer(most), "a long, b long, hot boolean"))
     pairs, hot = found.where("NOT hot").select("a", "b").distinct(), found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("h")).distinct()
     wanted = found.select(F.col("a").alias("h")).union(found.where("NOT hot").select(F.col("b").alias("h"))).distinct()
     texts = materialize(_texts(docs, wanted, near))
@@ -255,7 +254,7 @@ def near_lines(docs: DataFrame, differ: int = 2, near: int = 20, block: int = 51
     return out
 
 
-def _cleaner(at: dict[str, int], schema):
+def _cleaner(at: dict[str, int]):
     def run(batches):
         for batch in batches:
             texts, gone = batch.column(at["text"]), batch.column(at["gone_lines"])
@@ -273,10 +272,10 @@ def _cleaner(at: dict[str, int], schema):
     return run
 
 
-def line_dedup(docs: DataFrame, differ: int = 2, least: int = 8, near: int = 20) -> DataFrame:
+def line_dedup(docs: DataFrame, differ: int = 2, least: int = 8, near: int = 20, most: int = 4096) -> DataFrame:
     """(doc_id, row_key, text, n_lines_gone): the text of each row of docs (doc_id, text) without repeated lines."""
     docs = docs.select("doc_id", "text")
-    links = materialize(near_lines(docs, differ, near))
+    links = materialize(near_lines(docs, differ, near, most=most))
     lines = _occurrences(docs, least)
     first = materialize(lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
     both = links.union(links.select("b", "a")).toDF("h", "other")
@@ -290,4 +289,4 @@ def line_dedup(docs: DataFrame, differ: int = 2, least: int = 8, near: int = 20)
     keyed = gone.select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("k1"), "row_key", "gone_lines")
     joined = rows.withColumn("k0", F.coalesce("doc_id", F.lit(0))).withColumn("k1", F.col("doc_id").isNull()).join(keyed.hint("shuffle_hash"), ["k0", "k1", "row_key"], "left").select("doc_id", "row_key", "text", "gone_lines")
     at = {"doc_id": 0, "row_key": 1, "text": 2, "gone_lines": 3}
-    return joined.mapInArrow(_cleaner(at, None), "doc_id long, row_key long, text string, n_lines_gone long")
+    return joined.mapInArrow(_cleaner(at), "doc_id long, row_key long, text string, n_lines_gone long")

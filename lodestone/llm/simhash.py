@@ -78,11 +78,8 @@ def _keys(differ: int):
 def _within(a: np.ndarray, b: np.ndarray, differ: int) -> np.ndarray:
     """The pairs of a and b that the count filter and then the exact check keep: positions in a, in b."""
     x = a[:, None] ^ b[None, :]
-    tally = (x[..., None].view(np.uint8) == 0).sum(-1) if x.size <= 1 << 20 else None
-    near = np.bitwise_count(x) <= differ
-    if tally is not None:
-        near &= tally >= 8 - differ
-    return np.nonzero(near)
+    tally = (x[..., None].view(np.uint8) == 0).sum(-1)
+    return np.nonzero((tally >= 8 - differ) & (np.bitwise_count(x) <= differ))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -259,18 +259,10 @@ def lines_brute(rows, differ=2, least=8, near=20):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_line_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize("most", [4096, 3])
+def test_line_dedup(spark, most):
     from lodestone.llm import line_dedup as m
 
-    if hot != 4096:
-        fixed = m._pairer
-
-        def low():
-            m.HOT = hot
-            return fixed()
-
-        monkeypatch.setattr(m, "HOT", hot)
     rng = np.random.default_rng(2)
     base = ["".join(rng.choice(list("abcdefgh "), rng.integers(18, 40))) for _ in range(12)]
     rows = []
@@ -284,7 +276,7 @@ def test_line_dedup(spark, monkeypatch, hot):
             lines.append("".join(x))
         rows.append((i, "\n".join([*lines, "ok", ""])))
     rows += [r for r in TEXTS if r[0] != 6]
-    got = sorted(((r.doc_id, r.text) for r in m.line_dedup(docs(spark, rows)).collect()), key=repr)
+    got = sorted(((r.doc_id, r.text) for r in m.line_dedup(docs(spark, rows), most=most).collect()), key=repr)
     assert got == lines_brute(rows)
     assert m.line_dedup(empty(spark)).collect() == []
 
