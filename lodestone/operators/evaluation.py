@@ -210,3 +210,18 @@ def judge_summary(judgements: DataFrame) -> DataFrame:
     mean = F.aggregate(F.map_values("scores"), F.lit(0.0), lambda a, v: a + v) / F.size("scores")
     major = F.size(F.filter("errors", lambda e: e["severity"] == "major"))
     return judgements.groupBy("writer").agg(F.count("*").alias("cases"), F.round(F.avg(mean), 4).alias("mean"), F.round(F.avg(major), 4).alias("major_per_case"), F.round(F.median("seconds"), 4).alias("seconds"))
+
+
+def benchmark_report(rows: DataFrame) -> DataFrame:
+    """(grouping, name, answers, error_free, per_answer, per_100) of rows (task, stage, flags, errors, sentences): all, by task, stage and flag, in one pass."""
+    tags = F.concat(F.array(F.struct(F.lit("all").alias("grouping"), F.lit("all").alias("name")), F.struct(F.lit("task").alias("grouping"), F.col("task").alias("name")), F.struct(F.lit("stage").alias("grouping"), F.col("stage").alias("name"))), F.transform("flags", lambda f: F.struct(F.lit("flag").alias("grouping"), f.alias("name"))))
+    each = rows.select("errors", "sentences", F.explode(tags).alias("t")).select("errors", "sentences", "t.*")
+    return each.groupBy("grouping", "name").agg(F.count("*").alias("answers"), F.round(F.avg((F.col("errors") == 0).cast("int")), 4).alias("error_free"), F.round(F.avg("errors"), 4).alias("per_answer"), F.round(100 * F.sum("errors") / F.sum("sentences"), 4).alias("per_100"))
+
+
+def error_categories(problems: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """(category, n) of problems (problem): the first pattern that matches names it, else other."""
+    kind = F.lit("other")
+    for name, pattern in reversed(patterns):
+        kind = F.when(F.col("problem").rlike(pattern), name).otherwise(kind)
+    return problems.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))

@@ -452,3 +452,19 @@ def test_settings(tmp_path):
             config.override(s, [bad])
     with pytest.raises(ValueError):
         config.load(tmp_path / "c.json")
+
+
+def test_pronouns_and_factors(spark):
+    from lodestone.operators import reading
+
+    assert one(spark, "Mercury governs speech. It is debilitated. It is aspected by Jupiter. It notes this.", reading.resolve_pronouns) == "Mercury governs speech. Mercury is debilitated. Mercury is aspected by Jupiter. It notes this."
+    assert one(spark, "It is so. Mars rules.\nIt ends.", reading.resolve_pronouns) == "It is so. Mars rules.\nIt ends."
+    p = astro.placements(sky(spark, Lagna=5, Sun=10, Moon=95, Mars=300, Mercury=12, Jupiter=97, Venus=355, Saturn=15))
+    got = {(r.kind, r.text) for r in reading.key_factors(p).collect()}
+    assert {("strength", "Sun is exalted in Aries, in the 1st house"), ("strength", "Saturn is debilitated in Aries, but the debility is cancelled"), ("challenge", "Mercury is combust"), ("strength", "Gajakesari: Jupiter")} <= got
+    assert one(spark, "When will I get a job, and am I ... my death?", reading.question_kinds) == ["personal", "career", "death"]
+    rows = spark.createDataFrame([("reading", "adult", ["retrograde"], 0, 10), ("question", "adult", [], 2, 10)], "task string, stage string, flags array<string>, errors int, sentences int")
+    r = {(x.grouping, x.name): x for x in evaluation.benchmark_report(rows).collect()}
+    assert r[("all", "all")].per_100 == 10.0 and r[("flag", "retrograde")].error_free == 1.0 and r[("stage", "adult")].answers == 2
+    c = evaluation.error_categories(spark.createDataFrame([("wrong house",), ("bad",)], "problem string"), [("house", "house")])
+    assert {(x.category, x.n) for x in c.collect()} == {("house", 1), ("other", 1)}
