@@ -89,15 +89,24 @@ def _cells(levels: dict[int, int], seed: int):
     return run
 
 
-def collisions(pa_: np.ndarray, pb: np.ndarray, w: float) -> np.ndarray:
-    """Count, for each query (row of pa_) and each row of pb, of the projections on which the row is in the query's window."""
-    count = np.zeros((len(pa_), len(pb)), np.uint8)
-    for k in range(pa_.shape[1]):
-        order = np.argsort(pb[:, k])
-        line = pb[order, k]
-        lo, hi = np.searchsorted(line, pa_[:, k] - w, "left"), np.searchsorted(line, pa_[:, k] + w, "right")
-        for q in range(len(pa_)):
-            count[q, order[lo[q] : hi[q]]] += 1
+def ranked(z: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each projection (column) sorted, and the rank of every row in it."""
+    kind, out = np.uint16 if len(z) < 1 << 16 else np.uint32, []
+    for col in z.T:
+        order = np.argsort(col)
+        rank = np.empty(len(z), kind)
+        rank[order] = np.arange(len(z), dtype=kind)
+        out.append((col[order], rank))
+    return out
+
+
+def collisions(queries: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], w: float, since: int = 0) -> np.ndarray:
+    """Count, for each query (row of projections) and each ranked row from `since` on, of the projections on which the row is in the query's window."""
+    count = np.zeros((len(queries), len(rows[0][1]) - since), np.uint8)
+    for q, (line, rank) in zip(queries.T, rows):
+        lo, hi = np.searchsorted(line, q - w, "left").astype(rank.dtype), np.searchsorted(line, q + w, "right").astype(rank.dtype)
+        # in the window: lo <= rank < hi, as one comparison of differences that wrap around below lo
+        count += rank[None, since:] - lo[:, None] < (hi - lo)[:, None]
     return count
 
 
@@ -107,17 +116,19 @@ def _tile(threshold: float, m: int, recall: float, seed: int):
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         table, i, j = int(key[1]), key[4], key[5]
         d = int(key[3])
+        pdf = pdf.sort_values("rep")
         a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
         xa, xb = (np.frombuffer(b"".join(s["x"]), np.float64).reshape(len(s), d) for s in (a, b))
         ra, rb = a["rep"].to_numpy(np.int64), b["rep"].to_numpy(np.int64)
         na, nb = a["copies"].to_numpy(np.int64), b["copies"].to_numpy(np.int64)
         ca, cb = (np.array(s["cells"].tolist(), np.int64).reshape(len(s), -1) for s in (a, b))
         z = directions(d, m, seed)
-        za, zb = xa @ z, xb @ z
+        za, rows = xa @ z, ranked(xb @ z)
         links_a, links_b, us, vs = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), [], []
         for s in range(0, len(a), 256):
-            q, c = np.nonzero(collisions(za[s : s + 256], zb, w) >= least)
-            q += s
+            since = s if i == j else 0  # within a block, pairs with earlier vectors have had their turn
+            q, c = np.nonzero(collisions(za[s : s + 256], rows, w, since) >= least)
+            q, c = q + s, c + since
             keep = ra[q] < rb[c] if i == j else ra[q] != rb[c]
             q, c = q[keep], c[keep]
             cos = np.einsum("ij,ij->i", xa[q], xb[c]) if len(q) <= 1 << 18 else np.concatenate([np.einsum("ij,ij->i", xa[q[t : t + (1 << 18)]], xb[c[t : t + (1 << 18)]]) for t in range(0, len(q), 1 << 18)])
