@@ -27,14 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it again: the work is done once, its lineage ends and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> bool:
+    """Deletes what materialize() wrote for this application; results not yet read are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Spark's own estimate of the size of df, from its files; 0 where it has none."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -425,3 +425,54 @@ def test_pipeline_mix_keeps_rows_without_id_apart(spark, sf):
     docs_ = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = [tuple(r) for r in p.mix(spark, docs_, sf).collect()]
     assert set(out) <= set(rows) and all(out.count(r) <= 3 for r in rows)
+
+
+def test_materialized_tables_can_be_cleaned(spark):
+    from lodestone.llm.common import clean, materialize
+
+    df = materialize(spark.range(3).toDF("x"))
+    assert df.count() == 3 and clean(spark) and not clean(spark)
+
+
+def test_token_ids_equal_the_tokenizers_form():
+    import public_tokenizers
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.packing import Coder
+
+    tok, code = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), Coder(q.ranks_path())
+    tok.encode_special_tokens = True
+    some = st.text(alphabet=st.sampled_from(list("aB1é中 \n\t.'sʼ’ \u0085  \x1c\x00<|>endoftx")), max_size=40)
+
+    @settings(max_examples=600, deadline=None)
+    @given(some | st.text(max_size=30))
+    def same(text):
+        assert np.frombuffer(code.ids(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+    same()
+    assert np.frombuffer(code.ids("x <|endoftext|> y"), "<u4").tolist() == tok.encode("x <|endoftext|> y", add_special_tokens=False).ids
+
+
+def test_word_windows_against_plain_hashes():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    from lodestone.llm import substring_dedup as m
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(alphabet=st.sampled_from(list("ab é\n ")), max_size=30), min_size=1, max_size=4))
+    def same(texts):
+        data = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, data)])
+        starts, ends, first = m.words_of(np.frombuffer(b"".join(data), np.uint8), offsets)
+        want = [w for d in data for w in d.split()]
+        assert [b"".join(data)[a:b] for a, b in zip(starts, ends)] == want and np.diff(first).tolist() == [len(d.split()) for d in data]
+        h = m.word_hashes(np.frombuffer(b"".join(data), np.uint8), starts, ends)
+        assert len(set(h.tolist())) == len(set(want)) and all(len({h[i] for i in range(len(want)) if want[i] == w}) == 1 for w in set(want))
+        g = m.window_hashes(h, 2)
+        grams = [tuple(want[i : i + 2]) for i in range(len(want) - 1)]
+        assert len(g) == len(grams) and len(set(g.tolist())) == len(set(grams))
+
+    same()
