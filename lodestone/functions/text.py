@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The form of an id, of a number in prose, and phrases of refusal.
 ID = r"[\w-]+(?::[\w-]+)+"
+NUMBER = r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?(?:\s*%)?"
 REFUSAL = r"(?i)\b(not (?:found|contained|mentioned|covered|available|stated)|no (?:information|evidence|mention)|do(?:es)? not (?:contain|mention|say|cover)|cannot be answered|could not find)\b"
 
 
@@ -25,7 +27,7 @@ def tokens(c: Column) -> Column:
 
 def numbers_in(c: Column) -> Column:
     """Distinct numbers written in a text, ascending; a percentage also as its fraction."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?(?:\s*%)?"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NUMBER), F.lit(0))
 
     def values(x: Column) -> Column:
         v = F.regexp_replace(x, r"[,%\s]", "").cast("double")

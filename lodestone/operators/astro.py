@@ -50,6 +50,7 @@ def is_kendra(house: Column) -> Column:
     return house.isin(1, 4, 7, 10)
 
 
+# The coefficients of the two polynomials below (IAU 1976 precession; mean lunar node).
 def ayanamsa(jd: Column) -> Column:
     """Mean Lahiri value in degrees: a fixed value at 1956-03-21 and IAU 1976 precession since."""
     t = (jd - 2451545.0) / 36525

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.numeric import cosine
 from ..functions.text import collapse
 
+# Phrases by which a paragraph points to a figure or table near it.
 VISUAL = r"(?:diagram|figure|chart|table|graph|picture|illustration|image)"
 BELOW = rf"(?i)\b(?:{VISUAL}\s+below|(?:shown|illustrated|seen|pictured)\s+below|(?:the\s+)?following\s+{VISUAL}|below\s*:)"
 ABOVE = rf"(?i)\b(?:{VISUAL}\s+above|(?:shown|illustrated|seen|pictured)\s+above|(?:the\s+)?(?:previous|preceding)\s+{VISUAL})"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import exclusive_quantile, near_metric
 from ..functions.text import is_refusal, numbers_in
 
+# Metrics that must be perfect, and those held against a baseline.
 PERFECT = ("chart_numeric", "refusal")
 GATED = ("faithfulness", "multimodal_faithfulness", "response_relevancy", "context_precision", "context_recall", "factual_correctness", "tool_call_accuracy", "figure_hit", "citation_accuracy")
 
