@@ -16,6 +16,8 @@ rows of one doc_id tie where equal lines have the same number; row order and oth
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -121,16 +123,16 @@ def _sender(differ: int, near: int, buckets: int, rows: int = 400_000):
 
     def run(batches):
         seen: set = set()
-        keys, of, kind = [], [], []
+        keys, of, kind = array("Q"), array("Q"), array("B")
 
         def flush():
-            k, h, p = np.array(keys, np.uint64), np.array(of, np.uint64), np.array(kind, np.uint8)
+            k, h, p = np.array(keys), np.array(of), np.array(kind)
             order = np.argsort(k)
             k, h, p = k[order], h[order], p[order]
             cut = np.searchsorted(k >> shift, np.arange(buckets + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
             blobs = [pack(np.diff(k[cut[i] : cut[i + 1]], prepend=np.uint64(0)), h[cut[i] : cut[i + 1]], p[cut[i] : cut[i + 1]]) for i in full]
-            keys.clear(), of.clear(), kind.clear()
+            del keys[:], of[:], kind[:]
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
@@ -144,12 +146,12 @@ def _sender(differ: int, near: int, buckets: int, rows: int = 400_000):
                         continue
                     seen.add(h)
                     index, probes = keys_of(line, differ)
-                    keys += index + probes
-                    of += [h] * (len(index) + len(probes))
-                    kind += [1] * len(index) + [0] * len(probes)
+                    keys.extend(index + probes)
+                    of.extend([h] * (len(index) + len(probes)))
+                    kind.extend([1] * len(index) + [0] * len(probes))
                     if len(keys) > rows:
                         yield flush()
-                        if len(seen) > 500_000:
+                        if len(seen) > 100_000:
                             seen.clear()
         if keys:
             yield flush()

@@ -16,8 +16,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +65,7 @@ class Lexicon(dict):
         self.stems = stems
 
     def __missing__(self, raw: str) -> float:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         w = raw.strip(STRIP)
         out = next((self.stems[f] for f in features(w) if f in self.stems), 0.0)
@@ -167,9 +169,10 @@ def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], tuple[float,
     shared = spark.sparkContext.broadcast(lexicon)  # at most `stems` entries
 
     @F.pandas_udf("double")
-    def weight(text):
+    def weight(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lex = Lexicon(shared.value)
-        return text.fillna("").map(lambda t: document_weight(t, lex)).astype("float64")
+        for text in texts:
+            yield pd.Series([document_weight(t or "", lex) for t in text], dtype="float64")
 
     w = F.col("weight")
     return docs.withColumn("weight", weight(F.col("text"))).withColumn("score", F.when(F.lit(not lexicon), 0.0).otherwise(1 / (1 + F.exp(-(a + b * F.log1p(w))))))
