@@ -1,0 +1,155 @@
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, exact shingle sets decide.
+
+A text's set holds its runs of `width` words (A-Z lower-cased, split at ASCII space; a text of fewer words is one run).
+Pairs are linked if their sets have a similarity of `similarity` or more. Candidates share one of BANDS keys of ROWS
+minima each; a pair at 0.8 misses all of them with a probability of (1 - 0.8 ** 5) ** 32 = 3e-6, closer ones with less.
+SimHash bits do not serve at this bound: pairs at 0.8 differ in about ten of 64 bits, far more than a posting key of
+whole bytes can guarantee to find.
+
+Equal word sequences are one node. Each key first links its nodes to its least one; pairs of a key that are then still
+in different components are verified in full, so a large group of copies costs its size and not its square.
+
+Defined results: null and empty texts are one node; a row without doc_id has no part in it; rows of one doc_id are judged
+by their texts, each by itself.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize, mix, text_of
+from .components import connected_components
+from .substring_dedup import BATCH_BYTES, powers, window_hashes, word_hashes, words_of
+
+BANDS, ROWS = 32, 5
+_rng = np.random.Generator(np.random.PCG64(10))
+FLIP = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+ODD = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def minima(shingles: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    """The least value of each of BANDS * ROWS hash functions over the shingles."""
+    h, out = (shingles >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(h), chunk):
+        x = h[a : a + chunk] ^ FLIP
+        x *= ODD
+        np.minimum(out, x.min(1), out=out)
+    return out
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key a band from rows of minima; keys of different bands differ."""
+    out = np.broadcast_to(mix(np.arange(1, BANDS + 1, dtype=np.uint64)), (len(least), BANDS)).copy()
+    for column in np.moveaxis(least.reshape(-1, BANDS, ROWS), 2, 0):
+        out = mix(out ^ column)
+    return out
+
+
+def _parts(batch: pa.RecordBatch):
+    """Slices of the batch of about BATCH_BYTES of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def _hashed(part: pa.RecordBatch, width: int):
+    """Hash of each text's words, window hashes of all words, first word of each text (one more at the end), word hashes."""
+    data, offsets = text_of(part)
+    data = LOWER[data]
+    starts, ends, first = words_of(data, offsets)
+    words = word_hashes(data, starts, ends)
+    up, down = powers("word", len(words) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)])
+    node = mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64))
+    return node, window_hashes(words, width), first
+
+
+def _set(node: int, windows: np.ndarray, a: int, b: int, width: int) -> np.ndarray:
+    """Distinct shingles of words a to b; a text of at most `width` words has one, that of all its words."""
+    return np.unique(windows[a : b - width + 1]) if b - a > width else np.array([node], np.uint64)
+
+
+def _sketcher(width: int):
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                node, windows, first = _hashed(part, width)
+                n, least = np.empty(len(node), np.int32), np.empty((len(node), BANDS * ROWS), np.uint32)
+                for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+                    s = _set(node[i], windows, a, b, width)
+                    n[i], least[i] = len(s), minima(s)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), pa.array(band_keys(least).ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node.view(np.int64)), pa.array(n), keys], ["doc_id", "row_key", "node", "n", "keys"])
+
+    return run
+
+
+def _namer(width: int):
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                node, _, _ = _hashed(part, width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), part.column(1)], ["doc_id", "node", "text"])
+
+    return run
+
+
+def _setter(width: int):
+    def run(batches):
+        for batch in batches:
+            for part in _parts(batch):
+                node, windows, first = _hashed(part, width)
+                sets = [_set(node[i], windows, a, b, width) for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist()))]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
+
+    return run
+
+
+def _alike(x: str, y: str, similarity: float):
+    """Whether the sizes x and y of two sets allow the similarity."""
+    return F.least(x, y) + 1e-9 >= similarity * F.greatest(x, y)
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, row_key, component_id) of every row of docs (doc_id, text) with a doc_id: the smallest doc_id reachable by links; row_key is xxhash64 of the text."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").where("doc_id IS NOT NULL")
+    rows = materialize(docs.mapInArrow(_sketcher(width), "doc_id long, row_key long, node long, n int, keys array<long>"))
+    nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    posts = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = posts.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("held")).where("held > 1").drop("held")
+    met = materialize(posts.join(shared, "key"))
+
+    sizes = nodes.select(F.col("node").alias("lead"), F.col("n").alias("m"))
+    star = materialize(met.where("node <> lead").select("node", "n", "lead").distinct().join(sizes, "lead").where(_alike("n", "m", similarity)).select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    # texts of nodes that meet others: of each node the row of its first document
+    wanted = met.select("node").distinct().join(nodes.select("node", "first_id"), "node").select("node", F.col("first_id").alias("doc_id"))
+    texts = docs.select("doc_id", "text").mapInArrow(_namer(width), "doc_id long, node long, text string")
+    found = texts.join(wanted.hint("shuffle_hash"), ["doc_id", "node"], "left_semi").select("node", "text")
+    sets = materialize(found.mapInArrow(_setter(width), "node long, shingles array<long>").dropDuplicates(["node"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        return both.where(common + 1e-9 >= similarity * (F.size("set_a") + F.size("set_b") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    edges = materialize(verified(star))
+    linked = materialize(connected_components(edges))
+    # what a key still holds in different components, each pair of nodes once
+    apart = materialize(met.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")))
+    split = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    left = materialize(apart.join(split, "key", "left_semi"))
+    other = left.toDF("key", "b", "m", "other")
+    pairs = left.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & _alike("n", "m", similarity)).select("a", "b").distinct()
+    more = materialize(verified(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti")))
+    if not more.isEmpty():
+        linked = connected_components(edges.union(more))
+    of = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "first_id")
+    named = of.join(of.groupBy("component").agg(F.min("first_id").alias("component_id")), "component").select("node", "component_id")
+    return rows.select("doc_id", "row_key", "node").join(named, "node").select("doc_id", "row_key", "component_id")

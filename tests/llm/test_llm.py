@@ -390,6 +390,51 @@ def test_simhash_table(spark, sf):
     assert got == {i: (f"{fp[i]:016x}", of[i]) for i in fp}
 
 
+def shingles_brute(text, width=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def copies_brute(rows, similarity=0.8):
+    """The rows that stay: those of the smallest doc_id of each group of similar texts, and those without one."""
+    texts = sorted({(t or "") for i, t in rows if i is not None})
+    sets = [shingles_brute(t) for t in texts]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    of, least = components(range(len(texts)), pairs), {}
+    for i, t in rows:
+        if i is not None:
+            c = of[texts.index(t or "")]
+            least[c] = min(least.get(c, i), i)
+    return sorted(((i, t) for i, t in rows if i is None or least[of[texts.index(t or "")]] == i), key=repr)
+
+
+def edited(words, spots):
+    return " ".join(f"new{i}" if i in spots else w for i, w in enumerate(words))
+
+
+def test_pipeline_drops_copies_at_similarity(spark, sf):
+    import corpus_pipeline as p
+
+    rng, rows = np.random.default_rng(7), [r for r in TEXTS if r[0] != 6]
+    for k in range(60):  # originals with a copy of 1 to 4 edited words: similarities from 0.6 to 0.98, on both sides of the bound
+        words = [f"v{k}x{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 220)))]
+        rows += [(1000 + 3 * k, " ".join(words)), (1001 + 3 * k, edited(words, set(rng.choice(len(words), 1 + k % 4, replace=False).tolist())).upper())]
+    words = [f"c{x}" for x in range(200)]
+    rows += [(2000 + k, edited(words, set(range(5 * k, 5 * k + 4)))) for k in range(12)] + [(None, " ".join(words)), (2100, "a b"), (2101, "A  b"), (2102, "a c"), (2103, ""), (2104, None)]
+    df = docs(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = sorted(((r.doc_id, r.text) for r in p.drop_copies(spark, df.repartition(3), sf).collect()), key=repr)
+    want = copies_brute(rows)
+    assert got == want and 20 < len(want) < len(rows) - 40
+
+
+def test_pipeline_drops_copies_of_table(spark, sf):
+    import corpus_pipeline as p
+
+    df = table(spark, sf, "documents")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted(((r.doc_id, r.text) for r in p.drop_copies(spark, df, sf).collect()), key=repr) == copies_brute(rows)
+
+
 def test_components(spark):
     from lodestone.llm.components import connected_components
 
