@@ -91,11 +91,11 @@ def features(word: str) -> list[str]:
 
 def document_weight(text: str, lexicon: Lexicon) -> float:
     """The sum over clauses that hold an insult or a threat."""
-    low = text.lower()
-    words = low.split()
-    if not any(map(lexicon.__getitem__, words)) and THREAT.isdisjoint(words):
+    clauses = [c.split() for c in CLAUSE.split(text.lower())]
+    # quick exit: no word weighs, split and stripped as the grammar has them
+    if not any(any(map(lexicon.__getitem__, c)) or not THREAT.isdisjoint([w.strip(STRIP) for w in c]) for c in clauses):
         return 0.0
-    return sum(clause_weight([lexicon.symbol(w) for w in c.split()]) for c in CLAUSE.split(low) if c)
+    return sum(clause_weight([lexicon.symbol(w) for w in c]) for c in clauses)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -223,6 +223,15 @@ def test_grammar_scores_clauses_not_words():
     assert denied < plain < aimed and told < aimed and document_weight("I will kill you", lex) > 0 == document_weight("kill time", lex)
 
 
+def test_grammar_sees_words_behind_marks():
+    from lodestone.llm.toxicity import CLAUSE, Lexicon, clause_weight, document_weight
+
+    lex = Lexicon({"idiot": 4.0})
+    for t in ("*kill* you", "(kill) you", "I will kill, you", "Hey!idiot", "that.idiot", "calm words", "", "!?"):
+        assert document_weight(t, lex) == sum(clause_weight([lex.symbol(w) for w in c.split()]) for c in CLAUSE.split(t.lower()))
+        assert (document_weight(t, lex) > 0) == ("kill" in t or "idiot" in t)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
