@@ -42,7 +42,8 @@ def node_of(url: Column) -> Column:
 
 def _links(url: Column, html: Column) -> Column:
     """Addresses that a page names as its own: canonical links and refresh redirects, made absolute."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]{0,2000}?\brel\s*=\s*[\"']?canonical\b[^>]{0,2000}>|<meta\b[^>]{0,2000}?\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]{0,2000}>)"), F.lit(1))
+    whole = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta)\b[^>]*+>)"), F.lit(1))
+    tags = F.filter(whole, lambda t: t.rlike(r"(?is)\A(?:<link\b.*?\brel\s*=\s*[\"']?canonical\b|<meta\b.*?\bhttp-equiv\s*=\s*[\"']?refresh\b)"))
     named = F.transform(tags, lambda t: F.trim(F.regexp_extract(t, r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*[\"']?)([^\"'\s>]+)", 1)))
     scheme, top = F.regexp_extract(url, r"\A([^:/?#]*)://", 1), F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*(?:[^?#]*/)?)", 1)

@@ -195,6 +195,18 @@ def test_url_filter(spark):
     assert url_filter(df.limit(0), q.RULES).collect() == []
 
 
+def test_url_filter_reads_tags_of_any_length(spark):
+    from lodestone.llm.url_filter import url_filter
+
+    long, to = "x" * 5000, "http://example.org/es/x"
+    rows = [
+        (1, "http://one.net/", f'<link data-x="{long}" rel="canonical" href="{to}">'), (2, "http://two.net/", f'<link rel="canonical" href="{to}" data-x="{long}">'),
+        (3, "http://three.net/", f'<meta content="0; url={to}" data-x="{long}" http-equiv="refresh">'), (4, "http://four.net/", f'<link rel="icon" href="{to}"><meta name="refresh" content="url={to}"><link rel="canonical" href="/own">'),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter(df, q.RULES).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_toxicity(spark, sf):
     from lodestone.llm.toxicity import toxicity
 
