@@ -2,9 +2,10 @@
 
 Lines within `differ` edits of each other share one of `differ` + 1 segments of the shorter line, at a place that the
 lengths bound. Each distinct line indexes its segments and probes the substrings that lines of its length and of up to
-`differ` fewer characters could have as segments; keys meet in hash buckets as compressed arrays. Candidates that share a
-key are verified by banded bit-parallel edit distance on their texts. A key that very many lines share is not paired
-out: its lines are dealt to tiles of block pairs, which verify in place and give only what holds.
+`differ` fewer characters could have as segments; keys meet in hash buckets as compressed arrays. The lines of a
+key that several share are verified by banded bit-parallel edit distance on their texts, in the order of their first
+places: what leaves is whether a line has an earlier neighbour, one row a line, never pairs. A key that very many lines
+share is dealt to blocks; only lines that find no earlier neighbour in their own block are sent to the others.
 
 A line goes if an equal line, or one within `differ` edits, starts earlier (smaller doc_id, or the same and an earlier
 line); lines are judged on the input. Lines under `least` characters (spaces around them aside) always stay, those
@@ -159,42 +160,23 @@ def _sender(differ: int, near: int, buckets: int, rows: int = 400_000):
     return run
 
 
-def _pairer(most: int):
-    """Of a bucket: pairs of lines that share a key, and the lines of keys that too many share (b null, key set)."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ks, hs, ps = [], [], []
-        for blob in pdf["blob"]:
-            d, h, p = unpack(blob, np.uint64, np.uint64, np.uint8)
-            ks.append(np.cumsum(d, dtype=np.uint64))
-            hs.append(h)
-            ps.append(p)
-        k, h, p = np.concatenate(ks), np.concatenate(hs), np.concatenate(ps)
-        order = np.lexsort((h, k))
-        k, h, p = k[order], h[order], p[order]
-        edge = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-        # runs that hold more than one line
-        several = np.flatnonzero(h[edge[:-1]] != h[edge[1:] - 1])
-        out_a, out_b, hot_k, hot_h = [], [], [], []
-        for r in several:
-            a, b = edge[r], edge[r + 1]
-            index, probe = np.unique(h[a:b][p[a:b] == 1]), np.unique(h[a:b][p[a:b] == 0])
-            if len(index) * len(probe) > most:
-                lines = np.unique(h[a:b])
-                hot_k.append(np.full(len(lines), k[a]))
-                hot_h.append(lines)
-            elif len(index) and len(probe):
-                x, y = np.repeat(probe, len(index)), np.tile(index, len(probe))
-                x, y = x[x != y], y[x != y]
-                out_a.append(np.minimum(x, y))
-                out_b.append(np.maximum(x, y))
-        none = np.zeros(0, np.uint64)
-        a, b = np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
-        pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-        hk, hh = np.concatenate([none, *hot_k]), np.concatenate([none, *hot_h])
-        return pd.DataFrame({"a": np.concatenate([pairs[:, 0], hh]).view(np.int64), "b": np.concatenate([pairs[:, 1], hk]).view(np.int64), "hot": np.r_[np.zeros(len(pairs), bool), np.ones(len(hh), bool)]})
-
-    return run
+def _sharers(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket: the lines of each key that a line indexes and at least one other line has; indexed tells those that index it."""
+    ks, hs, ps = [], [], []
+    for blob in pdf["blob"]:
+        d, h, p = unpack(blob, np.uint64, np.uint64, np.uint8)
+        ks.append(np.cumsum(d, dtype=np.uint64))
+        hs.append(h)
+        ps.append(p)
+    k, h, p = np.concatenate(ks), np.concatenate(hs), np.concatenate(ps)
+    order = np.lexsort((1 - p, h, k))
+    k, h, p = k[order], h[order], p[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+    k, h, p = k[new], h[new], p[new]  # a line once a key, as indexing it if it does
+    run = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
+    use = ((np.bincount(run) > 1) & (np.bincount(run, p) > 0))[run]
+    return pd.DataFrame({"key": k[use].view(np.int64), "h": h[use].view(np.int64), "indexed": p[use] == 1})
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, near: int, small: int = 200_000) -> DataFrame:
@@ -205,55 +187,87 @@ def _texts(docs: DataFrame, wanted: DataFrame, near: int, small: int = 200_000)
     return lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
 
 
-def _verifier(differ: int):
+def _bag(line: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 63, minlength=64).astype(np.int32)
+
+
+def followers(places: list, indexed: list, asks: list, lines: list[str], differ: int) -> list[int]:
+    """Positions of lines that ask and have a near line that starts earlier; of each pair one must index the key they share."""
+    order = sorted(range(len(lines)), key=places.__getitem__)
+    bags, last, out = np.stack([_bag(lines[i]) for i in order]), 0, []
+    can = np.array([indexed[i] for i in order])
+    for at, i in enumerate(order):
+        if not asks[i] or not at:
+            continue
+
+        def near(j: int) -> bool:
+            c = order[j]
+            return places[c] < places[i] and (indexed[c] or indexed[i]) and edit_within(lines[c], lines[i], differ)
+
+        # in a group of copies the line that the one before met is met again
+        if last < at and near(last):
+            out.append(i)
+            continue
+        # an edit changes at most two counts by one
+        close = np.abs(bags[:at] - bags[at]).sum(1) <= 2 * differ
+        found = next((j for j in np.flatnonzero(close if indexed[i] else close & can[:at]).tolist() if near(j)), None)
+        if found is not None:
+            out.append(i)
+            last = found
+    return out
+
+
+def _runs(differ: int):
+    """Of rows (key, block, h, indexed, asks, none, id, pos, line), sorted by key and block: h of lines with an earlier near line in their run."""
+
+    def emit(rows: list):
+        _, _, h, indexed, asks, none, doc, pos, line = zip(*rows)
+        places = list(zip(none, [x or 0 for x in doc], pos))
+        return [h[i] for i in followers(places, indexed, asks, line, differ)]
+
     def run(batches):
+        rows: list = []
         for batch in batches:
-            ok = pa.array([edit_within(x, y, differ) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
-            yield batch.select([0, 1]).filter(ok)
+            out = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if rows and row[:2] != rows[0][:2]:
+                    out += emit(rows)
+                    rows = []
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["h"])
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(emit(rows), pa.int64())], ["h"])
 
     return run
 
 
-def _tile(differ: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["h", "block"])
-        sides = [pdf[pdf["block"] == x] for x in key[1:]]
-        (ha, la), (hb, lb) = [(s["h"].to_numpy(), s["line"].tolist()) for s in sides]
-
-        def bag(lines):
-            out = np.zeros((len(lines), 64), np.int32)
-            for i, x in enumerate(lines):
-                out[i] = np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) & 63, minlength=64)
-            return out
+def _searched(rows: DataFrame, differ: int) -> DataFrame:
+    rows = rows.select("key", "block", "h", "indexed", "asks", F.col("first.none").alias("none"), F.col("first.id").alias("id"), F.col("first.pos").alias("pos"), "line")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_runs(differ), "h long").distinct()
 
-        x, y, us, vs = bag(la), bag(lb), [], []
-        for i in range(len(la)):
-            # an edit changes at most two counts by one
-            for j in np.flatnonzero(np.abs(y - x[i]).sum(1) <= 2 * differ):
-                if ha[i] != hb[j] and edit_within(la[i], lb[j], differ):
-                    us.append(min(ha[i], hb[j]))
-                    vs.append(max(ha[i], hb[j]))
-        return pd.DataFrame({"a": np.array(us, np.int64), "b": np.array(vs, np.int64)}).drop_duplicates()
-
-    return run
 
+def near_followers(docs: DataFrame, first: DataFrame, differ: int = 2, near: int = 20, block: int = 512, block_bytes: int = 16 << 20) -> DataFrame:
+    """(h): hashes of distinct lines that have another line at most `differ` edits apart with an earlier first place. first: (h, first).
 
-def near_lines(docs: DataFrame, differ: int = 2, near: int = 20, block: int = 512, most: int = 4096) -> DataFrame:
-    """(a, b): hashes of distinct lines at most `differ` edits apart, each pair once. Keys of more than `most` candidates go to tiles of `block` lines a side."""
+    One row a line and key, never pairs. The lines of a key are dealt to blocks of about `block` lines (fewer, if they are
+    very long); each block settles its own, and only lines still without an earlier neighbour go on to the key's other blocks.
+    """
     buckets = bucket_count(docs)
     sent = docs.select("text").mapInArrow(_sender(differ, near, buckets), "bucket int, blob binary")
-    found = materialize(sent.groupBy("bucket").applyInPandas(_pairer(most), "a long, b long, hot boolean"))
-    pairs, hot = found.where("NOT hot").select("a", "b").distinct(), found.where("hot").select(F.col("b").alias("key"), F.col("a").alias("h")).distinct()
-    wanted = found.select(F.col("a").alias("h")).union(found.where("NOT hot").select(F.col("b").alias("h"))).distinct()
-    texts = materialize(_texts(docs, wanted, near))
-    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
-    out = both.select("a", "b", "line_a", "line_b").mapInArrow(_verifier(differ), "a long, b long")
-    sizes = materialize(hot.groupBy("key").count())
-    if not sizes.isEmpty():
-        dealt = hot.join(sizes, "key").join(texts, "h").withColumn("n", F.ceil(F.col("count") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("h"), F.col("n")).cast("int"))
-        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "h", "line")
-        out = out.union(dealt.groupBy("key", "i", "j").applyInPandas(_tile(differ), "a long, b long")).distinct()
-    return out
+    shared = materialize(sent.groupBy("bucket").applyInPandas(_sharers, "key long, h long, indexed boolean"))
+    texts = materialize(_texts(docs, shared.select("h").distinct(), near).join(first.select("h", "first"), "h"))
+    sizes = shared.join(texts.select("h", F.octet_length("line").alias("bytes")), "h").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.select("key", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    members = materialize(shared.join(sizes, "key").join(texts, "h").withColumn("block", F.pmod(F.xxhash64("h", "key"), F.col("blocks")).cast("int")))
+    found = materialize(_searched(members.withColumn("asks", F.lit(True)), differ))
+    many = members.where("blocks > 1")
+    left = many.join(found, "h", "left_anti")
+    if left.isEmpty():
+        return found
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    asking = left.withColumn("to", other).drop("block").withColumnRenamed("to", "block").withColumn("asks", F.lit(True))
+    more = _searched(asking.unionByName(many.withColumn("asks", F.lit(False))), differ)
+    return found.union(more).distinct()
 
 
 def _cleaner(at: dict[str, int]):
@@ -274,18 +288,18 @@ def _cleaner(at: dict[str, int]):
     return run
 
 
-def line_dedup(docs: DataFrame, differ: int = 2, least: int = 8, near: int = 20, most: int = 4096) -> DataFrame:
+def line_dedup(docs: DataFrame, differ: int = 2, least: int = 8, near: int = 20, block: int = 512) -> DataFrame:
     """(doc_id, row_key, text, n_lines_gone): the text of each row of docs (doc_id, text) without repeated lines."""
     docs = docs.select("doc_id", "text")
-    links = materialize(near_lines(docs, differ, near, most=most))
-    lines = _occurrences(docs, least)
+    lines = materialize(_occurrences(docs, least))
     first = materialize(lines.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
-    both = links.union(links.select("b", "a")).toDF("h", "other")
-    earlier = both.join(first.select(F.col("h").alias("other"), "first"), "other").groupBy("h").agg(F.min("first").alias("near_first"))
-    # lines that occur once and have no earlier neighbour are no reason to move a row. Written first: both sides of the join
-    # below are then plain exchanges, of which Spark splits those that one very common line fills
-    known = materialize(first.join(earlier, "h", "left").where("n > 1 OR near_first < first").select("h", F.least("first", F.coalesce("near_first", "first")).alias("earliest")))
-    gone = lines.join(known, "h").where(_place() > F.col("earliest")).groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("pos")).alias("gone_lines"))
+    late = near_followers(docs, first, differ, near, block)
+    # lines that occur once and have no earlier neighbour are no reason to move a row; of others all places but the first go, and
+    # the first too if a near line starts earlier. Written first: both sides of the join below are then plain exchanges, of which
+    # Spark splits those that one very common line fills
+    known = first.join(late.withColumn("all", F.lit(True)), "h", "left").where("n > 1 OR all")
+    known = materialize(known.select("h", F.coalesce("all", F.lit(False)).alias("all"), "first"))
+    gone = lines.join(known, "h").where(F.col("all") | (_place() > F.col("first"))).groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_set("pos")).alias("gone_lines"))
     gone = materialize(gone)
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     keyed = gone.select(F.coalesce("doc_id", F.lit(0)).alias("k0"), F.col("doc_id").isNull().alias("k1"), "row_key", "gone_lines")

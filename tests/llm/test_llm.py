@@ -280,8 +280,8 @@ def lines_brute(rows, differ=2, least=8, near=20):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("most", [4096, 3])
-def test_line_dedup(spark, most):
+@pytest.mark.parametrize("block", [512, 4])
+def test_line_dedup(spark, block):
     from lodestone.llm import line_dedup as m
 
     rng = np.random.default_rng(2)
@@ -297,11 +297,55 @@ def test_line_dedup(spark, most):
             lines.append("".join(x))
         rows.append((i, "\n".join([*lines, "ok", ""])))
     rows += [r for r in TEXTS if r[0] != 6]
-    got = sorted(((r.doc_id, r.text) for r in m.line_dedup(docs(spark, rows), most=most).collect()), key=repr)
+    got = sorted(((r.doc_id, r.text) for r in m.line_dedup(docs(spark, rows), block=block).collect()), key=repr)
     assert got == lines_brute(rows)
     assert m.line_dedup(empty(spark)).collect() == []
 
 
+def test_line_dedup_of_many_near_copies(spark):
+    from lodestone.llm import line_dedup as m
+
+    base = "the quick brown fox jumps over the lazy dog and then goes on its way home"
+    near = [(i, f"{base[: i % 70]}{chr(97 + i % 26)}{base[i % 70 + 1 :]}{i // 70 % 10}\nown line number {'#' * (3 * i + 20)}") for i in range(2000)]
+    far = [(5000 + i, f"{base[:30]} {i * 7919 % 100003:x}{i:08b}{i * 31 % 97}") for i in range(400)]  # one segment in common, not near
+    got = {r.doc_id: r.n_lines_gone for r in m.line_dedup(docs(spark, near + far).repartition(6)).collect()}
+    want = {i: 0 for i, _ in near + far}
+    lines = sorted({(min(j for j, u in near if u.split("\n")[0] == x), x) for x in {t.split("\n")[0] for _, t in near}})
+    first = {x: i for i, x in lines}
+    late = {x: any(y[0] < first[x] and m.edit_within(y[1], x, 2) for y in lines) for x in first}
+    for i, t in near:
+        x = t.split("\n")[0]
+        want[i] = int(late[x] or i > first[x])
+    for k, (i, t) in enumerate(far):
+        want[i] = int(any(m.edit_within(u, t, 2) for _, u in far[:k]))
+    assert got == want and sum(want.values()) > 1900
+
+
+def test_line_dedup_table(spark, sf):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    occ = {}
+    for i, t in rows:
+        for p, x in enumerate((t or "").split("\n")):
+            occ.setdefault(x.strip(" \t\r\x0b\x0c"), []).append((i, p))
+    from lodestone.llm.line_dedup import edit_within
+
+    by_length, late = defaultdict(list), set()
+    for x in occ:
+        if len(x) >= 20:
+            by_length[len(x)].append(x)
+    for x in occ:
+        if len(x) >= 20 and any(min(occ[y]) < min(occ[x]) and edit_within(x, y, 2) for n in range(len(x) - 2, len(x) + 3) for y in by_length[n]):
+            late.add(x)
+    want = {i: 0 for i, _ in rows}
+    for x, at in occ.items():
+        if len(x) >= 8:
+            for place in at:
+                want[place[0]] += x in late or place > min(at)
+    got = {r.doc_id: (r.n_lines_gone, r.text) for r in q.op6_line_dedup(spark, sf).collect()}
+    assert {i: n for i, (n, _) in got.items()} == want
+    assert all((t or "").count("\n") == (got[i][1] or "").count("\n") + got[i][0] - (got[i][0] > 0 and not got[i][1] and (t or "").count("\n") + 1 == got[i][0]) for i, t in rows)
+
+
 def filled(sizes, weights, most):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
