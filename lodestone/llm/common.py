@@ -94,3 +94,29 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 def gaps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
+
+
+def sorted_runs(batches, keys: int):
+    """Of record batches sorted by their first `keys` columns: each run of equal keys as (key, one batch), across batch borders."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+
+    def whole():
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_pylist() for i in range(keys)]
+        names = list(zip(*cols))
+        a = 0
+        for b in range(1, len(names) + 1):
+            if b == len(names) or names[b] != names[a]:
+                if held and names[a] != held_key:
+                    yield held_key, whole()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                held_key = names[a]
+                a = b
+    if held:
+        yield held_key, whole()

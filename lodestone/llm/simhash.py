@@ -3,7 +3,8 @@
 Two fingerprints that differ in at most d bits share at least 8 - d of their 8 positional bytes, so count filtering keeps
 pairs whose tally of shared positional bytes reaches 8 - d. Postings of one positional byte hold 1/256 of all rows, and
 tallying those would make a square of them; the index is keyed by (8 - d)-subsets of positional bytes instead, which
-holds exactly the pairs whose tally reaches the minimum, so the tally that remains is a check of the pair. Rows with
+holds exactly the pairs whose tally reaches the minimum: the key implies the filter, and the tally of a pair that meets
+under it is taken again only because two subsets may mix to one key. Rows with
 equal fingerprints are one posting. A posting list that many fingerprints share is compared in blocks of numpy rows, in
 one task up to `block` entries, and beyond that by tiles of block pairs dealt over tasks; only a spanning forest leaves.
 
@@ -192,7 +193,8 @@ def simhash_components(docs: DataFrame, width: int = 4, differ: int = 4, seed: i
     prints = materialize(fingerprints(docs, width, seed))
     linked = connected_components(fingerprint_links(prints, differ))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    of = first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first_id")
-    least = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # written first: the join below is then between plain exchanges, of which Spark splits those that a large component fills
+    of = materialize(first.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first_id"))
+    least = materialize(of.groupBy("component").agg(F.min("first_id").alias("component_id")))
     named = of.join(least, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
