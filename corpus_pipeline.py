@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialize, table
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.mixing import mix_sources
-from lodestone.llm.near_copies import near_copies
 from lodestone.llm.packing import best_fit_packing
 from lodestone.llm.queries import ranks_path
+from lodestone.llm.simhash_similar import similar_components
 from lodestone.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,7 +31,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays; one whose doc_id is null stays always."""
-    kept = materialize(near_copies(docs, width=5, similarity=0.8).where("doc_id = component_id").select("doc_id", "row_key").distinct())
+    kept = materialize(similar_components(docs, width=5, similarity=0.8).where("doc_id = component_id").select("doc_id", "row_key").distinct())
     rows = docs.select(*COLUMNS)
     same = rows.withColumn("row_key", F.xxhash64("text")).join(kept, ["doc_id", "row_key"], "left_semi")
     return same.select(*COLUMNS).union(rows.where("doc_id IS NULL"))
@@ -51,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs, ranks_path(), 2048)
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_copies), ("source_mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash_dedup", drop_copies), ("source_mixing", mix), ("packing", pack)]
 
 #: Edit joins, XXH64 fingerprints, Pareto samples and tokens have no form in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
