@@ -20,11 +20,11 @@ from .url_filter import url_filter
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
-def ranks_path() -> str:
-    """The installed byte-level vocabulary as ranks; the same ids as its json form."""
+def vocabulary() -> str:
+    """The installed byte-level vocabulary in the json form of `tokenizers`."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"), ranks_path(), size=2048)
+    return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary(), size=2048)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

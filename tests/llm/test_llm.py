@@ -149,32 +149,54 @@ def check_packing(out, size):
 def test_packing(spark, sf):
     from lodestone.llm.packing import best_fit_packing
 
-    odd = [(20, "a  b   c　d\n\n x 's don't  "), (21, " lead"), (22, "trail "), (23, "x" * 5000), (24, "é ü 12 a1b2 ... !?"), (25, "q " * 3000)]
+    odd = [(26, "x <|endoftext|> y"), (27, "<|endoftext|><|endoftext|> lead"), (28, "tail  <|endoftext|>"), (29, "<|endoftext|"), (20, "a  b   c　d\n\n x 's don't  "), (21, " lead"), (22, "trail "), (23, "x" * 5000), (24, "é ü 12 a1b2 ... !?"), (25, "q " * 3000)]
     for rows, df, size in [([*TEXTS, *odd], docs(spark, [*TEXTS, *odd]), 2048), ([tuple(r) for r in table(spark, sf, "documents").select("doc_id", "text").collect()], table(spark, sf, "documents"), 2048)]:
-        out = best_fit_packing(df, q.ranks_path(), size).collect()
+        out = best_fit_packing(df, q.vocabulary(), size).collect()
         assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out], key=repr) == pieces_brute(rows, size)
         least = -(-sum(r.length for r in out) // size)
         assert check_packing(out, size) <= least * 1.02 + 1
-    assert best_fit_packing(empty(spark), q.ranks_path()).collect() == []
+    assert best_fit_packing(empty(spark), q.vocabulary()).collect() == []
 
 
 def test_packing_cuts_long_texts(spark, monkeypatch):
     from lodestone.llm import packing
 
-    code, text = packing.Coder(q.ranks_path()), "one two  three\nfour é fünf " * 400 + "end"
+    code, text = packing.Coder(q.vocabulary()), "one two  three\nfour é fünf " * 400 + "end"
     want = code.ids(text)
     monkeypatch.setattr(packing, "SEGMENT", 50)
     assert code.ids(text) == want
 
 
-def test_genetic_grouping_beats_one_pass():
-    from lodestone.llm.packing import evolve, group
+def triplets(n, size, seed):
+    """3 n lengths that fill n sequences exactly, three each: best fit by length misses that by far."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(size * 38 // 100, size * 49 // 100))
+        b = int(rng.integers(size // 4, (size - a) // 2))
+        out += [a, b, size - a - b]
+    return rng.permutation(out).tolist()
 
-    rng = np.random.default_rng(3)
-    lengths = rng.integers(300, 900, 200).tolist()
-    bins = evolve(lengths, [], 2048, 1, people=8, rounds=30)
-    assert sorted(i for b in bins for i in b) == list(range(200)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
-    assert len(bins) <= len(group(range(200), lengths, [], 2048))
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_injection_beats_best_fit_and_noise(seed):
+    from lodestone.llm import packing as m
+
+    lengths, rng = triplets(40, 2048, seed), np.random.default_rng(seed)
+    plain = len(m.first_fit(lengths, 2048))
+    noisy = min(len(m.group(sorted(range(len(lengths)), key=lambda i: -lengths[i] * z[i]), lengths, [], 2048)) for z in 1 + 0.3 * rng.random((200, len(lengths))))
+    bins = m.evolve(lengths, [], 2048, seed)
+    assert sorted(i for b in bins for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 2048 for b in bins)
+    assert len(bins) <= 42 < noisy <= plain
+
+
+def test_islands_beat_best_fit_over_shards(spark):
+    from lodestone.llm import packing as m
+
+    lengths = triplets(60, 2048, 5)
+    pieces = spark.createDataFrame([(i, 0, 0, n, i, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long, copy int")
+    out = m.pack_pieces(pieces, 2048, shard=90).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == list(enumerate(lengths))
+    assert check_packing(out, 2048) <= 64 < len(m.first_fit(lengths, 2048))
 
 
 def test_url_filter(spark):
@@ -552,8 +574,7 @@ def test_token_ids_equal_the_tokenizers_form():
 
     from lodestone.llm.packing import Coder
 
-    tok, code = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), Coder(q.ranks_path())
-    tok.encode_special_tokens = True
+    tok, code = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))), Coder(q.vocabulary())
     some = st.text(alphabet=st.sampled_from(list("aB1é中 \n\t.'sʼ’ \u0085  \x1c\x00<|>endoftx")), max_size=40)
 
     @settings(max_examples=600, deadline=None)
