@@ -9,7 +9,7 @@ from lodestone.llm.common import materialize, table
 from lodestone.llm.line_dedup import line_dedup
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.packing import best_fit_packing
-from lodestone.llm.queries import ranks_path
+from lodestone.llm.queries import vocabulary
 from lodestone.llm.simhash_similar import similar_components
 from lodestone.llm.toxicity import toxicity
 
@@ -48,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and place in it."""
-    return best_fit_packing(docs, ranks_path(), 2048)
+    return best_fit_packing(docs, vocabulary(), 2048)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("simhash_dedup", drop_copies), ("source_mixing", mix), ("packing", pack)]
