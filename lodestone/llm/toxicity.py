@@ -1,14 +1,17 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause (text between sentence marks or line ends) runs through a cascade of small transducers: words become symbols
-(insult, threat, target, negation, report, other), and each transducer rewrites weights by its state: a negation damps
-what follows in its scope, a report or a quotation damps what it reports, a target near an insult or after a threat
-raises it. Clause weights, not isolated words, add up to a document's weight, and a logistic curve makes a score of it.
-The insult and threat stems and the curve are learnt: stems (whole words and word beginnings of 4 to 8 letters) by their
-smoothed log odds between labelled documents, less their standard error. The fit takes a sample of at most `sample` labelled rows, by a hash of doc_id.
-
-Defined results: null and empty texts have weight 0 and its score; of a doc_id's labels any 1 counts; with no labels of
-both kinds every score is 0.
+A clause (text between sentence marks or line ends) is a string of symbols, one a word: insult, threat, target,
+negation, report, quotation, other. Transducers for insult, threat, negation, reported speech and aim each give a factor
+for each symbol by their state: an insult weighs what its stem weighs, more behind a target; a threat weighs when its
+target follows within a few words; negation damps its scope, a report or a quotation what it reports. They are composed
+once into one table of joint states, which scores matched clauses, not isolated words. Clause weights add up to a
+document's weight, and a logistic curve makes a score of it. Insult stems (whole words and word beginnings of 4 to 8
+letters) and the curve are learnt: stems by their smoothed log odds between labelled documents, less their standard
+error. The fit takes a sample of at most `sample` labelled rows, by a hash of doc_id; scoring covers whole texts.
+
+Defined results: null and empty texts have weight 0 and its score; very long texts are scored like others, clause by
+clause; of a doc_id's labels any 1 counts; repeated rows are scored each; with no labels of both kinds every score is 0;
+columns named weight, score, predicted or held_out are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -28,32 +31,49 @@ from pyspark.sql import functions as F
 TARGET = set("you your yours u he she they them him her those these people du dich euch ihr sie er tu vous toi il elle ils tú usted ustedes él ella ellos".split())
 NEGATION = set("not no never nobody isn't aren't wasn't don't doesn't didn't without nicht kein keine nie pas jamais aucun nunca jamás ningún".split())
 REPORT = set("said says say claimed claims wrote called quoted quote reported reportedly allegedly sagte schrieb dit écrit dijo escribió".split())
-THREAT = set("kill hurt destroy beat burn hang shoot die töten tuer matar".split())
+THREAT = set("kill hurt destroy beat burn hang shoot strangle stab töten umbringen schlagen tuer frapper matar golpear".split())
 CLAUSE = re.compile(r"[.;!?\n]+")
-STRIP = "\"'`.,;:!?()[]{}<>«»„“”‘’-*_"
+STRIP = "\"'`.,;:!?()[]{}<>«»„“”‘’-*_#$%&|"
 QUOTE = re.compile("[\"«»„“”]")
 
-#: Transducers: state -> symbol -> (next state, factor on the weight of this symbol); '*' stands for other symbols.
-NEGATE = {0: {"N": (3, 1.0), "*": (0, 1.0)}, 3: {"N": (3, 1.0), "*": (2, 0.4)}, 2: {"N": (3, 1.0), "*": (1, 0.4)}, 1: {"N": (3, 1.0), "*": (0, 0.4)}}
+#: Transducers: state -> symbol -> (next state, factor on what this symbol weighs); '*' stands for symbols not named.
+#: Symbols: I insult, T threat, Y target, N negation, R report, Q quotation mark, O other. State 0 is the first.
+INSULT = {0: {"*": (0, 1.0)}}
+THREATEN = {0: {"T": (4, 0.0), "Y": (0, 0.0), "*": (0, 1.0)}, **{k: {"T": (4, 0.0), "Y": (0, 1.0), "*": (k - 1, 1.0)} for k in (4, 3, 2, 1)}}
+NEGATE = {0: {"N": (3, 1.0), "*": (0, 1.0)}, **{k: {"N": (3, 1.0), "*": (k - 1, 0.4)} for k in (3, 2, 1)}}
 REPORTED = {0: {"R": (1, 1.0), "Q": (1, 1.0), "*": (0, 1.0)}, 1: {"Q": (0, 1.0), "*": (1, 0.6)}}
-AIMED = {0: {"Y": (4, 1.0), "*": (0, 1.0)}, **{k: {"Y": (4, 1.0), "*": (k - 1, 1.5)} for k in (4, 3, 2, 1)}}
-MACHINES = (NEGATE, REPORTED, AIMED)
+AIMED = {0: {"Y": (4, 1.0), "*": (0, 1.0)}, **{k: {"Y": (4, 1.0), "I": (k - 1, 1.5), "*": (k - 1, 1.0)} for k in (4, 3, 2, 1)}}
+MACHINES = (INSULT, THREATEN, NEGATE, REPORTED, AIMED)
+SYMBOLS = "ITYNRQO"
+#: What symbols weigh before factors: an insult what its stem weighs, a target that a threat reaches as much as a strong stem.
+THREAT_WEIGHT = 2.0
+
+
+def compose(machines: tuple[dict, ...]) -> list[dict[str, tuple[int, float]]]:
+    """One table over the joint states that can be reached: state -> symbol -> (next state, product of factors)."""
+    number, table, todo = {(0,) * len(machines): 0}, [], [(0,) * len(machines)]
+    for joint in todo:
+        row = {}
+        for symbol in SYMBOLS:
+            moves = [m[s].get(symbol, m[s]["*"]) for m, s in zip(machines, joint)]
+            to = tuple(n for n, _ in moves)
+            if to not in number:
+                number[to] = len(number)
+                todo.append(to)
+            row[symbol] = (number[to], math.prod(f for _, f in moves))
+        table.append(row)
+    return table
+
+
+GRAMMAR = compose(MACHINES)
 
 
 def clause_weight(symbols: list[tuple[str, float]]) -> float:
-    """Runs the composed transducers over (symbol, weight) of a clause's words."""
-    states, total, threat = [0] * len(MACHINES), 0.0, 0.0
+    """Runs the composed grammar over (symbol, weight) of a clause's words."""
+    state, total = 0, 0.0
     for symbol, weight in symbols:
-        factor = 1.0
-        for m, machine in enumerate(MACHINES):
-            moves = machine[states[m]]
-            states[m], f = moves.get(symbol, moves["*"])
-            factor *= f
-        if symbol == "T":
-            threat = weight * factor
-        elif symbol == "Y" and threat:
-            total, threat = total + threat * 1.5, 0.0
-        elif symbol == "I":
+        state, factor = GRAMMAR[state][symbol]
+        if weight:
             total += weight * factor
     return total
 
@@ -74,14 +94,13 @@ class Lexicon(dict):
 
     def symbol(self, raw: str) -> tuple[str, float]:
         w = raw.strip(STRIP)
-        weight = self[raw]
         if w in THREAT:
-            return "T", max(weight, 0.5)
-        if weight:
-            return "I", weight
+            return "T", 0.0
+        if self[raw]:
+            return "I", self[raw]
         if QUOTE.search(raw):
             return "Q", 0.0
-        return ("N" if w in NEGATION else "R" if w in REPORT else "Y" if w in TARGET else "*"), 0.0
+        return ("Y", THREAT_WEIGHT) if w in TARGET else ("N" if w in NEGATION else "R" if w in REPORT else "O", 0.0)
 
 
 def features(word: str) -> list[str]:
@@ -120,6 +139,21 @@ def _counter(batches):
     yield from flush()
 
 
+def own_weight(found: list[tuple[str, int, int]], bad: int, good: int, support: int) -> dict[str, float]:
+    """Weights of stems (stem, documents of either kind); a beginning weighs by the documents that its longer stems do not explain."""
+    out: dict[str, tuple[float, int, int]] = {}
+    for f, b, g in sorted(found, key=lambda x: (-len(x[0].rstrip("-")), x[0][-1] == "-", x[0])):
+        if f[-1] == "-":
+            longer = [v for x, v in out.items() if x.startswith(f[:-1])]
+            b, g = b - sum(v[1] for v in longer), max(0, g - sum(v[2] for v in longer))
+            if b < support:
+                continue
+        w = math.log((b + 0.5) / (bad + 1)) - math.log((g + 0.5) / (good + 1)) - math.sqrt(1 / (b + 0.5) + 1 / (g + 0.5)) - 2
+        if w > 0:
+            out[f] = (w, b, g)
+    return {f: v[0] for f, v in out.items()}
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, stems: int = 4096, support: int = 4) -> tuple[dict[str, float], tuple[float, float]]:
     """Stem weights (at most `stems`) and the curve, from rows of labels (doc_id, toxic) that are not held out."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -132,11 +166,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, stems: int =
     if not bad or not good:
         return {}, (-40.0, 0.0)
     sums = rows.mapInArrow(_counter, "f string, y int, n long").groupBy("f").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("n"))).alias("good"))
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     # what a stem weighs: by how much its log odds, less their standard error, exceed 2
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     weight = odds - F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)) - 2
-    top = sums.where((F.col("bad") >= support) & (weight > 0)).select("f", weight.alias("w"), "bad").orderBy(F.desc(F.col("w") * F.sqrt("bad")), "f").limit(stems).collect()
-    lexicon = {r["f"]: float(r["w"]) for r in top}
+    top = sums.where((F.col("bad") >= support) & (weight > 0)).select("f", weight.alias("w"), "bad", "good").orderBy(F.desc(F.col("w") * F.sqrt("bad")), "f").limit(stems).collect()
+    lexicon = own_weight([(r["f"], r["bad"], r["good"]) for r in top], bad, good, support)
 
     def weigh(batches):
         lex = Lexicon(lexicon)

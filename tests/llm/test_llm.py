@@ -257,6 +257,60 @@ def test_grammar_scores_clauses_not_words():
     assert denied < plain < aimed and told < aimed and document_weight("I will kill you", lex) > 0 == document_weight("kill time", lex)
 
 
+def weight_brute(text, stems):
+    """The grammar read from its description, machine by machine, without composing anything."""
+    from lodestone.llm import toxicity as m
+
+    total = 0.0
+    for clause in m.CLAUSE.split((text or "").lower()):
+        threat = negated = reported = aimed = 0  # words left of each scope
+        quoted = False
+        for raw in clause.split():
+            w = raw.strip(m.STRIP)
+            heads = [w, *(w[:n] + "-" for n in range(min(8, len(w) - 1), 3, -1))] if w else []
+            stem = next((stems[h] for h in heads if h in stems), 0.0)
+            is_threat = w in m.THREAT
+            insult = 0.0 if is_threat else stem
+            mark = not is_threat and not insult and m.QUOTE.search(raw)
+            target = not is_threat and not insult and not mark and w in m.TARGET
+            negation = not (is_threat or insult or mark or target) and w in m.NEGATION
+            report = not (is_threat or insult or mark or target or negation) and w in m.REPORT
+            weight = insult * (1.5 if aimed else 1.0) + (m.THREAT_WEIGHT if target and threat else 0.0)
+            total += weight * (0.4 if negated else 1.0) * (0.6 if reported or quoted else 1.0)
+            aimed = 4 if target else max(0, aimed - 1)
+            threat = 4 if is_threat else 0 if target else max(0, threat - 1)
+            negated = 3 if negation else max(0, negated - 1)
+            if mark:
+                if reported or quoted:
+                    reported = quoted = False
+                else:
+                    quoted = True
+            elif report and not quoted:
+                reported = True
+    return total
+
+
+def test_composed_grammar_equals_its_machines():
+    from lodestone.llm.toxicity import GRAMMAR, Lexicon, document_weight
+
+    rng, words = np.random.default_rng(8), ["idiot", "idiots!", "(scum)", "kill", "hurt,", "you", "they", "not", "never", "said", "wrote", '"quote', 'end"', "calm", "tree", ".", "\n", "x;y", "die", "sie"]
+    stems = {"idiot": 3.0, "scum": 1.25, "idio-": 0.5}
+    for _ in range(2000):
+        text = " ".join(rng.choice(words, rng.integers(0, 14)))
+        assert math.isclose(document_weight(text, Lexicon(stems)), weight_brute(text, stems), abs_tol=1e-12), text
+    assert len(GRAMMAR) > 50 and document_weight("die leute und sie", Lexicon(stems)) == 0 < document_weight("I will kill you", Lexicon({}))
+
+
+def test_toxicity_scores_of_table(spark, sf):
+    from lodestone.llm.toxicity import learn
+
+    stems, (a, b) = learn(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    got = {r.doc_id: (r.score, r.predicted) for r in q.op5_toxicity(spark, sf).collect()}
+    for r in table(spark, sf, "documents").collect():
+        want = 1 / (1 + math.exp(-(a + b * math.log1p(weight_brute(r.text, stems))))) if stems else 0.0
+        assert math.isclose(got[r.doc_id][0], want, rel_tol=1e-9) and got[r.doc_id][1] == int(want >= 0.3)
+
+
 def test_grammar_sees_words_behind_marks():
     from lodestone.llm.toxicity import CLAUSE, Lexicon, clause_weight, document_weight
 
