@@ -464,6 +464,69 @@ def licence_brute(text):
     return len(words), len(at), min((a for a, _ in at), default=None), max((a for a, _ in at), default=None), ",".join(sorted({x for _, x in at}))
 
 
+def licence_spans_brute(text, k=3, drift=3, share=0.6):
+    """(first, last, label) of the spans that stay, and the score, one word and template at a time."""
+    from lodestone.llm.license_scan import TEMPLATES
+
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = defaultdict(list)
+    for p in range(len(words) - k + 1):
+        at[tuple(words[p : p + k])].append(p)
+    spans = []
+    for t, (label, template) in enumerate(TEMPLATES):
+        tw = template.split()
+        votes = defaultdict(list)
+        for j in range(len(tw) - k + 1):
+            for p in at.get(tuple(tw[j : j + k]), ()):
+                votes[p - j].append((p, j))
+        group = []
+        for d in [*sorted(votes), None]:
+            if group and (d is None or d - group[-1] > drift):
+                hits = [h for g in group for h in votes[g]]
+                held = len({j for _, j in hits})
+                if held / (len(tw) - k + 1) >= share:
+                    spans.append((min(p for p, _ in hits), max(p for p, _ in hits) + k - 1, held, held / (len(tw) - k + 1), label, t))
+                group = []
+            group.append(d)
+    won = defaultdict(int)
+    for w in range(len(words)):
+        over = [s for s in spans if s[0] <= w <= s[1]]
+        if over:
+            won[max(over, key=lambda s: (s[2], s[3], s[4], s[5], s[0]))] += 1
+    kept = [s for s in won if won[s] * 2 > s[1] - s[0] + 1]
+    return sorted((s[0], s[1], s[4]) for s in kept), max((s[3] for s in kept), default=0.0)
+
+
+def test_license_spans_against_brute_force(spark, sf):
+    from lodestone.llm.license_scan import TEMPLATES, license_scan
+
+    rng, rows = np.random.default_rng(4), []
+    for i in range(120):
+        words = []
+        for _ in range(rng.integers(1, 4)):
+            t = TEMPLATES[rng.integers(len(TEMPLATES))][1].split()
+            for _ in range(rng.integers(0, 4)):
+                x = rng.integers(len(t))
+                t[x : x + rng.integers(0, 2)] = [] if rng.random() < 0.5 else ["very"]
+            words += [*t[: rng.integers(2, len(t) + 1)], *["word"] * int(rng.integers(0, 6))]
+        rows.append((100 + i, " ".join(words)))
+    rows += [
+        (1, "released under the released under the"), (2, "Licensed under CC BY-NC-SA 4.0."), (3, "licensed under CC BY 4.0"), (4, "licensed under cc by sa 4 0 and licensed under cc by nc 4 0"),
+        (5, "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"), (6, "released under the mit license " * 50), (7, ""), (8, None),
+    ]
+    for df in (docs(spark, rows), table(spark, sf, "documents")):
+        texts = {r.doc_id: r.text for r in df.collect()}
+        out = {r.doc_id: r for r in license_scan(df).collect()}
+        for i, t in texts.items():
+            spans, score = licence_spans_brute(t)
+            base = licence_brute(t)[-1]
+            assert sorted((x.first, x.last, x.label) for x in out[i].spans or []) == spans, (i, t)
+            assert out[i].labels == ",".join(sorted({*filter(None, base.split(",")), *(x[2] for x in spans)}))
+            assert math.isclose(out[i].score, max(score, 0.5 if base else 0.0))
+        if 8 in texts and len(texts) == len(rows):
+            assert [out[i].labels for i in (1, 2, 3, 4)] == ["", "cc-by-nc-sa", "cc-by", "cc-by-nc,cc-by-sa"] and len(out[6].spans) == 50
+
+
 def test_license_scan(spark, sf):
     more = [(40, "Permission is hereby granted, free of charge, to any person obtaining a copy of this very software and associated documentation files (the \"Software\"), to deal in the Software without restriction"), (41, "mit mit license license K Mit.License"), (42, "MIT LICENSE École apache license")]
     for rows, df in [([*TEXTS, *more], docs(spark, [*TEXTS, *more])), (None, table(spark, sf, "documents"))]:
