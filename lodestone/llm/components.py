@@ -13,11 +13,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if large:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        linked = both.where("v > u").join(least, "u")
+        linked = both.where("v > u").join(least.hint("merge"), "u")
         return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    linked = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,4 +40,4 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("m", "node").alias("component"))
+    return nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("m", "node").alias("component"))

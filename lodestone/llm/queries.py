@@ -107,15 +107,29 @@ FROM v JOIN c ON c.s = v.vec_id LEFT JOIN n ON n.u = v.vec_id""",
 WITH RECURSIVE rules(own, rule, host, prefix) AS (
   VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
          ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
-), tags AS (
+), shown AS (
   SELECT page_id, url, regexp_extract(url, '^([^:/?#]*)://', 1) AS scheme, regexp_extract(url, '^((?s:.*?)://[^/?#]*)', 1) AS top,
-    regexp_extract(url, '^((?s:.*?)://[^/?#]*(?:[^?#]*/)?)', 1) AS folder,
-    unnest(regexp_extract_all(html, '(?is)(<link\b[^>]{0,1000}?\brel\s*=\s*["'']?canonical\b[^>]{0,1000}>|<meta\b[^>]{0,1000}?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]{0,1000}>)')) AS tag FROM pages
+    regexp_extract(url, '^((?s:.*?)://[^?#]*)', 1) AS whole_path, regexp_extract(url, '^((?s:.*?)://[^/?#]*(?:[^?#]*/)?)', 1) AS folder,
+    regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?is)(<(?:link|meta)\b[^>]*>)') AS tags FROM pages
+), tags AS (
+  SELECT * EXCLUDE (tags), unnest(list_filter(tags, lambda t: regexp_matches(t, '(?is)^<link\b.*?[\s"''/]rel\s*=\s*(?:"[^"]*\bcanonical\b|''[^'']*\bcanonical\b|canonical\b)')
+    OR regexp_matches(t, '(?is)^<meta\b.*?[\s"''/]http-equiv\s*=\s*["'']?\s*refresh\b'))) AS tag FROM shown WHERE top <> ''
 ), named AS (
-  SELECT *, trim(regexp_extract(tag, '(?is)(?:\bhref\s*=\s*["'']?|\burl\s*=\s*["'']?)([^"''\s>]+)', 1)) AS t FROM tags WHERE top <> ''
+  SELECT *, CASE WHEN regexp_matches(tag, '(?i)^<link\b') THEN regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+    ELSE regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) END AS raw FROM tags
+), decoded AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '&(?:quot|#34|#x22);', '"', 'gi'), '&(?:apos|#39|#x27);', '''', 'gi'),
+    '&(?:lt|#60|#x3c);', '<', 'gi'), '&(?:gt|#62|#x3e);', '>', 'gi'), '&(?:#47|#x2f);', '/', 'gi'), '&(?:amp|#38|#x26);', '&', 'gi') AS t FROM named
+), joined AS (
+  SELECT page_id, url, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN t LIKE '//%' THEN scheme || ':' || t WHEN t LIKE '/%' THEN top || t
+    WHEN t LIKE '?%' THEN whole_path || t WHEN folder LIKE '%/' THEN folder || t ELSE folder || '/' || t END AS u FROM decoded WHERE t <> '' AND t NOT LIKE '#%'
+), split_up AS (
+  SELECT *, regexp_extract(u, '^((?s:.*?)://[^/?#]*)', 1) AS utop, regexp_extract(u, '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS upath, regexp_extract(u, '^(?s:.*?)://[^/?#]*[^?#]*((?s:.*))', 1) AS urest FROM joined
 ), links AS (
-  SELECT page_id, url, CASE WHEN t LIKE '%://%' THEN t WHEN t LIKE '//%' THEN scheme || ':' || t WHEN t LIKE '/%' THEN top || t
-    WHEN folder LIKE '%/' THEN folder || t ELSE folder || '/' || t END AS url2 FROM named WHERE t <> ''
+  SELECT page_id, url, CASE WHEN NOT regexp_matches(upath, '/\.\.?(?:/|\z)') THEN u ELSE utop || '/' || array_to_string(list_reduce(
+      list_transform(string_split(upath, '/')[2:], lambda x: [x]),
+      lambda done, part: CASE WHEN part[1] = '..' THEN done[1:len(done) - 1] WHEN part[1] = '.' THEN done ELSE list_concat(done, part) END, []::VARCHAR[])
+    || CASE WHEN string_split(upath, '/')[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END, '/') || urest END AS url2 FROM split_up
 ), all_urls AS (SELECT url FROM pages UNION SELECT url2 FROM links),
 parsed AS (
   SELECT url, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -229,6 +229,32 @@ def test_url_filter_reads_tags_of_any_length(spark):
     assert {r.page_id: r.verdict for r in url_filter(df, q.RULES).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
 
 
+def test_url_filter_follows_what_pages_state(spark):
+    """Hand-made pages with edges of every kind, against the registered SQL as well."""
+    import duckdb
+
+    from lodestone.llm.url_filter import url_filter
+
+    bad = "http://example.org/es/x"
+    rows = [
+        (1, "http://a.net/1", f'<link rel="canonical" href="{bad}?a=1&amp;b=2">'), (2, f"{bad}?a=1&b=2", ""), (3, "http://b.net/", f'<!-- <link rel="canonical" href="{bad}"> -->'),
+        (4, "http://example.org/fr/deep/page", '<link href="../../es/y" rel="alternate canonical">'), (5, "http://c.net/p/q?z=1", '<link rel="canonical" href="?u=2">'), (6, "http://c.net/p/q?u=2", f'<meta http-equiv="Refresh" content="5;URL=\'{bad}\'">'),
+        (7, "http://d.net/", '<link rel="canonical" href="#top"><link rel=canonical>'), (8, "http://e.net/a/b/", '<link rel="canonical" href="./../c/./d">'), (9, "http://e.net/a/c/d", f'<link data-rel="canonical" href="{bad}">'), (10, "http://e.net/a/c/d/", f"<link rel='canonical' href='{bad}'>"),
+        (11, "http://f.net/", f'<!-- open <link rel="canonical" href="{bad}">'), (12, "http://g.net/", '<link rel="canonical" href="https://h.net/x?next=http://example.org/es/x">'), (13, "http://i.net/", "<link rel=canonical href=&#47;k>"), (14, "http://i.net/k", f'<link rel="CANONICAL" href="{bad}">'),
+        (15, "http://j.net/", None), (16, "http://xn.net/..", ""),
+    ]
+    rows += [(100 + i, f"http://chain.net/{i}", f'<link rel="canonical" href="/{i + 1}">') for i in range(30)] + [(130, "http://chain.net/30", f'<link rel="canonical" href="{bad}">')]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter(df, q.RULES).collect()}
+    assert {i for i, r in got.items() if r[3] == "block"} == {1, 2, 5, 6, 8, 9, 10, 13, 14, *range(100, 131)}
+    assert got[4][2:] == ("org/", "allow")
+    con = duckdb.connect()
+    pages = df.toPandas()
+    con.register("pages", pages)
+    want = con.execute(q.ORACLES["op4_url_filter"]).fetchall()
+    assert got == {r[0]: tuple(r[1:]) for r in want}
+
+
 def test_toxicity(spark, sf):
     from lodestone.llm.toxicity import toxicity
 
