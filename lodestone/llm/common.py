@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own if all run on this machine."""
     sc = ship(spark).sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -51,7 +54,7 @@ def input_bytes(df: DataFrame) -> int:
     return n if n < UNKNOWN_BYTES else 0
 
 
-def bucket_count(df: DataFrame, bytes_each: int = 2 << 20, low: int = 512, high: int = 1 << 14) -> int:
+def bucket_count(df: DataFrame, bytes_each: int = 2 << 20, low: int = 512, high: int = 1 << 17) -> int:
     """A power of two: buckets that hash keys are dealt to, so that one bucket's share of the input stays near bytes_each."""
     want = input_bytes(df) / bytes_each or 2048
     return int(min(high, max(low, 1 << int(np.ceil(np.log2(max(want, 1)))))))

@@ -9,10 +9,13 @@ pairs that reach the count calibrated for `recall` (a binomial quantile at the t
 Tiles come from cells: labels with more than `cell_rows` vectors are cut by g of further projections into grid cells,
 in as many independent tables as the recall asks for, g growing with the logarithm of the label's size. A pair counts in
 the first table in which it shares a cell. A cell that many vectors share is dealt out as block pairs. Tiles give the
-number of links of each vector and a spanning forest, never pairs. Equal vectors are one vector with a count.
+number of links of each vector and a spanning forest, never pairs. Equal vectors are one vector with a count. Windows on
+one direction hold a fifth of all vectors, so walking them entry by entry costs more than comparing ranks with window
+ends for a whole block at once, which is how a tile counts; it is the cells that keep tiles small.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do those
-whose label is null; vectors of unequal length never link; a row without vec_id is left out of others' counts and
+whose label is null; vectors of unequal length never link; a vec_id under several labels or with several vectors is a
+vector of its own each time; an empty table gives no rows; other columns are ignored; a row without vec_id is left out of others' counts and
 answered with no links; rows that repeat a vec_id count each other.
 """
 
@@ -62,29 +65,34 @@ def tables_for(g: int, threshold: float, recall: float) -> int:
     return 1 if g == 0 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
+def cells_of(x: np.ndarray, g: int, n: int, seed: int) -> np.ndarray:
+    """The cell of each unit vector (row of x) in each of n tables of g projections."""
+    if not g:
+        return np.zeros((len(x), 1), np.int64)
+    p = x @ directions(x.shape[1], g * n, seed + 1) + np.random.default_rng(seed + 2).random(g * n)[None, :] * CELL
+    c = np.floor(p.reshape(len(x), n, g) / CELL).astype(np.int64)
+    k = np.zeros((len(x), n), np.int64)
+    for i in range(g):
+        k = k * 1000003 + c[:, :, i]
+    return k
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max()
+    return v / math.sqrt(float(v @ v))
+
+
 def _cells(levels: dict[int, int], seed: int):
-    """rows (rep, label, g, vector) to one row with its cell in each of the tables of level g."""
+    """rows (rep, label, g, vector, copies) to one row with its unit vector and its cell in each of the tables of level g."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for rep, g, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                x = x / np.abs(x).max()
-                x = x / math.sqrt(float(x @ x))
-                n = levels[g]
-                if g:
-                    p = x @ directions(len(x), g * n, seed + 1) + np.random.default_rng(seed + 2).random(g * n)[None, :] * CELL
-                    c = np.floor(p.reshape(n, g) / CELL).astype(np.int64)
-                    k = np.zeros(n, np.int64)
-                    for col in c.T:
-                        k = k * 1000003 + col
-                    cells = k.tolist()
-                else:
-                    cells = [0]
-                out.append((cells, x.tobytes(), len(x)))
+            for g, v in zip(batch.column(2).to_pylist(), batch.column(3)):
+                x = unit(v.values.to_numpy(zero_copy_only=False).astype(np.float64))
+                out.append((cells_of(x[None, :], g, levels[g], seed)[0].tolist(), x.tobytes(), len(x)))
             cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), batch.column(4)], ["rep", "label", "cells", "x", "d", "copies"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cols[0], pa.list_(pa.int64())), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32()), batch.column(4)], ["rep", "label", "g", "cells", "x", "d", "copies"])
 
     return run
 
@@ -110,18 +118,19 @@ def collisions(queries: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]], w
     return count
 
 
-def _tile(threshold: float, m: int, recall: float, seed: int):
+def _tile(threshold: float, m: int, recall: float, levels: dict[int, int], seed: int):
     w, least = calibrated(threshold, m, recall)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        table, i, j = int(key[1]), key[4], key[5]
-        d = int(key[3])
+        label, table, _, d, g, i, j = key
+        table, d, g = int(table), int(d), int(g)
         pdf = pdf.sort_values("rep")
         a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
         xa, xb = (np.frombuffer(b"".join(s["x"]), np.float64).reshape(len(s), d) for s in (a, b))
         ra, rb = a["rep"].to_numpy(np.int64), b["rep"].to_numpy(np.int64)
         na, nb = a["copies"].to_numpy(np.int64), b["copies"].to_numpy(np.int64)
-        ca, cb = (np.array(s["cells"].tolist(), np.int64).reshape(len(s), -1) for s in (a, b))
+        # a pair counts in the first table in which it shares a cell
+        ca, cb = (cells_of(x, g, levels[g], seed)[:, :table] for x in (xa, xb))
         z = directions(d, m, seed)
         za, rows = xa @ z, ranked(xb @ z)
         links_a, links_b, us, vs = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), [], []
@@ -135,7 +144,7 @@ def _tile(threshold: float, m: int, recall: float, seed: int):
             near = cos >= threshold
             q, c = q[near], c[near]
             if table:
-                first = ~(ca[q, :table] == cb[c, :table]).any(1)
+                first = ~(ca[q] == cb[c]).any(1)
                 q, c = q[first], c[first]
             np.add.at(links_a, q, nb[c])
             np.add.at(links_b, c, na[q])
@@ -146,7 +155,7 @@ def _tile(threshold: float, m: int, recall: float, seed: int):
         reps, links = np.concatenate([ra, rb, u]), np.concatenate([links_a, links_b, np.zeros(len(u), np.int64)])
         other = np.concatenate([ra, rb, v])
         use = (links > 0) | (reps != other)
-        return pd.DataFrame({"rep": reps[use], "n": links[use], "other": other[use]})
+        return pd.DataFrame({"label": label, "rep": reps[use], "n": links[use], "other": other[use]})
 
     return run
 
@@ -157,24 +166,29 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.93, m: int = 32, re
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     good = F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~bad & F.exists(x, lambda v: v != 0) & F.col("vec_id").isNotNull()
     rows = materialize(vectors.select("vec_id", F.col("label").cast("string").alias("label"), x.alias("x"), F.coalesce(good, F.lit(False)).alias("good")))
-    copies = materialize(rows.where("good").groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    copies = materialize(rows.where("good").groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
+    # a node is a distinct vector of a label, named by a number of its own: one vec_id may stand for several vectors and labels
+    copies = materialize(copies.withColumn("rep", F.xxhash64("label", "x", "least")))
     sizes = copies.groupBy("label").agg(F.count("*").alias("n"))
     # unrelated unit vectors differ by about sqrt(2) on a direction
     shrink = -math.log(same_cell(math.sqrt(2)))
     g = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / cell_rows) / shrink)).cast("int")
     sized = copies.join(sizes.select("label", g.alias("g")), "label")
     levels = {r[0]: tables_for(r[0], threshold, recall) for r in sizes.select(g.alias("g")).distinct().collect()}  # some ten at most
-    placed = materialize(sized.select("rep", "label", "g", "x", "copies").mapInArrow(_cells(levels, seed), "rep long, label string, cells array<long>, x binary, d int, copies long"))
-    probes = placed.select("rep", "label", "d", "copies", "x", "cells", F.posexplode("cells").alias("t", "cell"))
+    placed = materialize(sized.select("rep", "label", "g", "x", "copies").mapInArrow(_cells(levels, seed), "rep long, label string, g int, cells array<long>, x binary, d int, copies long"))
+    # cells are counted and dealt by names alone; vectors join those that share a cell
     key = ["label", "t", "cell", "d"]
-    counts = probes.groupBy(*key).agg(F.count("*").alias("n"))
-    dealt = probes.join(counts.where("n > 1"), key).withColumn("n", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*key, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "copies", "x", "cells")
-    found = materialize(dealt.groupBy("label", "t", "cell", "d", "i", "j").applyInPandas(_tile(threshold, m, recall, seed), "rep long, n long, other long"))
+    probes = placed.select("rep", "label", "d", F.posexplode("cells").alias("t", "cell"))
+    counts = probes.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    dealt = probes.join(counts, key).withColumn("n", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
+    dealt = materialize(dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*key, F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep"))
+    tiles = dealt.join(placed.select("rep", "g", "x", "copies"), "rep")
+    found = materialize(tiles.groupBy("label", "t", "cell", "d", "g", "i", "j").applyInPandas(_tile(threshold, m, recall, levels, seed), "label string, rep long, n long, other long"))
     component = connected_components(found.where("rep <> other").select(F.col("rep").alias("u"), F.col("other").alias("v")))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    answer = copies.select("label", "x", "rep", "copies").join(links, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
-    answer = answer.select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("good"))
+    of = materialize(copies.join(component.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left").select("label", "x", "rep", "least", "copies", "n", F.coalesce("component", "rep").alias("component")))
+    first = materialize(of.groupBy("component").agg(F.min("least").alias("component_id")))
+    answer = of.join(first, "component").select("label", "x", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.lit(True).alias("good"))
     out = rows.join(answer, ["label", "x", "good"], "left")
     component_id = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), (F.col("vec_id") == component_id).alias("kept"))

@@ -2,12 +2,15 @@
 
 A source's target over its size is how often each of its documents is wanted: the whole part is taken as certain copies,
 the words still missing by a Pareto order sample. Inclusion probabilities are unequal (by `weight`, longer documents are
-likelier by default) and scaled to the missing words; documents are ranked by their random odds u/(1-u) over their
+likelier by default) and scaled to the missing words, those that would exceed 1 being certain and their excess going to
+the others; documents are ranked by their random odds u/(1-u) over their
 inclusion odds p/(1-p), and taken in that order until the words are reached. The cut is found by sums over a grid of
 ranks, refined once in the one cell that holds it, so a source that holds most rows never meets in one task.
 
 Defined results: null texts have size 0; a source that is null is one of its own, last in order; u is a hash of the
-document's id, source and seed, so reruns agree, and repeated rows are drawn together; sources without words take none.
+document's id, source and seed, so reruns agree, and repeated rows are drawn together; of equal ranks the smaller doc_id
+goes first; sources without words take none; very long texts are counted whole; an empty table gives no rows; columns other
+than doc_id, source and text are ignored. Sources are labels of collections: their list is sorted in one task.
 """
 
 from __future__ import annotations
@@ -40,6 +43,27 @@ def _key() -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source_key")
 
 
+def certain(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source_key, from_weight, odds_scale, sure_words): inclusion odds are odds_scale * weight, and documents of a weight from
+    from_weight on, whose odds would exceed 1, are taken for certain; their excess is given to the others.
+
+    sized: (source_key, size, weight). Each round finds the documents certain at the present scale and works the scale out anew
+    without them, until none is added; the certain never fill more than is missing, since odds below 1 still fill the rest.
+    """
+    now = plan.select("source_key", "missing", "heft", F.lit(float("inf")).alias("from_weight"), F.lit(0.0).alias("sure_words"))
+    while True:
+        scale = F.when(F.col("heft") > 0, (F.col("missing") - F.col("sure_words")) / F.col("heft"))
+        now = now.withColumn("odds_scale", scale)
+        limit = F.when(F.col("odds_scale") > 0, 1 / F.col("odds_scale")).otherwise(F.lit(float("inf")))
+        over = sized.join(now.withColumn("limit", F.least(limit, "from_weight")), "source_key")
+        is_sure = F.col("weight") >= F.col("limit")
+        found = over.groupBy("source_key").agg(F.min(F.when(is_sure & (F.col("size") > 0), F.col("weight"))).alias("low"), F.sum(F.when(is_sure, F.col("size")).otherwise(0)).cast("double").alias("words"), F.sum(F.when(~is_sure, F.col("size") * F.col("weight")).otherwise(0.0)).alias("rest"))
+        new = materialize(now.join(found, "source_key").select("source_key", "missing", F.col("rest").alias("heft"), F.least("from_weight", F.coalesce("low", F.lit(float("inf")))).alias("from_weight"), F.col("words").alias("sure_words"), F.col("sure_words").alias("before"), "odds_scale"))
+        if new.where("sure_words > before").isEmpty():
+            return new.select("source_key", "from_weight", "odds_scale", "sure_words")
+        now = new.select("source_key", "missing", "heft", "from_weight", "sure_words")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, weight: Column | None = None) -> DataFrame:
     """doc_id, source, row_key (hash of the text), size, source_size, target, copies, taken of each row of docs (doc_id, source, text)."""
     sized = docs.select("doc_id", "source", F.xxhash64("text").alias("row_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -50,9 +74,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     plan = sums.select(_key(), "heft").join(wanted.select("*", _key()).drop("source"), "source_key")
     plan = plan.withColumn("whole", F.floor(ratio + 1e-9)).withColumn("missing", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
     plan = materialize(plan)
-    rows = sized.select("doc_id", "source", "row_key", "size", "weight", _key()).join(plan, "source_key")
+    sure = certain(sized.select(_key(), "size", "weight"), plan)
+    # from here on missing is what the sample is to take besides the documents that are certain
+    plan = materialize(plan.join(sure, "source_key").select("source_key", "source_size", "target", "whole", "from_weight", F.col("odds_scale"), (F.col("missing") - F.col("sure_words")).alias("missing"), F.col("missing").alias("wanted")))
+    every = sized.select("doc_id", "source", "row_key", "size", "weight", _key()).join(plan, "source_key").withColumn("sure", F.coalesce((F.col("weight") >= F.col("from_weight")) & (F.col("wanted") > 0), F.lit(False)))
+    rows = every.where("NOT sure")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.when(F.col("heft") > 0, F.col("missing") * F.col("weight") / F.col("heft")).otherwise(0.5)))
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.coalesce(F.col("odds_scale") * F.col("weight"), F.lit(0.5))))
     q = (u / (1 - u)) / (p / (1 - p))
     rows = rows.withColumn("rank", q / (1 + q))
     cell, fine = F.floor(F.col("rank") * GRID).cast("long"), F.floor(F.col("rank") * GRID * GRID).cast("long")
@@ -76,5 +104,6 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     ends = materialize(at.select("source_key", "fine").join(border, "source_key", "left"))
     out = rows.drop("cell").withColumnRenamed("fine", "at").join(ends, "source_key", "left")
     taken = (F.col("missing") > 0) & (F.col("size") > 0) & F.coalesce((F.col("at") < F.col("fine")) | ((F.col("at") == F.col("fine")) & (F.col("rank") <= F.col("last_rank"))), F.lit(False))
-    out = out.withColumn("copies", (F.col("whole") + taken.cast("int")).cast("long"))
-    return out.select("doc_id", "source", "row_key", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    chosen = out.withColumn("copies", (F.col("whole") + taken.cast("int")).cast("long")).select("doc_id", "source", "row_key", "size", "source_size", "target", "copies")
+    kept = every.where("sure").select("doc_id", "source", "row_key", "size", "source_size", "target", (F.col("whole") + (F.col("size") > 0).cast("int")).cast("long").alias("copies"))
+    return chosen.union(kept).withColumn("taken", F.col("size") * F.col("copies"))

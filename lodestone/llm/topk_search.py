@@ -1,19 +1,22 @@
 """Exact top-k search: tiles of queries times tiles of candidates as integer matrix products, partial selection per tile, a tree of merges.
 
-Queries and candidates are packed into tiles of rows as they lie; each candidate tile meets each query tile once. A tile
+Queries and candidates are packed into tiles of rows; each candidate tile meets each query tile once. A tile
 of products keeps each query's k best (ties to smaller ids) by partial selection, and the lists of a query merge by
 groups of `fan` tiles, level by level, until one is left, so no task ever holds more than fan * k entries of a query.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows without vec_id, take no part; a row
-whose vec_id repeats is no candidate for queries of that vec_id; vectors of unequal length score over the shorter; empty
-vectors score 0; scores beyond 64 bits are held at their ends. Columns other than those named are ignored.
+whose vec_id repeats is no candidate for queries of that vec_id, and of query rows that repeat one the least vector asks;
+vectors of unequal length score over the shorter; empty vectors score 0; scores beyond 64 bits are held at their ends;
+empty tables give no rows; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,21 @@ def _packer(scale: int, rows: int):
     return run
 
 
+def _asker(scale: int, rows: int):
+    """Rows (id, vector, part) to tiles of one part and vector length each."""
+    pack_up = _packer(scale, rows)
+
+    def run(batches):
+        for batch in batches:
+            part = batch.column(2)
+            for p in pc.unique(part).to_pylist():
+                own = batch.filter(pc.equal(part, p)).select([0, 1])
+                for t in pack_up([own]):
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), *[t.column(i) for i in (1, 2, 3)]], ["part", "q_d", "q_ids", "q_x"])
+
+    return run
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of rows of integral doubles."""
     d = min(a.shape[1], b.shape[1])
@@ -86,22 +104,31 @@ def _multiply(k: int, step: int = 256):
     return run
 
 
-def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, tile_rows: int = 4096, fan: int = 64) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best rows of vectors (vec_id, embedding) for each row of queries, exactly."""
+def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, tile_rows: int = 4096, fan: int = 64, ask_bytes: int = 64 << 20) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best rows of vectors (vec_id, embedding) for each row of queries, exactly.
+
+    Queries go in groups of at most about `ask_bytes` of packed tiles; a group is sent to all tasks, and the candidates stream
+    past it as they lie, so the candidates are written once and never shuffled, however many queries there are.
+    """
     kinds = "tile long, d int, ids binary, x binary"
-    columns = ["vec_id", F.col("embedding").cast("array<double>").alias("embedding")]
-    tiles = materialize(vectors.select(*columns).mapInArrow(_packer(scale, tile_rows), kinds))
-    asked = queries.select(*columns).dropDuplicates(["vec_id"])
-    parts = max(1, -(-asked.count() // tile_rows))
-    q = materialize(asked.repartition(parts, "vec_id").mapInArrow(_packer(scale, tile_rows), kinds).select(F.pmod(F.xxhash64("tile"), F.lit(parts)).alias("part"), F.col("d").alias("q_d"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x")))
+    x = F.col("embedding").cast("array<double>")
+    tiles = materialize(vectors.select("vec_id", x.alias("embedding")).mapInArrow(_packer(scale, tile_rows), kinds))
     lists = max(1, tiles.count())
-    # every query tile is dealt to every group of candidate tiles by number: an equi-join of packed tiles, as many keys as tasks
-    tasks = 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, min(lists, -(-tasks // parts)))
-    left = tiles.withColumn("group", F.pmod(F.xxhash64("tile"), F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    right = q.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    pairs = left.join(right, ["part", "group"])
-    top = pairs.select("tile", "d", "ids", "x", "q_d", "q_ids", "q_x").mapInArrow(_multiply(k), "query_id long, tile long, vec_id long, score long")
+    sound = queries.select("vec_id", x.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    asked = materialize(sound.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("bytes", 8 * F.size("embedding") + 8))
+    n, size = asked.agg(F.count("*"), F.sum("bytes")).first()
+    groups = max(1, math.ceil((size or 0) / ask_bytes))
+    parts = groups * max(1, math.ceil((n or 0) / groups / tile_rows))
+    # tiles of a group: queries of one hash part are packed in one task
+    packed = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).repartition(parts, "part").select("vec_id", "embedding", "part")
+    q = materialize(packed.mapInArrow(_asker(scale, tile_rows), "part long, q_d int, q_ids binary, q_x binary"))
+    top = None
+    for group in range(groups):
+        own = q.where(F.pmod("part", F.lit(groups)) == group).drop("part").withColumn("all", F.lit(1))
+        pairs = tiles.withColumn("all", F.lit(1)).join(F.broadcast(own), "all").select("tile", "d", "ids", "x", "q_d", "q_ids", "q_x")
+        found = pairs.mapInArrow(_multiply(k), "query_id long, tile long, vec_id long, score long")
+        found = materialize(found) if groups > 1 else found
+        top = found if top is None else top.union(found)
     return merge_tree(top, k, fan, lists)
 
 

@@ -113,6 +113,16 @@ def test_embedding_links(spark, cell_rows, block):
     assert embedding_links(vectors(spark, rows).limit(0)).collect() == []
 
 
+def test_embedding_links_of_repeated_ids(spark):
+    """A vec_id under two labels is two vectors: their links and components stay apart."""
+    from lodestone.llm.embedding_dedup import embedding_links
+
+    e = [[1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.1]]
+    rows = [(1, e[0], 0), (2, e[1], 0), (1, e[2], 1), (3, e[3], 1), (0, e[0], 2), (7, e[0], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_links(vectors(spark, rows)).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1), (7, 2, 1)]
+
+
 def test_embedding_recall(spark, sf):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in table(spark, sf, "embeddings").collect()]
     want, got = links_brute(rows, 0.93), sorted(map(tuple, q.op2_embedding_dedup(spark, sf).collect()))
@@ -484,6 +494,50 @@ def test_mixing(spark, sf):
     assert mix_sources(empty(spark)).collect() == []
 
 
+def test_mixing_takes_the_pareto_order(spark, sf):
+    """Which documents are taken, by plain Python from the same random numbers; some weights are so unequal that documents are certain."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.mixing import mix_sources
+
+    heavy = [(i, " ".join(["w"] * int(n)), f"s{i % 3}") for i, n in enumerate(np.random.default_rng(3).integers(1, 400, 240))]
+    made = spark.createDataFrame(heavy, "doc_id long, text string, source string")
+    sizes = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    for df, weight in ((table(spark, sf, "documents"), None), (made, F.pow(F.col("size"), 3))):
+        u = (F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit(7)), 11).cast("double") + 0.5) / float(1 << 53)
+        rows = {r.doc_id: (r.source, r.n, r.u) for r in df.select("doc_id", "source", sizes.alias("n"), u.alias("u")).collect()}
+        got = {r.doc_id: (r.copies, r.target) for r in mix_sources(df, weight=weight).collect()}
+        some_sure = 0
+        for s in {x[0] for x in rows.values()}:
+            own = {i: (n, u, math.log1p(n) if weight is None else float(n) ** 3) for i, (x, n, u) in rows.items() if x == s}
+            total, target = sum(n for n, _, _ in own.values()), next(got[i][1] for i in own)
+            whole = math.floor(target / total + 1e-9)
+            missing, sure = target - whole * total, set()
+            while True:
+                scale = (missing - sum(own[i][0] for i in sure)) / (sum(n * w for i, (n, _, w) in own.items() if i not in sure) or 1)
+                more = {i for i, (n, _, w) in own.items() if scale > 0 and w * scale >= 1} - sure
+                if not more:
+                    break
+                sure |= more
+            some_sure += len(sure)
+            left, taken = missing - sum(own[i][0] for i in sure), set(sure)
+
+            def odds(i):
+                n, u, w = own[i]
+                p = min(1 - 1e-9, max(1e-9, scale * w))
+                return u / (1 - u) / (p / (1 - p))
+
+            upto = 0
+            for i in sorted(set(own) - sure, key=odds):
+                if left > 0 and upto + own[i][0] / 2 <= left and own[i][0]:
+                    taken.add(i)
+                upto += own[i][0]
+                if upto >= left:
+                    break
+            assert {i: got[i][0] for i in own} == {i: whole + (i in taken) for i in own}, s
+        assert weight is None or some_sure
+
+
 def licence_brute(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     at = [(k, label) for p, label in {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
@@ -581,6 +635,7 @@ def test_topk(spark):
             best = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in ok if j != i)[:10]
             want += [(i, k + 1, j, max(-(2**63), min(2**63 - 1, -s))) for k, (s, j) in enumerate(best)]
     assert got == sorted(want)
+    assert got == sorted(map(tuple, topk_search(df, df.where("vec_id % 100 = 0"), 10, tile_rows=37, fan=3, ask_bytes=100).collect()))
     assert topk_search(df.limit(0), df.limit(0)).collect() == []
 
 
