@@ -28,45 +28,55 @@ def vocabulary() -> str:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document kept after windows of 20 words that start earlier are removed; odd rows as in `substring_dedup`."""
     out = substring_dedup(table(spark, sf_dir, "documents"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.93 and components of all rows of embeddings; odd rows as in `embedding_links`."""
     return embedding_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces of at most 2048 ids, packed; odd rows as in `best_fit_packing`."""
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary(), size=2048)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url; odd rows as in `url_filter`."""
     return url_filter(table(spark, sf_dir, "pages"), RULES).drop("component")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learnt from labels that are not held out; odd rows as in `toxicity`."""
     out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), threshold=0.3)
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that start earlier, equal or within two edits; odd rows as in `line_dedup`."""
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines_gone")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; odd rows as in `mix_sources`."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and spans of every document; odd rows as in `license_scan`."""
     return license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best rows of embeddings for each vec_id divisible by 100; odd rows as in `topk_search`."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of four-word shingles and component within four bits of every document; odd rows as in `simhash_components`."""
     out = simhash_components(table(spark, sf_dir, "documents"), width=4, differ=4)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
