@@ -17,12 +17,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.3 or more go."""
+    """Documents with a score of 0.3 or more go; null and empty texts score low and stay, repeated rows are judged alike."""
     return toxicity(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), 0.3).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document stays, with what is left of its text and n_chars of that."""
+    """Repeated lines go; a document stays, with what is left of its text and n_chars of that; null and empty texts stay as they are."""
     cleaned = line_dedup(docs).groupBy("doc_id", "row_key").agg(F.first("text").alias("new_text"))
     rest = docs.select("doc_id", "lang", "source", "n_chars", F.xxhash64("text").alias("row_key"))
     joined = rest.join(cleaned.hint("shuffle_hash"), rest["doc_id"].eqNullSafe(cleaned["doc_id"]) & (rest["row_key"] == cleaned["row_key"]))
@@ -30,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays; one whose doc_id is null stays always."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more, by SimHash) the document with the smallest doc_id stays; null and empty texts are copies of each other; one whose doc_id is null stays always."""
     kept = materialize(similar_components(docs, width=5, similarity=0.8).where("doc_id = component_id").select("doc_id", "row_key").distinct())
     rows = docs.select(*COLUMNS)
     same = rows.withColumn("row_key", F.xxhash64("text")).join(kept, ["doc_id", "row_key"], "left_semi")
@@ -38,7 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target takes it."""
+    """Each document as many times as its source's target takes it; null and empty texts have no words to take, their copies follow their source's whole ones."""
     copies = mix_sources(docs).where("copies > 0").select("doc_id", "source", "row_key", "copies").distinct()
     rows = docs.select(*COLUMNS, F.xxhash64("text").alias("row_key"))
     same = rows["doc_id"].eqNullSafe(copies["doc_id"]) & rows["source"].eqNullSafe(copies["source"]) & (rows["row_key"] == copies["row_key"])
@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place in it."""
+    """Pieces of documents with their sequence and place in it; null and empty texts are one closing id, repeated rows are packed each."""
     return best_fit_packing(docs, vocabulary(), 2048)
 
 
