@@ -246,7 +246,7 @@ def _searched(rows: DataFrame, differ: int) -> DataFrame:
     return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_runs(differ), "h long").distinct()
 
 
-def near_followers(docs: DataFrame, first: DataFrame, differ: int = 2, near: int = 20, block: int = 512, block_bytes: int = 16 << 20) -> DataFrame:
+def near_followers(docs: DataFrame, first: DataFrame, differ: int = 2, near: int = 20, block: int = 256, block_bytes: int = 16 << 20) -> DataFrame:
     """(h): hashes of distinct lines that have another line at most `differ` edits apart with an earlier first place. first: (h, first).
 
     One row a line and key, never pairs. The lines of a key are dealt to blocks of about `block` lines (fewer, if they are
@@ -288,7 +288,7 @@ def _cleaner(at: dict[str, int]):
     return run
 
 
-def line_dedup(docs: DataFrame, differ: int = 2, least: int = 8, near: int = 20, block: int = 512) -> DataFrame:
+def line_dedup(docs: DataFrame, differ: int = 2, least: int = 8, near: int = 20, block: int = 256) -> DataFrame:
     """(doc_id, row_key, text, n_lines_gone): the text of each row of docs (doc_id, text) without repeated lines."""
     docs = docs.select("doc_id", "text")
     lines = materialize(_occurrences(docs, least))

@@ -291,8 +291,9 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     # groups are of fingerprints; nodes of one fingerprint are a group too
     named = materialize(nodes.withColumn("name", name("fp")))
     grouped = materialize(named.join(group.withColumnRenamed("node", "name"), "name", "left").select("node", "first_id", "fp", F.coalesce("component", "name").alias("group")))
-    held = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = materialize(grouped.join(held.select("group"), "group"))
+    # counts are written before they join, so that the join is between plain exchanges, of which Spark splits a large group's
+    held = materialize(grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group"))
+    wanted = materialize(grouped.join(held, "group"))
     # texts of nodes in groups: of each node the row of its first document
     texts = docs.select("doc_id", "text").mapInArrow(_namer(width), "doc_id long, node long, text string")
     at = wanted.select("node", F.col("first_id").alias("doc_id"))
