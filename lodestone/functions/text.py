@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The form of an id, of a number in prose, and phrases of refusal.
+# The form of an id, of a list of ids in brackets, of a number in prose and in a chart's cell, and phrases of refusal.
 ID = r"[\w-]+(?::[\w-]+)+"
+BRACKETED_IDS = rf"\s*[(\[]\s*(?:ids?:\s*)?{ID}(?:\s*[,;]\s*{ID})*\s*[)\]]"
 NUMBER = r"(?<![\w.])-?\d[\d,]*(?:\.\d+)?(?:\s*%)?"
-REFUSAL = r"(?i)\b(not (?:found|contained|mentioned|covered|available|stated)|no (?:information|evidence|mention)|do(?:es)? not (?:contain|mention|say|cover)|cannot be answered|could not find)\b"
+CELL_NUMBER = r"(?:-?\d[\d,]*\.?\d*|-?\.\d+)(?:[eE][+-]?\d+)?"
+REFUSAL = r"(?i)not (?:be )?(?:found|mention|stat|provid|includ|specif|say|cover|contain|give)|no information|could ?n[o']t find|does not (?:say|state|mention|provide)|do not (?:say|state|mention|provide|contain)"
 
 
 def collapse(c: Column) -> Column:
@@ -38,15 +40,15 @@ def numbers_in(c: Column) -> Column:
 
 def chart_cell(c: Column) -> Column:
     """First number of a cell, exponent included; over 100 where a percent sign follows within two characters."""
-    n = F.regexp_extract(F.regexp_replace(c, ",", ""), r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)", 1)
-    percent = F.regexp_replace(c, ",", "").rlike(r"^[^\d-]*-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?.{0,1}%")
-    v = F.when(n != "", n.cast("double"))
+    n = F.regexp_extract(c, rf"({CELL_NUMBER})", 1)
+    percent = F.contains(F.regexp_extract(c, rf"{CELL_NUMBER}(.{{0,2}})", 1), F.lit("%"))
+    v = F.when(n != "", F.regexp_replace(n, ",", "").cast("double"))
     return F.when(percent, v / 100).otherwise(v)
 
 
 def strip_ids(c: Column) -> Column:
     """Takes ids in brackets out of prose, then spaces before punctuation."""
-    gone = F.regexp_replace(c, rf"\s*[(\[]\s*(?:ids?:\s*)?{ID}(?:\s*[,;]\s*{ID})*\s*[)\]]", "")
+    gone = F.regexp_replace(c, BRACKETED_IDS, "")
     return F.regexp_replace(gone, r" +([.,;:])", "$1")
 
 

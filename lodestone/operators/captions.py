@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import near_ledger
-from ..functions.text import numbers_in
-
-UNITS = r"(?:%|kb|mb|gb|tb|ms|s|sec|min|h|hz|khz|mhz|ghz|k|m|b|bn|million|billion|usd|eur|\$|€|£)"
+# A number as figures print it, a line that is only one, and one with its unit inside a line.
+NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
+VALUE_LINE = rf"^[~≈<>]?\s*({NUMBER})\s*(%|[A-Za-z×]{{1,3}})?$"
+VALUE_WITH_UNIT = rf"({NUMBER})\s*(%|GB|MB|KB|TB|ms|×|x)(?![A-Za-z])"
 
 
 def repaired_json(c: Column) -> Column:
@@ -24,19 +24,30 @@ def repaired_json(c: Column) -> Column:
 
 
 def printed_values(labels: Column) -> Column:
-    """Numbers that a figure prints as values: lines that are only a number, or a number with a unit."""
-    lines = F.filter(F.transform(labels, F.trim), lambda x: x.rlike(rf"(?i)^[~≈<>]?\s*[$€£]?\s*-?\d[\d,]*(\.\d+)?\s*{UNITS}?$"))
-    return numbers_in(F.array_join(lines, " ; "))
+    """Numbers that a figure prints as values, ascending: a line that is only a number (with % or a short unit), else each number
+    directly followed by a unit. A percentage counts as its fraction too."""
+    lines = F.transform(F.flatten(F.transform(labels, lambda x: F.split(x, r"\r\n|[\n\r]"))), F.trim)
+
+    def found(line: Column) -> Column:
+        alone = F.array(F.struct(F.regexp_extract(line, VALUE_LINE, 1).alias("n"), F.regexp_extract(line, VALUE_LINE, 2).alias("u")))
+        numbers, units = F.regexp_extract_all(line, F.lit(VALUE_WITH_UNIT), F.lit(1)), F.regexp_extract_all(line, F.lit(VALUE_WITH_UNIT), F.lit(2))
+        return F.when(line.rlike(VALUE_LINE), alone).otherwise(F.zip_with(numbers, units, lambda n, u: F.struct(n.alias("n"), u.alias("u"))))
+
+    def values(x: Column) -> Column:
+        v = F.regexp_replace(x["n"], ",", "").cast("double")
+        return F.when(x["u"] == "%", F.array(v, F.round(v / 100, 10))).otherwise(F.array(v))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(F.transform(lines, found)), values))))
 
 
 def check_values(points: DataFrame, printed: DataFrame) -> DataFrame:
-    """points (element_id, series, label, value, flag) as exact where the figure prints the value (element_id, printed), else estimated;
+    """points (element_id, series, label, value, flag) as exact if and only if the figure prints the value (element_id, printed), else estimated;
 
     a figure that prints no number gives none of its points.
     """
     j = points.join(printed.where(F.size("printed") > 0), "element_id")
-    exact = F.exists("printed", lambda p: near_ledger(F.col("value"), p))
-    return j.withColumn("flag", F.when(exact & (F.col("flag") == "exact"), "exact").otherwise("estimated")).select(points.columns)
+    exact = F.exists("printed", lambda p: F.abs(F.col("value") - p) < 1e-6)
+    return j.withColumn("flag", F.when(exact, "exact").otherwise("estimated")).select(points.columns)
 
 
 def import_captions(old: DataFrame, new: DataFrame, figures: DataFrame) -> DataFrame:

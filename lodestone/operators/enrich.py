@@ -30,6 +30,36 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(folded(c), F.lit(r"[a-z0-9]+"), F.lit(0)))
 
 
+def exclude_figures(elements: DataFrame, files: list[str]) -> DataFrame:
+    """elements (element_id, source_file, type, status, skip_reason) with the figures of the listed files skipped, for the reason their owner gave."""
+    out = F.col("source_file").isin(files) & F.col("type").isin("image", "vector_figure", "scanned_page")
+    return elements.withColumn("skip_reason", F.when(out, "owner_excluded_figures").otherwise(F.col("skip_reason"))).withColumn("status", F.when(out, "skipped").otherwise(F.col("status")))
+
+
+def target_texts(figures: DataFrame, tables: DataFrame) -> DataFrame:
+    """(element_id, text, labels): what each target is about, for the comparison of meanings, and the labels that its paragraphs may quote.
+
+    figures (element_id, short_caption, description, visible_text, caption, text): the model's captions and the printed one, else
+    the figure's own text; labels of at least four characters with a letter or digit, each once. tables (element_id, title,
+    summary, columns).
+    """
+    told = F.concat_ws("\n", "short_caption", "description", F.when(F.col("caption") != "", F.col("caption")))
+    about = F.when(told != "", told).otherwise(F.coalesce(F.translate("text", "\n", " "), F.lit("")))
+    read = F.transform(F.coalesce("visible_text", F.split(F.coalesce("text", F.lit("")), "\n")), F.trim)
+    labels = F.array_distinct(F.filter(read, lambda x: (F.length(x) >= 4) & F.lower(x).rlike("[a-z0-9]")))
+    t = tables.select("element_id", F.concat_ws("\n", *[F.when(F.coalesce(c, F.lit("")) != "", c) for c in (F.col("title"), F.col("summary"), F.array_join("columns", " | "))]).alias("text"), F.filter("columns", lambda c: F.length(c) >= 4).alias("labels"))
+    return figures.select("element_id", about.alias("text"), labels.alias("labels")).union(t)
+
+
+def summary_requests(tables: DataFrame, cache: DataFrame, model: str, most_rows: int = 25) -> DataFrame:
+    """(key, title, columns, rows) of tables (title, columns, rows) whose summary the cache (key) lacks, each once: the key is a
+    sha256 of the model and all that the table holds, the rows shown are the first `most_rows`."""
+    key = F.sha2(F.concat(F.lit(f"{model}\n"), F.to_json(F.struct("title", "columns", "rows"))), 256)
+    lines = F.array_join(F.transform(F.slice("rows", 1, most_rows), lambda r: F.array_join(r, " | ", "")), "\n")
+    asked = tables.select(key.alias("key"), F.coalesce("title", F.lit("(none)")).alias("title"), F.array_join("columns", " | ").alias("columns"), lines.alias("rows"))
+    return asked.dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")
+
+
 def label_shares(figures: DataFrame, least: float = 0.5) -> DataFrame:
     """(element_id, share, status): of the words a model read off a figure (visible_text), the share its own labels (text) have."""
     seen, own = word_set(F.array_join("visible_text", " ")), word_set(F.col("text"))
@@ -75,12 +105,18 @@ def related_links(targets: DataFrame, paragraphs: DataFrame, window: float = 150
     """
     p = paragraphs.where(F.size(F.split(F.trim("text"), r"\s+")) >= least_words)
     t = targets.select("doc_id", F.col("page").alias("tp"), F.col("seq").alias("ts"), "target_id", F.col("bbox").alias("t"), F.col("section").alias("tsec"), F.col("vector").alias("tv"), "labels")
-    pair = t.join(p, "doc_id")
-    ends = pair.groupBy("doc_id", "target_id").agg(F.max(F.when(F.col("seq") < F.col("ts"), F.col("seq"))).alias("prev"), F.min(F.when(F.col("seq") > F.col("ts"), F.col("seq"))).alias("next"))
+    # one equi-join a rule, so that a long document's targets never meet all of its paragraphs
+    on_page = t.join(p, (t["doc_id"] == p["doc_id"]) & (t["tp"] == p["page"])).drop(p["doc_id"])
     gap = F.least(F.abs(F.col("bbox")[1] - F.col("t")[3]), F.abs(F.col("t")[1] - F.col("bbox")[3]))
-    near = (F.col("page") == F.col("tp")) & (gap <= window)
-    section = (F.size("tsec") > 0) & (F.col("section") == F.col("tsec")) & (F.abs(F.col("page") - F.col("tp")) <= 1)
-    close = pair.join(ends, ["doc_id", "target_id"]).where(near | (F.col("seq") == F.col("prev")) | (F.col("seq") == F.col("next")) | section)
+    near = on_page.where(gap <= window).select("target_id", "element_id")
+    w = Window.partitionBy("doc_id").orderBy("seq", F.col("target_id").isNotNull())
+    both = p.select("doc_id", "seq", "element_id", F.lit(None).cast(t.schema["target_id"].dataType).alias("target_id")).unionByName(t.select("doc_id", F.col("ts").alias("seq"), F.lit(None).cast(p.schema["element_id"].dataType).alias("element_id"), "target_id"))
+    beside = both.select("target_id", F.last("element_id", True).over(w).alias("prev"), F.first("element_id", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next")).where("target_id IS NOT NULL")
+    beside = beside.select("target_id", F.explode(F.array("prev", "next")).alias("element_id")).where("element_id IS NOT NULL")
+    titled = p.where(F.size("section") > 0).select(F.col("doc_id").alias("d"), F.col("section").alias("sec"), "page", "element_id")
+    section = t.where(F.size("tsec") > 0).join(titled, (t["doc_id"] == titled["d"]) & (t["tsec"] == titled["sec"]) & (F.abs(titled["page"] - t["tp"]) <= 1)).select("target_id", "element_id")
+    chosen = near.union(beside).union(section).distinct()
+    close = chosen.join(t, "target_id").join(p.drop("doc_id"), "element_id")
     held = F.size(F.filter("labels", lambda x: F.contains(F.lower("text"), F.lower(x))))
     share = F.when(F.size("labels") > 0, held / F.size("labels")).otherwise(0.0)
     scored = close.withColumn("score", F.round(cosine(F.col("tv"), F.col("vector")) + label_weight * share, 3))
