@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import exclusive_quantile, near_metric
+from ..functions.numeric import near_metric
 from ..functions.text import is_refusal, numbers_in
 
 # Metrics that must be perfect, and those held against a baseline.
@@ -28,9 +28,9 @@ def average_precision(flags: DataFrame) -> DataFrame:
     return p.groupBy("query_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("useful"), F.col("p"))), F.lit(0.0)), 9).alias("ap"))
 
 
-def chart_numeric(charts: Column, expected: Column) -> Column:
-    """Share of charts (array of arrays) all of whose values are expected ones or their hundredths; null where nothing is expected."""
-    targets = F.concat(expected, F.transform(expected, lambda e: e / 100))
+def chart_numeric(charts: Column, expected: Column, percent: bool = True) -> Column:
+    """Share of charts (array of arrays) all of whose values are expected ones, or their hundredths where percentages are; null where nothing is expected."""
+    targets = F.concat(expected, F.transform(expected, lambda e: e / 100)) if percent else expected
     right = F.filter(charts, lambda c: F.forall(c, lambda v: F.exists(targets, lambda e: near_metric(v, e))))
     return F.when(F.size(expected) == 0, None).when(F.size(charts) == 0, 0.0).otherwise(F.size(right) / F.size(charts))
 
@@ -74,23 +74,58 @@ def metric_means(scores: DataFrame) -> DataFrame:
     return s.groupingSets([["qtype", "metric"], ["metric"]], "qtype", "metric").agg(F.round(F.avg("score"), 4).alias("mean"), F.count("*").alias("n"))
 
 
+def order_statistics(values: DataFrame, by: list[str], value: str, place: Column, cells: int = 4096) -> DataFrame:
+    """(by, n, pos, a, b): of each group's non-null values the number n, the position pos (`place`, of column n), and the values
+    at ranks floor(pos) and the next, held within 1 and n.
+
+    Counts on a grid between a group's ends find the cells that hold the two ranks; only their distinct values are put in order,
+    so a group that holds most rows never meets in one task.
+    """
+    v = values.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    ends = v.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    pos = place
+    first = F.greatest(F.lit(1).cast("long"), F.least(F.greatest(F.col("n") - 1, F.lit(1)), F.floor(pos).cast("long")))
+    ends = ends.withColumn("pos", pos).withColumn("j", first)
+    cell = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * (cells - 1))).otherwise(0).cast("int")
+
+    def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        """An equi-join in which nulls are equal; the columns of the keys are the left's."""
+        named = right.withColumnsRenamed({c: f"_{c}" for c in keys})
+        cond = F.lit(True)
+        for c in keys:
+            cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return left.join(named, cond).drop(*[f"_{c}" for c in keys])
+
+    placed = meet(v, ends, by).select(*by, "v", "n", "pos", "j", cell.alias("cell"))
+    w = Window.partitionBy(*by).orderBy("cell")
+    grid = placed.groupBy(*by, "n", "pos", "j", "cell").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(w))
+    wanted = grid.where((F.col("upto") >= F.col("j")) & (F.col("upto") - F.col("c") < F.col("j") + 1)).select(*by, "cell", (F.col("upto") - F.col("c")).alias("before"))
+    inner = meet(placed, wanted, [*by, "cell"]).groupBy(*by, "n", "pos", "j", "cell", "before", "v").agg(F.count("*").alias("c"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy(*by, "cell").orderBy("v"))
+    ranked = inner.withColumn("upto", upto)
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
+    return ranked.groupBy(*by, "n", "pos", "j").agg(at(F.col("j")).alias("a"), F.coalesce(at(F.least(F.col("j") + 1, F.col("n"))), F.max("v")).alias("b"))
+
+
+def _between(at: DataFrame) -> Column:
+    return F.when(F.col("n") == 1, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("j")))
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """One row: questions, median and exclusive p90 of latency_s, median and total of cost_usd."""
-    return runs.agg(
-        F.count("*").alias("questions"), F.round(F.median("latency_s"), 6).alias("median_latency_s"), F.round(exclusive_quantile(F.collect_list("latency_s"), 0.9), 6).alias("p90_latency_s"),
-        F.round(F.median("cost_usd"), 6).alias("median_cost_usd"), F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"),
-    )
+    sums = runs.agg(F.count("*").alias("questions"), F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"))
+    n = F.col("n")
+    for name, column, place in (("median_latency_s", "latency_s", (n + 1) / 2), ("p90_latency_s", "latency_s", (n + 1) * F.lit(0.9)), ("median_cost_usd", "cost_usd", (n + 1) / 2)):
+        one = order_statistics(runs, [], column, place)
+        # one row, or none where no value is known
+        sums = sums.join(one.select(F.round(_between(one), 6).alias(name)), F.lit(True), "left")
+    return sums.select("questions", "median_latency_s", "p90_latency_s", "median_cost_usd", "total_cost_usd")
 
 
 def p90(values: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, p90) by the exclusive method, by ranks in place of arrays, so a large group needs no array."""
-    order = Window.partitionBy(by).orderBy(value)
-    v = values.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"), F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    pos = (F.col("n") + 1) * F.lit(0.9)
-    j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(pos)))
-    at = v.withColumn("j", j).withColumn("pos", pos).where((F.col("k") == F.col("j")) | (F.col("k") == F.col("j") + 1))
-    g = at.groupBy(by).agg(F.first("n").alias("n"), F.min("k").alias("k"), F.min_by("v", "k").alias("a"), F.max_by("v", "k").alias("b"), F.first("pos").alias("pos"), F.first("j").alias("j"))
-    return g.select(by, "n", F.round(F.when(F.col("n") == 1, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("pos") - F.col("j"))), 6).alias("p90"))
+    """(by, n, p90) by the exclusive method."""
+    at = order_statistics(values, [by], value, (F.col("n") + 1) * F.lit(0.9))
+    return at.select(by, "n", F.round(_between(at), 6).alias("p90"))
 
 
 def gate(now: DataFrame, baseline: DataFrame, tolerance: float = 0.03) -> DataFrame:
@@ -107,7 +142,7 @@ def gate(now: DataFrame, baseline: DataFrame, tolerance: float = 0.03) -> DataFr
 def last_baseline(runs: DataFrame) -> DataFrame:
     """The newest passed run (run_id, started_at, passed, metric, mean)."""
     last = runs.where("passed").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
-    return runs.join(F.broadcast(last), "run_id", "left_semi")
+    return runs.join(last, "run_id", "left_semi")
 
 
 def worst(scores: DataFrame, n: int = 5) -> DataFrame:
@@ -128,7 +163,8 @@ def spend_cap(costs: DataFrame, cap: float) -> DataFrame:
 def stratified(items: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """n items (stratum, id) taken in turn from each stratum, in a seeded order within it."""
     order = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id")
-    return items.withColumn("turn", F.row_number().over(order)).orderBy("turn", "stratum", "id").limit(n)
+    # no stratum gives more than n: Spark stops numbering there, before rows are sorted
+    return items.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= n).orderBy("turn", "stratum", "id").limit(n)
 
 
 def model_comparison(runs: DataFrame) -> DataFrame:
@@ -201,9 +237,9 @@ def indexed_only(items: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def open_cases(cases: DataFrame, writers: DataFrame, done: DataFrame) -> DataFrame:
-    """(case_id, writer) still to judge: every case with every writer, less those that have a judgement. Writers are a handful of names."""
+    """(case_id, writer) still to judge: every case with every writer, less those that have a judgement."""
     judged = done.where("judgement IS NOT NULL").select("case_id", "writer")
-    return cases.select("case_id").crossJoin(F.broadcast(writers.select("writer"))).join(judged, ["case_id", "writer"], "left_anti")
+    return cases.select("case_id").crossJoin(writers.select("writer")).join(judged, ["case_id", "writer"], "left_anti")
 
 
 def judge_summary(judgements: DataFrame) -> DataFrame:

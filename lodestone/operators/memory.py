@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import before
-from ..functions.numeric import cosine
 from ..functions.text import ID, collapse
+from .retrieval import nearest
 
 
 def recall(memories: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
     """(query_id, memory_id, kind, score, place): k semantic memories, then half as many episodes, of the asking user, by similarity."""
-    j = memories.join(queries.select("query_id", "user_id", "vector"), "user_id")
-    s = j.withColumn("score", F.round(cosine(F.col("embedding"), F.col("vector")), 9))
+    top = nearest(memories, queries, k, "memory_id", within=["user_id"], kind="kind")
     order = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "memory_id")
-    top = s.withColumn("place", F.row_number().over(order)).where((F.col("kind") == "semantic") & (F.col("place") <= k) | (F.col("kind") == "episodic") & (F.col("place") <= max(1, k // 2)))
+    top = top.withColumn("place", F.row_number().over(order)).where((F.col("kind") == "semantic") & (F.col("place") <= k) | (F.col("kind") == "episodic") & (F.col("place") <= max(1, k // 2)))
     return top.select("query_id", "memory_id", "kind", "score", "place")
 
 
@@ -25,6 +24,20 @@ def remember(memories: DataFrame, new: DataFrame) -> DataFrame:
     return memories.unionByName(new).groupBy(*key).agg(F.max_by("text", F.struct("updated_at", "text")).alias("text"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
 
 
+def listed(memories: DataFrame, user_id) -> DataFrame:
+    """A user's memories, newest first."""
+    return memories.where(F.col("user_id") == user_id).orderBy(F.desc("updated_at"), "kind", "subject")
+
+
+def delete(memories: DataFrame, user_id, keys: DataFrame | None = None) -> DataFrame:
+    """memories without those of a user: all of them, or those that keys (kind, subject) name. Others' memories are never touched."""
+    own = F.col("user_id") == user_id
+    if keys is None:
+        return memories.where(~F.coalesce(own, F.lit(False)))
+    named = keys.select("kind", "subject").distinct().withColumn("user_id", F.lit(user_id).cast(memories.schema["user_id"].dataType))
+    return memories.join(named, ["user_id", "kind", "subject"], "left_anti").select(memories.columns)
+
+
 def forget(memories: DataFrame, as_of: str, days: int = 365) -> DataFrame:
     return memories.where(F.col("updated_at") >= before(as_of, days=days))
 

@@ -75,11 +75,19 @@ def orphan_threads(states: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def ip_throttle(auth: DataFrame, most: int = 20, minutes: int = 15) -> DataFrame:
-    """auth rows (event_id, ip, event_type, created_at) with the failures of their address in the minutes before, and throttled."""
-    seconds = F.unix_micros(F.col("created_at").cast("timestamp"))
-    w = Window.partitionBy("ip").orderBy(seconds).rangeBetween(-minutes * 60_000_000, -1)
-    n = F.coalesce(F.sum((F.col("event_type") == "login_failure").cast("int")).over(w), F.lit(0)).cast("long")
-    return auth.withColumn("recent_failures", n).withColumn("throttled", F.col("recent_failures") >= most)
+    """auth rows (event_id, ip, event_type, created_at) with the failures of their address in the minutes before, and throttled.
+
+    Time is cut into stretches of that many minutes; a failure counts in its own and in the next, so that a window needs one
+    stretch only, and an address with very many events is spread over them.
+    """
+    span = minutes * 60_000_000
+    rows = auth.withColumn("at", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("failed", (F.col("event_type") == "login_failure").cast("int"))
+    rows = rows.withColumn("own", F.lit(True)).withColumn("stretch", F.floor(F.col("at") / span))
+    carried = rows.where("failed = 1").withColumn("own", F.lit(False)).withColumn("stretch", F.col("stretch") + 1)
+    w = Window.partitionBy("ip", "stretch").orderBy("at").rangeBetween(-span, -1)
+    n = F.coalesce(F.sum("failed").over(w), F.lit(0)).cast("long")
+    out = rows.union(carried).withColumn("recent_failures", n).where("own")
+    return out.select(*auth.columns, "recent_failures", (F.col("recent_failures") >= most).alias("throttled"))
 
 
 def sign_in_replay(attempts: DataFrame, most: int = 5, minutes: int = 15) -> DataFrame:

@@ -37,9 +37,8 @@ class Tables:
         return d.join(self.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
 
     def questions(self) -> DataFrame:
-        """The first three words of each benchmark item, and the vector of its number."""
-        words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-        b = self.benchmark.select(F.col("item_id").alias("query_id"), words.alias("question"))
+        """Each benchmark item as a question, and the vector of its number."""
+        b = self.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
         return b.join(self.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
 
     def log(self) -> DataFrame:
@@ -75,7 +74,7 @@ class Tables:
 
 # Parts of the oracles that several share.
 CHUNKS = "chunks AS (SELECT d.doc_id AS chunk_id, d.lang AS collection, d.text, d.source, e.embedding::DOUBLE[] AS x FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
-ASKED = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:3], ' ') AS question, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id)"
+ASKED = "q AS (SELECT item_id AS query_id, text AS question, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON item_id = vec_id)"
 SEMANTIC = CHUNKS + ", " + ASKED + """, sim AS (
   SELECT query_id, chunk_id, round(list_dot_product(x, v) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(v, v))), 9) AS score FROM chunks, q
 ), semantic AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM sim QUALIFY rank <= 20)"""
@@ -136,14 +135,15 @@ def hybrid_rrf(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT chunk_id, coalesce(array_to_string(list(element_id || '@' || page ORDER BY pos) FILTER (element_id IS NOT NULL), ' '), '') AS locations
+    """SELECT chunk_id, coalesce(array_to_string(list(element_id || '@' || page || '@' || box ORDER BY pos) FILTER (element_id IS NOT NULL), ' '), '') AS locations
 FROM (SELECT o_orderkey AS chunk_id, i AS pos, CASE i WHEN 0 THEN o_custkey WHEN 1 THEN o_orderkey ELSE -1 END AS want FROM orders, range(0, 3) r(i)) a
-LEFT JOIN (SELECT c_custkey AS element_id, c_nationkey AS page FROM customer) e ON e.element_id = a.want GROUP BY chunk_id"""
+LEFT JOIN (SELECT c_custkey AS element_id, c_nationkey AS page, 'f' || c_mktsegment || '0,' || c_nationkey || ',10,' || (c_nationkey + 5) AS box FROM customer) e ON e.element_id = a.want GROUP BY chunk_id"""
 )
 def hybrid_locations(t: Tables) -> DataFrame:
     chunks = t.orders.select(F.col("o_orderkey").alias("chunk_id"), F.array("o_custkey", "o_orderkey", F.lit(-1).cast("long")).alias("element_ids"))
-    found = retrieval.locations(chunks, t.customer.select(F.col("c_custkey").alias("element_id"), F.col("c_nationkey").alias("page")))
-    text = F.array_join(F.transform("locations", lambda e: F.concat(e["element_id"].cast("string"), F.lit("@"), e["page"].cast("string"))), " ")
+    box = F.array(F.lit(0), "c_nationkey", F.lit(10), F.col("c_nationkey") + 5)
+    found = retrieval.locations(chunks, t.customer.select(F.col("c_custkey").alias("element_id"), F.col("c_nationkey").alias("page"), box.alias("bbox"), F.concat(F.lit("f"), "c_mktsegment").alias("source_file")))
+    text = F.array_join(F.transform("locations", lambda e: F.concat(e["element_id"].cast("string"), F.lit("@"), e["page"].cast("string"), F.lit("@"), e["source_file"], F.array_join(e["bbox"].cast("array<string>"), ","))), " ")
     return found.select("chunk_id", text.alias("locations"))
 
 
@@ -433,13 +433,17 @@ def furniture_lines(t: Tables) -> DataFrame:
     return ingest.shared_lines(t.lines())
 
 
+CELLS = ["12.5M", "~3", "4x", "$1,200", "-7", "41%", "n/a", "1 200", "", " 8 ", "5kg", "+2.5 ×"]
+
+
 @query(
-    r"""SELECT table_id, column_no, count(*) FILTER (trim(cell) <> '') AS filled, count(*) FILTER (regexp_matches(cell, '^\s*[(\-+]?\s*[$€£]?\s*\d[\d,]*(\.\d+)?\s*%?\)?\s*$')) AS numeric,
-  count(*) FILTER (regexp_matches(cell, '^\s*[(\-+]?\s*[$€£]?\s*\d[\d,]*(\.\d+)?\s*%?\)?\s*$')) >= 0.8 * count(*) FILTER (trim(cell) <> '') AS is_numeric
-FROM (SELECT event_type AS table_id, unnest([1, 2, 3]) AS column_no, unnest([user_id::VARCHAR, props, json_extract_string(props, '$.k')]) AS cell FROM events) GROUP BY ALL"""
+    f"""SELECT table_id, column_no, count(*) FILTER (c <> '') AS filled, count(*) FILTER (num) AS numeric, count(*) FILTER (num) >= 0.8 * count(*) FILTER (c <> '') AS is_numeric FROM (
+  SELECT *, regexp_matches(c, '^[~≈<>]?\\s*[-+]?[$]?[0-9][0-9,]*([.][0-9]+)?\\s*(%|[kKmMbBxX×])?$') AS num FROM (SELECT event_type AS table_id, unnest([1, 2, 3, 4]) AS column_no,
+    trim(unnest([user_id::VARCHAR, props, json_extract_string(props, '$.k'), {CELLS!r}[event_id % 12 + 1]])) AS c FROM events)) GROUP BY ALL"""
 )
 def numeric_columns(t: Tables) -> DataFrame:
-    cells = F.posexplode(F.array(F.col("user_id").cast("string"), "props", F.get_json_object("props", "$.k"))).alias("column_no", "cell")
+    made = F.element_at(F.array(*map(F.lit, CELLS)), (F.pmod("event_id", F.lit(12)) + 1).cast("int"))
+    cells = F.posexplode(F.array(F.col("user_id").cast("string"), "props", F.get_json_object("props", "$.k"), made)).alias("column_no", "cell")
     e = t.events.select(F.col("event_type").alias("table_id"), F.col("event_id").alias("row_no"), cells).withColumn("column_no", F.col("column_no") + 1)
     return ingest.numeric_columns(e)
 
@@ -541,9 +545,18 @@ def numbers_in(t: Tables) -> DataFrame:
     return n.select("doc_id", F.size("v").cast("long").alias("n"), F.array_max("v").alias("largest"))
 
 
-@query(rf"SELECT conv_id, turn, regexp_matches(text, '{tx.REFUSAL}') AS refused FROM conversations")
+PHRASES = ["was not found", "could not be found anywhere", "couldn't find it", "couldnt find it", "is not provided", "does not provide that", "No information here", "do not contain", "not statistically", "do see", "cannot tell", "nothing found"]
+
+
+@query(
+    f"""SELECT conv_id, turn, regexp_matches(lower(said), 'not (be )?(found|mention|stat|provid|includ|specif|say|cover|contain|give)') OR contains(lower(said), 'no information')
+  OR regexp_matches(lower(said), 'could ?n(o|'')t find') OR regexp_matches(lower(said), 'does not (say|state|mention|provide)') OR regexp_matches(lower(said), 'do not (say|state|mention|provide|contain)') AS refused
+FROM (SELECT conv_id, turn, text || ' ' || {PHRASES!r}[(conv_id + turn) % 12 + 1] AS said FROM conversations)""".replace('"couldn\'t find it"', "'couldn''t find it'")
+)
 def refusal_flag(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", tx.is_refusal(F.col("text")).alias("refused"))
+    """Each turn with one of twelve phrases behind it."""
+    said = F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(12)) + 1).cast("int")))
+    return t.conversations.select("conv_id", "turn", tx.is_refusal(said).alias("refused"))
 
 
 @query(r"SELECT conv_id, turn, regexp_replace(text, '\s*[(\[]\s*(?:ids?:\s*)?[\w-]+(?::[\w-]+)+(?:\s*[,;]\s*[\w-]+(?::[\w-]+)+)*\s*[)\]]', '', 'g').regexp_replace(' +([.,;:])', '\1', 'g') || '.' AS text FROM conversations")
