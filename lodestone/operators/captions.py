@@ -26,7 +26,7 @@ def repaired_json(c: Column) -> Column:
 def printed_values(labels: Column) -> Column:
     """Numbers that a figure prints as values, ascending: a line that is only a number (with % or a short unit), else each number
     directly followed by a unit. A percentage counts as its fraction too."""
-    lines = F.transform(F.flatten(F.transform(labels, lambda x: F.split(x, r"\r\n|[\n\r]"))), F.trim)
+    lines = F.transform(F.flatten(F.transform(labels, lambda x: F.split(x, r"\r\n|[\n\r]"))), lambda x: F.trim(x))
 
     def found(line: Column) -> Column:
         alone = F.array(F.struct(F.regexp_extract(line, VALUE_LINE, 1).alias("n"), F.regexp_extract(line, VALUE_LINE, 2).alias("u")))

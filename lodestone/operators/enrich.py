@@ -45,7 +45,7 @@ def target_texts(figures: DataFrame, tables: DataFrame) -> DataFrame:
     """
     told = F.concat_ws("\n", "short_caption", "description", F.when(F.col("caption") != "", F.col("caption")))
     about = F.when(told != "", told).otherwise(F.coalesce(F.translate("text", "\n", " "), F.lit("")))
-    read = F.transform(F.coalesce("visible_text", F.split(F.coalesce("text", F.lit("")), "\n")), F.trim)
+    read = F.transform(F.coalesce("visible_text", F.split(F.coalesce("text", F.lit("")), "\n")), lambda x: F.trim(x))
     labels = F.array_distinct(F.filter(read, lambda x: (F.length(x) >= 4) & F.lower(x).rlike("[a-z0-9]")))
     t = tables.select("element_id", F.concat_ws("\n", *[F.when(F.coalesce(c, F.lit("")) != "", c) for c in (F.col("title"), F.col("summary"), F.array_join("columns", " | "))]).alias("text"), F.filter("columns", lambda c: F.length(c) >= 4).alias("labels"))
     return figures.select("element_id", about.alias("text"), labels.alias("labels")).union(t)

@@ -246,17 +246,17 @@ def _parsed(frames):
         yield pd.DataFrame(out, columns=["query_id", "g", "never", "phrase", "stemmed", "all_of"])
 
 
-def websearch_topn(chunks: DataFrame, queries: DataFrame | str, n: int = 20) -> DataFrame:
+def websearch_topn(chunks: DataFrame, queries: DataFrame | str, n: int = 20, stems: bool = True) -> DataFrame:
     """(query_id, chunk_id, score, rank) of queries (query_id, question) in web-search syntax, or of one question as query 1.
 
     A chunk matches if its plain words satisfy the query, or its stems do; the score is the sum of ln(1 + tf) over the query's
     words, of the two the higher. Phrases are found by joining their words to positions of those words and counting diagonals,
-    so texts are split once and only the words of queries are shuffled.
+    so texts are split once and only the words of queries are shuffled. stems=False looks at plain words alone.
     """
     spark = chunks.sparkSession
     if isinstance(queries, str):
         queries = spark.createDataFrame([(1, queries)], "query_id int, question string")
-    asked = queries.select("query_id", "question").mapInPandas(_parsed, PHRASES.format(queries.schema["query_id"].dataType.simpleString()))
+    asked = queries.select("query_id", "question").mapInPandas(_parsed, PHRASES.format(queries.schema["query_id"].dataType.simpleString())).where(F.lit(stems) | ~F.col("stemmed"))
     words = asked.select("phrase", "stemmed").where("phrase IS NOT NULL").distinct().select("phrase", "stemmed", F.posexplode("phrase").alias("at", "term")).where("term IS NOT NULL")
     both = F.array(F.struct(F.lit(False).alias("stemmed"), tokens(F.col("text")).alias("words")), F.struct(F.lit(True).alias("stemmed"), st.english(F.col("text")).alias("words")))
     each = chunks.select("chunk_id", F.explode(both).alias("v")).select("chunk_id", "v.stemmed", F.posexplode("v.words").alias("pos", "term"))

@@ -135,7 +135,7 @@ def resolve_ids(ids: DataFrame, elements: DataFrame, chunks: DataFrame) -> DataF
     each = w.join(chunks.select(F.col("chunk_id").alias("id"), F.posexplode("element_ids").alias("pos", "element_id")), "id")
     via = each.join(elements.select("element_id", "source_file", "page"), "element_id").select("id", "source_file", "page", "element_id", "pos")
     at = w.where(F.col("id").rlike(r"^page:.+:\d+$"))
-    pages = at.select("id", F.regexp_extract("id", r"^page:(.+):\d+$", 1).alias("source_file"), F.regexp_extract("id", r":(\d+)$", 1).cast("int").alias("page")).join(elements.select("source_file", "page").distinct(), ["source_file", "page"])
+    pages = at.select("id", F.regexp_extract("id", r"^page:(.+):\d+$", 1).alias("source_file"), F.regexp_extract("id", r":(\d+)$", 1).try_cast("int").alias("page")).join(elements.select("source_file", "page").distinct(), ["source_file", "page"])
     return direct.union(via).union(pages.select("id", "source_file", "page", F.lit(None).cast("string"), F.lit(0)))
 
 

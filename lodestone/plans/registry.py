@@ -660,3 +660,6 @@ def chart_dashas(t: Tables) -> DataFrame:
 @query()
 def chart_yogas(t: Tables) -> DataFrame:
     return astro.yogas(astro.placements(t.charts()))
+
+
+from . import more  # noqa: E402, F401  registers further queries
