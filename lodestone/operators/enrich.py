@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import cosine
 from ..functions.text import collapse
+from .folds import fold
 
 # Phrases by which a paragraph points to a figure or table near it.
 VISUAL = r"(?:diagram|figure|chart|table|graph|picture|illustration|image)"
@@ -158,21 +160,21 @@ def chunk_text(blocks: DataFrame, max_tokens: int = 800, overlap: float = 0.15,
     """
     carry_most = int(max_tokens * overlap)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    rows = blocks.select("doc_id", "seq", "element_id", "section", "text")
+
+    def chunks(block: list[tuple]):
+        out: list[tuple] = []
+        doc = block[0][0]
 
         def emit(label, parts):
             ids = list(dict.fromkeys(p[0] for p in parts))
-            out.append((pdf["doc_id"].iloc[0], f"{pdf['doc_id'].iloc[0]}:text:{len(out) + 1}", ids, "\n".join([label, "\n\n".join(p[1] for p in parts)])))
+            out.append((doc, f"{doc}:text:{len(out) + 1}", ids, "\n".join([label, "\n\n".join(p[1] for p in parts)])))
 
-        pdf = pdf.sort_values("seq")
-        sections = [tuple(s) for s in pdf["section"]]
-        run = pd.Series(sections, dtype=object).ne(pd.Series(sections, dtype=object).shift()).cumsum().to_numpy()
-        for _, part in pdf.groupby(run, sort=True):
-            label = " > ".join(part["section"].iloc[0]) or "(no section)"
+        for section, part in groupby(block, key=lambda r: tuple(r[3] or ())):
+            label = " > ".join(section) or "(no section)"
             budget = max(1, max_tokens - sum(n for _, n in pieces(label, 1 << 30)) - 1)
             held, used = [], 0
-            for element, text in zip(part["element_id"], part["text"]):
+            for _, _, element, _, text in part:
                 for piece, n in pieces(text, budget):
                     if held and used + n > budget:
                         emit(label, held)
@@ -185,10 +187,10 @@ def chunk_text(blocks: DataFrame, max_tokens: int = 800, overlap: float = 0.15,
                     used += n
             if held:
                 emit(label, held)
-        return pd.DataFrame(out, columns=["doc_id", "chunk_id", "element_ids", "text"])
+        return out
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    return blocks.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, chunk_id string, element_ids array<string>, text string")
+    return fold(rows, ["doc_id"], ["seq"], chunks, f"doc_id {kind}, chunk_id string, element_ids array<string>, text string")
 
 
 def figure_documents(figures: DataFrame) -> DataFrame:

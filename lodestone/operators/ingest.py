@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import box_area, box_gap, box_overlap, center_in
 from ..functions.text import norm_key
+from .folds import fold
 
 # A numeric cell, and how a figure's or table's caption begins.
 NUMBER = r"^[~≈<>]?\s*[-+]?\$?\d[\d,]*(\.\d+)?\s*(%|[kKmMbBxX×])?$"
@@ -142,14 +143,14 @@ def section_paths(blocks: DataFrame) -> DataFrame:
     """
     known = {"page", "bbox"} <= set(blocks.columns)
     rows = wrapped_headings(blocks) if known else blocks.withColumn("wraps", F.lit(False))
+    text, size, heading, wraps = (rows.columns.index(c) for c in ("text", "size", "heading", "wraps"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
+    def stacked(block: list[tuple]):
         stack, paths = [], []
-        for text, size, heading, wraps in zip(pdf["text"], pdf["size"], pdf["heading"], pdf["wraps"]):
-            if heading:
-                level, title = round(size * 2) / 2, " ".join((text or "").split())
-                if wraps:
+        for row in block:
+            if row[heading]:
+                level, title = round(row[size] * 2) / 2, " ".join((row[text] or "").split())
+                if row[wraps]:
                     stack[-1] = (level, f"{stack[-1][1]} {title}")
                     paths[-1] = [t for _, t in stack]
                 else:
@@ -157,18 +158,19 @@ def section_paths(blocks: DataFrame) -> DataFrame:
                         stack.pop()
                     stack.append((level, title))
             paths.append([t for _, t in stack])
-        return pdf.drop(columns="wraps").assign(section_path=paths)
+        return [(*row[:wraps], *row[wraps + 1 :], path) for row, path in zip(block, paths)]
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
-    return rows.groupBy("doc_id").applyInPandas(fold, f"{fields}, section_path array<string>")
+    return fold(rows, ["doc_id"], ["seq"], stacked, f"{fields}, section_path array<string>")
 
 
 def drawing_clusters(boxes: DataFrame, gap: float = 12.0) -> DataFrame:
     """boxes (doc_id, page, no, bbox) with cluster: single links of boxes at most `gap` apart, named by their least number."""
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("no").reset_index(drop=True)
-        b, of = pdf["bbox"].tolist(), list(range(len(pdf)))
+    no, bbox = boxes.columns.index("no"), boxes.columns.index("bbox")
+
+    def link(rows: list[tuple]):
+        b, of = [r[bbox] for r in rows], list(range(len(rows)))
 
         def root(i: int) -> int:
             while of[i] != i:
@@ -178,14 +180,13 @@ def drawing_clusters(boxes: DataFrame, gap: float = 12.0) -> DataFrame:
 
         for i in range(len(b)):
             for j in range(i):
-                dx, dy = max(b[j][0] - b[i][2], b[i][0] - b[j][2], 0), max(b[j][1] - b[i][3], b[i][1] - b[j][3], 0)
-                if max(dx, dy) <= gap:
+                if max(b[j][0] - b[i][2], b[i][0] - b[j][2], b[j][1] - b[i][3], b[i][1] - b[j][3], 0) <= gap:
                     x, y = root(i), root(j)
                     of[max(x, y)] = min(x, y)
-        return pdf.assign(cluster=[int(pdf["no"][root(i)]) for i in range(len(b))])
+        return [(*r, rows[root(i)][no]) for i, r in enumerate(rows)]
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema)
-    return boxes.groupBy("doc_id", "page").applyInPandas(link, f"{fields}, cluster int")
+    return fold(boxes, ["doc_id", "page"], ["no"], link, f"{fields}, cluster int")
 
 
 def cluster_kind(clusters: DataFrame, blocks: DataFrame, body: DataFrame, least_shapes: int = 3, isolated_items: int = 30, coverage: float = 0.3, callout_chars: int = 100) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import before, kept_until, moment, within
+from .folds import fold
 
 
 def questions_per_day(log: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -96,24 +96,23 @@ def sign_in_replay(attempts: DataFrame, most: int = 5, minutes: int = 15) -> Dat
     Five failures lock the account for the minutes and clear the count; success clears it. A fold over one user's attempts.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_seconds", "event_id"])
-        failed, until, out = 0, float("-inf"), []
-        for at, good in zip(pdf["ts_seconds"], pdf["good"]):
-            if at < until:
-                out.append("locked")
-            elif good:
-                failed = 0
-                out.append("ok")
+    at, ok = attempts.columns.index("ts_seconds"), attempts.columns.index("good")
+
+    def replay(rows: list[tuple]):
+        failed, until = 0, float("-inf")
+        for row in rows:
+            if row[at] < until:
+                outcome = "locked"
+            elif row[ok]:
+                failed, outcome = 0, "ok"
             else:
-                failed += 1
+                failed, outcome = failed + 1, "failed"
                 if failed >= most:
-                    failed, until = 0, at + 60 * minutes
-                out.append("failed")
-        return pdf.assign(outcome=out)
+                    failed, until = 0, row[at] + 60 * minutes
+            yield (*row, outcome)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in attempts.schema)
-    return attempts.groupBy("user_id").applyInPandas(fold, f"{fields}, outcome string")
+    return fold(attempts, ["user_id"], ["ts_seconds", "event_id"], replay, f"{fields}, outcome string")
 
 
 def threads_of(log: DataFrame, n: int = 50) -> DataFrame:
