@@ -47,15 +47,17 @@ def certain(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """(source_key, from_weight, odds_scale, sure_words): inclusion odds are odds_scale * weight, and documents of a weight from
     from_weight on, whose odds would exceed 1, are taken for certain; their excess is given to the others.
 
-    sized: (source_key, size, weight). Each round finds the documents certain at the present scale and works the scale out anew
-    without them, until none is added; the certain never fill more than is missing, since odds below 1 still fill the rest.
+    sized: (source_key, size, weight). Sums by source and weight are written once; each round finds the weights certain at the
+    present scale and works the scale out anew without them, until none is added; the certain never fill more than is missing,
+    since odds below 1 still fill the rest.
     """
+    sums = materialize(sized.where("size > 0").groupBy("source_key", "weight").agg(F.sum("size").alias("size")))
     now = plan.select("source_key", "missing", "heft", F.lit(float("inf")).alias("from_weight"), F.lit(0.0).alias("sure_words"))
     while True:
         scale = F.when(F.col("heft") > 0, (F.col("missing") - F.col("sure_words")) / F.col("heft"))
         now = now.withColumn("odds_scale", scale)
         limit = F.when(F.col("odds_scale") > 0, 1 / F.col("odds_scale")).otherwise(F.lit(float("inf")))
-        over = sized.join(now.withColumn("limit", F.least(limit, "from_weight")), "source_key")
+        over = sums.join(now.withColumn("limit", F.least(limit, "from_weight")), "source_key")
         is_sure = F.col("weight") >= F.col("limit")
         found = over.groupBy("source_key").agg(F.min(F.when(is_sure & (F.col("size") > 0), F.col("weight"))).alias("low"), F.sum(F.when(is_sure, F.col("size")).otherwise(0)).cast("double").alias("words"), F.sum(F.when(~is_sure, F.col("size") * F.col("weight")).otherwise(0.0)).alias("rest"))
         new = materialize(now.join(found, "source_key").select("source_key", "missing", F.col("rest").alias("heft"), F.least("from_weight", F.coalesce("low", F.lit(float("inf")))).alias("from_weight"), F.col("words").alias("sure_words"), F.col("sure_words").alias("before"), "odds_scale"))
