@@ -79,5 +79,11 @@ def center_in(a: Column, b: Column) -> Column:
     return x.between(F.get(b, F.lit(0)), F.get(b, F.lit(2))) & y.between(F.get(b, F.lit(1)), F.get(b, F.lit(3)))
 
 
-def to_pixels(box: Column, dpi: float) -> Column:
+def to_pixels(box: Column, dpi: float, matrix: Column | None = None) -> Column:
+    """A box in points as pixels; matrix [a, b, c, d, e, f] turns a rotated page's points first."""
+    if matrix is not None:
+        m = [F.get(matrix, F.lit(i)) for i in range(6)]
+        xs, ys = [F.get(box, F.lit(i)) for i in (0, 2)], [F.get(box, F.lit(i)) for i in (1, 3)]
+        px, py = [x * m[0] + y * m[2] + m[4] for x, y in zip(xs, ys)], [x * m[1] + y * m[3] + m[5] for x, y in zip(xs, ys)]
+        box = F.array(F.least(*px), F.least(*py), F.greatest(*px), F.greatest(*py))
     return F.transform(box, lambda v: v * (dpi / 72.0))

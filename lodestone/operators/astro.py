@@ -237,35 +237,61 @@ def without_flagged(texts: DataFrame, flagged: DataFrame) -> DataFrame:
     return texts.select("text_id").join(g, "text_id", "left").select("text_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+#: Kinds of statements: pattern, and the patterns that read body and value from what it finds. Body and value are compared as text.
+_BODY, _NTH, _SIGN = "|".join([*PLANETS, "Rahu", "Ketu"]), r"\d{1,2}(?:st|nd|rd|th)", "|".join(SIGNS)
+CLAIMS = [
+    ("dignity", rf"\b(?:{_BODY})\s+(?:is\s+)?(?:exalted|debilitated)\b", rf"^({_BODY})", r"(exalted|debilitated)$"),
+    ("own sign", rf"\b(?:{_BODY})\s+is\s+in\s+its\s+own\s+sign\b", rf"^({_BODY})", r"(own sign)$"),
+    ("lord", rf"\b(?:{_BODY}),?\s+(?:is\s+)?(?:the\s+)?(?:lord|ruler)\s+of\s+the\s+{_NTH}", rf"^({_BODY})", r"(\d{1,2})(?:st|nd|rd|th)$"),
+    ("lord", rf"\b(?:{_BODY})\s+rules\s+the\s+{_NTH}", rf"^({_BODY})", r"(\d{1,2})(?:st|nd|rd|th)$"),
+    ("lord in", rf"\b(?:lord\s+of\s+the\s+{_NTH}|{_NTH}\s+lord)(?:\s+is|\s+sits)?\s+in\s+the\s+{_NTH}", r"^\D*(\d{1,2})", r"(\d{1,2})(?:st|nd|rd|th)$"),
+    ("aspect", rf"\b(?:{_BODY})\s+aspects\s+the\s+{_NTH}", rf"^({_BODY})", r"(\d{1,2})(?:st|nd|rd|th)$"),
+    ("aspect", rf"\b{_NTH}\s+house\s+is\s+aspected\s+by\s+(?:{_BODY})", rf"({_BODY})$", r"^(\d{1,2})"),
+    ("combust", rf"\b(?:{_BODY})\s+is\s+combust\b", rf"^({_BODY})", r"(combust)$"),
+    ("retrograde", rf"\b(?:{_BODY})\s+is\s+retrograde\b", rf"^({_BODY})", r"(retrograde)$"),
+    ("vargottama", rf"\b(?:{_BODY})\s+is\s+Vargottama\b", rf"^({_BODY})", r"(Vargottama)$"),
+    ("navamsa", rf"\b(?:{_BODY})\s+is\s+in\s+(?:{_SIGN})\s+in\s+the\s+Navamsa\b", rf"^({_BODY})", rf"({_SIGN})\s+in\s+the\s+Navamsa$"),
+    ("lagna", rf"\b(?:Lagna|ascendant|rising\s+sign)\s+is\s+(?:in\s+)?(?:{_SIGN})\b", r"^()", rf"({_SIGN})$"),
+    ("from moon", rf"\b(?:{_BODY})\s+is\s+(?:in\s+)?the\s+{_NTH}\s+from\s+the\s+Moon\b", rf"^({_BODY})", r"(\d{1,2})(?:st|nd|rd|th)\s+from"),
+    ("conjunct", rf"\b(?:{_BODY})\s+is\s+conjunct\s+(?:{_BODY})\b", rf"^({_BODY})", rf"({_BODY})$"),
+    ("cancelled", rf"\b(?:{_BODY})(?:'s)?\s+debility\s+is\s+cancelled\b", rf"^({_BODY})", r"(cancelled)$"),
+    ("yoga", r"\b(?:Gajakesari|Budha-Aditya|Chandra-Mangala|Ruchaka|Bhadra|Hamsa|Malavya|Sasa|Harsha|Sarala|Vimala|Kemadruma)\s+yoga\b", r"^()", r"^([\w-]+)"),
+    ("dasha end", rf"\b(?:{_BODY})\s+mahadasha\s+(?:runs|lasts)\s+until\s+\d{{4}}\b", rf"^({_BODY})", r"(\d{4})$"),
+]
+
+
 def fact_claims(text: Column) -> Column:
-    """(kind, body, value) of statements in a text: dignity, lordship, aspect on a house, combustion and retrogression."""
-    names = "|".join([*PLANETS, "Rahu", "Ketu"])
-    nth = r"(\d{1,2})(?:st|nd|rd|th)"
-    kinds = [
-        ("dignity", rf"\b({names})\s+(?:is\s+)?(exalted|debilitated)\b", rf"^({names})", r"(exalted|debilitated)$"),
-        ("lord", rf"\b({names}),?\s+(?:is\s+)?(?:the\s+)?(?:lord|ruler)\s+of\s+the\s+{nth}", rf"^({names})", r"(\d{1,2})(?:st|nd|rd|th)$"),
-        ("aspect", rf"\b({names})\s+aspects\s+the\s+{nth}", rf"^({names})", r"(\d{1,2})(?:st|nd|rd|th)$"),
-        ("combust", rf"\b({names})\s+is\s+(combust)\b", rf"^({names})", r"(combust)$"),
-        ("retrograde", rf"\b({names})\s+is\s+(retrograde)\b", rf"^({names})", r"(retrograde)$"),
-    ]
+    """(kind, body, value) of statements in a text, of the kinds in CLAIMS."""
 
     def found(kind: str, pattern: str, body: str, value: str) -> Column:
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
         return F.transform(hits, lambda m: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(m, body, 1).alias("body"), F.regexp_extract(m, value, 1).alias("value")))
 
-    return F.concat(*[found(*k) for k in kinds])
+    return F.concat(*[found(*k) for k in CLAIMS])
 
 
-def chart_claims(placed: DataFrame) -> DataFrame:
-    """(chart_id, kind, body, value): what a text may state of a chart, of the kinds of fact_claims."""
-    dignity = placed.where("dignity IN ('exalted', 'debilitated')").select("chart_id", F.lit("dignity").alias("kind"), "body", F.col("dignity").alias("value"))
-    lord = lordships(placed).select("chart_id", F.lit("lord"), "lord", F.col("house").cast("string"))
-    look = aspects(placed).select("chart_id", F.lit("aspect"), "body", F.col("house").cast("string"))
-    state = [placed.where(c).select("chart_id", F.lit(c), "body", F.lit(c)) for c in ("combust", "retrograde")]
-    return reduce(DataFrame.union, [dignity, lord, look, *state])
+def chart_claims(placed: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """(chart_id, kind, body, value): what a text may state of a chart, of the kinds of fact_claims. periods: those of dashas()."""
+    say = lambda d, kind, body, value: d.select("chart_id", F.lit(kind).alias("kind"), (F.col(body) if body else F.lit("")).alias("body"), (value if isinstance(value, Column) else F.col(value)).cast("string").alias("value"))
+    lords, seat = lordships(placed), placed.select("chart_id", F.col("body").alias("lord"), F.col("house").alias("seat"))
+    moon = placed.where("body = 'Moon'").select("chart_id", F.col("sign_no").alias("moon"))
+    bodies = placed.where("body <> 'Lagna'")
+    other = bodies.select("chart_id", "sign_no", F.col("body").alias("other"))
+    rows = [
+        say(placed.where("dignity IN ('exalted', 'debilitated')"), "dignity", "body", "dignity"), say(placed.where("dignity = 'own sign'"), "own sign", "body", F.lit("own sign")),
+        say(lords, "lord", "lord", "house"), say(lords.join(seat, ["chart_id", "lord"]).withColumn("house", F.col("house").cast("string")), "lord in", "house", "seat"), say(aspects(placed), "aspect", "body", "house"),
+        *[say(placed.where(c), c, "body", F.lit(c)) for c in ("combust", "retrograde")], say(placed.where("vargottama"), "vargottama", "body", F.lit("Vargottama")), say(bodies, "navamsa", "body", "navamsa"),
+        say(placed.where("body = 'Lagna'"), "lagna", "", "sign"), say(bodies.join(moon, "chart_id"), "from moon", "body", count_from(F.col("moon"), F.col("sign_no"))),
+        say(bodies.join(other, ["chart_id", "sign_no"]).where("body <> other"), "conjunct", "body", "other"), say(debility_cancelled(placed).where("classical"), "cancelled", "body", F.lit("cancelled")),
+        say(yogas(placed).select("chart_id", "name").distinct(), "yoga", "", "name"),
+    ]
+    if periods is not None:
+        rows.append(say(periods, "dasha end", "lord", F.year("end")))
+    return reduce(DataFrame.union, rows)
 
 
-def unfounded_claims(texts: DataFrame, placed: DataFrame) -> DataFrame:
-    """(text_id, kind, body, value) stated in texts (text_id, chart_id, text) that the chart does not hold."""
+def unfounded_claims(texts: DataFrame, placed: DataFrame, periods: DataFrame | None = None) -> DataFrame:
+    """(text_id, kind, body, value) stated in texts (text_id, chart_id, text) that the chart does not hold; dates only where periods are given."""
     c = texts.select("text_id", "chart_id", F.explode(fact_claims(F.col("text"))).alias("c")).select("text_id", "chart_id", "c.*")
-    return c.join(chart_claims(placed), ["chart_id", "kind", "body", "value"], "left_anti").select("text_id", "kind", "body", "value")
+    c = c if periods is not None else c.where("kind <> 'dasha end'")
+    return c.join(chart_claims(placed, periods), ["chart_id", "kind", "body", "value"], "left_anti").select("text_id", "kind", "body", "value")

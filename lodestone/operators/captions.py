@@ -124,3 +124,16 @@ def parse_lines(lines: list[str]) -> tuple[list[dict], list[str]]:
             except ValueError as e:
                 bad.append(f"line {n}: {e}")
     return good, bad
+
+
+def bundle(jobs: DataFrame, prompt: str, model: str, version: str) -> tuple[DataFrame, dict]:
+    """(job lines, run record): one JSON line a job (element_id, content_hash, asset_path, context) with its image's name, and what the run is told."""
+    name = F.concat(F.col("element_id"), F.regexp_extract("asset_path", r"(\.\w+)$", 1))
+    lines = jobs.select(F.to_json(F.struct("element_id", F.col("content_hash").alias("image_hash"), name.alias("image"), "context")).alias("value"))
+    return lines, {"prompt": prompt, "model_id": model, "prompt_version": version}
+
+
+def figure_references(c: Column) -> Column:
+    """Numbers of the figures that a text names, each once, in order."""
+    found = F.regexp_extract_all(c, F.lit(r"(?i)\b(?:figure|fig\.)\s*(\d+(?:\.\d+)*)"), F.lit(1))
+    return F.array_distinct(found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import unicodedata
 from collections.abc import Callable
 from itertools import groupby
@@ -220,15 +221,27 @@ def table_documents(tables: DataFrame) -> DataFrame:
     return tables.withColumn("n", n).select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":table:"), F.col("n").cast("string")).alias("chunk_id"), "element_id", trim(dense).alias("dense_text"), trim(F.concat_ws("\n", title, heads, cells)).alias("keyword_text"))
 
 
-def embed_missing(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
-    """(key, vector) for texts (key, text) that the cache (key, vector) lacks, each key once, by an injected model in batches."""
+def embed_missing(texts: DataFrame, cache: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 64, prefix: str = "", attempts: int = 3) -> DataFrame:
+    """(key, vector) for texts (key, text) that the cache (key, vector) lacks, each key once, by an injected model in batches.
+
+    prefix is what the model wants before a text of this kind (a query, a passage). A batch that fails is asked again, at most
+    `attempts` times in all, after one second, then two.
+    """
     missing = texts.join(cache, "key", "left_anti").dropDuplicates(["key"]).select("key", "text")
 
     def run(frames):
         for pdf in frames:
             out = []
             for a in range(0, len(pdf), batch):
-                out += embed(pdf["text"].iloc[a : a + batch].tolist())
+                asked = [prefix + t for t in pdf["text"].iloc[a : a + batch]]
+                for n in range(attempts):
+                    try:
+                        out += embed(asked)
+                        break
+                    except Exception:
+                        if n == attempts - 1:
+                            raise
+                        time.sleep(n + 1)
             yield pd.DataFrame({"key": pdf["key"], "vector": out})
 
     return missing.mapInPandas(run, f"key {texts.schema['key'].dataType.simpleString()}, vector array<double>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import near_metric
+from ..functions.numeric import cosine, near_metric
 from ..functions.text import is_refusal, numbers_in
 
 # Metrics that must be perfect, and those held against a baseline.
@@ -262,3 +262,48 @@ def error_categories(problems: DataFrame, patterns: list[tuple[str, str]]) -> Da
     for name, pattern in reversed(patterns):
         kind = F.when(F.col("problem").rlike(pattern), name).otherwise(kind)
     return problems.groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+
+
+def relevancy(questions: DataFrame) -> DataFrame:
+    """(question_id, relevancy) of (question_id, vector, generated: array of vectors, noncommittal): mean cosine to the generated
+    questions; 0 for an evasive answer, null without generated ones."""
+    mean = F.aggregate(F.transform("generated", lambda g: cosine(F.col("vector"), g)), F.lit(0.0), lambda a, v: a + v) / F.size("generated")
+    return questions.select("question_id", F.when(F.col("noncommittal"), 0.0).when(F.size("generated") > 0, F.round(mean, 9)).alias("relevancy"))
+
+
+def reference_sets(items: DataFrame, locations: DataFrame) -> DataFrame:
+    """(question_id, reference): each reference id (question_id, reference_ids) itself, the elements it stands for, and their pages as
+    'file#pN'; locations (id, element_id, source_file, page)."""
+    ids = items.select("question_id", F.explode("reference_ids").alias("id"))
+    at = ids.join(locations, "id").select("question_id", F.explode(F.array("element_id", F.concat("source_file", F.lit("#p"), F.col("page").cast("string")))).alias("id"))
+    return ids.union(at).where("id IS NOT NULL").groupBy("question_id").agg(F.array_sort(F.collect_set("id")).alias("reference"))
+
+
+def report_deltas(now: DataFrame, before: DataFrame, tolerance: float = 0.03) -> DataFrame:
+    """(metric, mean, before, delta, mark) of metrics (metric, mean) against a baseline's: worse beyond the tolerance, better or even, only for gated metrics."""
+    j = now.select("metric", "mean").join(before.select("metric", F.col("mean").alias("before")), "metric", "left")
+    gated = F.col("metric").isin(*GATED)
+    delta = F.when(gated, F.round(F.col("mean") - F.col("before"), 4))
+    return j.select("metric", "mean", F.when(gated, F.col("before")).alias("before"), delta.alias("delta"), F.when(delta < -tolerance, "worse").when(delta >= 0, "better or even").when(delta.isNotNull(), "within tolerance").alias("mark"))
+
+
+def retry_steps(failures: DataFrame, transient: list[str], attempts: int = 3) -> DataFrame:
+    """failures (kind, message, attempt from 1) with step: stop where credit is exhausted, retry after 10 s, then 30 s, where the
+    kind passes, else fail."""
+    spent = F.coalesce(F.col("message"), F.lit("")).rlike("insufficient_quota|credit_balance_exhausted")
+    passing = F.col("kind").isin(transient) & (F.col("attempt") < attempts)
+    return failures.withColumn("step", F.when(spent, "stop").when(passing & (F.col("attempt") == 1), "retry after 10 s").when(passing, "retry after 30 s").otherwise("fail"))
+
+
+def promotable(drafts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(question_id, ok) of drafts (question_id, reference_ids, expected: array of numbers): every expected number is printed in the
+    text of one of its references (id, text), to a billionth."""
+    printed = drafts.select("question_id", F.explode("reference_ids").alias("id")).join(evidence, "id").groupBy("question_id").agg(F.flatten(F.collect_list(numbers_in(F.col("text")))).alias("printed"))
+    j = drafts.join(printed, "question_id", "left").withColumn("printed", F.coalesce("printed", F.array().cast("array<double>")))
+    return j.select("question_id", F.forall("expected", lambda e: F.exists("printed", lambda p: F.abs(p - e) <= 1e-9)).alias("ok"))
+
+
+def parse_report(elements: DataFrame, skips: DataFrame) -> DataFrame:
+    """(doc_id, what, n): elements by type and status, and skips by kind, of each document and of all (doc_id null): the rows of a parse report."""
+    rows = elements.select("doc_id", F.concat_ws(":", "type", "status").alias("what")).union(skips.select("doc_id", F.concat_ws(":", F.lit("skip"), "kind")))
+    return rows.groupingSets([["doc_id", "what"], ["what"]], "doc_id", "what").agg(F.count("*").alias("n"))

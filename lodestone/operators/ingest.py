@@ -79,6 +79,12 @@ def page_profile(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", "chars", "images", "drawings", "tables", (F.col("chars") < 50).alias("textless"), (F.col("drawings") > 100).alias("vector_heavy"))
 
 
+def box_union(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, bbox): the box around all boxes of a group."""
+    side = lambda f, k: f(F.col("bbox")[k])
+    return boxes.groupBy(*by).agg(F.array(side(F.min, 0), side(F.min, 1), side(F.max, 2), side(F.max, 3)).alias("bbox"))
+
+
 def outside(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """blocks (doc_id, page, element_id, bbox) whose middle lies in none of regions (doc_id, page, bbox): text that no table or figure holds."""
     held = blocks.select("doc_id", "page", "element_id", F.col("bbox").alias("b")).join(regions.select("doc_id", "page", F.col("bbox").alias("r")), ["doc_id", "page"]).where(center_in(F.col("b"), F.col("r")))
@@ -272,8 +278,8 @@ def block_text(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.size(spans) > 0).select("doc_id", "page", "no", F.array_join(lines, " ").alias("text"), longest["size"].alias("size"), longest["bold"].alias("bold"))
 
 
-def grow_regions(regions: DataFrame, labels: DataFrame, reach: float = 32.0, merge: float = 12.0) -> DataFrame:
-    """(doc_id, page, bbox): regions (doc_id, page, bbox) grown by labels within reach, and merged while two lie within `merge`. A fixpoint per page."""
+def grow_regions(regions: DataFrame, labels: DataFrame, reach: float = 32.0, merge: float = 12.0, beside: float = 72.0) -> DataFrame:
+    """(doc_id, page, bbox): regions (doc_id, page, bbox) grown by labels within reach or, level with the region, beside it, and merged while two lie within `merge`. A fixpoint per page."""
     own = regions.select("doc_id", "page", "bbox", F.lit(False).alias("label"))
     both = own.union(labels.select("doc_id", "page", "bbox", F.lit(True)))
 
@@ -284,7 +290,8 @@ def grow_regions(regions: DataFrame, labels: DataFrame, reach: float = 32.0, mer
         # labels join the region as drawn, so that a chain of labels cannot carry it over the page
         for i, core in enumerate([*boxes]):
             for x in loose:
-                if gap(core, x) <= reach:
+                level = core[1] <= (x[1] + x[3]) / 2 <= core[3] and 0 <= max(x[0] - core[2], core[0] - x[2]) <= beside
+                if gap(core, x) <= reach or level:
                     boxes[i] = join(boxes[i], x)
         moved = True
         while moved:

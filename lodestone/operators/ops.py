@@ -156,3 +156,33 @@ def recent_events(auth: DataFrame, users: DataFrame, n: int = 50) -> DataFrame:
 def list_users(users: DataFrame, as_of: str) -> DataFrame:
     """(email, status, locked, created_at), by email; locked is null where no lock was ever set."""
     return users.select("email", "status", (F.col("locked_until") > moment(as_of)).alias("locked"), "created_at").orderBy("email")
+
+
+def sign_in_outcomes(attempts: DataFrame, users: DataFrame, auth: DataFrame, most: int = 5, minutes: int = 15, ip_most: int = 20) -> DataFrame:
+    """attempts (event_id, email, ip, created_at, good) with outcome: throttled, unknown, disabled, locked, failed or ok, in that order.
+
+    Failures of an address are counted in the log (auth: event_id, ip, event_type, created_at) over the minutes before; only
+    attempts that pass the address, the account (users: email, status) and its status count for the lock.
+    """
+    probe = attempts.select("event_id", "ip", F.lit("attempt").alias("event_type"), "created_at")
+    seen = ip_throttle(auth.select("event_id", "ip", "event_type", "created_at").union(probe), ip_most, minutes).where("event_type = 'attempt'").select("event_id", (F.col("throttled") & F.col("ip").isNotNull()).alias("throttled"))
+    j = attempts.join(seen, "event_id").join(users.select("email", "status"), "email", "left")
+    early = F.when(F.col("throttled"), "throttled").when(F.col("status").isNull(), "unknown").when(F.col("status") != "active", "disabled")
+    j = j.withColumn("early", early)
+    due = j.where("early IS NULL").select("event_id", F.col("email").alias("user_id"), F.unix_seconds(F.col("created_at").cast("timestamp")).alias("ts_seconds"), "good")
+    replayed = sign_in_replay(due, most, minutes).select("event_id", "outcome")
+    return j.join(replayed, "event_id", "left").select(*attempts.columns, F.coalesce("early", "outcome").alias("outcome"))
+
+
+def end_sessions(sessions: DataFrame, users: DataFrame, at: str) -> DataFrame:
+    """sessions with those of the users (user_id) revoked at a moment, unless they were before: what a sign-out and a new password do."""
+    out = sessions.join(users.select("user_id").distinct().withColumn("ends", F.lit(True)), "user_id", "left")
+    return out.withColumn("revoked_at", F.when(F.col("ends"), F.coalesce("revoked_at", moment(at))).otherwise(F.col("revoked_at"))).select(sessions.columns)
+
+
+def password_changes(requests: DataFrame, common: DataFrame, least: int = 12) -> DataFrame:
+    """(email, result) of requests (email, verified, current, password): not signed in, wrong, the same, what the policy says, or changed."""
+    policy = password_problems(requests.select("email", "password"), common, least)
+    j = requests.join(policy, "email")
+    result = F.when(F.col("verified").isNull(), "not signed in").when(~F.col("verified"), "the current password is not correct").when(F.col("password") == F.col("current"), "the new password must differ")
+    return j.select("email", F.coalesce(result, "problem", F.lit("changed")).alias("result"))

@@ -10,8 +10,11 @@ from ..functions.text import numbers_in, strip_ids
 
 
 def ledger(results: DataFrame) -> DataFrame:
-    """(question_id, id, kind, text, numbers, estimated): results of tools in order of seq; a repeated id keeps its first record."""
-    first = results.groupBy("question_id", "id").agg(F.min_by(F.struct("kind", "text", "estimated"), "seq").alias("r"))
+    """(question_id, id, kind, text, numbers, estimated): results of tools in order of seq; a repeated id keeps its first record,
+    but a full record (where results have full) replaces what a search only touched on, the last one staying."""
+    full = F.coalesce("full", F.lit(False)) if "full" in results.columns else F.lit(False)
+    order = F.struct((~full).cast("int").alias("a"), F.when(full, -F.col("seq")).otherwise(F.col("seq")).alias("b"))
+    first = results.groupBy("question_id", "id").agg(F.min_by(F.struct("kind", "text", "estimated"), order).alias("r"))
     return first.select("question_id", "id", "r.kind", "r.text", numbers_in(F.col("r.text")).alias("numbers"), F.coalesce("r.estimated", F.array().cast("array<double>")).alias("estimated"))
 
 
@@ -151,3 +154,12 @@ def next_step(state: DataFrame, most_rounds: int = 4) -> DataFrame:
         .when((F.col("failures") > 0) & ~F.col("repaired"), "repair").when(F.col("failures") > 0, "give_up").otherwise("finish")
     )
     return state.select("question_id", step.alias("step"))
+
+
+def figure_values(series: Column, percent: Column) -> Column:
+    """(exact, estimated): a figure's chart values by flag, of series array<struct<points array<struct<value, flag>>>>; where its unit is
+    a percentage each value counts as its fraction too."""
+    points = F.flatten(F.transform(F.coalesce(series, F.array().cast("array<struct<points:array<struct<value:double,flag:string>>>>")), lambda s: s["points"]))
+    both = lambda v: F.when(percent, F.array(v, F.round(v / 100, 10))).otherwise(F.array(v))
+    of = lambda exact: F.flatten(F.transform(F.filter(points, lambda p: (p["flag"] == "exact") == exact), lambda p: both(p["value"])))
+    return F.struct(of(True).alias("exact"), of(False).alias("estimated"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arithmetic
 from ..operators import placements, retrieval
+from ..operators.verify import chart_points, figure_values, validate_charts
 
 
 class BadArguments(ValueError):
@@ -56,7 +57,29 @@ def find_charts(c: Corpus, conditions: list[dict], kind: str = "any", k: int = 8
 
 
 def get_figure(c: Corpus, element_id: str) -> DataFrame:
-    return c.elements.where(F.col("element_id") == element_id).join(c.captions, "element_id", "left")
+    """A figure's record; where captions have series and unit, its values by flag. A chunk's id stands for the elements it holds."""
+    own = c.elements.where(F.col("element_id") == element_id)
+    via = c.elements.join(c.chunks.where(F.col("chunk_id") == element_id).select(F.explode("element_ids").alias("element_id")), "element_id").select(c.elements.columns)
+    found = own.union(via).distinct().join(c.captions, "element_id", "left")
+    if {"series", "unit"} <= set(c.captions.columns):
+        found = found.withColumn("v", figure_values(F.col("series"), F.col("unit") == "%")).select(*found.columns, "v.exact", "v.estimated")
+    return found
+
+
+def make_chart(c: Corpus, chart_type: str, title: str, labels: list[str], series: list[dict], value_refs: dict[str, str], citations: list[str]) -> DataFrame:
+    """A chart's data (series, label, value) with its type, whether it is approximate and a footnote of its sources; refused with the
+    reasons where a value is not found in the evidence that its reference names. Drawing is for the reader's side."""
+    spark = c.chunks.sparkSession
+    kind = "chart_id int, question_id int, chart_type string, labels array<string>, series array<struct<name:string,values:array<double>,unit:string>>, value_refs map<string,string>, citations array<string>"
+    chart = spark.createDataFrame([(1, 1, chart_type, labels, [(s["name"], [float(v) for v in s["values"]], s.get("unit")) for s in series], value_refs, citations)], kind)
+    known = [(1, k, [float(x) for x in e.get("numbers", [])], [float(x) for x in e.get("estimated", [])]) for k, e in c.ledger.items()]
+    checked = validate_charts(chart, spark.createDataFrame(known, "question_id int, id string, numbers array<double>, estimated array<double>")).first()
+    if not checked["ok"]:
+        raise BadArguments("; ".join(checked["errors"]))
+    cited = spark.createDataFrame([(x,) for x in citations if not x.startswith(("compute:", "page:"))] or [("",)], "id string")
+    notes = [r["note"].removeprefix("Source: ") for r in retrieval.source_note(c.elements, c.chunks, cited).orderBy("source_file").collect()]
+    note = "Source: " + "; ".join(notes) if notes else ""
+    return chart_points(chart).select("series", "label", "value", F.lit(title).alias("title"), F.lit(checked["chart_type"]).alias("chart_type"), F.lit(checked["approximate"]).alias("approximate"), F.lit(note).alias("footnote"))
 
 
 def get_table(c: Corpus, element_id: str) -> DataFrame:
@@ -79,7 +102,7 @@ def compute(c: Corpus, expression: str, inputs: dict[str, dict]) -> DataFrame:
 
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     "search_text": _search("text"), "search_figures": _search("figure"), "search_tables": _search("table"), "find_charts": find_charts,
-    "get_figure": get_figure, "get_table": get_table, "view_page": view_page, "compute": compute,
+    "get_figure": get_figure, "get_table": get_table, "view_page": view_page, "compute": compute, "make_chart": make_chart,
 }
 
 

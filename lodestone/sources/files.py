@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import cost
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records between line feeds only; blank lines are no records and a damaged one fails the read."""
@@ -79,3 +84,52 @@ def golden_subset(items: DataFrame, only: list[str]) -> DataFrame:
     chosen = items.where(F.col("question_id").isin(only))
     ids = chosen.select("question_id").union(chosen.where("follows IS NOT NULL").select("follows")).distinct()
     return items.join(ids, "question_id", "left_semi")
+
+
+def append_log(log: DataFrame, new: DataFrame, prices: DataFrame) -> DataFrame:
+    """The query log with new rows (trace_id, model, tokens_in, tokens_out, ...): each trace once, the cost from prices (model,
+    price_in, price_out) a million tokens, null where the model has none."""
+    fresh = new.dropDuplicates(["trace_id"]).join(log.select("trace_id"), "trace_id", "left_anti")
+    priced = fresh.join(prices, "model", "left").withColumn("cost_usd", cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out")))
+    return log.unionByName(priced.select(log.columns))
+
+
+def migrate(tables: dict[str, DataFrame], applied: list[str], steps: list[tuple[str, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]]) -> tuple[dict[str, DataFrame], list[str]]:
+    """(tables, applied) after the steps (name, function) that are not applied yet, in their order; applied names must be the first of them."""
+    names = [n for n, _ in steps]
+    if names[: len(applied)] != list(applied) or len(set(names)) < len(names):
+        raise ValueError("applied migrations are not the first of those known")
+    out = dict(tables)
+    for _, step in steps[len(applied) :]:
+        out = step(out)
+    return out, names
+
+
+def restore_report(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, restored, same): of each table the rows before and after a restore, and whether they are the same rows."""
+
+    def mark(d: DataFrame, name: str, n: str) -> DataFrame:
+        return d.agg(F.count("*").alias(n), F.sum(F.xxhash64(*sorted(d.columns)).cast("decimal(38,0)")).alias(f"{n}_mark")).select(F.lit(name).alias("name"), n, f"{n}_mark")
+
+    every = [mark(d, k, "rows").join(mark(after.get(k, d.limit(0)), k, "restored"), "name") for k, d in before.items()]
+    return reduce(DataFrame.union, every).select("name", "rows", "restored", ((F.col("rows") == F.col("restored")) & F.col("rows_mark").eqNullSafe(F.col("restored_mark"))).alias("same"))
+
+
+def replaced_documents(documents: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of documents that replace_document() would take out, to be archived first."""
+    same = documents.select("doc_id", "build_hash")
+    fresh = new.join(same, ["doc_id", "build_hash"], "left_anti").select(F.col("doc_id").alias("n_id"), F.col("source_file").alias("n_file"))
+    by_id = documents.join(fresh, documents["doc_id"] == fresh["n_id"], "left_semi")
+    return by_id.union(documents.join(fresh, documents["source_file"] == fresh["n_file"], "left_semi")).distinct()
+
+
+def read_questions(path: str) -> list[dict]:
+    """Questions or cases of a YAML file, a list of mappings; each needs an id of its own. A file of a person's hand, read on the driver."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        items = yaml.safe_load(f) or []
+    ids = [x.get("id") for x in items]
+    if None in ids or len(set(ids)) < len(ids):
+        raise ValueError("every item needs an id of its own")
+    return items
