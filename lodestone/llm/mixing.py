@@ -78,7 +78,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     plan = materialize(plan)
     sure = certain(sized.select(_key(), "size", "weight"), plan)
     # from here on missing is what the sample is to take besides the documents that are certain
-    plan = materialize(plan.join(sure, "source_key").select("source_key", "source_size", "target", "whole", "from_weight", F.col("odds_scale"), (F.col("missing") - F.col("sure_words")).alias("missing"), F.col("missing").alias("wanted")))
+    none = F.lit(float("inf"))  # sources without words have no sums
+    plan = materialize(plan.join(sure, "source_key", "left").select("source_key", "source_size", "target", "whole", F.coalesce("from_weight", none).alias("from_weight"), "odds_scale", (F.col("missing") - F.coalesce("sure_words", F.lit(0.0))).alias("missing"), F.col("missing").alias("wanted")))
     every = sized.select("doc_id", "source", "row_key", "size", "weight", _key()).join(plan, "source_key").withColumn("sure", F.coalesce((F.col("weight") >= F.col("from_weight")) & (F.col("wanted") > 0), F.lit(False)))
     rows = every.where("NOT sure")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "source", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
