@@ -975,3 +975,270 @@ def hybrid_websearch(t: Tables) -> DataFrame:
     w = F.split("question", r"\s+")
     q = t.questions().withColumn("question", F.concat(w[0], F.lit(" OR \""), w[1], F.lit(" "), w[2], F.lit("\"")))
     return retrieval.hybrid_search(t.chunks(), q, mode="websearch").select("query_id", "chunk_id", "score", "rank", "semantic_rank", "keyword_rank")
+
+
+# --- reports, log, restore, sign-ins
+
+@query(
+    """SELECT doc, what, count(*) AS n FROM (SELECT doc, type || ':' || status AS what FROM e UNION ALL SELECT doc, 'skip:k' || element_id % 3 FROM e WHERE status = 'skipped') GROUP BY GROUPING SETS ((doc, what), (what))""",
+    ELEMENTS,
+)
+def parse_report(t: Tables) -> DataFrame:
+    e = elements(t)
+    skips = e.where("status = 'skipped'").select("doc_id", F.concat(F.lit("k"), (F.col("element_id") % 3).cast("string")).alias("kind"))
+    return evaluation.parse_report(e, skips).withColumnRenamed("doc_id", "doc")
+
+
+@query(
+    """SELECT trace_id, model, cost_usd FROM (SELECT event_id AS trace_id, event_type AS model, 1.0::DOUBLE AS cost_usd FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, event_type, CASE WHEN event_type = 'view' THEN NULL ELSE round((event_id * 3.0::DOUBLE + user_id * 10) / 1e6, 6) END FROM events WHERE event_id % 2 = 1)"""
+)
+def appended_log(t: Tables) -> DataFrame:
+    new = t.events.select(F.col("event_id").alias("trace_id"), F.col("event_type").alias("model"), F.col("event_id").alias("tokens_in"), F.col("user_id").alias("tokens_out"))
+    prices = t.events.where("event_type <> 'view'").select(F.col("event_type").alias("model")).distinct().select("model", F.lit(3.0).alias("price_in"), F.lit(10.0).alias("price_out"))
+    log = new.where("trace_id % 2 = 0").select("trace_id", "model", F.lit(1.0).alias("cost_usd"))
+    return files.append_log(log, new.unionAll(new), prices)
+
+
+@query("SELECT 'labels' AS name, count(*) AS rows, count(*) AS restored, true AS same FROM labels UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), (SELECT count(*) FROM nation), false UNION ALL SELECT 'region', (SELECT count(*) FROM region), 0, false")
+def restore_report(t: Tables) -> DataFrame:
+    """One table restored as it was, one with a changed name, one lost."""
+    changed = t.nation.withColumn("n_name", F.when(F.col("n_nationkey") == 3, "changed").otherwise(F.col("n_name")))
+    return files.restore_report({"labels": t.labels, "nation": t.nation, "region": t.region}, {"labels": t.labels.orderBy("quality"), "nation": changed})
+
+
+@query("SELECT r_regionkey AS key, upper(r_name) AS name, 'x' AS kind FROM region")
+def migrated(t: Tables) -> DataFrame:
+    steps = [("0001", lambda d: d), ("0002", lambda d: {**d, "r": d["r"].withColumn("name", F.upper("name"))}), ("0003", lambda d: {**d, "r": d["r"].withColumn("kind", F.lit("x"))})]
+    return files.migrate({"r": t.region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))}, ["0001"], steps)[0]["r"]
+
+
+@query("SELECT s_suppkey AS doc_id FROM supplier WHERE s_nationkey < 10 OR s_suppkey % 7 = 0")
+def replaced_documents(t: Tables) -> DataFrame:
+    """Suppliers as documents: some come with a new build, some files under a new id."""
+    docs = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("source_file"), F.lit("old").alias("build_hash"))
+    built = docs.join(t.supplier.where("s_nationkey < 10").select(F.col("s_suppkey").alias("doc_id")), "doc_id").withColumn("build_hash", F.lit("new"))
+    moved = docs.where("doc_id % 7 = 0").withColumn("doc_id", F.col("doc_id") + 1000000).select(docs.columns)
+    return files.replaced_documents(docs, built.select(docs.columns).union(moved).union(docs.where("doc_id % 11 = 1"))).select("doc_id")
+
+
+SIGN_INS = AUTH + """, att AS (SELECT event_id, user_id % 40 AS email, ip, created_at, epoch(created_at)::BIGINT AS sec, event_id % 4 <> 0 AS good FROM auth),
+fails AS (SELECT a.event_id, count(b.event_id) >= 3 AS throttled FROM att a LEFT JOIN auth b ON b.ip = a.ip AND b.event_type = 'login_failure' AND b.created_at < a.created_at AND b.created_at >= a.created_at - INTERVAL 15 MINUTE GROUP BY a.event_id),
+early AS (SELECT att.*, CASE WHEN throttled THEN 'throttled' WHEN email % 8 = 0 THEN 'unknown' WHEN email % 8 = 1 THEN 'disabled' END AS early FROM att JOIN fails USING (event_id)),
+due AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY sec, event_id) AS k FROM early WHERE early IS NULL),
+run AS (SELECT event_id, email, k, CASE WHEN good THEN 'ok' ELSE 'failed' END AS outcome, CASE WHEN good THEN 0 ELSE 1 END AS failed, -1::BIGINT AS until FROM due WHERE k = 1
+  UNION ALL SELECT d.event_id, d.email, d.k, CASE WHEN d.sec < r.until THEN 'locked' WHEN d.good THEN 'ok' ELSE 'failed' END,
+    CASE WHEN d.sec < r.until THEN r.failed WHEN d.good THEN 0 WHEN r.failed + 1 >= 3 THEN 0 ELSE r.failed + 1 END, CASE WHEN d.sec >= r.until AND NOT d.good AND r.failed + 1 >= 3 THEN d.sec + 900000 ELSE r.until END
+  FROM run r JOIN due d ON d.email = r.email AND d.k = r.k + 1)"""
+
+
+@query("SELECT event_id, coalesce(early, run.outcome) AS outcome FROM early LEFT JOIN run USING (event_id)", "RECURSIVE " + SIGN_INS)
+def sign_in_outcomes(t: Tables) -> DataFrame:
+    a = t.auth()
+    attempts = a.select("event_id", (F.col("user_id") % 40).alias("email"), "ip", "created_at", (F.col("event_id") % 4 != 0).alias("good"))
+    users = attempts.where("email % 8 <> 0").select("email", F.when(F.col("email") % 8 == 1, "disabled").otherwise("active").alias("status")).distinct()
+    # a lock of 15000 minutes and three failures, so that few events a user show every outcome; addresses are held to 15 minutes
+    early = ops.sign_in_outcomes(attempts, users, a, most=3, minutes=15, ip_most=3).where("outcome IN ('throttled', 'unknown', 'disabled')")
+    due = attempts.join(early.select("event_id"), "event_id", "left_anti").select("event_id", F.col("email").alias("user_id"), F.unix_seconds(F.col("created_at").cast("timestamp")).alias("ts_seconds"), "good")
+    return early.select("event_id", "outcome").union(ops.sign_in_replay(due, most=3, minutes=15000).select("event_id", "outcome"))
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 3 = 0 THEN coalesce(revoked_at, {MOMENT}) ELSE revoked_at END AS revoked_at FROM s", SESSIONS)
+def ended_sessions(t: Tables) -> DataFrame:
+    s = sessions(t).withColumn("user_id", F.col("event_id") % 3)
+    return ops.end_sessions(s, t.spark.createDataFrame([(0,), (0,)], "user_id long"), AS_OF).select("event_id", "revoked_at")
+
+
+@query("SELECT c_name AS email, CASE WHEN c_custkey % 5 = 0 THEN 'not signed in' WHEN c_custkey % 5 = 1 THEN 'the current password is not correct' WHEN c_custkey % 5 = 2 THEN 'the new password must differ' WHEN c_custkey % 5 = 3 THEN 'too short' ELSE 'changed' END AS result FROM customer")
+def password_changes(t: Tables) -> DataFrame:
+    k = F.col("c_custkey") % 5
+    requests = t.customer.select(F.col("c_name").alias("email"), F.when(k != 0, k != 1).alias("verified"), F.when(k == 2, "a-long-new-secret").otherwise("old").alias("current"), F.when(k == 3, "short").otherwise("a-long-new-secret").alias("password"))
+    return ops.password_changes(requests, t.spark.createDataFrame([("password12345",)], "password string"))
+
+
+# --- evaluation records
+
+@query(
+    """SELECT vec_id AS question_id, CASE WHEN label = 3 THEN 0.0 WHEN label <> 4 THEN round((1.0 + list_dot_product(x, list_transform(x, lambda v, i: CASE WHEN i = 1 THEN -v ELSE v END)) / list_dot_product(x, x)) / 2, 9) END AS relevancy FROM (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"""
+)
+def relevancies(t: Tables) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    flipped = F.transform(x, lambda v, i: F.when(i == 0, -v).otherwise(v))
+    made = F.when(F.col("label") == 4, F.array().cast("array<array<double>>")).otherwise(F.array(x, flipped))
+    return evaluation.relevancy(t.embeddings.select(F.col("vec_id").alias("question_id"), x.alias("vector"), made.alias("generated"), (F.col("label") == 3).alias("noncommittal")))
+
+
+@query(
+    """SELECT question_id, string_agg(DISTINCT id, ' ' ORDER BY id) AS reference FROM (SELECT l_orderkey AS question_id, unnest(['p' || l_partkey, 'f' || l_partkey % 9 || '#p' || l_partkey % 4, 'e' || l_partkey % 50]) AS id, l_partkey FROM lineitem) WHERE id LIKE 'p%' OR l_partkey % 3 = 0 GROUP BY question_id"""
+)
+def reference_sets(t: Tables) -> DataFrame:
+    key = F.col("l_partkey").cast("string")
+    items = t.lineitem.groupBy(F.col("l_orderkey").alias("question_id")).agg(F.collect_set(F.concat(F.lit("p"), key)).alias("reference_ids"))
+    n = F.col("l_partkey")
+    at = t.lineitem.where("l_partkey % 3 = 0").select(F.concat(F.lit("p"), key).alias("id"), F.concat(F.lit("e"), (n % 50).cast("string")).alias("element_id"), F.concat(F.lit("f"), (n % 9).cast("string")).alias("source_file"), (n % 4).alias("page")).distinct()
+    return evaluation.reference_sets(items, at).withColumn("reference", F.array_join("reference", " "))
+
+
+@query(
+    """SELECT metric, mean, CASE WHEN metric <> 'latency' THEN before END AS before, CASE WHEN metric <> 'latency' THEN round(mean - before, 4) END AS delta,
+  CASE WHEN metric = 'latency' OR before IS NULL THEN NULL WHEN round(mean - before, 4) < -0.03 THEN 'worse' WHEN round(mean - before, 4) >= 0 THEN 'better or even' ELSE 'within tolerance' END AS mark
+FROM (SELECT CASE event_type WHEN 'view' THEN 'faithfulness' WHEN 'click' THEN 'figure_hit' WHEN 'error' THEN 'context_recall' ELSE 'latency' END AS metric, round(avg(CASE WHEN event_id % 2 = 0 THEN value END), 4) AS mean, round(avg(CASE WHEN event_id % 2 = 1 AND event_type <> 'click' THEN value END), 4) AS before FROM events GROUP BY 1)"""
+)
+def report_deltas(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "faithfulness").when(F.col("event_type") == "click", "figure_hit").when(F.col("event_type") == "error", "context_recall").otherwise("latency")
+    means = lambda r: t.events.where(F.col("event_id") % 2 == r).groupBy(kind.alias("metric")).agg(F.round(F.avg("value"), 4).alias("mean"))
+    return evaluation.report_deltas(means(0), means(1).where("metric <> 'figure_hit'"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'stop' WHEN event_type IN ('error', 'view') AND n < 3 THEN CASE n WHEN 1 THEN 'retry after 10 s' ELSE 'retry after 30 s' END ELSE 'fail' END AS step FROM (SELECT *, event_id % 3 + 1 AS n FROM events)")
+def retry_steps(t: Tables) -> DataFrame:
+    e = F.col("event_id")
+    f = t.events.select("event_id", F.col("event_type").alias("kind"), F.when(e % 7 == 0, "429: insufficient_quota").alias("message"), (e % 3 + 1).alias("attempt"))
+    return evaluation.retry_steps(f, ["error", "view"]).select("event_id", "step")
+
+
+@query("SELECT l_orderkey AS question_id, bool_and(l_returnflag = 'R' OR list_contains(known, l_quantity)) AS ok FROM (SELECT *, coalesce(list(l_quantity) FILTER (l_linestatus = 'O') OVER (PARTITION BY l_orderkey), []) AS known FROM lineitem) GROUP BY l_orderkey")
+def promotable(t: Tables) -> DataFrame:
+    id_ = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    drafts = t.lineitem.groupBy(F.col("l_orderkey").alias("question_id")).agg(F.collect_set(id_).alias("reference_ids"), F.collect_list(F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))).alias("expected"))
+    printed = t.lineitem.where("l_linestatus = 'O'").select(id_.alias("id"), F.concat(F.lit("it is "), F.col("l_quantity").cast("string")).alias("text"))
+    return evaluation.promotable(drafts, printed)
+
+
+# --- figures and boxes
+
+@query("SELECT page, min(x0) AS x0, min(y0) AS y0, max(x0 + side) AS x1, max(y0 + side) AS y1 FROM b GROUP BY page", BOXES)
+def box_unions(t: Tables) -> DataFrame:
+    u = ingest.box_union(boxes(t), ["page"])
+    return u.select("page", *[F.col("bbox")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query("SELECT page, no, round((300 - y0 - side) * 2, 6) AS x0, round(x0 * 2, 6) AS y0, round((300 - y0) * 2, 6) AS x1, round((x0 + side) * 2, 6) AS y1 FROM b", BOXES)
+def turned_boxes(t: Tables) -> DataFrame:
+    """Boxes of pages turned by a quarter, as pixels."""
+    m = F.array(*[F.lit(float(v)) for v in (0, 1, -1, 0, 300, 0)])
+    p = boxes(t).select("page", "no", numeric.to_pixels(F.col("bbox"), 144.0, m).alias("p"))
+    return p.select("page", "no", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+@query(
+    """SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') * CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_exact, count(*) FILTER (l_returnflag <> 'R') * CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 1 END AS n_estimated, max(l_quantity) FILTER (l_returnflag = 'R') AS largest FROM lineitem GROUP BY l_orderkey"""
+)
+def figure_values(t: Tables) -> DataFrame:
+    point = F.struct(F.col("l_quantity").cast("double").alias("value"), F.when(F.col("l_returnflag") == "R", "exact").otherwise("estimated").alias("flag"))
+    g = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(point).alias("points"))
+    v = g.select("l_orderkey", verify.figure_values(F.array(F.struct("points")), F.col("l_orderkey") % 2 == 0).alias("v"))
+    return v.select("l_orderkey", F.size("v.exact").cast("long").alias("n_exact"), F.size("v.estimated").cast("long").alias("n_estimated"), F.array_max("v.exact").alias("largest"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || ' 2.1' ELSE p_size::VARCHAR END AS figures FROM part")
+def figure_references(t: Tables) -> DataFrame:
+    n = F.col("p_size").cast("string")
+    said = F.concat(F.lit("See figure "), n, F.when(F.col("p_partkey") % 2 == 0, ", Fig. 2.1").otherwise(", table 7"), F.lit(" and Figure "), n, F.lit("; figures vary."))
+    return t.part.select("p_partkey", F.array_join(captions.figure_references(said), " ").alias("figures"))
+
+
+@query("SELECT element_id, '{\"element_id\":\"' || element_id || '\",\"image_hash\":\"' || content_hash || '\",\"image\":\"' || element_id || '.png\",\"context\":\"c\"}' AS value FROM e WHERE type = 'image'", ELEMENTS)
+def bundle_lines(t: Tables) -> DataFrame:
+    jobs = elements(t).where("type = 'image'").select(F.col("element_id").cast("string").alias("element_id"), "content_hash", F.lit("a/b.png").alias("asset_path"), F.lit("c").alias("context"))
+    lines, _ = captions.bundle(jobs, "describe", "m", "1")
+    return lines.select(F.get_json_object("value", "$.element_id").cast("long").alias("element_id"), "value")
+
+
+# --- questions and readings
+
+@query(
+    """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'death' WHEN 1 THEN 'chart' WHEN 2 THEN 'chart' WHEN 3 THEN CASE WHEN user_id % 2 = 0 THEN 'followup' ELSE 'books' END WHEN 4 THEN CASE WHEN user_id % 2 = 0 THEN 'followup' ELSE 'books' END ELSE 'books' END AS way FROM events"""
+)
+def routed_questions(t: Tables) -> DataFrame:
+    asked = pick(["Tell me about my death", "I was born on a Monday", "On 04-01-1983, what of me?", "In which field should I work?", "What about marriage?", "What does the book say of Saturn?"], F.col("event_id"))
+    return reading.route(t.events.select("event_id", asked.alias("question"), (F.col("user_id") % 2 == 0).alias("after_reading"))).select("event_id", "way")
+
+
+@query(
+    """SELECT conv_id * 1000 + turn AS text_id, CASE WHEN turn % 2 = 0 THEN 'So it is [2].' ELSE 'So it is.' END AS text, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS cited, CASE WHEN turn % 2 = 1 THEN 'This answer cites none of the passages found.' END AS notice FROM conversations"""
+)
+def plain_answers(t: Tables) -> DataFrame:
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("text_id")
+    texts = t.conversations.select(key, F.when(F.col("turn") % 2 == 0, "So it is [P2] .").otherwise("So it is [P7] .").alias("text"))
+    passages = t.conversations.select(key, F.explode(F.sequence(F.lit(1), F.lit(8))).alias("n"))
+    return reading.plain_answers(texts, passages).withColumn("cited", F.size("cited"))
+
+
+@query("SELECT conv_id AS text_id, string_agg('[P' || turn || '] ' || role || ', p. ' || turn || chr(10) || left(text, 9), chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+def passage_prompts(t: Tables) -> DataFrame:
+    return reading.passage_prompt(t.conversations.select(F.col("conv_id").alias("text_id"), F.col("turn").alias("n"), F.col("role").alias("source"), F.col("turn").alias("page"), F.substring("text", 1, 9).alias("text")))
+
+
+LORDS = """['Mars', 'Venus', 'Mercury', 'Moon', 'Sun', 'Mercury', 'Venus', 'Mars', 'Jupiter', 'Saturn', 'Saturn', 'Jupiter']"""
+
+
+@query(
+    """SELECT chart_id, kind, count(*) AS n, count(DISTINCT answer) AS answers FROM (
+  SELECT chart_id, 'house_kind' AS kind, CASE WHEN house IN (4, 7, 10) THEN 'k' WHEN house = 1 THEN 'kt' WHEN house IN (5, 9) THEN 't' WHEN house IN (6, 8, 12) THEN 'd' ELSE 'none' END AS answer FROM (SELECT DISTINCT chart_id, unnest(range(1, 13)) AS house FROM h)
+  UNION ALL SELECT chart_id, 'from_moon', ((sign_no - moon + 12) % 12)::VARCHAR FROM (SELECT *, max(CASE WHEN body = 'Moon' THEN sign_no END) OVER (PARTITION BY chart_id) AS moon FROM h) WHERE body <> 'Lagna'
+  UNION ALL SELECT chart_id, 'occupants', coalesce(string_agg(body, ', ' ORDER BY body), 'none') FROM (SELECT DISTINCT chart_id, unnest(range(1, 13)) AS house FROM h) LEFT JOIN (SELECT chart_id, house, body FROM h WHERE body <> 'Lagna') USING (chart_id, house) GROUP BY chart_id, house) GROUP BY ALL""",
+    SKY,
+)
+def house_lookups(t: Tables) -> DataFrame:
+    q = reading.house_questions(astro.placements(t.charts())).where(F.col("kind").isin("house_kind", "from_moon", "occupants"))
+    return q.groupBy("chart_id", "kind").agg(F.count("*").alias("n"), F.count_distinct("answer").alias("answers"))
+
+
+SIGNS = astro.SIGNS
+
+
+@query(
+    f"""SELECT l.chart_id, {SIGNS!r}[l.tenth + 1] AS sign, {LORDS}[l.tenth + 1] AS lord, s.house AS lord_house, coalesce(b.bodies, '') AS bodies FROM (SELECT chart_id, (sign_no + 9) % 12 AS tenth FROM h WHERE body = 'Lagna') l
+JOIN h s ON s.chart_id = l.chart_id AND s.body = {LORDS}[l.tenth + 1] LEFT JOIN (SELECT chart_id, string_agg(body, ', ' ORDER BY body) AS bodies FROM h WHERE house = 10 AND body <> 'Lagna' GROUP BY chart_id) b ON b.chart_id = l.chart_id""",
+    SKY,
+)
+def career_factors(t: Tables) -> DataFrame:
+    return reading.career_factors(astro.placements(t.charts())).drop("aspects")
+
+
+@query(
+    f"""SELECT l.chart_id, 'The Lagna is ' || {SIGNS!r}[l.sign_no + 1] || '; the Sun in ' || {SIGNS!r}[s.sign_no + 1] || '.' AS text FROM s l JOIN s ON s.chart_id = l.chart_id AND s.body = 'Sun' WHERE l.body = 'Lagna'""",
+    SKY,
+)
+def overviews(t: Tables) -> DataFrame:
+    o = reading.overview(astro.placements(t.charts()))
+    return o.select("chart_id", F.regexp_replace("text", r"the Moon is in .* and the Sun", "the Sun").alias("text"))
+
+
+CLAIMED = """cl AS (SELECT chart_id, (chart_id % 12)::INTEGER AS sign, (chart_id % 11 + 1)::INTEGER AS nth FROM (SELECT DISTINCT chart_id FROM s)),
+m AS (SELECT h.*, max(CASE WHEN body = 'Moon' THEN sign_no END) OVER (PARTITION BY chart_id) AS moon FROM h)"""
+
+
+@query(
+    f"""SELECT chart_id AS text_id, 'lagna' AS kind, '' AS body, {SIGNS!r}[sign + 1] AS value FROM cl WHERE sign <> (SELECT sign_no FROM h WHERE h.chart_id = cl.chart_id AND body = 'Lagna')
+UNION ALL SELECT chart_id, 'from moon', 'Mars', nth::VARCHAR FROM cl WHERE nth <> (SELECT (sign_no - moon + 12) % 12 + 1 FROM m WHERE m.chart_id = cl.chart_id AND body = 'Mars')
+UNION ALL SELECT chart_id, 'conjunct', 'Sun', 'Venus' FROM cl WHERE (SELECT sign_no FROM h WHERE h.chart_id = cl.chart_id AND body = 'Sun') <> (SELECT sign_no FROM h WHERE h.chart_id = cl.chart_id AND body = 'Venus')
+UNION ALL SELECT chart_id, 'lord', 'Saturn', nth::VARCHAR FROM cl WHERE {LORDS}[((SELECT sign_no FROM h WHERE h.chart_id = cl.chart_id AND body = 'Lagna') + nth - 1) % 12 + 1] <> 'Saturn'
+UNION ALL SELECT chart_id, 'lord in', nth::VARCHAR, '4' FROM cl WHERE (SELECT house FROM h WHERE h.chart_id = cl.chart_id AND body = {LORDS}[((SELECT sign_no FROM h g WHERE g.chart_id = cl.chart_id AND g.body = 'Lagna') + nth - 1) % 12 + 1]) <> 4
+UNION ALL SELECT chart_id, 'yoga', '', 'Gajakesari' FROM cl WHERE ((SELECT sign_no FROM h WHERE h.chart_id = cl.chart_id AND body = 'Jupiter') - (SELECT sign_no FROM h WHERE h.chart_id = cl.chart_id AND body = 'Moon') + 12) % 3 <> 0""",
+    f"{SKY}, {CLAIMED}",
+)
+def unfounded_claims(t: Tables) -> DataFrame:
+    p = astro.placements(t.charts())
+    n, nth = F.col("chart_id"), tx.ordinal((F.col("chart_id") % 11 + 1).cast("int"))
+    text = F.concat(F.lit("The Lagna is "), pick(SIGNS, n), F.lit(". Mars is in the "), nth, F.lit(" from the Moon. Sun is conjunct Venus. Saturn rules the "), nth, F.lit(". The lord of the "), nth, F.lit(" is in the 4th. A Gajakesari yoga."))
+    return astro.unfounded_claims(p.select("chart_id").distinct().select(n.alias("text_id"), "chart_id", text.alias("text")), p)
+
+
+@query("SELECT chart_id AS text_id, 'Sun' AS body, 'sign' AS kind, 'Leo' AS value, " + f"{SIGNS!r}[sign_no + 1] AS actual FROM s WHERE body = 'Sun' AND sign_no <> 4 UNION ALL SELECT chart_id, 'Mars', 'house', '7', house::VARCHAR FROM h WHERE body = 'Mars' AND house <> 7", SKY)
+def claim_mismatches(t: Tables) -> DataFrame:
+    p = astro.placements(t.charts())
+    texts = p.select("chart_id").distinct().select(F.col("chart_id").alias("text_id"), "chart_id", F.lit("Sun is in Leo. Mars sits in the 7th house.").alias("text"))
+    return astro.claim_mismatches(texts, p)
+
+
+@query("SELECT conv_id * 1000 + turn AS text_id, CASE WHEN turn % 2 = 0 THEN 'Good. He said \"bad luck\".' ELSE 'Good. Fine.' END AS text FROM conversations")
+def unflagged_texts(t: Tables) -> DataFrame:
+    texts = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("text_id"), F.when(F.col("turn") % 2 == 0, "Good. A bad luck. He said \"bad luck\".").otherwise("Good. Fine.").alias("text"))
+    return astro.without_flagged(texts, texts.select("text_id", F.lit("bad luck").alias("phrase")))
+
+
+@query("SELECT DISTINCT chart_id FROM h a WHERE body = 'Jupiter' AND (sign_no - (SELECT sign_no FROM h b WHERE b.chart_id = a.chart_id AND b.body = 'Moon') + 12) % 3 = 0", SKY)
+def gajakesari_charts(t: Tables) -> DataFrame:
+    return astro.yogas(astro.placements(t.charts())).where("name = 'Gajakesari'").select("chart_id")

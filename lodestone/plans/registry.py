@@ -274,10 +274,17 @@ def ip_throttle(t: Tables) -> DataFrame:
     return ops.ip_throttle(t.auth(), most=2, minutes=60).select("event_id", "ip", "event_type", "recent_failures", "throttled")
 
 
-@query()
+REPLAY = """due AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS k FROM (SELECT event_id, user_id, epoch(created_at)::BIGINT AS sec, event_type <> 'login_failure' AS good FROM auth)),
+run AS (SELECT event_id, user_id, k, CASE WHEN good THEN 'ok' ELSE 'failed' END AS outcome, CASE WHEN good THEN 0 ELSE 1 END AS failed, -1::BIGINT AS until FROM due WHERE k = 1
+  UNION ALL SELECT d.event_id, d.user_id, d.k, CASE WHEN d.sec < r.until THEN 'locked' WHEN d.good THEN 'ok' ELSE 'failed' END, CASE WHEN d.sec < r.until THEN r.failed WHEN d.good THEN 0 WHEN r.failed + 1 >= 2 THEN 0 ELSE r.failed + 1 END,
+    CASE WHEN d.sec >= r.until AND NOT d.good AND r.failed + 1 >= 2 THEN d.sec + 180000 ELSE r.until END FROM run r JOIN due d ON d.user_id = r.user_id AND d.k = r.k + 1)"""
+
+
+@query("SELECT event_id, outcome FROM run", f"RECURSIVE {AUTH}, {REPLAY}")
 def sign_in_replay(t: Tables) -> DataFrame:
+    """Two failures lock an account for 3000 minutes here, so that few events a user show every outcome."""
     a = t.auth().select("event_id", "user_id", F.unix_seconds(F.col("created_at").cast("timestamp")).alias("ts_seconds"), (F.col("event_type") != "login_failure").alias("good"))
-    return ops.sign_in_replay(a)
+    return ops.sign_in_replay(a, most=2, minutes=3000).select("event_id", "outcome")
 
 
 THREADS = LOG + ", th AS (SELECT user_id, thread_id, arg_min(question, (created_at, trace_id)) AS title, count(*) AS turns, max(created_at) AS last_at FROM log GROUP BY ALL)"
@@ -603,7 +610,11 @@ def validate_chart(t: Tables) -> DataFrame:
     return out.select("chart_id", "ok", F.size("errors").alias("n_errors"))
 
 
-@query()
+@query(
+    """SELECT answer_id, 0 AS n, 'cites what no tool returned: c:' || conv_id || ':' || (turn + 1) AS failure FROM a WHERE (conv_id, turn + 1) NOT IN (SELECT (conv_id, turn) FROM conversations)
+UNION ALL SELECT answer_id, 0, 'a not-found answer holds only text' FROM a WHERE role = 'system' UNION ALL SELECT answer_id, 0, 'not a table of the documents' FROM a WHERE role <> 'assistant'""",
+    "a AS (SELECT conv_id * 1000 + turn AS answer_id, * FROM conversations)",
+)
 def validate_answer(t: Tables) -> DataFrame:
     """Each conversation turn as an answer that cites its conversation and its next turn."""
     c = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), "conv_id", "turn", "text", "role")
