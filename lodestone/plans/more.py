@@ -118,12 +118,12 @@ def source_notes(t: Tables) -> DataFrame:
 
 @query(
     """SELECT chunk_id, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, other_id ORDER BY score DESC, element_id) AS k FROM (
-  SELECT h.chunk_id, l.other_id, l.score, l.element_id FROM (SELECT o_orderkey AS chunk_id, o_custkey AS a, o_custkey + 1 AS b FROM orders) h JOIN (SELECT DISTINCT l_suppkey AS element_id, l_partkey AS other_id, l_discount AS score FROM lineitem) l
+  SELECT h.chunk_id, l.other_id, l.score, l.element_id FROM (SELECT o_orderkey AS chunk_id, o_orderkey AS a, o_orderkey + 1 AS b FROM orders) h JOIN (SELECT DISTINCT l_orderkey AS element_id, l_partkey AS other_id, l_discount AS score FROM lineitem) l
     ON l.element_id IN (h.a, h.b) WHERE l.other_id NOT IN (h.a, h.b))) WHERE k = 1"""
 )
 def attached_items(t: Tables) -> DataFrame:
-    hits = t.orders.select(F.col("o_orderkey").alias("chunk_id"), F.array("o_custkey", F.col("o_custkey") + 1).alias("element_ids"))
-    related = t.lineitem.select(F.col("l_suppkey").alias("element_id"), F.col("l_partkey").alias("other_id"), F.lit("t").alias("title"), F.col("l_discount").alias("score")).distinct()
+    hits = t.orders.select(F.col("o_orderkey").alias("chunk_id"), F.array("o_orderkey", F.col("o_orderkey") + 1).alias("element_ids"))
+    related = t.lineitem.select(F.col("l_orderkey").alias("element_id"), F.col("l_partkey").alias("other_id"), F.lit("t").alias("title"), F.col("l_discount").alias("score")).distinct()
     return retrieval.attach_related(hits, related).select("chunk_id", "other_id", "score")
 
 
