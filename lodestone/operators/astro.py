@@ -272,18 +272,25 @@ def fact_claims(text: Column) -> Column:
 
 def chart_claims(placed: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """(chart_id, kind, body, value): what a text may state of a chart, of the kinds of fact_claims. periods: those of dashas()."""
-    say = lambda d, kind, body, value: d.select("chart_id", F.lit(kind).alias("kind"), (F.col(body) if body else F.lit("")).alias("body"), (value if isinstance(value, Column) else F.col(value)).cast("string").alias("value"))
-    lords, seat = lordships(placed), placed.select("chart_id", F.col("body").alias("lord"), F.col("house").alias("seat"))
-    moon = placed.where("body = 'Moon'").select("chart_id", F.col("sign_no").alias("moon"))
+    say = lambda d, kind, body, value: d.select("chart_id", F.lit(kind).alias("kind"), F.col(body).alias("body"), (value if isinstance(value, Column) else F.col(value)).cast("string").alias("value"))
+    # what one row states of its body, in one pass over the placements
+    moon = F.max(F.when(F.col("body") == "Moon", F.col("sign_no"))).over(Window.partitionBy("chart_id"))
+    lagna, c = F.col("body") == "Lagna", F.col
+    one = lambda kind, cond, value: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.when(lagna, "").otherwise(c("body")).alias("body"), value.cast("string").alias("value")))
+    own = F.array_compact(F.array(
+        one("dignity", c("dignity").isin("exalted", "debilitated"), c("dignity")), one("own sign", c("dignity") == "own sign", c("dignity")), one("combust", c("combust"), F.lit("combust")), one("retrograde", c("retrograde"), F.lit("retrograde")),
+        one("vargottama", c("vargottama") & ~lagna, F.lit("Vargottama")), one("navamsa", ~lagna, c("navamsa")), one("lagna", lagna, c("sign")), one("from moon", ~lagna, count_from(c("moon"), c("sign_no"))),
+    ))
+    stated = placed.withColumn("moon", moon).select("chart_id", F.explode(own).alias("x")).select("chart_id", "x.kind", "x.body", "x.value")
+    seat = placed.select("chart_id", F.col("body").alias("lord"), F.col("house").alias("seat"))
+    ruled = lordships(placed).join(seat, ["chart_id", "lord"]).select("chart_id", F.explode(F.array(
+        F.struct(F.lit("lord").alias("kind"), c("lord").alias("body"), c("house").cast("string").alias("value")), F.struct(F.lit("lord in").alias("kind"), c("house").cast("string").alias("body"), c("seat").cast("string").alias("value")),
+    )).alias("x")).select("chart_id", "x.kind", "x.body", "x.value")
     bodies = placed.where("body <> 'Lagna'")
     other = bodies.select("chart_id", "sign_no", F.col("body").alias("other"))
     rows = [
-        say(placed.where("dignity IN ('exalted', 'debilitated')"), "dignity", "body", "dignity"), say(placed.where("dignity = 'own sign'"), "own sign", "body", F.lit("own sign")),
-        say(lords, "lord", "lord", "house"), say(lords.join(seat, ["chart_id", "lord"]).withColumn("house", F.col("house").cast("string")), "lord in", "house", "seat"), say(aspects(placed), "aspect", "body", "house"),
-        *[say(placed.where(c), c, "body", F.lit(c)) for c in ("combust", "retrograde")], say(placed.where("vargottama"), "vargottama", "body", F.lit("Vargottama")), say(bodies, "navamsa", "body", "navamsa"),
-        say(placed.where("body = 'Lagna'"), "lagna", "", "sign"), say(bodies.join(moon, "chart_id"), "from moon", "body", count_from(F.col("moon"), F.col("sign_no"))),
-        say(bodies.join(other, ["chart_id", "sign_no"]).where("body <> other"), "conjunct", "body", "other"), say(debility_cancelled(placed).where("classical"), "cancelled", "body", F.lit("cancelled")),
-        say(yogas(placed).select("chart_id", "name").distinct(), "yoga", "", "name"),
+        stated, ruled, say(aspects(placed), "aspect", "body", "house"), say(bodies.join(other, ["chart_id", "sign_no"]).where("body <> other"), "conjunct", "body", "other"),
+        say(debility_cancelled(placed).where("classical"), "cancelled", "body", F.lit("cancelled")), yogas(placed).select("chart_id", F.lit("yoga"), F.lit(""), "name").distinct(),
     ]
     if periods is not None:
         rows.append(say(periods, "dasha end", "lord", F.year("end")))
