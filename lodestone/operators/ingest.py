@@ -85,6 +85,27 @@ def box_union(boxes: DataFrame, by: list[str]) -> DataFrame:
     return boxes.groupBy(*by).agg(F.array(side(F.min, 0), side(F.min, 1), side(F.max, 2), side(F.max, 3)).alias("bbox"))
 
 
+def merge_captioned(regions: DataFrame) -> DataFrame:
+    """(doc_id, page, no, bbox, shapes) of regions (doc_id, page, no, bbox, shapes, caption): those of a page with one caption are one
+    figure, named by its least number; those without a caption stay."""
+    side = lambda f, k: f(F.col("bbox")[k])
+    own = F.when(F.col("caption").isNull(), F.col("no"))
+    g = regions.groupBy("doc_id", "page", "caption", own.alias("own")).agg(F.min("no").alias("no"), F.array(side(F.min, 0), side(F.min, 1), side(F.max, 2), side(F.max, 3)).alias("bbox"), F.sum("shapes").alias("shapes"))
+    return g.select("doc_id", "page", "no", "bbox", "shapes")
+
+
+def absorb_parts(figures: DataFrame, parts: DataFrame, reach: float = 32.0) -> tuple[DataFrame, DataFrame]:
+    """(figures, parts left over): parts (doc_id, page, part, bbox, caption, reason, callout) that lie within reach of a figure (doc_id,
+    page, no, bbox, caption), or share its caption, join the first such figure's box; page rules (isolated_shape) and boxes of body
+    text (callout) never do. One round: a figure does not reach further for what it has taken in."""
+    able = parts.where((F.col("reason") != "isolated_shape") & ~F.col("callout"))
+    f = figures.select("doc_id", "page", "no", F.col("bbox").alias("f"), F.col("caption").alias("c"))
+    near = able.join(f, ["doc_id", "page"]).where((box_gap(F.col("bbox"), F.col("f")) <= reach) | (F.col("caption") == F.col("c")))
+    taken = near.groupBy("doc_id", "page", "part").agg(F.min("no").alias("no"), F.first("bbox").alias("bbox"))
+    grown = box_union(figures.select("doc_id", "page", "no", "bbox").union(taken.select("doc_id", "page", "no", "bbox")), ["doc_id", "page", "no"])
+    return grown, parts.join(taken.select("doc_id", "page", "part"), ["doc_id", "page", "part"], "left_anti")
+
+
 def outside(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """blocks (doc_id, page, element_id, bbox) whose middle lies in none of regions (doc_id, page, bbox): text that no table or figure holds."""
     held = blocks.select("doc_id", "page", "element_id", F.col("bbox").alias("b")).join(regions.select("doc_id", "page", F.col("bbox").alias("r")), ["doc_id", "page"]).where(center_in(F.col("b"), F.col("r")))

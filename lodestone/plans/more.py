@@ -1242,3 +1242,36 @@ def unflagged_texts(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT chart_id FROM h a WHERE body = 'Jupiter' AND (sign_no - (SELECT sign_no FROM h b WHERE b.chart_id = a.chart_id AND b.body = 'Moon') + 12) % 3 = 0", SKY)
 def gajakesari_charts(t: Tables) -> DataFrame:
     return astro.yogas(astro.placements(t.charts())).where("name = 'Gajakesari'").select("chart_id")
+
+
+@query("SELECT page, min(no) AS no, min(x0) AS x0, max(y0 + side) AS y1, count(*) AS shapes FROM b GROUP BY page, CASE WHEN no % 3 = 0 THEN -no ELSE no % 2 END", BOXES)
+def captioned_regions(t: Tables) -> DataFrame:
+    caption = F.when(F.col("no") % 3 != 0, (F.col("no") % 2).cast("string"))
+    m = ingest.merge_captioned(boxes(t).withColumn("caption", caption).withColumn("shapes", F.lit(1)))
+    return m.select("page", "no", F.col("bbox")[0].alias("x0"), F.col("bbox")[3].alias("y1"), "shapes")
+
+
+@query(
+    """SELECT page, no, min(x0) AS x0, min(y0) AS y0, max(x0 + side) AS x1, max(y0 + side) AS y1 FROM (SELECT page, no, x0, y0, side FROM b WHERE no <= 2
+UNION ALL SELECT p.page, min(f.no), p.x0, p.y0, p.side FROM b p JOIN b f ON f.page = p.page AND f.no <= 2 AND p.no > 3 AND p.no % 5 <> 0 AND (p.no % 4 = f.no OR greatest(0, f.x0 - p.x0 - p.side, p.x0 - f.x0 - f.side, f.y0 - p.y0 - p.side, p.y0 - f.y0 - f.side) <= 32)
+  GROUP BY p.page, p.no, p.x0, p.y0, p.side) GROUP BY page, no""",
+    BOXES,
+)
+def absorbed_parts(t: Tables) -> DataFrame:
+    b, n = boxes(t), F.col("no")
+    figures = b.where("no <= 2").withColumn("caption", n.cast("string"))
+    parts = b.where("no > 2").select("doc_id", "page", n.alias("part"), "bbox", (n % 4).cast("string").alias("caption"), F.when(n == 3, "isolated_shape").otherwise("too_few_shapes").alias("reason"), (n % 5 == 0).alias("callout"))
+    grown, _ = ingest.absorb_parts(figures, parts)
+    return grown.select("page", "no", *[F.col("bbox")[i].alias(x) for i, x in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+DASHAS = SKY + """, d AS (SELECT chart_id, lord, CASE WHEN seq = 0 THEN birth ELSE birth + floor((upto - years) * 365.25::DOUBLE)::INTEGER END AS start, birth + floor(upto * 365.25::DOUBLE)::INTEGER AS stop FROM (
+  SELECT *, sum(years) OVER w - el * first(years) OVER w AS upto FROM (
+    SELECT chart_id, birth, seq, el, ['Ketu', 'Venus', 'Sun', 'Moon', 'Mars', 'Rahu', 'Jupiter', 'Saturn', 'Mercury'][(f + seq) % 9 + 1] AS lord, [7, 20, 6, 10, 7, 18, 16, 19, 17][(f + seq) % 9 + 1]::DOUBLE AS years FROM (
+      SELECT chart_id, birth, unnest(range(0, 9))::INTEGER AS seq, (floor(lon / (360.0::DOUBLE / 27)) % 9)::INTEGER AS f, lon / (360.0::DOUBLE / 27) - floor(lon / (360.0::DOUBLE / 27)) AS el FROM x WHERE body = 'Moon'))
+  WINDOW w AS (PARTITION BY chart_id ORDER BY seq ROWS UNBOUNDED PRECEDING)))"""
+
+
+@query("SELECT chart_id, lord, start, stop AS \"end\", start <= DATE '2010-01-01' AS now FROM d WHERE stop > DATE '2010-01-01' AND start <= DATE '2020-01-01'", DASHAS)
+def coming_periods(t: Tables) -> DataFrame:
+    return reading.coming_periods(astro.dashas(t.charts().where("body = 'Moon'")), "2010-01-01", 10)

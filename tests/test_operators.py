@@ -468,3 +468,39 @@ def test_pronouns_and_factors(spark):
     assert r[("all", "all")].per_100 == 10.0 and r[("flag", "retrograde")].error_free == 1.0 and r[("stage", "adult")].answers == 2
     c = evaluation.error_categories(spark.createDataFrame([("wrong house",), ("bad",)], "problem string"), [("house", "house")])
     assert {(x.category, x.n) for x in c.collect()} == {("house", 1), ("other", 1)}
+
+
+def test_make_chart_and_figures(spark):
+    from lodestone.plans import tools
+
+    chunks = chunk_rows(spark).withColumn("element_ids", F.array(F.lit("e1")))
+    el = spark.createDataFrame([("e1", 3, "f.pdf", "text", "t"), ("e2", 4, "f.pdf", "image", "t")], "element_id string, page int, source_file string, type string, text string")
+    caps = spark.createDataFrame([("e2", "%", [([(41.0, "exact"), (30.0, "estimated")],)])], "element_id string, unit string, series array<struct<points:array<struct<value:double,flag:string>>>>")
+    c = tools.Corpus(chunks, el, el, caps, el, lambda q: [1.0, 0.0, 0.0], {"e1": {"numbers": [2.0, 3.0], "estimated": []}})
+    chart = {"chart_type": "bar", "title": "t", "labels": ["a", "b"], "series": [{"name": "s", "values": [2, 3], "unit": "GB"}], "value_refs": {"s:a": "e1", "s:b": "e1"}, "citations": ["e1"]}
+    out = tools.dispatch(c, [("make_chart", chart), ("make_chart", {**chart, "series": [{"name": "s", "values": [2, 4], "unit": "GB"}]}), ("get_figure", {"element_id": "e2"})])
+    assert [(r["label"], r["value"], r["footnote"]) for r in out[0]["rows"]] == [("a", 2.0, "Source: f.pdf, p. 3"), ("b", 3.0, "Source: f.pdf, p. 3")]
+    assert "value 4 not found in e1" in out[1]["error"] and out[2]["rows"][0]["exact"] == [41.0, 0.41] and out[2]["rows"][0]["estimated"] == [30.0, 0.3]
+
+
+def test_folds_and_migrations(spark):
+    from lodestone.operators.folds import fold
+    from lodestone.sources import files
+
+    df = spark.createDataFrame([(k, i, None if i == 2 else k * i) for k in range(40) for i in range(5)] + [(None, 1, 7)], "k int, i int, v int").repartition(7)
+    got = {tuple(r) for r in fold(df, ["k"], ["i"], lambda rows: [(rows[0][0], [r[2] for r in rows])], "k int, vs array<int>").collect() for r in [(r.k, tuple(r.vs))]}
+    assert got == {(k, (0, k, None, 3 * k, 4 * k)) for k in range(40)} | {(None, (7,))}
+    assert fold(df.limit(0), ["k"], ["i"], lambda rows: [(1, [])], "k int, vs array<int>").collect() == []
+    with pytest.raises(ValueError):
+        files.migrate({}, ["0002"], [("0001", dict), ("0002", dict)])
+
+
+def test_question_lists(tmp_path):
+    from lodestone.sources import files
+
+    path = tmp_path / "q.yaml"
+    path.write_text("- id: a\n  question: x\n- id: b\n")
+    assert [x["id"] for x in files.read_questions(str(path))] == ["a", "b"]
+    path.write_text("- id: a\n- id: a\n")
+    with pytest.raises(ValueError):
+        files.read_questions(str(path))
