@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import bucket_count, materialize, mix, pack, sorted_runs, text_of, unpack
 from .components import connected_components
 from .simhash import forest
-from .substring_dedup import BATCH_BYTES, powers, window_hashes, word_hashes, words_of
+from .substring_dedup import powers, window_hashes, word_hashes, words_of
 
+PART_BYTES = 2 << 20  # of text hashed at once
 BITS, CHECK = 640, 128  # the first CHECK bits are for comparing, the others are indexed
 BYTES = BITS // 8
 KEYED = np.arange(CHECK // 8, BYTES)
@@ -43,7 +44,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def wide_fingerprints(shingles: np.ndarray, sizes: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+def wide_fingerprints(shingles: np.ndarray, sizes: np.ndarray, chunk: int = 1 << 13) -> np.ndarray:
     """One row of BYTES bytes for each run of sizes[i] > 0 shingles: bits that more than half of its shingles' hashes set."""
     ends = np.cumsum(sizes)
     total = np.zeros((len(sizes), BITS), np.int32)
@@ -98,9 +99,9 @@ def depth(n: int, similarity: float, recall: float, most: float = 2000.0) -> int
 
 
 def _parts(batch: pa.RecordBatch):
-    """Slices of the batch of about BATCH_BYTES of text."""
+    """Slices of the batch of about PART_BYTES of text."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False))
-    cuts = [0, *(np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1), batch.num_rows]
+    cuts = [0, *(np.flatnonzero(np.diff(size // PART_BYTES)) + 1), batch.num_rows]
     return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
@@ -158,7 +159,7 @@ def _setter(width: int):
     return run
 
 
-def _poster(sets: np.ndarray, buckets: int, rows: int = 8192):
+def _poster(sets: np.ndarray, buckets: int, rows: int = 4096):
     """Posts each fingerprint's CHECK bits under each of its keys, dealt to hash buckets as compressed arrays."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     salts = mix(np.arange(1, len(sets) + 1, dtype=np.uint64))
