@@ -748,6 +748,35 @@ def test_pipeline(spark, sf):
         assert stage(spark, odd, sf).count() > 0 and stage(spark, odd.limit(0), sf).count() == 0
 
 
+def test_pipeline_stages_against_plain_versions(spark, sf):
+    """The rows that the toxicity, line and mixing stages return, by plain Python over what each is given."""
+    import corpus_pipeline as p
+    from lodestone.llm.line_dedup import edit_within
+    from lodestone.llm.mixing import mix_sources
+    from lodestone.llm.toxicity import learn
+
+    docs_ = table(spark, sf, "documents")
+    rows = [tuple(r) for r in docs_.select(*p.COLUMNS).collect()]
+    stems, (a, b) = learn(docs_, table(spark, sf, "labels"))
+    clean = sorted((r for r in rows if not stems or 1 / (1 + math.exp(-(a + b * math.log1p(weight_brute(r[1], stems))))) < 0.3), key=repr)
+    assert sorted((tuple(r) for r in p.drop_toxic(spark, docs_, sf).collect()), key=repr) == clean
+    occ, by_length = defaultdict(list), defaultdict(list)
+    for r in clean:
+        for n, line in enumerate((r[1] or "").split("\n")):
+            occ[line.strip(" \t\r\x0b\x0c")].append((r[0], n))
+    for x in occ:
+        by_length[len(x)].append(x)
+    late = {x for x in occ if len(x) >= 20 and any(min(occ[y]) < min(occ[x]) and edit_within(x, y, 2) for n in range(max(20, len(x) - 2), len(x) + 3) for y in by_length[n])}
+    want = []
+    for i, text, lang, source, n_chars in clean:
+        kept = None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if len(s := x.strip(" \t\r\x0b\x0c")) < 8 or not (s in late or (i, n) > min(occ[s])))
+        want.append((i, kept, lang, source, n_chars if kept is None else len(kept)))
+    given = spark.createDataFrame(clean, docs_.select(*p.COLUMNS).schema)
+    assert sorted((tuple(r) for r in p.drop_lines(spark, given, sf).collect()), key=repr) == sorted(want, key=repr)
+    copies = {r.doc_id: r.copies for r in mix_sources(given).collect()}
+    assert sorted((tuple(r) for r in p.mix(spark, given, sf).collect()), key=repr) == sorted((r for r in clean for _ in range(copies[r[0]])), key=repr)
+
+
 def test_pipeline_mix_keeps_rows_without_id_apart(spark, sf):
     import corpus_pipeline as p
 
