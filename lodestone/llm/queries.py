@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 from .embedding_dedup import embedding_links
+from .filter_audit import filter_audit
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .packing import best_fit_packing
+from .secret_scan import listed, secret_scan
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .topk_search import topk_search
 from .toxicity import toxicity
 from .url_filter import url_filter
+from .whitening import whiten
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -81,7 +86,40 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_best_fit_packing, op4_url_filter, op5_toxicity, op6_line_dedup, op7_source_mixing, op8_license_scan, op9_topk_search, op10_simhash_dedup)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over every document in all orders, by part; odd rows as in `filter_audit`."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable row of embeddings on the first four whitened components; odd rows as in `whiten`."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, base spans and linked ones; odd rows as in `secret_scan`."""
+    out = secret_scan(table(spark, sf_dir, "documents"), reach=500)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_embedding_dedup, op3_best_fit_packing, op4_url_filter, op5_toxicity, op6_line_dedup, op7_source_mixing, op8_license_scan, op9_topk_search, op10_simhash_dedup, op11_filter_audit, op12_embedding_whitening, op13_secret_scan)}
+
+def either(words: str) -> str:
+    """A pattern of small letters that takes ASCII capitals as well; (?i) would also fold letters outside ASCII."""
+    return re.sub("[a-z]", lambda m: f"[{m.group()}{m.group().upper()}]", words)
+
+
+ASSIGNED = r"""["'']?\x20*[:=]\x20*["'']?"""
+SECRET_PATTERNS = {
+    "assign": either("(password|passwd|secret|token|api_?key)") + ASSIGNED + "([A-Za-z0-9+/_.=-]+)",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "endpoint": r"\b(?:" + either("https?|ftp|sftp|ssh|s") + "3|" + either("jdbc") + ":[A-Za-z]+|" + either("postgres(?:ql)?|mysql|mongodb|redis|amqps?") + r""")://[^\x20\x09-\x0D"''<>]+|\b(?:"""
+    + either("host|hostname|endpoint|server|base_?url|bucket") + ")" + ASSIGNED + "[A-Za-z0-9][A-Za-z0-9.:/_-]{2,}",
+    "identifier": r"\b(?:" + either("access_?key(?:_?id)?|client_?id|account(?:_?id)?|user_?name|user|login|key_?id") + ")" + ASSIGNED + "[A-Za-z0-9@._-]{3,}",
+    "value": "[A-Za-z0-9+/_=-]{20,}",
+    "blank": r"\n[\x20\t\r]*\n",
+}
 
 ORACLES = {
     "op1_substring_dedup": r"""
@@ -166,4 +204,57 @@ WITH v AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
 SELECT query_id, k::INTEGER AS rank, vec_id, score FROM r WHERE k <= 10""",
+    "op11_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), firsts AS (SELECT t, min(doc_id) AS least FROM w GROUP BY t),
+d AS (
+  SELECT w.doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(w.t, '[^A-Z]+', '', 'g')) > 2 * length(w.t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(w.t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN w.doc_id > least THEN 16 ELSE 0 END AS mask FROM w JOIN firsts ON w.t = firsts.t
+), l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM d LEFT JOIN l ON d.doc_id = l.doc_id GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step::INTEGER AS step, (SELECT bit FROM f WHERE letter = filter_order[step]) AS bit,
+    (SELECT coalesce(sum(bit), 0)::INT FROM f WHERE contains(filter_order[1:step - 1], letter)) AS before FROM orders, range(1, 6) AS r(step)
+)
+SELECT part, filter_order, step, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+  sum(CASE WHEN mask & bit <> 0 THEN n * 120 // bit_count(mask) ELSE 0 END)::BIGINT AS shapley
+FROM cells, steps GROUP BY part, filter_order, step""",
+    "op13_secret_scan": """
+WITH p AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS t FROM documents),
+pat(kind, rank, pattern) AS (VALUES """ + ", ".join(f"('{kind}', {rank}, '{pattern}')" for rank, (kind, pattern) in enumerate(SECRET_PATTERNS.items())) + r"""),
+hit AS (SELECT k, kind, rank, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS gaps FROM p, pat),
+each AS (SELECT k, kind, rank, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM hit WHERE len(ms) > 0),
+ended AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY k, kind ORDER BY i) AS e FROM each),
+span AS (
+  SELECT k, kind, rank, m, (e - length(m))::BIGINT AS s, e::BIGINT AS e FROM ended WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(m, '""" + SECRET_PATTERNS["assign"] + r"""', 2)) >= 6 WHEN 'access' THEN length(m) >= 20 WHEN 'hex' THEN length(m) >= 24
+    WHEN 'value' THEN regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]') ELSE true END
+), base AS (SELECT * FROM span WHERE rank < 3),
+free AS (SELECT * FROM span a WHERE rank BETWEEN 3 AND 5 AND NOT EXISTS (FROM base b WHERE b.k = a.k AND b.s < a.e AND a.s < b.e)),
+f3 AS (SELECT * FROM free WHERE rank = 3),
+f4 AS (SELECT * FROM free a WHERE rank = 4 AND NOT EXISTS (FROM f3 b WHERE b.k = a.k AND b.s < a.e AND a.s < b.e)),
+f5 AS (SELECT * FROM free a WHERE rank = 5 AND NOT EXISTS (FROM (FROM f3 UNION ALL FROM f4) b WHERE b.k = a.k AND b.s < a.e AND a.s < b.e)),
+parts AS (FROM base UNION ALL FROM f3 UNION ALL FROM f4 UNION ALL FROM f5),
+offs AS (SELECT a.*, coalesce((SELECT max(b.e) FROM span b WHERE b.k = a.k AND b.kind = 'blank' AND b.e <= a.s), 0) AS para FROM parts a),
+placed AS (SELECT *, (s - para) // 500 - t.j AS tile FROM offs, (VALUES (0), (1)) t(j) WHERE (s - para) // 500 >= t.j),
+held AS (
+  SELECT k, para, tile, bool_or(kind IN ('access', 'identifier')) AS has_id, bool_or(kind IN ('assign', 'hex', 'value')) AS has_secret FROM placed GROUP BY k, para, tile
+), shown AS (
+  SELECT k, kind, rank, s, e FROM base UNION
+  SELECT k, kind, rank, s, e FROM f3 WHERE regexp_matches(m, '://[^/?#@:]*:[^/?#@]+@') UNION
+  SELECT a.k, kind, rank, s, e FROM placed a JOIN held h ON a.k = h.k AND a.para = h.para AND a.tile = h.tile
+  WHERE CASE kind WHEN 'endpoint' THEN has_id AND has_secret WHEN 'identifier' THEN has_secret WHEN 'value' THEN has_id ELSE false END
+), texts AS (SELECT k, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3), '') AS base FROM shown GROUP BY k),
+n AS (SELECT k, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM base GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM p LEFT JOIN texts ON p.k = texts.k LEFT JOIN n ON p.k = n.k""",
 }
