@@ -1,52 +1,20 @@
-"""Search text: stop words, a suffix stemmer, and the web-search query syntax (words, "phrases", OR, -not)."""
+"""Search text: stop words and the web-search query syntax (words, "phrases", OR, -not)."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+# Words too common to search for, the customary English list.
+STOP = frozenset(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those
+    am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below
+    to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
+)
 
-# Words too common to search for.
-STOP = frozenset("a an and are as at be but by for from had has have he her his i if in into is it its me my no nor not of on or our she so than that the their them then there these they this to too was we were what when where which who will with you your".split())
-VOWELS = "aeiouy"
 
-
-def stem(word: str) -> str:
-    """Common English endings taken off, where a syllable of three letters stays: plural, past, progressive and adverb."""
-    w = word
-
-    def cut(end: str, put: str = "", least: int = 3) -> bool:
-        nonlocal w
-        if w.endswith(end) and len(w) - len(end) >= least and any(c in VOWELS for c in w[: -len(end)]):
-            w = w[: -len(end)] + put
-            return True
-        return False
-
-    cut("ies", "y", 2) or cut("sses", "ss") or (w.endswith(("xes", "ches", "shes")) and cut("es")) or (not w.endswith(("ss", "us", "is")) and cut("s"))
-    if cut("ing") or cut("ed"):
-        if len(w) > 3 and w[-1] == w[-2] and w[-1] not in "lsz":
-            w = w[:-1]
-        elif w.endswith(("at", "bl", "iz")):
-            w += "e"
-    cut("fulness", "ful") or cut("ously", "ous") or cut("ly")
-    return w[:-1] + "i" if w.endswith("y") and len(w) > 2 and w[-2] not in VOWELS else w
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def english(text: pd.Series) -> pd.Series:
-    """Stems of a text's words in order; stop words leave a null, so that distances stay."""
-    known: dict[str, str | None] = {}
-
-    def of(w: str) -> str | None:
-        if w not in known:
-            known[w] = None if w in STOP else stem(w)
-        return known[w]
-
-    return text.map(lambda t: [] if t is None else [of(w) for w in re.findall(r"[a-z0-9]+", t.lower())])
+def words(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
 
 
 @dataclass
@@ -64,36 +32,7 @@ def parse(query: str) -> list[Group]:
         if word == "OR" and not sign:
             groups.append(Group())
             continue
-        words = re.findall(r"[a-z0-9]+", (phrase or word).lower())
-        if words:
-            (groups[-1].never if sign else groups[-1].need).append(words)
+        found = words(phrase or word)
+        if found:
+            (groups[-1].never if sign else groups[-1].need).append(found)
     return [g for g in groups if g.need or g.never]
-
-
-def _holds(words: Column, phrase: list) -> Column:
-    """Whether the phrase stands in the array of words; null members match any word."""
-    known = [(i, p) for i, p in enumerate(phrase) if p is not None]
-    if not known:
-        return F.lit(True)
-    if len(known) == 1:
-        return F.exists(words, lambda w: w.eqNullSafe(F.lit(known[0][1])))
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - len(phrase)))
-    here = lambda s: F.array(*[F.get(words, s + i).eqNullSafe(F.lit(p)) for i, p in known])
-    return F.exists(at, lambda s: F.forall(here(s), lambda x: x))
-
-
-def matches(words: Column, query: str, stemmed: bool) -> Column:
-    """Whether a text's words (plain, or stems with nulls for stop words) satisfy a query; an empty query matches nothing."""
-    of = (lambda p: [None if w in STOP else stem(w) for w in p]) if stemmed else (lambda p: p)
-    out = F.lit(False)
-    for g in parse(query):
-        need = [p for p in map(of, g.need) if any(w is not None for w in p)]
-        if not need and not g.never:
-            continue
-        hold = F.lit(True)
-        for p in need:
-            hold = hold & _holds(words, p)
-        for p in map(of, g.never):
-            hold = hold & ~_holds(words, p)
-        out = out | hold
-    return F.coalesce(out, F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import before
 from ..functions.text import ID, collapse
-from .retrieval import nearest
+from .vectors import nearest
 
 
 def recall(memories: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:

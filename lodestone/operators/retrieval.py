@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import search_text as st
 from ..functions.text import tokens
+from ..session import written
+from . import fulltext
+from .vectors import nearest
 
 
 def _top(scored: DataFrame, n: int, score: str = "score", key: str = "chunk_id") -> DataFrame:
@@ -22,65 +23,9 @@ def _top(scored: DataFrame, n: int, score: str = "score", key: str = "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, key: str, within: list[str] | None = None, kind: str | None = None, block: int = 4096) -> DataFrame:
-    """(query_id, key, score, and kind): candidates for the n nearest vectors of each query, at least those, by cosine to 9 digits.
-
-    queries (query_id, vector, and the columns `within`, which a vector must share) go in blocks of `block` rows, however many
-    there are; each block goes along with the tasks, an Arrow batch of vectors is one matrix product a group, and only its best n
-    a query (and kind) leave the task. Null vectors, null queries and vectors of another length than the query's take no part;
-    a zero vector has similarity 0.
-    """
-    within = within or []
-    asked = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *within)
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-    kinds += f", {kind} {vectors.schema[kind].dataType.simpleString()}" if kind else ""
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        size = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
-    def search(rows: list):
-        groups: dict = {}
-        for r in rows:
-            groups.setdefault((len(r["vector"]), *[r[c] for c in within]), []).append(r)
-        ready = {g: ([r["query_id"] for r in rs], unit(np.array([r["vector"] for r in rs], np.float64).reshape(len(rs), g[0]))) for g, rs in groups.items()}
-
-        def run(frames):
-            for pdf in frames:
-                pdf = pdf.assign(_d=[len(v) for v in pdf["embedding"]])
-                for g, part in pdf.groupby(["_d", *within], sort=False):
-                    g = g if isinstance(g, tuple) else (g,)
-                    if g not in ready or not g[0]:
-                        continue
-                    ids, q = ready[g]
-                    every = np.round(unit(np.array(part["embedding"].tolist(), np.float64)) @ q.T, 9)
-                    for label, at in [(None, np.arange(len(part)))] if kind is None else [(k, np.array(v)) for k, v in part.reset_index(drop=True).groupby(kind, sort=False).groups.items()]:
-                        scores, keys, out = every[at], part[key].to_numpy()[at], []
-                        for k, name in enumerate(ids):
-                            s = scores[:, k]
-                            cut = np.partition(s, len(s) - n)[len(s) - n] if len(s) > n else -2.0
-                            best = np.flatnonzero(s >= cut)
-                            best = best[np.lexsort((keys[best], -s[best]))[:n]]
-                            out.append(pd.DataFrame({"query_id": name, key: keys[best], "score": s[best]}))
-                        found = pd.concat(out)
-                        yield found if kind is None else found.assign(**{kind: label})
-
-        return run
-
-    table = vectors.where("embedding IS NOT NULL").select(key, F.col("embedding").cast("array<double>").alias("embedding"), *within, *([kind] if kind else []))
-    out = None
-    rows, it = [], asked.toLocalIterator()
-    while True:
-        rows = [r for _, r in zip(range(block), it)]
-        if not rows and out is not None:
-            return out
-        found = table.mapInPandas(search(rows), kinds)
-        out = found if out is None else out.union(found)
-
-
-def semantic_topn(chunks: DataFrame, queries: DataFrame, n: int = 20, block: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the n chunks nearest to each query (query_id, vector) by cosine; see nearest()."""
-    return _top(nearest(chunks, queries, n, "chunk_id", block=block), n)
+def semantic_topn(chunks: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the n chunks nearest to each query (query_id, vector) by cosine; see vectors.nearest()."""
+    return _top(nearest(chunks, queries, n, "chunk_id"), n)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -102,20 +47,15 @@ def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return each.groupBy("chunk_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def keyword_topn(chunks: DataFrame, queries: DataFrame, n: int = 20, mode: str = "all", posts: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank). mode all: every term occurs; any: at least one. The score is the sum of 1 + ln(tf)."""
-    terms = query_terms(queries)
-    hits = (posts if posts is not None else postings(chunks, terms)).join(terms, "term")
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 + F.log(F.col("tf").cast("double"))), 9).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms"))
-    if mode == "all":
-        scored = scored.where("found = n_terms")
-    return _top(scored, n).drop("found", "n_terms")
+def keyword_topn(chunks: DataFrame, queries: DataFrame, n: int = 20, mode: str = "all", stems: bool = False) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by cover density. mode all: every word of the question occurs; any: at least one."""
+    return fulltext.search(chunks, queries, n, mode, stems)
 
 
 def bm25_topn(chunks: DataFrame, queries: DataFrame, n: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 over chunks that hold any term. One pass over the texts gives postings, lengths and counts."""
     terms = query_terms(queries)
-    posts = postings(chunks, terms)
+    posts = written(postings(chunks, terms))
     stats = posts.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     df = posts.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     row = posts.where("term <> ''").join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))  # one row
@@ -136,14 +76,14 @@ def fuse(semantic: DataFrame, keyword: DataFrame, k: int = 8, rrf_k: int = 60) -
     return _top(both, k)
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int | None = 8, candidates: int = 20, mode: str = "all", rrf_k: int = 60, collection: str | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int | None = 8, candidates: int = 20, mode: str = "all", rrf_k: int = 60, collection: str | None = None, stems: bool = True) -> DataFrame:
     """The fused k best chunks of each query (query_id, question, vector), with their columns.
 
-    mode: all or any of the plain words, bm25, or websearch (stems or plain words, phrases, OR and -not).
+    mode: all or any of the words or of their stems, websearch (with phrases, OR and -not), or bm25 over plain words.
     """
     pool = chunks.where(F.col("collection") == collection) if collection else chunks
     semantic = semantic_topn(pool, queries, candidates)
-    keyword = {"bm25": bm25_topn, "websearch": websearch_topn}.get(mode, lambda *x: keyword_topn(*x, mode))(pool, queries, candidates)
+    keyword = bm25_topn(pool, queries, candidates) if mode == "bm25" else fulltext.search(pool, queries, candidates, mode, stems)
     top = fuse(semantic, keyword, k or 8, rrf_k)
     return top.join(chunks.drop("embedding"), "chunk_id")
 
@@ -225,57 +165,6 @@ def source_note(elements: DataFrame, chunks: DataFrame, ids: DataFrame) -> DataF
     return direct.union(via).distinct().groupBy("source_file").agg(F.concat(F.lit("Source: "), F.first("source_file"), F.lit(", p. "), pages).alias("note"))
 
 
-PHRASES = "query_id {}, g int, never boolean, phrase array<string>, stemmed boolean, all_of boolean"
-
-
-def _parsed(frames):
-    """Rows (query_id, question) to their phrases: alternative g, whether it must not occur, words (null for one that any word matches)."""
-    for pdf in frames:
-        out = []
-        for name, question in zip(pdf["query_id"], pdf["question"]):
-            for g, group in enumerate(st.parse(question or "")):
-                for stemmed in (False, True):
-                    of = lambda p: [None if w in st.STOP else st.stem(w) for w in p] if stemmed else p  # noqa: E731,B023
-                    need = [x for x in map(of, group.need) if any(x)]
-                    never = [x for x in map(of, group.never) if any(x)]
-                    if not need and not group.never:
-                        continue
-                    out += [(name, g, False, x, stemmed, not need) for x in need] + [(name, g, True, x, stemmed, not need) for x in never]
-                    if not need and not never:
-                        out.append((name, g, True, None, stemmed, True))
-        yield pd.DataFrame(out, columns=["query_id", "g", "never", "phrase", "stemmed", "all_of"])
-
-
 def websearch_topn(chunks: DataFrame, queries: DataFrame | str, n: int = 20, stems: bool = True) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of queries (query_id, question) in web-search syntax, or of one question as query 1.
-
-    A chunk matches if its plain words satisfy the query, or its stems do; the score is the sum of ln(1 + tf) over the query's
-    words, of the two the higher. Phrases are found by joining their words to positions of those words and counting diagonals,
-    so texts are split once and only the words of queries are shuffled. stems=False looks at plain words alone.
-    """
-    spark = chunks.sparkSession
-    if isinstance(queries, str):
-        queries = spark.createDataFrame([(1, queries)], "query_id int, question string")
-    asked = queries.select("query_id", "question").mapInPandas(_parsed, PHRASES.format(queries.schema["query_id"].dataType.simpleString())).where(F.lit(stems) | ~F.col("stemmed"))
-    words = asked.select("phrase", "stemmed").where("phrase IS NOT NULL").distinct().select("phrase", "stemmed", F.posexplode("phrase").alias("at", "term")).where("term IS NOT NULL")
-    both = F.array(F.struct(F.lit(False).alias("stemmed"), tokens(F.col("text")).alias("words")), F.struct(F.lit(True).alias("stemmed"), st.english(F.col("text")).alias("words")))
-    each = chunks.select("chunk_id", F.explode(both).alias("v")).select("chunk_id", "v.stemmed", F.posexplode("v.words").alias("pos", "term"))
-    places = each.join(words.select("stemmed", "term").distinct(), ["stemmed", "term"], "left_semi")
-    need = words.groupBy("phrase", "stemmed").agg(F.count("*").alias("need"), F.size(F.first("phrase")).alias("long"))
-    lengths = chunks.select("chunk_id", F.size(tokens(F.col("text"))).alias("length"))
-    lines = places.join(words, ["stemmed", "term"]).groupBy("chunk_id", "phrase", "stemmed", (F.col("pos") - F.col("at")).alias("start")).agg(F.count("*").alias("got"))
-    # a phrase must lie within the text, also with the words that any word matches
-    whole = lines.where("start >= 0").join(need, ["phrase", "stemmed"]).where("got = need").join(lengths, "chunk_id").where("start + long <= length")
-    held = whole.select("chunk_id", "phrase", "stemmed").distinct()
-    wants = asked.where("NOT never").groupBy("query_id", "g", "stemmed").agg(F.count_distinct("phrase").alias("wants"))
-    met = asked.where("NOT never").join(held, ["phrase", "stemmed"]).groupBy("query_id", "g", "stemmed", "chunk_id").agg(F.count_distinct("phrase").alias("met"))
-    good = met.join(wants, ["query_id", "g", "stemmed"]).where("met = wants").select("query_id", "g", "stemmed", "chunk_id")
-    # alternatives that only exclude: every chunk against those few queries
-    free = asked.where("all_of").select("query_id", "g", "stemmed").distinct().crossJoin(chunks.select("chunk_id"))
-    bad = asked.where("never").join(held, ["phrase", "stemmed"]).select("query_id", "g", "stemmed", "chunk_id").distinct()
-    hit = good.union(free).join(bad, ["query_id", "g", "stemmed", "chunk_id"], "left_anti").select("query_id", "chunk_id").distinct()
-    counts = places.groupBy("chunk_id", "stemmed", "term").agg(F.count("*").alias("tf"))
-    terms = asked.where("NOT never").select("query_id", "stemmed", F.posexplode("phrase").alias("at", "term"), "g", "phrase").where("term IS NOT NULL")
-    weight = terms.join(counts, ["stemmed", "term"]).groupBy("query_id", "chunk_id", "stemmed").agg(F.sum(F.log1p(F.col("tf").cast("double"))).alias("w")).groupBy("query_id", "chunk_id").agg(F.max("w").alias("w"))
-    scored = hit.join(weight, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.round(F.coalesce("w", F.lit(0.0)), 9).alias("score"))
-    return _top(scored, n)
+    """(query_id, chunk_id, score, rank) of queries in web-search syntax; see fulltext.search()."""
+    return fulltext.search(chunks, queries, n, "websearch", stems)

@@ -955,10 +955,11 @@ def question_kinds(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT q.query_id, c.chunk_id, round(sum(ln(1 + tf)), 9) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(sum(ln(1 + tf)), 9) DESC, c.chunk_id)::INTEGER AS rank FROM (
-  SELECT query_id, w[1] AS a, w[2] AS b, w[3] AS x FROM (SELECT query_id, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM q) WHERE len(w) >= 3) q JOIN (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks) c
-  ON list_contains(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), a || ' ' || b) AND NOT list_contains(w, x) AND x NOT IN (a, b), LATERAL (SELECT unnest(CASE WHEN a = b THEN [a, a] ELSE [a, b] END) AS term), LATERAL (SELECT len(list_filter(w, lambda y: y = term)) AS tf)
-GROUP BY q.query_id, c.chunk_id QUALIFY rank <= 20""",
+    """SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM (
+  SELECT q.query_id, c.chunk_id, round(0.1::DOUBLE * len(list_filter(range(1, len(w)), lambda i: w[i] = a AND w[i + 1] = b)), 9) AS score FROM (
+    SELECT query_id, w[1] AS a, w[2] AS b, w[3] AS x FROM (SELECT query_id, regexp_extract_all(lower(question), '[a-z0-9]+') AS w FROM q) WHERE len(w) >= 3) q
+  JOIN (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks) c
+  ON list_contains(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), a || ' ' || b) AND NOT list_contains(w, x) AND x NOT IN (a, b)) QUALIFY rank <= 20""",
     f"{CHUNKS}, {ASKED}",
 )
 def websearch_phrases(t: Tables) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import astro, enrich, evaluation, ingest, memory, ops, placements, retrieval, verify
-from ..session import ship
+from ..operators import astro, enrich, evaluation, ingest, memory, ops, placements, retrieval, vectors, verify
+from ..session import new_folder, ship, written
 from ..sources import files
 
 QUERIES: dict = {}
@@ -78,13 +78,23 @@ ASKED = "q AS (SELECT item_id AS query_id, text AS question, embedding::DOUBLE[]
 SEMANTIC = CHUNKS + ", " + ASKED + """, sim AS (
   SELECT query_id, chunk_id, round(list_dot_product(x, v) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(v, v))), 9) AS score FROM chunks, q
 ), semantic AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM sim QUALIFY rank <= 20)"""
-KEYWORD = """words AS (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks),
+KEYWORD = """words AS (SELECT chunk_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM chunks)),
 posts AS (SELECT chunk_id, term, count(*) AS tf FROM words GROUP BY ALL),
 terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS term FROM q),
-kw AS (SELECT query_id, chunk_id, round(sum(1 + ln(tf)), 9) AS score, count(*) AS found FROM posts JOIN terms USING (term) GROUP BY ALL),
 need AS (SELECT query_id, count(*) AS n FROM terms GROUP BY ALL),
-kw_any AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM kw QUALIFY rank <= 20),
-kw_all AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM kw JOIN need USING (query_id) WHERE found = n QUALIFY rank <= 20)"""
+occ AS (SELECT query_id, chunk_id, term, pos FROM words JOIN terms USING (term)),
+kw_any AS (
+  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank
+  FROM (SELECT query_id, chunk_id, round(0.1::DOUBLE * count(*), 9) AS score FROM occ GROUP BY ALL) QUALIFY rank <= 20
+), whole AS (SELECT query_id, chunk_id FROM occ JOIN need USING (query_id) GROUP BY ALL HAVING count(DISTINCT term) = any_value(n)),
+spots AS (SELECT query_id, chunk_id, term, pos, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS i FROM occ SEMI JOIN whole USING (query_id, chunk_id)),
+lasts AS (SELECT s.query_id, s.chunk_id, s.pos, s.i, max(CASE WHEN s.term = t.term THEN s.pos END) OVER (PARTITION BY s.query_id, s.chunk_id, t.term ORDER BY s.pos) AS last FROM spots s JOIN terms t USING (query_id)),
+begun AS (SELECT query_id, chunk_id, pos, i, min(last) AS start FROM lasts GROUP BY ALL HAVING count(last) = count(*)),
+stretches AS (SELECT *, lag(start) OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS earlier FROM begun),
+kw AS (
+  SELECT c.query_id, c.chunk_id, round(sum(0.1::DOUBLE / (1 + (c.pos - c.start) - (c.i - s.i))), 9) AS score
+  FROM stretches c JOIN spots s ON c.query_id = s.query_id AND c.chunk_id = s.chunk_id AND s.pos = c.start WHERE earlier IS NULL OR start > earlier GROUP BY ALL
+), kw_all AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM kw QUALIFY rank <= 20)"""
 HYBRID = SEMANTIC + ", " + KEYWORD + """, fused AS (
   SELECT coalesce(s.query_id, k.query_id) AS query_id, coalesce(s.chunk_id, k.chunk_id) AS chunk_id, s.rank AS semantic_rank, k.rank AS keyword_rank,
     round(coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + k.rank), 0), 9) AS score
@@ -109,11 +119,59 @@ def semantic_topn(t: Tables) -> DataFrame:
     return retrieval.semantic_topn(t.chunks(), t.questions())
 
 
+def asked_of_collections(t: Tables) -> DataFrame:
+    """Each question, asked of each collection; query_id is the question's number and the collection."""
+    collections = t.chunks().groupBy("collection").count().where("collection IS NOT NULL").select("collection")
+    q = t.questions().select("query_id", "vector")
+    named = F.array_distinct(F.flatten(F.collect_list(F.array("collection"))))
+    listed = q.crossJoin(F.broadcast(collections.agg(named.alias("all")))).select("query_id", "vector", F.explode("all").alias("collection"))  # one row of names
+    return listed.select(F.concat_ws(":", "query_id", "collection").alias("query_id"), "vector", "collection")
+
+
+def collection_index(t: Tables) -> vectors.VectorIndex:
+    return vectors.build_index(t.chunks(), new_folder(t.spark), within=["collection"])
+
+
+@query(
+    "SELECT concat_ws(':', query_id, collection) AS query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, chunk_id)::INTEGER AS rank FROM sim JOIN chunks USING (chunk_id) WHERE collection IS NOT NULL QUALIFY rank <= 10",
+    SEMANTIC,
+)
+def indexed_topn(t: Tables) -> DataFrame:
+    """The ten nearest chunks of each collection to each question through the index, with the round that makes them exact."""
+    return vectors.search_index(collection_index(t), asked_of_collections(t), 10, exact=True)
+
+
+@query()
+def index_recall(t: Tables) -> DataFrame:
+    """(collection, queries, recall, scanned_share): what a search of the index finds of the true ten, and the share of the collection's rows it reads."""
+    index, asked = collection_index(t), asked_of_collections(t)
+    found, true = (written(vectors.search_index(index, asked, 10, exact=e).select("query_id", "chunk_id")) for e in (False, True))
+    hits = true.join(found.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    sizes = index.table("members").groupBy("collection").agg(F.count("*").alias("size"))
+    per_query = asked.select("query_id", "collection").join(hits, "query_id").join(vectors.scanned(index, asked), "query_id").join(F.broadcast(sizes), "collection")  # a row a collection
+    return per_query.groupBy("collection").agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg(F.col("rows") / F.col("size")).alias("scanned_share"))
+
+
 @query("SELECT * FROM kw_all", f"{CHUNKS}, {ASKED}, {KEYWORD}")
 def keyword_all_topn(t: Tables) -> DataFrame:
     return retrieval.keyword_topn(t.chunks(), t.questions(), mode="all")
 
 
+THREE = "list_sort(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')))"
+
+
+@query(
+    "SELECT * FROM kw_all",
+    f"{CHUNKS}, {ASKED.replace('q AS', 'whole_q AS')}, q AS (SELECT query_id, concat_ws(' ', w[1], w[(len(w) + 1) // 2], w[len(w)]) AS question FROM (SELECT query_id, {THREE} AS w FROM whole_q)), {KEYWORD}",
+)
+def cover_density_topn(t: Tables) -> DataFrame:
+    """The first, middle and last of each question's words by the alphabet, all of which a text must hold."""
+    w = F.array_sort(F.array_distinct(tx.tokens(F.col("question"))))
+    of = lambda i: F.get(w, i)
+    picked = F.concat_ws(" ", of(F.lit(0)), of(F.floor((F.size(w) + 1) / 2).cast("int") - 1), of(F.size(w) - 1))
+    return retrieval.keyword_topn(t.chunks(), t.questions().select("query_id", picked.alias("question")), mode="all")
+
+
 @query("SELECT * FROM kw_any", f"{CHUNKS}, {ASKED}, {KEYWORD}")
 def keyword_any_topn(t: Tables) -> DataFrame:
     return retrieval.keyword_topn(t.chunks(), t.questions(), mode="any")
@@ -131,7 +189,7 @@ def bm25_topn(t: Tables) -> DataFrame:
 
 @query("SELECT h.query_id, h.chunk_id, h.score, h.rank, semantic_rank, keyword_rank, collection, source FROM hybrid h JOIN chunks USING (chunk_id)", HYBRID)
 def hybrid_rrf(t: Tables) -> DataFrame:
-    return retrieval.hybrid_search(t.chunks(), t.questions()).select("query_id", "chunk_id", "score", "rank", "semantic_rank", "keyword_rank", "collection", "source")
+    return retrieval.hybrid_search(t.chunks(), t.questions(), stems=False).select("query_id", "chunk_id", "score", "rank", "semantic_rank", "keyword_rank", "collection", "source")
 
 
 @query(

@@ -6,9 +6,9 @@ import re
 
 import numpy as np
 
-from lodestone.functions import search_text as st
 from lodestone.operators import astro
 from lodestone.plans.registry import QUERIES, Tables
+from test_fulltext import query_brute
 
 
 def run(spark, sf, name):
@@ -19,15 +19,9 @@ def top(scores, n):
     return {k: i + 1 for i, (k, _) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:n])}
 
 
-def holds(words, phrase):
-    return any(all(p is None or words[i + j] == p for j, p in enumerate(phrase)) for i in range(len(words) - len(phrase) + 1))
-
-
 def test_hybrid_websearch(spark, sf):
     t = Tables(spark, sf)
     chunks = {r.chunk_id: (r.text, np.array(r.embedding, float)) for r in t.chunks().collect()}
-    plain = {c: re.findall("[a-z0-9]+", x.lower()) for c, (x, _) in chunks.items()}
-    stems = {c: [None if w in st.STOP else st.stem(w) for w in ws] for c, ws in plain.items()}
     got = {}
     for r in run(spark, sf, "hybrid_websearch"):
         got.setdefault(r.query_id, {})[r.chunk_id] = (r.rank, r.semantic_rank, r.keyword_rank, r.score)
@@ -35,18 +29,7 @@ def test_hybrid_websearch(spark, sf):
         w = re.split(r"\s+", q.question)
         query, v = f'{w[0]} OR "{w[1]} {w[2]}"', np.array(q.vector, float)
         semantic = top({c: round(float(x @ v / (np.linalg.norm(x) * np.linalg.norm(v))), 9) for c, (_, x) in chunks.items()}, 20)
-        scores = {}
-        for c in chunks:
-            hit, best = False, 0.0
-            for words, of in ((plain[c], lambda x: x), (stems[c], lambda x: None if x in st.STOP else st.stem(x))):
-                total = 0.0
-                for g in st.parse(query):
-                    need = [p for p in ([of(x) for x in p] for p in g.need) if any(p)]
-                    hit |= bool(need) and all(holds(words, p) for p in need)
-                    total += sum(math.log1p(words.count(x)) for p in need for x in p if x is not None)
-                best = max(best, total)
-            if hit:
-                scores[c] = round(best, 9)
+        scores = {c: round(x, 9) for c, (text, _) in chunks.items() if (x := query_brute(text, query)) is not None}
         keyword = top(scores, 20)
         fused = {c: round((1 / (60 + semantic[c]) if c in semantic else 0) + (1 / (60 + keyword[c]) if c in keyword else 0), 9) for c in {*semantic, *keyword}}
         want = {c: (rank, semantic.get(c), keyword.get(c), fused[c]) for c, rank in top(fused, 8).items()}
