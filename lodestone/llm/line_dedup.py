@@ -4,15 +4,24 @@ Lines within `differ` edits of each other share one of `differ` + 1 segments of
 lengths bound. Each distinct line indexes its segments and probes the substrings that lines of its length and of up to
 `differ` fewer characters could have as segments; keys meet in hash buckets as compressed arrays. The lines of a
 key that several share are verified by banded bit-parallel edit distance on their texts, in the order of their first
-places: what leaves is whether a line has an earlier neighbour, one row a line, never pairs. A key that very many lines
-share is dealt to blocks; only lines that find no earlier neighbour in their own block are sent to the others.
+places: what leaves is whether a line has an earlier neighbour, one row a line, never pairs.
+
+A key that very many lines share (a common beginning, say) is dealt to blocks, which settle near copies among
+themselves. If few of its lines are left without an earlier neighbour, they go to the key's other blocks and are compared with
+the members there. If many are left, the key is refined: the segment is cut out of its lines, and what remains of them, still
+within `differ` edits for any pair this key must find, is split into segments again, whose keys cover the segment before.
+Each round a key holds more of a line, so lines that differ elsewhere part, and work grows with the lines, not with their
+square. Only keys whose lines agree in all but a few characters cannot be refined; their blocks settle nearly all of them,
+and lines left over meet the other blocks in groups of bounded size. In the buckets, too, a key that many lines of a task share leaves as rows of its own
+with two of them standing for it.
 
 A line goes if an equal line, or one within `differ` edits, starts earlier (smaller doc_id, or the same and an earlier
 line); lines are judged on the input. Lines under `least` characters (spaces around them aside) always stay, those
 under `near` characters go only as equal lines.
 
 Defined results: null and empty texts stay as they are; a row without doc_id comes after all others, and two such rows tie;
-rows of one doc_id tie where equal lines have the same number; row order and other columns are untouched.
+rows of one doc_id tie where equal lines have the same number; a very long text is many lines, a very long line is compared
+whole, in blocks of bounded bytes; an empty table gives no rows; columns other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -54,11 +63,44 @@ def keys_of(line: str, differ: int) -> tuple[list[int], list[int]]:
     for shorter in range(max(1, n - differ), n + 1):
         d = n - shorter
         for i, (a, m) in enumerate(segments(shorter, differ + 1)):
-            lo, hi = max(a - i, a + d - (differ - i), 0), min(a + i, a + d + (differ - i), n - m)
-            probes += [digest(line[s : s + m].encode(), shorter * 64 + i) for s in range(lo, hi + 1)]
+            probes += [digest(line[s : s + m].encode(), shorter * 64 + i) for s in _shifts(a, m, i, d, n, differ)]
     return index, probes
 
 
+#: Stands for what was cut out of a line; no line holds it.
+CUT = "\n"
+
+
+def _shifts(a: int, m: int, i: int, d: int, n: int, differ: int) -> range:
+    """Where segment i (at a, m long) of a text can stand in one of n characters that is d longer and within differ edits."""
+    return range(max(a - i, a + d - (differ - i), 0), min(a + i, a + d + (differ - i), n - m) + 1)
+
+
+def first_views(line: str, key: int, differ: int) -> set[tuple[str, int, bool]]:
+    """What remains of a line around the segment that key stands for: the rest, the length of an indexing line's rest, whether this line indexes it."""
+    n, out = len(line), set()
+    for shorter in range(max(1, n - differ), n + 1):
+        for i, (a, m) in enumerate(segments(shorter, differ + 1)):
+            for s in _shifts(a, m, i, n - shorter, n, differ):
+                if xxhash.xxh64_intdigest(line[s : s + m].encode(), shorter * 64 + i) == key:
+                    out.add((line[:s] + CUT + line[s + m :], shorter - m + 1, shorter == n and s == a))
+    return out
+
+
+def next_views(key: int, rest: str, length: int, indexed: bool, differ: int) -> dict[tuple[int, str], tuple[int, bool]]:
+    """Of a view: its keys of the next round with what remains then, the length of an indexing rest, and whether this one indexes."""
+    n, out = len(rest), {}
+    if not length <= n <= length + differ:
+        return out
+    for i, (a, m) in enumerate(segments(length, differ + 1)):
+        seed = (key + (i + 1) * 0x9E3779B97F4A7C15) % (1 << 64)
+        for s in _shifts(a, m, i, n - length, n, differ):
+            k = xxhash.xxh64_intdigest(rest[s : s + m].encode(), seed)
+            view = (k, rest[:s] + CUT + rest[s + m :])
+            out[view] = (length - m + 1, (indexed and s == a) or out.get(view, (0, False))[1])
+    return out
+
+
 def edit_within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most `most`: common ends come off, the rest by bit vectors over a band of diagonals."""
     if len(a) > len(b):
@@ -119,22 +161,35 @@ def _place(doc_id="doc_id", pos="pos"):
     return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(pos).alias("pos"))
 
 
-def _sender(differ: int, near: int, buckets: int, rows: int = 400_000):
+def _sender(differ: int, near: int, buckets: int, rows: int = 400_000, many: int = 64):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches):
+        from pyspark import TaskContext
+
         seen: set = set()
         keys, of, kind = array("Q"), array("Q"), array("B")
+        alone = -1 - (TaskContext.get().partitionId() << 14)  # buckets below zero hold one task's lines of keys that many share
 
         def flush():
-            k, h, p = np.array(keys), np.array(of), np.array(kind)
-            order = np.argsort(k)
-            k, h, p = k[order], h[order], p[order]
+            nonlocal alone
+            k, h, p = _once(np.array(keys), np.array(of), np.array(kind))
+            run_of = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
+            at = np.arange(len(k)) - np.searchsorted(run_of, run_of)
+            hot = (np.bincount(run_of) > many)[run_of]
+            own = pack(k[hot], h[hot], p[hot]) if hot.any() else None
+            stay = ~hot | (at < 2)  # the first of a key indexes it if any does
+            k, h, p = k[stay], h[stay], p[stay]
             cut = np.searchsorted(k >> shift, np.arange(buckets + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
             blobs = [pack(np.diff(k[cut[i] : cut[i + 1]], prepend=np.uint64(0)), h[cut[i] : cut[i + 1]], p[cut[i] : cut[i + 1]]) for i in full]
+            names = full.astype(np.int64).tolist()
+            if own is not None:
+                blobs.append(own)
+                names.append(alone)
+                alone -= 1
             del keys[:], of[:], kind[:]
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
         for batch in batches:
             for t in batch.column(0):
@@ -160,20 +215,30 @@ def _sender(differ: int, near: int, buckets: int, rows: int = 400_000):
     return run
 
 
+def _once(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By key, with each line once a key, as indexing it if it does; those that index a key come first in it."""
+    order = np.lexsort((1 - p, h, k))
+    k, h, p = k[order], h[order], p[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+    k, h, p = k[new], h[new], p[new]
+    order = np.lexsort((h, 1 - p, k))
+    return k[order], h[order], p[order]
+
+
 def _sharers(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Of a bucket: the lines of each key that a line indexes and at least one other line has; indexed tells those that index it."""
+    kinds = np.uint64, np.uint64, np.uint8
+    if key[0] < 0:
+        k, h, p = (np.concatenate(x) for x in zip(*[unpack(blob, *kinds) for blob in pdf["blob"]]))
+        return pd.DataFrame({"key": k.view(np.int64), "h": h.view(np.int64), "indexed": p == 1})
     ks, hs, ps = [], [], []
     for blob in pdf["blob"]:
-        d, h, p = unpack(blob, np.uint64, np.uint64, np.uint8)
+        d, h, p = unpack(blob, *kinds)
         ks.append(np.cumsum(d, dtype=np.uint64))
         hs.append(h)
         ps.append(p)
-    k, h, p = np.concatenate(ks), np.concatenate(hs), np.concatenate(ps)
-    order = np.lexsort((1 - p, h, k))
-    k, h, p = k[order], h[order], p[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
-    k, h, p = k[new], h[new], p[new]  # a line once a key, as indexing it if it does
+    k, h, p = _once(np.concatenate(ks), np.concatenate(hs), np.concatenate(ps))
     run = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
     use = ((np.bincount(run) > 1) & (np.bincount(run, p) > 0))[run]
     return pd.DataFrame({"key": k[use].view(np.int64), "h": h[use].view(np.int64), "indexed": p[use] == 1})
@@ -191,11 +256,11 @@ def _bag(line: str) -> np.ndarray:
     return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 63, minlength=64).astype(np.int32)
 
 
-def followers(places: list, indexed: list, asks: list, lines: list[str], differ: int) -> list[int]:
-    """Positions of lines that ask and have a near line that starts earlier; of each pair one must index the key they share."""
+def followers(places: list, indexed: list, asks: list, member: list, lines: list[str], differ: int) -> list[int]:
+    """Positions of lines that ask and have a near member that starts earlier; of each pair one must index the key they share."""
     order = sorted(range(len(lines)), key=places.__getitem__)
-    bags, last, out = np.stack([_bag(lines[i]) for i in order]), 0, []
-    can = np.array([indexed[i] for i in order])
+    bags, last, out = np.stack([_bag(lines[i]) for i in order]), None, []
+    can, here = np.array([indexed[i] for i in order]), np.array([member[i] for i in order])
     for at, i in enumerate(order):
         if not asks[i] or not at:
             continue
@@ -205,11 +270,11 @@ def followers(places: list, indexed: list, asks: list, lines: list[str], differ:
             return places[c] < places[i] and (indexed[c] or indexed[i]) and edit_within(lines[c], lines[i], differ)
 
         # in a group of copies the line that the one before met is met again
-        if last < at and near(last):
+        if last is not None and near(last):
             out.append(i)
             continue
         # an edit changes at most two counts by one
-        close = np.abs(bags[:at] - bags[at]).sum(1) <= 2 * differ
+        close = (np.abs(bags[:at] - bags[at]).sum(1) <= 2 * differ) & here[:at]
         found = next((j for j in np.flatnonzero(close if indexed[i] else close & can[:at]).tolist() if near(j)), None)
         if found is not None:
             out.append(i)
@@ -217,20 +282,23 @@ def followers(places: list, indexed: list, asks: list, lines: list[str], differ:
     return out
 
 
+RUN = ["key", "block", "part"]
+
+
 def _runs(differ: int):
-    """Of rows (key, block, h, indexed, asks, none, id, pos, line), sorted by key and block: h of lines with an earlier near line in their run."""
+    """Of rows (RUN, h, indexed, asks, member, none, id, pos, line), sorted by RUN: h of lines with an earlier near member in their run."""
 
     def emit(rows: list):
-        _, _, h, indexed, asks, none, doc, pos, line = zip(*rows)
+        _, _, _, h, indexed, asks, member, none, doc, pos, line = zip(*rows)
         places = list(zip(none, [x or 0 for x in doc], pos))
-        return [h[i] for i in followers(places, indexed, asks, line, differ)]
+        return [h[i] for i in followers(places, indexed, asks, member, line, differ)]
 
     def run(batches):
         rows: list = []
         for batch in batches:
             out = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if rows and row[:2] != rows[0][:2]:
+                if rows and row[:3] != rows[0][:3]:
                     out += emit(rows)
                     rows = []
                 rows.append(row)
@@ -242,32 +310,90 @@ def _runs(differ: int):
 
 
 def _searched(rows: DataFrame, differ: int) -> DataFrame:
-    rows = rows.select("key", "block", "h", "indexed", "asks", F.col("first.none").alias("none"), F.col("first.id").alias("id"), F.col("first.pos").alias("pos"), "line")
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_runs(differ), "h long").distinct()
+    rows = rows.select(*RUN, "h", "indexed", "asks", "member", F.col("first.none").alias("none"), F.col("first.id").alias("id"), F.col("first.pos").alias("pos"), "line")
+    return rows.repartition(*RUN).sortWithinPartitions(*RUN).mapInArrow(_runs(differ), "h long").distinct()
+
+
+def _viewer(differ: int):
+    """Rows (key, h, line) to views (key, h, rest, length, indexed)."""
+
+    def run(batches):
+        for batch in batches:
+            out = [(key, h, *view) for key, h, line in zip(*[c.to_pylist() for c in batch.columns]) for view in sorted(first_views(line, key % (1 << 64), differ))]
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_()))], ["key", "h", "rest", "length", "indexed"])
+
+    return run
+
+
+def _refiner(differ: int, rests: bool):
+    """Views to those of the next round, or without rests to their keys (key, h, length, indexed), once a line."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, h, rest, length, indexed in zip(*[c.to_pylist() for c in batch.columns]):
+                views = next_views(key % (1 << 64), rest, length, indexed, differ)
+                if rests:
+                    out += [((k - (1 << 64) if k >> 63 else k), h, r, n, i) for (k, r), (n, i) in views.items()]
+                    continue
+                keys: dict = {}
+                for (k, _), (n, i) in views.items():
+                    keys[k] = (n, i or keys.get(k, (0, False))[1])
+                out += [((k - (1 << 64) if k >> 63 else k), h, n, i) for k, (n, i) in keys.items()]
+            kinds = [pa.int64(), pa.int64(), *([pa.string()] if rests else []), pa.int32(), pa.bool_()]
+            cols = list(zip(*out)) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "h", *(["rest"] if rests else []), "length", "indexed"])
+
+    return run
+
+
+VIEW = "key long, h long, rest string, length int, indexed boolean"
 
 
 def near_followers(docs: DataFrame, first: DataFrame, differ: int = 2, near: int = 20, block: int = 256, block_bytes: int = 16 << 20) -> DataFrame:
     """(h): hashes of distinct lines that have another line at most `differ` edits apart with an earlier first place. first: (h, first).
 
-    One row a line and key, never pairs. The lines of a key are dealt to blocks of about `block` lines (fewer, if they are
-    very long); each block settles its own, and only lines still without an earlier neighbour go on to the key's other blocks.
+    One row a line and key, never pairs; see the module for keys of more than `block` lines (fewer, if they are very long).
     """
     buckets = bucket_count(docs)
-    sent = docs.select("text").mapInArrow(_sender(differ, near, buckets), "bucket int, blob binary")
-    shared = materialize(sent.groupBy("bucket").applyInPandas(_sharers, "key long, h long, indexed boolean"))
-    texts = materialize(_texts(docs, shared.select("h").distinct(), near).join(first.select("h", "first"), "h"))
-    sizes = shared.join(texts.select("h", F.octet_length("line").alias("bytes")), "h").groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    sizes = sizes.select("key", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
-    members = materialize(shared.join(sizes, "key").join(texts, "h").withColumn("block", F.pmod(F.xxhash64("h", "key"), F.col("blocks")).cast("int")))
-    found = materialize(_searched(members.withColumn("asks", F.lit(True)), differ))
-    many = members.where("blocks > 1")
-    left = many.join(found, "h", "left_anti")
-    if left.isEmpty():
-        return found
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
-    asking = left.withColumn("to", other).drop("block").withColumnRenamed("to", "block").withColumn("asks", F.lit(True))
-    more = _searched(asking.unionByName(many.withColumn("asks", F.lit(False))), differ)
-    return found.union(more).distinct()
+    sent = docs.select("text").mapInArrow(_sender(differ, near, buckets), "bucket long, blob binary")
+    rows = materialize(sent.groupBy("bucket").applyInPandas(_sharers, "key long, h long, indexed boolean"))
+    texts = materialize(_texts(docs, rows.select("h").distinct(), near).join(first.select("h", "first"), "h"))
+    texts = texts.withColumn("bytes", F.octet_length("line"))
+    found, views, rows = None, None, rows.withColumn("length", F.lit(1 << 30))
+    while True:
+        lines = rows.join(texts, "h")
+        lines = lines.withColumn("asks", F.lit(True)) if found is None else lines.join(found.withColumn("done", F.lit(True)), "h", "left").withColumn("asks", F.col("done").isNull())
+        sizes = lines.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("length").alias("key_length"), F.max("indexed").alias("has_index"), F.max("asks").alias("has_asking"))
+        blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+        sizes = materialize(sizes.where("n > 1 AND has_index AND has_asking").select("key", blocks.alias("blocks"), "key_length"))
+        dealt = lines.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("h", "key"), F.col("blocks")).cast("int"))
+        members = materialize(dealt.select("key", "block", F.lit(0).alias("part"), "blocks", "key_length", "h", "indexed", "asks", F.lit(True).alias("member"), "first", "line"))
+        new = _searched(members, differ)
+        found = materialize(new if found is None else found.union(new).distinct())
+        many = members.where("blocks > 1")
+        left = materialize(many.where("asks").join(found, "h", "left_anti"))
+        open_keys = materialize(left.groupBy("key").agg(F.count("*").alias("asking"), F.min("key_length").alias("length")))
+        if open_keys.isEmpty():
+            return found
+        # too little is left of lines to cut more out of, or so few ask that they can go everywhere
+        ends = (F.col("asking") <= block) | (F.col("length") <= 2 * (differ + 1))
+        parts = open_keys.where(ends).select("key", F.ceil(F.col("asking") / block).cast("int").alias("parts"))
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+        asking = left.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int")).withColumn("to", other).drop("block").withColumnRenamed("to", "block").withColumn("member", F.lit(False))
+        resting = many.join(parts, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False))
+        more = _searched(asking.select(resting.columns).union(resting), differ)
+        found = materialize(found.union(more).distinct())
+        deep = open_keys.where(~ends).select("key")
+        if deep.isEmpty():
+            return found
+        if views is None:
+            views = many.join(deep, "key", "left_semi").select("key", "h", "line").mapInArrow(_viewer(differ), VIEW)
+        else:
+            views = views.mapInArrow(_refiner(differ, True), VIEW).join(deep, "key", "left_semi").select("key", "h", "rest", "length", "indexed")
+        views = materialize(views)
+        rows = materialize(views.mapInArrow(_refiner(differ, False), "key long, h long, length int, indexed boolean"))
 
 
 def _cleaner(at: dict[str, int]):

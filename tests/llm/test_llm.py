@@ -433,6 +433,82 @@ def test_line_dedup_of_many_near_copies(spark):
     assert got == want and sum(want.values()) > 1900
 
 
+def headed(n, seed, head=40, tail=24, share=0.1):
+    """n lines with one beginning, of which a share are within two edits of another; otherwise they differ behind it."""
+    rng, out = np.random.default_rng(seed), []
+    begins = "".join(rng.choice(list("abcdefghij "), head))
+    for _ in range(n):
+        x = list(out[rng.integers(len(out))][head:]) if out and rng.random() < share else list(rng.choice(list("klmnopqrstuvwxyz0123456789"), tail + int(rng.integers(0, 3))))
+        if out:
+            for _ in range(rng.integers(0, 3)):
+                x[rng.integers(len(x))] = str(rng.choice(list("klmnopqr")))
+        out.append(begins + "".join(x))
+    return out
+
+
+def late_lines(lines, differ=2):
+    """Places of lines that have an earlier one within differ edits, by a plain walk over halves of the tails."""
+    from lodestone.llm.line_dedup import edit_within
+
+    late, by_length = set(), defaultdict(list)
+    for i, x in enumerate(lines):
+        if any(edit_within(lines[j], x, differ) for n in range(len(x) - differ, len(x) + differ + 1) for j in by_length[n]):
+            late.add(i)
+        by_length[len(x)].append(i)
+    return late
+
+
+@pytest.mark.parametrize("block", [8, 60])
+def test_line_dedup_of_common_beginnings(spark, block):
+    """A hot segment whose lines mostly find no neighbour: blocks are small and unresolved lines many, so keys are refined."""
+    from lodestone.llm import line_dedup as m
+
+    lines = headed(700, 3) + [f"{'same words at both ends of all lines'}{a}{b}{'and nearly nothing in between them'}" for a in "0123456789" for b in "abcdefghij"]
+    rows = [(i, f"{x}\nshort") for i, x in enumerate(lines)]
+    late = late_lines(lines)
+    got = {r.doc_id: r.n_lines_gone for r in m.line_dedup(docs(spark, rows).repartition(5), least=20, block=block).collect()}
+    assert {i for i, n in got.items() if n} == late and 100 < len(late) < 300
+
+
+def test_refined_keys_keep_every_near_pair():
+    """Whatever two edits do to a line, the two lines meet under a key in every round that cuts."""
+    from lodestone.llm import line_dedup as m
+
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        a = "".join(rng.choice(list("abc"), int(rng.integers(20, 50))))
+        b = list(a)
+        for _ in range(int(rng.integers(0, 3))):
+            k = int(rng.integers(len(b)))
+            b[k : k + int(rng.integers(0, 2))] = [str(rng.choice(list("abcx")))] * int(rng.integers(0, 2))
+        b = "".join(b)
+        if not m.edit_within(a, b, 2):
+            continue
+        a, b = sorted((a, b), key=len)
+        (ia, _), (ib, pb) = m.keys_of(a, 2), m.keys_of(b, 2)
+        shared = set(ia) & (set(pb) | set(ib))
+        level = {k: (m.first_views(a, k, 2), m.first_views(b, k, 2)) for k in shared}
+        for _ in range(4):
+            after: dict = {}
+            for k, (va, vb) in level.items():
+                for rest_a, n, i in va:
+                    for rest_b, n_b, _ in vb:
+                        if not i or n != n_b or n <= 6:
+                            continue
+                        xa, xb = m.next_views(k, rest_a, n, True, 2), m.next_views(k, rest_b, n, False, 2)
+                        for (ka, ra), (na, ja) in xa.items():
+                            for (kb, rb), (nb, jb) in xb.items():
+                                if ka == kb and ja:
+                                    x = after.setdefault(ka, (set(), set()))
+                                    x[0].add((ra, na, ja))
+                                    x[1].add((rb, nb, jb))
+            if not after:
+                assert all(n <= 6 for va, _ in level.values() for _, n, i in va if i) or not level
+                break
+            assert any(m.edit_within(ra, rb, 2) for va, vb in after.values() for ra, _, _ in va for rb, _, _ in vb)
+            level = after
+
+
 def test_line_dedup_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     occ = {}
