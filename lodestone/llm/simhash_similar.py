@@ -5,7 +5,8 @@ guarantee that 64-bit fingerprints within a few bits have. Fingerprints are ther
 of shared positional bytes is calibrated in place of guaranteed: of many subsets of `deep` positional bytes, as many
 are indexed as a pair at the bound shares one of with probability `recall` (a pair that shares a subset has a tally of
 at least `deep` bytes; closer pairs miss by far less). `deep` grows with the logarithm of the number of texts, so
-that chance meetings stay bounded. What meets under a key is first compared on CHECK bits that no key covers; a forest
+that chance meetings stay bounded, up to four bytes (some four billion texts; past that they grow); a bound of similarity so low that
+8192 subsets do not give the recall is refused. A key that very many fingerprints share is dealt to pairs of blocks. What meets under a key is first compared on CHECK bits that no key covers; a forest
 of what is left gives candidate groups. Within a group, pairs whose whole fingerprints are close enough are verified by
 their exact shingle sets, in tiles of block pairs; only a forest leaves, so groups of copies cost rows in proportion.
 
@@ -13,7 +14,8 @@ A text's set holds its runs of `width` words (A-Z lower-cased, split at ASCII sp
 Equal word sequences are one node.
 
 Defined results: null and empty texts are one node; a row without doc_id has no part in it; rows of one doc_id are judged
-by their texts, each by itself; other columns, whatever their names, are not looked at.
+by their texts, each by itself; a very long text is hashed in parts, whole; an empty table gives no rows; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -87,6 +89,8 @@ def subsets(deep: int, similarity: float, recall: float, trials: int = 4000, mos
                 seen.add(name)
                 out.append(name)
                 missed &= ~shared[:, list(name)].all(1)
+    if missed.mean() > 1 - recall:
+        raise ValueError(f"{most} subsets of {deep} bytes find only {1 - missed.mean():.3f} of pairs at similarity {similarity}")
     return KEYED[np.array(out)]
 
 
@@ -159,12 +163,19 @@ def _setter(width: int):
     return run
 
 
-def _poster(sets: np.ndarray, buckets: int, rows: int = 4096):
-    """Posts each fingerprint's CHECK bits under each of its keys, dealt to hash buckets as compressed arrays."""
+def _poster(sets: np.ndarray, buckets: int, rows: int = 4096, many: int = 256):
+    """Posts each fingerprint's CHECK bits under each of its keys, dealt to hash buckets as compressed arrays.
+
+    The rows of a key that more than `many` of the rows at hand share leave in a bucket of their own, below zero; a mark in the key's
+    bucket says so.
+    """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
     salts = mix(np.arange(1, len(sets) + 1, dtype=np.uint64))
 
     def run(batches):
+        from pyspark import TaskContext
+
+        alone = -1 - (TaskContext.get().partitionId() << 20)
         for batch in batches:
             for a in range(0, batch.num_rows, rows):
                 fp = np.stack([np.frombuffer(x, np.uint8) for x in batch.column(0).slice(a, rows).to_pylist()])
@@ -175,10 +186,21 @@ def _poster(sets: np.ndarray, buckets: int, rows: int = 4096):
                 k, of = mix(held ^ salts[None, :]).ravel(), np.repeat(np.arange(len(fp)), len(sets))
                 order = np.argsort(k)
                 k, of = k[order], of[order]
-                cut = np.searchsorted(k >> shift, np.arange(buckets + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(cut))
-                blobs = [pack(np.diff(k[cut[i] : cut[i + 1]], prepend=np.uint64(0)), check[of[cut[i] : cut[i + 1]]].ravel()) for i in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                edge = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+                size = np.diff(edge)
+                hot, marks = np.repeat(size > many, size), k[edge[:-1][size > many]]
+                own = pack(k[hot], check[of[hot]].ravel()) if len(marks) else None
+                k, of = k[~hot], of[~hot]
+                names = np.arange(buckets + 1, dtype=np.uint64)
+                cut, mark = np.searchsorted(k >> shift, names), np.searchsorted(marks >> shift, names)
+                full = np.flatnonzero(np.diff(cut) + np.diff(mark))
+                blobs = [pack(np.diff(k[cut[i] : cut[i + 1]], prepend=np.uint64(0)), check[of[cut[i] : cut[i + 1]]].ravel(), marks[mark[i] : mark[i + 1]]) for i in full]
+                to = full.astype(np.int64).tolist()
+                if own is not None:
+                    blobs.append(own)
+                    to.append(alone)
+                    alone -= 1
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
@@ -191,48 +213,115 @@ def name_of(check: np.ndarray) -> np.ndarray:
     return out
 
 
-def close_runs(k: np.ndarray, check: np.ndarray, most: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """A forest on the names of rows that share a key and differ in at most `most` bits. k is sorted."""
+def near_rows(check: np.ndarray, names: np.ndarray, other: np.ndarray, other_names: np.ndarray, most: int, chunk: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """A forest on the names of rows of check and rows of other that differ in at most `most` bits."""
+    us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for i in range(0, len(check), chunk):
+        for j in range(0, len(other), chunk):
+            d = sum(np.bitwise_count(check[i : i + chunk, c][:, None] ^ other[j : j + chunk, c][None, :]).astype(np.int16) for c in range(check.shape[1]))
+            p, q = np.nonzero(d <= most)
+            u, v = forest(names[i : i + chunk][p], other_names[j : j + chunk][q])
+            us.append(u)
+            vs.append(v)
+    return forest(np.concatenate(us), np.concatenate(vs))
+
+
+def close_runs(k: np.ndarray, check: np.ndarray, most: int, hot: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A forest on the names of rows that share a key and differ in at most `most` bits, of keys of at most `hot` distinct rows that are not in marks; and the places of the other rows. k is sorted."""
     names = name_of(check)
+    if not len(k):
+        return names, names, np.zeros(0, np.int64)
     edge = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
     us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     # short runs by shifts of the whole array, long ones by themselves
     run = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
     size = np.diff(edge)
-    short = (size <= 16)[run]
+    marked = np.isin(k[edge[:-1]], marks)
+    short = ((size <= 16) & ~marked)[run]
     for by in range(1, min(16, int(size.max(initial=1)))):
         at = np.flatnonzero((run[:-by] == run[by:]) & short[:-by])
         near = sum(np.bitwise_count(check[at, c] ^ check[at + by, c]).astype(np.int16) for c in range(check.shape[1])) <= most
         us.append(names[at[near]])
         vs.append(names[at[near] + by])
-    for a, b in zip(edge[:-1][size > 16].tolist(), edge[1:][size > 16].tolist()):
+    left = []
+    big = (size > 16) | marked
+    for a, b, mark in zip(edge[:-1][big].tolist(), edge[1:][big].tolist(), marked[big].tolist()):
         _, one = np.unique(names[a:b], return_index=True)
-        x, n = check[a:b][one], names[a:b][one]
-        for i in range(0, len(x), chunk):
-            for j in range(i, len(x), chunk):
-                d = sum(np.bitwise_count(x[i : i + chunk, c][:, None] ^ x[j : j + chunk, c][None, :]).astype(np.int16) for c in range(x.shape[1]))
-                p, q = np.nonzero(d <= most)
-                u, v = forest(n[i : i + chunk][p], n[j : j + chunk][q])
-                us.append(u)
-                vs.append(v)
-    return forest(np.concatenate(us), np.concatenate(vs))
+        if mark or len(one) > hot:
+            left.append(a + one)
+            continue
+        u, v = near_rows(check[a:b][one], names[a:b][one], check[a:b][one], names[a:b][one], most)
+        us.append(u)
+        vs.append(v)
+    return *forest(np.concatenate(us), np.concatenate(vs)), np.concatenate(left) if left else np.zeros(0, np.int64)
+
+
+MET = "u long, v long, hot long, bits binary"
 
 
-def _meeter(most: int):
+def _meeter(most: int, hot: int):
+    """Of a bucket: edges (u, v) of its keys, and of those that more than `hot` fingerprints share the rows (hot: the key, bits), to be dealt to blocks."""
+
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ks, cs = [], []
+        if key[0] < 0:
+            k, c = (np.concatenate(x) for x in zip(*[unpack(blob, np.uint64, np.uint64) for blob in pdf["blob"]]))
+            c = c.reshape(-1, CHECK // 64)
+            return pd.DataFrame({"u": None, "v": None, "hot": k.view(np.int64), "bits": [x.tobytes() for x in c]})
+        ks, cs, marks = [], [], []
         for blob in pdf["blob"]:
-            d, c = unpack(blob, np.uint64, np.uint64)
+            d, c, m = unpack(blob, np.uint64, np.uint64, np.uint64)
             ks.append(np.cumsum(d, dtype=np.uint64))
             cs.append(c.reshape(-1, CHECK // 64))
+            marks.append(m)
         k, c = np.concatenate(ks), np.concatenate(cs)
         order = np.argsort(k, kind="stable")
-        u, v = close_runs(k[order], c[order], most)
-        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+        k, c = k[order], c[order]
+        u, v, left = close_runs(k, c, most, hot, np.concatenate(marks))
+        n = len(left)
+        return pd.DataFrame({
+            "u": pd.array([*u.view(np.int64).tolist(), *[None] * n], "Int64"), "v": pd.array([*v.view(np.int64).tolist(), *[None] * n], "Int64"),
+            "hot": pd.array([*[None] * len(u), *k[left].view(np.int64).tolist()], "Int64"), "bits": [*[None] * len(u), *[x.tobytes() for x in c[left]]],
+        })
 
     return run
 
 
+def _bits(blobs: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint64) for x in blobs])
+
+
+def _block_pairs(most: int):
+    """Runs of rows (key, i, j, block, bits) to a forest of what is close between blocks i and j of a key."""
+
+    def run(batches):
+        for (_, i, j), batch in sorted_runs(batches, 3):
+            block, c = batch.column(3).to_numpy(), _bits(batch.column(4).to_pylist())
+            names = name_of(c)
+            a, b = block == i, block == j
+            u, v = near_rows(c[a], names[a], c[b], names[b], most)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+    return run
+
+
+def meetings(posted: DataFrame, most: int, hot: int = 1024) -> DataFrame:
+    """(u, v): a graph on names of fingerprints whose components are those of all that share a key and are close; posted: see _poster().
+
+    Keys of up to `hot` fingerprints are settled in their bucket. The fingerprints of others are dealt to blocks of that size, and each
+    pair of blocks is a task's run; a forest leaves each.
+    """
+    met = materialize(posted.groupBy("bucket").applyInPandas(_meeter(most, hot), MET))
+    edges = met.where("u IS NOT NULL").select("u", "v")
+    rows = met.where("hot IS NOT NULL").select(F.col("hot").alias("key"), "bits").distinct()
+    sizes = materialize(rows.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks")))
+    if sizes.isEmpty():
+        return edges.distinct()
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("bits", "key"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "bits")
+    more = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_block_pairs(most), "u long, v long")
+    return edges.union(more).distinct()
+
+
 def _verifier(similarity: float, most: int):
     """Of runs of equal (component, i, j): a forest of the pairs of blocks i and j whose shingle sets are similar enough."""
 
@@ -274,16 +363,16 @@ def _verifier(similarity: float, most: int):
     return run
 
 
-def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.995, block: int = 256, block_bytes: int = 16 << 20) -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.995, block: int = 256, block_bytes: int = 16 << 20, hot: int = 1024, many: int = 256) -> DataFrame:
     """(doc_id, row_key, component_id) of every row of docs (doc_id, text) with a doc_id: the smallest doc_id reachable by links; row_key is xxhash64 of the text."""
     docs = docs.select("doc_id", F.xxhash64("text").alias("row_key"), "text").where("doc_id IS NOT NULL")
     rows = materialize(docs.mapInArrow(_printer(width), "doc_id long, row_key long, node long, fp binary"))
     nodes = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")))
     rate = flip_rate(similarity)
     sets = subsets(depth(nodes.count(), similarity, recall), similarity, recall)
-    posted = nodes.select("fp").mapInArrow(_poster(sets, buckets := bucket_count(docs)), "bucket int, blob binary")
-    met = posted.groupBy("bucket").applyInPandas(_meeter(most_flips(CHECK, rate, 1e-3)), "u long, v long")
-    group = materialize(connected_components(materialize(met.distinct())))
+    posted = nodes.select("fp").mapInArrow(_poster(sets, bucket_count(docs), many=many), "bucket long, blob binary")
+    met = meetings(posted, most_flips(CHECK, rate, 1e-3), hot)
+    group = materialize(connected_components(materialize(met)))
 
     @F.pandas_udf("long")
     def name(fp: pd.Series) -> pd.Series:

@@ -788,6 +788,25 @@ def test_pipeline_drops_copies_at_similarity(spark, sf):
     assert got == want and 20 < len(want) < len(rows) - 40
 
 
+def test_similar_components_with_hot_keys(spark):
+    """Keys that many fingerprints share, in one task's rows or over all, are dealt to blocks; nothing is lost by it."""
+    from lodestone.llm.simhash_similar import similar_components
+
+    rng = np.random.default_rng(17)
+    words = [f"h{x}" for x in range(300)]
+    rows = [(k, edited(words, set(rng.choice(300, 3, replace=False).tolist())) + f" tail{k}") for k in range(160)]  # one large group of near copies, all distinct
+    rows += [(1000 + k, " ".join(f"u{x}" for x in rng.integers(0, 9000, 120))) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def found(hot, many, parts):
+        return sorted((r.doc_id, r.component_id) for r in similar_components(df.repartition(parts), hot=hot, many=many).collect())
+
+    want = found(1024, 1 << 30, 3)
+    assert len({c for _, c in want}) < 70
+    for hot, many, parts in ((8, 1 << 30, 3), (1024, 4, 1), (20, 6, 5)):
+        assert found(hot, many, parts) == want, (hot, many)
+
+
 def test_pipeline_drops_copies_of_table(spark, sf):
     import corpus_pipeline as p
 
