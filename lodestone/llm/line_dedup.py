@@ -173,13 +173,22 @@ def _sender(differ: int, near: int, buckets: int, rows: int = 400_000, many: int
 
         def flush():
             nonlocal alone
-            k, h, p = _once(np.array(keys), np.array(of), np.array(kind))
-            run_of = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-            at = np.arange(len(k)) - np.searchsorted(run_of, run_of)
-            hot = (np.bincount(run_of) > many)[run_of]
-            own = pack(k[hot], h[hot], p[hot]) if hot.any() else None
-            stay = ~hot | (at < 2)  # the first of a key indexes it if any does
-            k, h, p = k[stay], h[stay], p[stay]
+            k, h, p = np.array(keys), np.array(of), np.array(kind)
+            order = np.argsort(k)
+            k, h, p = k[order], h[order], p[order]
+            edge = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+            size, own = np.diff(edge), None
+            if size.max() > many:
+                hot = np.repeat(size > many, size)
+                own = _once(k[hot], h[hot], p[hot])
+                # two lines stand for the key in its bucket, of which the first indexes it if any does
+                first = np.lexsort((1 - own[2], own[0]))
+                named = own[0][first]
+                two = first[np.arange(len(named)) - np.searchsorted(named, named) < 2]
+                k, h, p = (np.concatenate([x[~hot], y[two]]) for x, y in zip((k, h, p), own))
+                order = np.argsort(k)
+                k, h, p = k[order], h[order], p[order]
+                own = pack(*own)
             cut = np.searchsorted(k >> shift, np.arange(buckets + 1, dtype=np.uint64))
             full = np.flatnonzero(np.diff(cut))
             blobs = [pack(np.diff(k[cut[i] : cut[i + 1]], prepend=np.uint64(0)), h[cut[i] : cut[i + 1]], p[cut[i] : cut[i + 1]]) for i in full]
@@ -216,14 +225,12 @@ def _sender(differ: int, near: int, buckets: int, rows: int = 400_000, many: int
 
 
 def _once(k: np.ndarray, h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By key, with each line once a key, as indexing it if it does; those that index a key come first in it."""
+    """By key, with each line once a key, as indexing it if it does."""
     order = np.lexsort((1 - p, h, k))
     k, h, p = k[order], h[order], p[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
-    k, h, p = k[new], h[new], p[new]
-    order = np.lexsort((h, 1 - p, k))
-    return k[order], h[order], p[order]
+    return k[new], h[new], p[new]
 
 
 def _sharers(key, pdf: pd.DataFrame) -> pd.DataFrame:
