@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,23 +109,57 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def dispatch(corpus: Corpus, calls: list[tuple[str, dict]], threads: int = 6, seconds: float = 30.0) -> list[dict]:
-    """Runs calls (name, arguments) side by side; an error is a result, in the order of the calls."""
+def _answer(corpus: Corpus, name: str, arguments: dict, rows: int) -> dict:
+    if name not in TOOLS:
+        return {"error": f"unknown tool {name}"}
+    try:
+        found = [r.asDict(True) for r in TOOLS[name](corpus, **arguments).take(rows + 1)]
+        return {"rows": found[:rows], **({"more": True} if len(found) > rows else {})}
+    except Exception as e:  # a failure is the caller's to read
+        return {"error": str(e) if isinstance(e, (BadArguments, arithmetic.ArithmeticError_, TypeError, KeyError)) else f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"}
 
-    def one(name: str, arguments: dict) -> dict:
-        if name not in TOOLS:
-            return {"error": f"unknown tool {name}"}
+
+def dispatch(corpus: Corpus, calls: list[tuple[str, dict]], threads: int = 6, seconds: float = 30.0, rows: int = 1000) -> list[dict]:
+    """Runs calls (name, arguments) side by side; an error is a result, in the order of the calls.
+
+    Each call has `seconds` from when it starts; its Spark jobs bear a tag of its own and are cancelled at its bound, so that neither
+    the caller nor the cluster goes on with it. A result shows at most `rows` rows and says whether there are more.
+    """
+    spark = corpus.chunks.sparkSession
+    tags = [f"tool-{uuid.uuid4().hex}" for _ in calls]
+    began: dict[int, float] = {}
+    over: set[int] = set()
+
+    def one(i: int) -> dict:
+        began[i] = time.monotonic()
+        spark.sparkContext.addJobTag(tags[i])
         try:
-            return {"rows": [r.asDict(True) for r in TOOLS[name](corpus, **arguments).collect()]}
-        except (BadArguments, arithmetic.ArithmeticError_, TypeError, KeyError) as e:
-            return {"error": str(e)}
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        jobs = [pool.submit(one, n, a) for n, a in calls]
-        out = []
-        for j in jobs:
-            try:
-                out.append(j.result(timeout=seconds))
-            except TimeoutError:
-                out.append({"error": f"no result in {seconds:g} seconds"})
-        return out
+            return _answer(corpus, *calls[i], rows)
+        finally:
+            spark.sparkContext.removeJobTag(tags[i])
+            if i in over:  # what it began after it was cancelled
+                spark.sparkContext.cancelJobsWithTag(tags[i])
+
+    out: list[dict | None] = [None] * len(calls)
+    late = {"error": f"no result in {seconds:g} seconds"}
+    pool = ThreadPoolExecutor(max_workers=max(1, min(threads, len(calls))))
+    try:
+        jobs = {pool.submit(inheritable_thread_target(spark)(one), i): i for i in range(len(calls))}
+        last = time.monotonic() + seconds * -(-len(calls) // max(1, threads))  # also for calls that never start behind stuck ones
+        while jobs:
+            now = time.monotonic()
+            ends = [began[i] + seconds for i in jobs.values() if i in began]
+            done, _ = wait(jobs, timeout=max(0.0, min([last, *ends]) - now), return_when=FIRST_COMPLETED)
+            for j in done:
+                out[jobs.pop(j)] = j.result()
+            now = time.monotonic()
+            for j, i in list(jobs.items()):
+                if now >= last or now >= began.get(i, now) + seconds:
+                    over.add(i)
+                    j.cancel()
+                    spark.sparkContext.cancelJobsWithTag(tags[i])
+                    out[i] = late
+                    del jobs[j]
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    return out

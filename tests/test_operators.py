@@ -390,6 +390,40 @@ def test_tools(spark):
     assert out[0]["rows"][0]["pages"] == [3] and out[1]["rows"][0]["total"] == 1 and "error" in out[2] and out[3]["rows"][0]["value"] == 4.0 and "error" in out[4] and "error" in out[5] and len(out[6]["rows"]) == 1
 
 
+def test_slow_tools_are_cancelled(spark, monkeypatch):
+    import time
+
+    from lodestone.plans import tools
+
+    def sleeps(frames):
+        for pdf in frames:
+            time.sleep(40)
+            yield pdf
+
+    def slow(c):
+        return c.chunks.select("chunk_id").mapInPandas(sleeps, "chunk_id string")
+
+    def fails(c):
+        raise ZeroDivisionError("by zero")
+
+    el = spark.createDataFrame([(f"e{i}", 3, "f.pdf", "text", "t") for i in range(30)], "element_id string, page int, source_file string, type string, text string")
+    c = tools.Corpus(chunk_rows(spark), el, el, el, el, lambda q: [1.0])
+    monkeypatch.setitem(tools.TOOLS, "slow", slow)
+    monkeypatch.setitem(tools.TOOLS, "fails", fails)
+    view = ("view_page", {"source_file": "f.pdf", "page": 3})
+    began = time.monotonic()
+    out = tools.dispatch(c, [("slow", {}), view, ("fails", {}), ("slow", {})], threads=3, seconds=6.0, rows=7)
+    assert time.monotonic() - began < 25
+    assert "no result in 6 seconds" in out[0]["error"] and "no result" in out[3]["error"] and "by zero" in out[2]["error"]
+    assert len(out[1]["rows"]) == 7 and out[1]["more"]
+    for _ in range(40):  # their jobs are over as well
+        if not spark.sparkContext.statusTracker().getActiveJobsIds():
+            break
+        time.sleep(0.5)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+    assert tools.dispatch(c, []) == [] and len(tools.dispatch(c, [view])[0]["rows"]) == 30
+
+
 def test_page_regions(spark):
     t = spark.createDataFrame([("d", 1, "t1", [0.0, 0.0, 10.0, 10.0], True), ("d", 1, "t2", [50.0, 0.0, 90.0, 40.0], False)], "doc_id string, page int, element_id string, bbox array<double>, low_confidence boolean")
     f = spark.createDataFrame([("d", 1, "f1", [5.0, 5.0, 20.0, 20.0]), ("d", 1, "f2", [55.0, 5.0, 80.0, 30.0])], "doc_id string, page int, element_id string, bbox array<double>")
