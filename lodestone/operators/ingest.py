@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import box_area, box_gap, box_overlap, center_in
 from ..functions.text import norm_key
+from . import spatial
 from .folds import fold
 
 # A numeric cell, and how a figure's or table's caption begins.
@@ -108,7 +108,9 @@ def absorb_parts(figures: DataFrame, parts: DataFrame, reach: float = 32.0) -> t
 
 def outside(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     """blocks (doc_id, page, element_id, bbox) whose middle lies in none of regions (doc_id, page, bbox): text that no table or figure holds."""
-    held = blocks.select("doc_id", "page", "element_id", F.col("bbox").alias("b")).join(regions.select("doc_id", "page", F.col("bbox").alias("r")), ["doc_id", "page"]).where(center_in(F.col("b"), F.col("r")))
+    x, y = ((F.col("bbox")[i] + F.col("bbox")[i + 2]) / 2 for i in (0, 1))
+    middle = blocks.select("doc_id", "page", "element_id", F.col("bbox").alias("b"), F.array(x, y, x, y).alias("ba"))
+    held = spatial.grid_join(middle, regions.select("doc_id", "page", F.col("bbox").alias("bb")), ["doc_id", "page"]).where(center_in(F.col("b"), F.col("bb")))
     return blocks.join(held.select("doc_id", "element_id").distinct(), ["doc_id", "element_id"], "left_anti")
 
 
@@ -193,27 +195,9 @@ def section_paths(blocks: DataFrame) -> DataFrame:
 
 def drawing_clusters(boxes: DataFrame, gap: float = 12.0) -> DataFrame:
     """boxes (doc_id, page, no, bbox) with cluster: single links of boxes at most `gap` apart, named by their least number."""
-
-    no, bbox = boxes.columns.index("no"), boxes.columns.index("bbox")
-
-    def link(rows: list[tuple]):
-        b, of = [r[bbox] for r in rows], list(range(len(rows)))
-
-        def root(i: int) -> int:
-            while of[i] != i:
-                of[i] = of[of[i]]
-                i = of[i]
-            return i
-
-        for i in range(len(b)):
-            for j in range(i):
-                if max(b[j][0] - b[i][2], b[i][0] - b[j][2], b[j][1] - b[i][3], b[i][1] - b[j][3], 0) <= gap:
-                    x, y = root(i), root(j)
-                    of[max(x, y)] = min(x, y)
-        return [(*r, rows[root(i)][no]) for i, r in enumerate(rows)]
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema)
-    return fold(boxes, ["doc_id", "page"], ["no"], link, f"{fields}, cluster int")
+    on = ["doc_id", "page"]
+    root = spatial.components(boxes.select(*on, "no"), spatial.linked_boxes(boxes, gap), on)
+    return boxes.join(root.withColumnRenamed("root", "cluster"), [*on, "no"]).select(*boxes.columns, "cluster")
 
 
 def cluster_kind(clusters: DataFrame, blocks: DataFrame, body: DataFrame, least_shapes: int = 3, isolated_items: int = 30, coverage: float = 0.3, callout_chars: int = 100) -> DataFrame:
@@ -245,9 +229,9 @@ def cluster_kind(clusters: DataFrame, blocks: DataFrame, body: DataFrame, least_
 
 
 def touching(a: DataFrame, b: DataFrame, within: float = 0.0) -> DataFrame:
-    """Pairs of boxes of the same page at most `within` apart: an equi-join on the page with a range condition."""
+    """Pairs of boxes of the same page at most `within` apart, on a grid."""
     x, y = a.select("doc_id", "page", F.col("element_id").alias("a"), F.col("bbox").alias("ba")), b.select("doc_id", "page", F.col("element_id").alias("b"), F.col("bbox").alias("bb"))
-    return x.join(y, ["doc_id", "page"]).where(box_gap(F.col("ba"), F.col("bb")) <= within)
+    return spatial.grid_join(x, y, ["doc_id", "page"], within)
 
 
 def context_words(paragraphs: DataFrame, n: int = 150) -> DataFrame:
@@ -273,7 +257,8 @@ def arbitrate(tables: DataFrame, figures: DataFrame, share: float = 0.5) -> tupl
     Both have doc_id, page, element_id and bbox; tables have low_confidence. Rejected figures carry reject_reason.
     """
     t, f = tables.select("doc_id", "page", F.col("element_id").alias("t_id"), F.col("bbox").alias("tb"), "low_confidence"), figures.select("doc_id", "page", F.col("element_id").alias("f_id"), F.col("bbox").alias("fb"))
-    both = t.join(f, ["doc_id", "page"]).withColumn("area", box_overlap(F.col("tb"), F.col("fb"))).where("area > 0")
+    near = spatial.grid_join(t.withColumnRenamed("tb", "ba"), f.withColumnRenamed("fb", "bb"), ["doc_id", "page"]).withColumnsRenamed({"ba": "tb", "bb": "fb"})
+    both = near.withColumn("area", box_overlap(F.col("tb"), F.col("fb"))).where("area > 0")
     bad = both.where("low_confidence").select(F.col("t_id").alias("element_id")).distinct()
     kept = tables.join(bad, "element_id", "left_anti")
     on_table = both.where(~F.col("low_confidence") & (F.col("area") >= share * box_area(F.col("fb")))).select(F.col("f_id").alias("element_id"), F.lit("table_region").alias("reject_reason")).distinct()
@@ -300,31 +285,10 @@ def block_text(blocks: DataFrame) -> DataFrame:
 
 
 def grow_regions(regions: DataFrame, labels: DataFrame, reach: float = 32.0, merge: float = 12.0, beside: float = 72.0) -> DataFrame:
-    """(doc_id, page, bbox): regions (doc_id, page, bbox) grown by labels within reach or, level with the region, beside it, and merged while two lie within `merge`. A fixpoint per page."""
-    own = regions.select("doc_id", "page", "bbox", F.lit(False).alias("label"))
-    both = own.union(labels.select("doc_id", "page", "bbox", F.lit(True)))
-
-    def fix(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes, loose = [list(b) for b in pdf["bbox"][~pdf["label"]]], [list(b) for b in pdf["bbox"][pdf["label"]]]
-        gap = lambda a, b: max(b[0] - a[2], a[0] - b[2], b[1] - a[3], a[1] - b[3], 0)
-        join = lambda a, b: [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-        # labels join the region as drawn, so that a chain of labels cannot carry it over the page
-        for i, core in enumerate([*boxes]):
-            for x in loose:
-                level = core[1] <= (x[1] + x[3]) / 2 <= core[3] and 0 <= max(x[0] - core[2], core[0] - x[2]) <= beside
-                if gap(core, x) <= reach or level:
-                    boxes[i] = join(boxes[i], x)
-        moved = True
-        while moved:
-            moved = False
-            for i in range(len(boxes)):
-                for j in range(i + 1, len(boxes)):
-                    if gap(boxes[i], boxes[j]) <= merge:
-                        boxes[i], moved = join(boxes[i], boxes.pop(j)), True
-                        break
-                if moved:
-                    break
-        return pd.DataFrame([(*key, b) for b in boxes], columns=["doc_id", "page", "bbox"])
-
-    kinds = regions.schema
-    return both.groupBy("doc_id", "page").applyInPandas(fix, f"doc_id {kinds['doc_id'].dataType.simpleString()}, page {kinds['page'].dataType.simpleString()}, bbox array<double>")
+    """(doc_id, page, bbox): regions (doc_id, page, bbox) grown by labels within reach or, level with the region, beside it, until none
+    attaches, and then merged while two lie within `merge`. Regions without a usable box are left out."""
+    on = ["doc_id", "page"]
+    order = Window.partitionBy(*on).orderBy(*[F.col("bbox")[i] for i in range(4)])
+    named = regions.select(*on, "bbox").withColumn("no", F.row_number().over(order))
+    grown = spatial.grown_boxes(named, labels, reach, beside)
+    return spatial.merged_boxes(grown, merge).select(*on, "bbox")
