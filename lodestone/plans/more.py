@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arithmetic, dates, numeric
 from ..functions import text as tx
 from ..operators import astro, captions, enrich, evaluation, filters, ingest, memory, ops, reading, retrieval, verify
+from ..session import new_folder, written
 from ..sources import files
+from ..sources.versions import Store
 from .registry import AS_OF, AUTH, CHUNKS, KEYWORD, ASKED, LOG, MOMENT, SKY, Tables, query
 
 KINDS = ["text", "image", "table", "scanned_page"]
@@ -313,7 +316,7 @@ def table_titles(t: Tables) -> DataFrame:
     """SELECT doc_id, seq, coalesce(string_agg(title, ' > ' ORDER BY hseq) FILTER (open), '') AS path FROM (
   SELECT r.doc_id, r.seq, h.seq AS hseq, h.title, h.seq IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h k WHERE k.doc_id = r.doc_id AND k.seq > h.seq AND k.seq <= r.seq AND k.level >= h.level) AS open
   FROM r LEFT JOIN h ON h.doc_id = r.doc_id AND h.seq <= r.seq) GROUP BY doc_id, seq""",
-    """r AS (SELECT conv_id AS doc_id, turn AS seq, left(text, 12) AS text, CASE WHEN turn % 5 = 1 THEN turn - 1 ELSE turn END AS own, turn % 5 IN (0, 1) AS heading, (turn // 5 * 7) % 3 AS kind FROM conversations),
+    """r AS (SELECT conv_id AS doc_id, turn AS seq, text, CASE WHEN turn % 5 = 1 THEN turn - 1 ELSE turn END AS own, turn % 5 IN (0, 1) AS heading, (turn // 5 * 7) % 3 AS kind FROM conversations),
 h AS (SELECT a.doc_id, a.seq, 14 + 2 * a.kind AS level, array_to_string(list_filter(regexp_split_to_array(trim(a.text), '\\s+'), lambda x: x <> ''), ' ') || coalesce(' ' || array_to_string(list_filter(regexp_split_to_array(trim(b.text), '\\s+'), lambda x: x <> ''), ' '), '') AS title
   FROM r a LEFT JOIN r b ON b.doc_id = a.doc_id AND b.seq = a.seq + 1 WHERE a.seq % 5 = 0)""",
 )
@@ -323,24 +326,27 @@ def section_paths(t: Tables) -> DataFrame:
     size = (14 + 2 * ((F.floor(n / 5) * 7) % 3)).cast("double")
     top = (n * 20).cast("double")
     box = F.array(F.lit(0.0), F.when(n % 5 == 1, top - 10).otherwise(top), F.lit(100.0), F.when(n % 5 == 1, top).otherwise(top + 2))
-    b = t.conversations.select(F.col("conv_id").alias("doc_id"), n.alias("seq"), F.lit(1).alias("page"), box.alias("bbox"), F.substring("text", 1, 12).alias("text"), size.alias("size"), (n % 5).isin(0, 1).alias("heading"))
+    b = t.conversations.select(F.col("conv_id").alias("doc_id"), n.alias("seq"), F.lit(1).alias("page"), box.alias("bbox"), "text", size.alias("size"), (n % 5).isin(0, 1).alias("heading"))
     return ingest.section_paths(b).select("doc_id", "seq", F.array_join("section_path", " > ").alias("path"))
 
 
 @query(
     """SELECT doc_id, page, margin, CASE WHEN margin AND n > 0.5 * pages AND pages >= 3 AND key <> '' THEN 'header_footer' END AS skip_reason, count(*) AS lines FROM (
   SELECT *, count(DISTINCT CASE WHEN margin THEN page END) OVER (PARTITION BY doc_id, key) AS n, count(DISTINCT page) OVER (PARTITION BY doc_id) AS pages FROM (
-    SELECT conv_id % 20 AS doc_id, turn AS page, turn % 3 <> 0 AS margin, regexp_replace(lower(trim(regexp_replace(left(text, 2), '\\s+', ' ', 'g'))), '\\d+', '#', 'g') AS key FROM conversations)) GROUP BY ALL"""
+    SELECT doc_id, page, margin, regexp_replace(lower(trim(regexp_replace(word, '\\s+', ' ', 'g'))), '\\d+', '#', 'g') AS key FROM (
+      SELECT conv_id % 20 AS doc_id, turn AS page, turn % 3 <> 0 AS margin, unnest(string_split(text, ' ')) AS word FROM conversations))) GROUP BY ALL"""
 )
 def dropped_furniture(t: Tables) -> DataFrame:
-    lines = t.conversations.select((F.col("conv_id") % 20).alias("doc_id"), F.col("turn").alias("page"), (F.col("turn") % 3 != 0).alias("margin"), F.substring("text", 1, 2).alias("text"))
+    """Each word of a turn as a line of its page."""
+    lines = t.conversations.select((F.col("conv_id") % 20).alias("doc_id"), F.col("turn").alias("page"), (F.col("turn") % 3 != 0).alias("margin"), F.explode(F.split("text", " ")).alias("text"))
     return ingest.drop_furniture(lines).groupBy("doc_id", "page", "margin", "skip_reason").agg(F.count("*").alias("lines"))
 
 
-@query("SELECT conv_id, turn, (12.0 + turn % 3 >= 13.5 OR role = 'system') AND length(trim(said)) BETWEEN 2 AND 120 AS heading FROM (SELECT *, left(text, (turn * 50)::INTEGER) AS said FROM conversations)")
+@query("SELECT conv_id, turn, n, (12.0 + turn % 3 >= 13.5 OR role = 'system') AND length(trim(said)) BETWEEN 2 AND 120 AS heading FROM (SELECT *, unnest(string_split(text, '. ')) AS said, unnest(range(len(string_split(text, '. '))))::INTEGER AS n FROM conversations)")
 def headings(t: Tables) -> DataFrame:
-    c = t.conversations.withColumn("said", F.substring("text", F.lit(1), (F.col("turn") * 50).cast("int")))
-    return c.select("conv_id", "turn", ingest.is_heading(12.0 + F.col("turn") % 3, F.lit(12.0), F.col("role") == "system", F.col("said")).alias("heading"))
+    """Each sentence of a turn as a line."""
+    c = t.conversations.select("conv_id", "turn", "role", F.posexplode(F.split("text", r"\. ")).alias("n", "said"))
+    return c.select("conv_id", "turn", "n", ingest.is_heading(12.0 + F.col("turn") % 3, F.lit(12.0), F.col("role") == "system", F.col("said")).alias("heading"))
 
 
 @query("SELECT page, element_id FROM (SELECT conv_id AS page, turn AS element_id, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM conversations) WHERE n < 50")
@@ -526,13 +532,12 @@ def embedded_misses(t: Tables) -> DataFrame:
 @query(
     """SELECT conv_id, turn, share, CASE WHEN share < 0.5 AND turn % 2 = 0 THEN 'needs_review' WHEN turn % 2 = 0 THEN 'ok' ELSE 'skipped' END AS status FROM (
   SELECT conv_id, turn, round(len(list_filter(seen, lambda x: list_contains(own, x))) / len(seen), 3) AS share FROM (
-    SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS own, list_distinct(regexp_extract_all(lower(left(text, (turn * 20 + 10)::INTEGER) || ' alpha x2 gamma'), '[a-z0-9]+')) AS seen FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]+')))"""
+    SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS own, list_distinct(regexp_extract_all(lower(coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || ' alpha x2 gamma'), '[a-z0-9]+')) AS seen, text FROM conversations) WHERE text <> '')"""
 )
 def label_shares(t: Tables) -> DataFrame:
-    """What a model reads: the beginning of a text, three words that are not in it, and a subscript that folds to a plain digit."""
-    c = t.conversations.where(F.col("text").rlike(r"\A[\x00-\x7F]+\z"))
-    seen = F.array(F.substring("text", F.lit(1), (F.col("turn") * 20 + 10).cast("int")), F.lit("ALPHA x₂ gamma"))
-    f = c.select(F.struct("conv_id", "turn").alias("element_id"), "text", seen.alias("visible_text"), F.when(F.col("turn") % 2 == 0, "ok").otherwise("skipped").alias("status"))
+    """What a model reads: the text of the next turn, and three words of which one has a subscript that folds to a plain digit."""
+    seen = F.array(F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit("")), F.lit("ALPHA x₂ gamma"))
+    f = t.conversations.select(F.struct("conv_id", "turn").alias("element_id"), "text", seen.alias("visible_text"), F.when(F.col("turn") % 2 == 0, "ok").otherwise("skipped").alias("status"))
     return enrich.label_shares(f).select("element_id.conv_id", "element_id.turn", "share", "status")
 
 
@@ -908,9 +913,9 @@ def draft_pool(t: Tables) -> DataFrame:
 
 # --- chart facts
 
-@query("SELECT chart_id, a.body AS reference, b.body, ((b.sign_no - a.sign_no + 12) % 12 + 1)::INTEGER AS house FROM s a JOIN s b USING (chart_id) WHERE a.body <> b.body", SKY)
+@query("SELECT a.body AS reference, b.body, ((b.sign_no - a.sign_no + 12) % 12 + 1)::INTEGER AS house, count(*) AS charts FROM s a JOIN s b USING (chart_id) WHERE a.body <> b.body GROUP BY ALL", SKY)
 def counted_houses(t: Tables) -> DataFrame:
-    return reading.counted_from(astro.placements(t.charts()))
+    return reading.counted_from(astro.placements(t.charts())).groupBy("reference", "body", "house").agg(F.count("*").alias("charts"))
 
 
 @query("SELECT chart_id, house, ['Mars', 'Venus', 'Mercury', 'Moon', 'Sun', 'Mercury', 'Venus', 'Mars', 'Jupiter', 'Saturn', 'Saturn', 'Jupiter'][(sign_no + house - 1) % 12 + 1] AS lord FROM s, range(1, 13) r(house) WHERE body = 'Lagna'", SKY)
@@ -1166,9 +1171,9 @@ def plain_answers(t: Tables) -> DataFrame:
     return reading.plain_answers(texts, passages).withColumn("cited", F.size("cited"))
 
 
-@query("SELECT conv_id AS text_id, string_agg('[P' || turn || '] ' || role || ', p. ' || turn || chr(10) || left(text, 9), chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS text_id, string_agg('[P' || turn || '] ' || role || ', p. ' || turn || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
 def passage_prompts(t: Tables) -> DataFrame:
-    return reading.passage_prompt(t.conversations.select(F.col("conv_id").alias("text_id"), F.col("turn").alias("n"), F.col("role").alias("source"), F.col("turn").alias("page"), F.substring("text", 1, 9).alias("text")))
+    return reading.passage_prompt(t.conversations.select(F.col("conv_id").alias("text_id"), F.col("turn").alias("n"), F.col("role").alias("source"), F.col("turn").alias("page"), "text"))
 
 
 LORDS = """['Mars', 'Venus', 'Mercury', 'Moon', 'Sun', 'Mercury', 'Venus', 'Mars', 'Jupiter', 'Saturn', 'Saturn', 'Jupiter']"""
@@ -1276,3 +1281,38 @@ DASHAS = SKY + """, d AS (SELECT chart_id, lord, CASE WHEN seq = 0 THEN birth EL
 @query("SELECT chart_id, lord, start, stop AS \"end\", start <= DATE '2010-01-01' AS now FROM d WHERE stop > DATE '2010-01-01' AND start <= DATE '2020-01-01'", DASHAS)
 def coming_periods(t: Tables) -> DataFrame:
     return reading.coming_periods(astro.dashas(t.charts().where("body = 'Moon'")), "2010-01-01", 10)
+
+
+# --- files and stored versions
+
+@query(
+    """SELECT line, CASE WHEN turn % 7 <> 3 THEN conv_id END AS conv_id, CASE WHEN turn % 7 <> 3 THEN turn END AS turn, turn % 7 <> 3 AS good, part FROM (
+  SELECT *, conv_id // 20 AS part, row_number() OVER (PARTITION BY conv_id // 20 ORDER BY conv_id, turn) AS line FROM conversations)"""
+)
+def numbered_jsonl(t: Tables) -> DataFrame:
+    """Conversations written as JSON lines, a file of 20 each, some lines cut short, and read again with their numbers."""
+    whole = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    lines = t.conversations.select("conv_id", "turn", F.floor(F.col("conv_id") / 20).alias("part"), F.when(F.col("turn") % 7 == 3, F.expr("left(to_json(struct(conv_id, turn, text)), 15)")).otherwise(whole).alias("value"))
+    path = new_folder(t.spark)
+    lines.repartition("part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value").write.partitionBy("part").text(path)
+    good, bad = files.read_jsonl_numbered(t.spark, path, T.StructType.fromDDL("conv_id long, turn long, role string, text string"))
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part")
+    none = F.lit(None).cast("long")
+    return good.select("line", "conv_id", "turn", F.lit(True).alias("good"), part).union(bad.select("line", none, none, F.lit(False), part))
+
+
+@query(
+    """SELECT s_suppkey AS doc_id, CASE WHEN s_nationkey < 10 THEN 2 ELSE 1 END AS version, CASE WHEN s_nationkey < 10 THEN 'new' ELSE 'old' END AS build_hash, coalesce(n, 0)::BIGINT AS pieces
+FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) FILTER (s_nationkey >= 10 OR l_linenumber = 1) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_suppkey) ON l_suppkey = s_suppkey"""
+)
+def stored_replacement(t: Tables) -> DataFrame:
+    """Suppliers as documents with their lines as pieces in a store; some suppliers are replaced, with fewer pieces; the store's last version."""
+    docs = t.supplier.select(F.col("s_suppkey").alias("doc_id"), F.col("s_name").alias("source_file"), "s_nationkey")
+    pieces = t.lineitem.select(F.col("l_suppkey").alias("doc_id"), "l_orderkey", "l_linenumber")
+    store = Store(t.spark, new_folder(t.spark), buckets=16)
+    store.replace_documents(docs.select("doc_id", "source_file", F.lit("old").alias("build_hash")), {"pieces": pieces})
+    newer = F.when(F.col("s_nationkey") < 10, "new").otherwise("old").alias("build_hash")
+    store.replace_documents(docs.select("doc_id", "source_file", newer), {"pieces": pieces.where("l_linenumber = 1")})
+    kept = store.read()
+    n = kept["pieces"].groupBy("doc_id").agg(F.count("*").alias("pieces"))
+    return kept["documents"].join(n, "doc_id", "left").select("doc_id", "version", "build_hash", F.coalesce("pieces", F.lit(0)).alias("pieces"))

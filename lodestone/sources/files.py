@@ -25,6 +25,28 @@ def read_jsonl_split(spark: SparkSession, path: str, schema: T.StructType) -> tu
     return parsed.where("r._corrupt_record IS NULL").select("r.*").drop("_corrupt_record"), parsed.where("r._corrupt_record IS NOT NULL").select(F.col("value").alias("line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their number in their file, from 1, however the files are split into tasks.
+
+    A task reads the lines of a split in order, so a line's place in its split is known from its id; what the splits before it
+    hold is added. Only counts by split are gathered, and Spark's own reader does the reading, from any store.
+    """
+    at = F.col("_metadata")
+    rows = spark.read.option("lineSep", "\n").text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("start"), "value", F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.withColumn("before", before).select("file", "start", "first", "before")
+    return rows.join(placed, ["file", "start"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
+
+
+def read_jsonl_numbered(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(good records with file and line, damaged lines: file, line, value). Blank lines are counted and are neither."""
+    full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    parsed = lines.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.where("r._corrupt_record IS NULL").select("file", "line", "r.*").drop("_corrupt_record"), parsed.where("r._corrupt_record IS NOT NULL").select("file", "line", "value")
+
+
 def write_jsonl(df: DataFrame, path: str, by: str | None = "doc_id") -> None:
     w = df.write.mode("overwrite")
     (w.partitionBy(by) if by and by in df.columns else w).json(path)

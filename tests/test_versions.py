@@ -101,3 +101,26 @@ def test_half_written(spark, tmp_path):
     for k in range(3):
         s.replace_documents(document(spark, [(1, "f", f"c{k}")]), {"chunks": pieces(spark, [1], f"c{k}")})
     assert s.sweep(keep=1, older_than=-10.0) > 0 and state(s)[0][1] == ("f", "c2", 4)
+
+
+@pytest.mark.parametrize("size", [50, 700, 1 << 20])
+def test_numbered_lines(spark, tmp_path, size):
+    """Whatever the splits, every line has its number in its file; damaged lines are told apart, blank ones are counted."""
+    from pyspark.sql import types as T
+
+    from lodestone.sources.files import read_jsonl_numbered
+
+    files = {f"f{k}": [("" if n % 11 == 5 else '{"a": ' if n % 5 == 2 else f'{{"a": {n}, "b": "é{"x" * (n % 90)}"}}') for n in range(1, 60 + 40 * k)] for k in range(3)}
+    (tmp_path / "in").mkdir()
+    for name, lines in files.items():
+        (tmp_path / "in" / f"{name}.jsonl").write_text("\n".join(lines) + ("\n" if name != "f1" else ""), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        good, bad = read_jsonl_numbered(spark, str(tmp_path / "in"), T.StructType.fromDDL("a int, b string"))
+        got = sorted((r.file.rsplit("/", 1)[1][:2], r.line, r.a) for r in good.collect())
+        lost = sorted((r.file.rsplit("/", 1)[1][:2], r.line) for r in bad.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted((f, n, n) for f, lines in files.items() for n, x in enumerate(lines, 1) if x.endswith("}"))
+    assert lost == sorted((f, n) for f, lines in files.items() for n, x in enumerate(lines, 1) if x and not x.endswith("}"))
