@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import arithmetic, dates, numeric
 from ..functions import text as tx
-from ..operators import astro, captions, enrich, evaluation, filters, ingest, memory, ops, reading, retrieval, verify
+from ..operators import astro, captions, claims, enrich, evaluation, filters, ingest, memory, ops, reading, retrieval, verify
 from ..session import new_folder, written
 from ..sources import files
 from ..sources.versions import Store
@@ -1283,6 +1283,82 @@ def coming_periods(t: Tables) -> DataFrame:
     return reading.coming_periods(astro.dashas(t.charts().where("body = 'Moon'")), "2010-01-01", 10)
 
 
+# --- statements that tables decide
+
+def _facts(kind: str, table: dict) -> str:
+    return ", ".join(f"('{kind}', '{b}', '{t}')" for t, bs in table.items() for b in bs)
+
+
+TOPICS, OF_HOUSES, OF_KIND = list(claims.KARAKAS), list(claims.HOUSE_TOPICS), list(claims.HOUSE_KINDS)
+SEVEN = ["Sun", "Moon", "Mars", "Mercury", "Jupiter", "Venus", "Saturn"]
+
+
+@query(
+    f"""SELECT text_id, kind, body, value FROM said ANTI JOIN facts USING (kind, body, value)""",
+    f"""facts(kind, body, value) AS (VALUES {_facts("karaka", claims.KARAKAS)}, {_facts("house of", claims.HOUSE_TOPICS)}, {_facts("house kind", claims.HOUSE_KINDS)}, {", ".join(f"('sign ruler', '{r}', '{s}')" for r, s in zip(astro.RULERS, SIGNS))}),
+n AS (SELECT o_orderkey AS text_id, o_orderkey % 7 AS a, (o_orderkey // 7) % {len(TOPICS)} AS b, o_custkey % 12 + 1 AS h, o_custkey % {len(OF_HOUSES)} AS c, o_orderkey % {len(OF_KIND)} AS d, o_custkey % 12 AS s FROM orders),
+said AS (SELECT text_id, unnest(['karaka', 'house of', 'house kind', 'sign ruler']) AS kind, unnest([{SEVEN!r}[a + 1], h::VARCHAR, h::VARCHAR, {SEVEN!r}[a + 1]]) AS body,
+  unnest([{TOPICS!r}[b + 1], {OF_HOUSES!r}[c + 1], {OF_KIND!r}[d + 1], {SIGNS!r}[s + 1]]) AS value FROM n)""",
+)
+def textbook_mistakes(t: Tables) -> DataFrame:
+    """What orders' numbers make up about bodies, houses and signs, against the tables."""
+    o, n, m = t.orders, F.col("o_orderkey"), F.col("o_custkey")
+    nth = tx.ordinal((m % 12 + 1).cast("int"))
+    text = F.concat(
+        pick(SEVEN, n), F.lit(" is the natural karaka of the "), pick(TOPICS, F.floor(n / 7)), F.lit(". The "), nth, F.lit(" house is the house of "), pick(OF_HOUSES, m),
+        F.lit(". The "), nth, F.lit(" is a "), pick(OF_KIND, n), F.lit(". "), pick(SIGNS, m), F.lit(" is ruled by the "), pick(SEVEN, n), F.lit("."),
+    )
+    return claims.textbook_mistakes(o.select(n.alias("text_id"), text.alias("text")))
+
+
+@query(
+    f"""SELECT chart_id AS text_id, 'from' AS kind, 'Mars' AS body, nth || ' from Jupiter' AS value FROM c2 WHERE nth <> (SELECT (a.sign_no - b.sign_no + 12) % 12 + 1 FROM s a JOIN s b USING (chart_id) WHERE a.body = 'Mars' AND b.body = 'Jupiter' AND chart_id = c2.chart_id)
+UNION ALL SELECT chart_id, 'maha start', 'Venus', (1990 + chart_id % 40)::VARCHAR FROM c2 WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.chart_id = c2.chart_id AND lord = 'Venus' AND year(start) = 1990 + c2.chart_id % 40)
+UNION ALL SELECT chart_id, 'maha dates', lord, (start + (chart_id % 4)::INTEGER)::VARCHAR || ' to ' || stop FROM d WHERE seq = 1 AND chart_id % 4 >= 2
+UNION ALL SELECT chart_id, 'maha years', lord, year(start) || ' to ' || (year(stop) + chart_id % 2) FROM d WHERE seq = 1 AND chart_id % 2 = 1""".replace("nth || ' from", "nth || CASE WHEN nth IN (11, 12) THEN 'th' WHEN nth = 1 THEN 'st' WHEN nth = 2 THEN 'nd' WHEN nth = 3 THEN 'rd' ELSE 'th' END || ' from"),
+    DASHAS.replace("SELECT chart_id, lord, CASE WHEN seq", "SELECT chart_id, seq, lord, CASE WHEN seq") + ", c2 AS (SELECT DISTINCT chart_id, chart_id % 12 + 1 AS nth FROM s)",
+)
+def period_mistakes(t: Tables) -> DataFrame:
+    """Positions from Jupiter, and dates of the second period moved by none to three days, stated of every chart."""
+    placed = astro.placements(t.charts())
+    moons = t.charts().where("body = 'Moon'").select("chart_id", "longitude", "birth")
+    periods = astro.dashas(moons)
+    n = F.col("chart_id")
+    second = periods.where("seq = 1")
+    dated = F.concat("lord", F.lit(" mahadasha from "), F.date_add("start", (n % 4).cast("int")).cast("string"), F.lit(" to "), F.col("end").cast("string"), F.lit(". "), "lord", F.lit(" mahadasha from "), F.year("start"), F.lit(" to "), F.year("end") + (n % 2).cast("int"), F.lit("."))
+    head = F.concat(F.lit("Mars is in the "), tx.ordinal((n % 12 + 1).cast("int")), F.lit(" from Jupiter. Venus mahadasha begins in "), (1990 + n % 40).cast("string"), F.lit(". "))
+    return claims.period_mistakes(second.select(n.alias("text_id"), "chart_id", F.concat(head, dated).alias("text")), placed, periods)
+
+
+@query("SELECT chart_id AS text_id, 'Sun' AS body, 'sign' AS kind, 'Leo' AS value, " + f"{SIGNS!r}[sign_no + 1] AS actual FROM s WHERE body = 'Sun' AND sign_no <> 4 UNION ALL SELECT chart_id, 'Mars', 'house', '7', house::VARCHAR FROM h WHERE body = 'Mars' AND house <> 7", SKY)
+def lateral_claims(t: Tables) -> DataFrame:
+    """The claims of claim_mismatches through the table function, in SQL."""
+    claims.register(t.spark)
+    p = astro.placements(t.charts())
+    texts = p.select("chart_id").distinct().select(F.col("chart_id").alias("text_id"), "chart_id", F.lit("Sun is in Leo. Mars sits in the 7th house.").alias("text"))
+    return t.spark.sql(
+        """SELECT c.text_id, c.body, c.kind, c.value, CASE c.kind WHEN 'house' THEN CAST(p.house AS STRING) ELSE p.sign END AS actual
+FROM (SELECT t.text_id, t.chart_id, s.* FROM {texts} t, LATERAL stated_claims(t.text) s WHERE s.kind IN ('house', 'sign')) c JOIN {placed} p ON p.chart_id = c.chart_id AND p.body = c.body
+WHERE c.value <> CASE c.kind WHEN 'house' THEN CAST(p.house AS STRING) ELSE p.sign END""",
+        texts=texts, placed=p,
+    )
+
+
+@query("SELECT conv_id, turn, b || ' rules here. ' || b || ' is strong. ' || text AS text FROM (SELECT *, ['Sun', 'Moon', 'Mars', 'Mercury', 'Jupiter', 'Venus', 'Saturn'][turn % 7 + 1] AS b FROM conversations)")
+def resolved_pronouns(t: Tables) -> DataFrame:
+    """A sentence that opens with It, in front of every turn's text."""
+    said = F.concat(pick(SEVEN, F.col("turn")), F.lit(" rules here. It is strong. "), "text")
+    return t.conversations.select("conv_id", "turn", reading.resolve_pronouns(said).alias("text"))
+
+
+@query()
+def grown_regions(t: Tables) -> DataFrame:
+    """Two boxes a page as regions, the others as labels; the fixpoint is held against a plain loop in the tests."""
+    b = boxes(t)
+    grown = ingest.grow_regions(b.where("no <= 2"), b.where("no > 2"))
+    return grown.select("page", *[F.col("bbox")[i].alias(x) for i, x in enumerate(("x0", "y0", "x1", "y1"))])
+
+
 # --- files and stored versions
 
 @query(

@@ -105,3 +105,17 @@ def test_grown_regions(spark):
     got = ingest.grow_regions(frame(spark, [("d", p, b) for p, bs in regions.items() for b in bs], columns), frame(spark, [("d", p, b) for p, bs in labels.items() for b in bs], columns)).collect()
     for p in regions:
         assert sorted(r.bbox for r in got if r.page == p) == grown_plain(regions[p], labels[p], 32.0, 12.0, 72.0), p
+
+
+def test_grown_regions_of_the_table(spark, sf):
+    from lodestone.plans import more
+    from lodestone.plans.registry import QUERIES, Tables
+
+    pages = {}
+    for r in more.boxes(Tables(spark, sf)).collect():
+        pages.setdefault(r.page, ([], []))[r.no > 2].append(list(r.bbox))
+    got = {}
+    for r in QUERIES["grown_regions"][0](spark, sf).collect():
+        got.setdefault(r.page, []).append([r.x0, r.y0, r.x1, r.y1])
+    want = {p: grown_plain(regions, labels, 32.0, 12.0, 72.0) for p, (regions, labels) in pages.items() if regions}
+    assert {p: sorted(b) for p, b in got.items()} == want
