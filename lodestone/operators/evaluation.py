@@ -236,10 +236,19 @@ def indexed_only(items: DataFrame, indexed: DataFrame) -> DataFrame:
     return items.join(missing, "question_id", "left_anti")
 
 
-def open_cases(cases: DataFrame, writers: DataFrame, done: DataFrame) -> DataFrame:
-    """(case_id, writer) still to judge: every case with every writer, less those that have a judgement."""
-    judged = done.where("judgement IS NOT NULL").select("case_id", "writer")
-    return cases.select("case_id").crossJoin(writers.select("writer")).join(judged, ["case_id", "writer"], "left_anti")
+def open_cases(cases: DataFrame, writers: DataFrame, done: DataFrame, most: int = 10_000) -> DataFrame:
+    """(case_id, writer) still to judge: every case with every writer, less those that have a judgement.
+
+    Writers (models under test) are counted; one list of them goes with each case, and what is judged is taken off it before it
+    becomes rows. More than `most` are refused: the answer would be that many rows a case.
+    """
+    n = writers.count()
+    if n > most:
+        raise ValueError(f"{n} writers; at most {most} are compared")
+    judged = done.where("judgement IS NOT NULL").groupBy("case_id").agg(F.collect_set("writer").alias("judged"))
+    every = F.broadcast(writers.agg(F.collect_list("writer").alias("every")))  # one row
+    left = cases.select("case_id").join(judged, "case_id", "left").join(every)
+    return left.select("case_id", F.explode(F.filter("every", lambda w: ~F.coalesce(F.array_contains("judged", w), F.lit(False)))).alias("writer"))
 
 
 def judge_summary(judgements: DataFrame) -> DataFrame:

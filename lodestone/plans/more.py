@@ -745,11 +745,10 @@ def found_numbers(t: Tables) -> DataFrame:
     return verify.find_numbers(claims, verify.ledger(results(t))).select("question_id", "claim", "id")
 
 
-@query("SELECT l_orderkey, round(arg_min(p_size, (abs(p_size - total), p_size)), 6)::DOUBLE AS closest FROM (SELECT l_orderkey, sum(l_quantity) / 4 AS total FROM lineitem GROUP BY ALL) JOIN (SELECT DISTINCT p_size FROM part) ON true GROUP BY l_orderkey")
+@query("SELECT l_orderkey, arg_min(l_quantity, (abs(l_quantity - total), l_quantity))::DOUBLE AS closest FROM lineitem JOIN (SELECT l_orderkey, sum(l_quantity) / 4 AS total FROM lineitem GROUP BY ALL) USING (l_orderkey) GROUP BY l_orderkey")
 def closest_values(t: Tables) -> DataFrame:
-    sizes = t.part.agg(F.collect_set(F.col("p_size").cast("double")).alias("sizes"))  # one row of at most 50 values
-    total = t.lineitem.groupBy("l_orderkey").agg((F.sum("l_quantity") / 4).alias("total"))
-    return total.crossJoin(sizes).select("l_orderkey", numeric.closest(F.col("total"), F.col("sizes")).alias("closest"))
+    own = t.lineitem.groupBy("l_orderkey").agg((F.sum("l_quantity") / 4).alias("total"), F.collect_set(F.col("l_quantity").cast("double")).alias("numbers"))  # the numbers of one order
+    return own.select("l_orderkey", numeric.closest(F.col("total"), F.col("numbers")).alias("closest"))
 
 
 TURNS = """a AS (SELECT conv_id * 1000 + turn AS answer_id, conv_id, turn, role, 'c:' || conv_id || ':' || (turn + 1) AS cid FROM conversations), known AS (SELECT 'c:' || conv_id || ':' || turn AS id FROM conversations),
@@ -1344,10 +1343,10 @@ WHERE c.value <> CASE c.kind WHEN 'house' THEN CAST(p.house AS STRING) ELSE p.si
     )
 
 
-@query("SELECT conv_id, turn, b || ' rules here. ' || b || ' is strong. ' || text AS text FROM (SELECT *, ['Sun', 'Moon', 'Mars', 'Mercury', 'Jupiter', 'Venus', 'Saturn'][turn % 7 + 1] AS b FROM conversations)")
+@query("SELECT conv_id, turn, b || ' rules here. ' || b || ' sits in the 4th house. ' || text AS text FROM (SELECT *, ['Sun', 'Moon', 'Mars', 'Mercury', 'Jupiter', 'Venus', 'Saturn'][turn % 7 + 1] AS b FROM conversations)")
 def resolved_pronouns(t: Tables) -> DataFrame:
     """A sentence that opens with It, in front of every turn's text."""
-    said = F.concat(pick(SEVEN, F.col("turn")), F.lit(" rules here. It is strong. "), "text")
+    said = F.concat(pick(SEVEN, F.col("turn")), F.lit(" rules here. It sits in the 4th house. "), "text")
     return t.conversations.select("conv_id", "turn", reading.resolve_pronouns(said).alias("text"))
 
 
