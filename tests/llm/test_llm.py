@@ -277,6 +277,27 @@ def test_toxicity(spark, sf):
     assert {r.score for r in toxicity(df, labels.limit(0)).collect()} == {0.0} and toxicity(empty(spark), labels).collect() == []
 
 
+def test_threats_are_learnt(spark):
+    """A word that is no insult by itself but stands before a target in toxic texts becomes a threat, and each machine counts."""
+    from lodestone.llm import toxicity as m
+
+    rng = np.random.default_rng(12)
+    calm = [f"calm{x}" for x in range(60)]
+    fill = lambda: " ".join(rng.choice(calm, 6))
+    # gut: in all texts, but before a target only in toxic ones
+    rows = [(i, f"{fill()} gut you. {fill()}" if i % 4 == 0 else f"{fill()} you, gut {fill()}. {fill()}") for i in range(400)]
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    lexicon, _ = m.learn(df, labels)
+    assert m.THREATENS + "gut" in lexicon and "gut" not in lexicon
+    held = [r for r in m.toxicity(df, labels).collect() if r.held_out]
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in held) and len(held) > 60
+    silent = {0: {"T": (0, 0.0), "Y": (0, 0.0), "*": (0, 1.0)}}  # no threat reaches a target
+    assert not any(r.predicted for r in m.toxicity(df, labels, machines=(m.INSULT, silent, *m.MACHINES[2:])).collect())
+    lex = m.Lexicon({"idiot": 4.0})
+    one, strong, two = (m.document_weight(t, lex) for t in ("an idiot", "such an idiot", "an idiot idiot"))
+    assert one < strong < two and math.isclose(strong, 1.3 * one) and math.isclose(two, 2.2 * one)
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in table(spark, d, "labels").collect()}
@@ -299,7 +320,7 @@ def weight_brute(text, stems):
 
     total = 0.0
     for clause in m.CLAUSE.split((text or "").lower()):
-        threat = negated = reported = aimed = 0  # words left of each scope
+        threat = negated = reported = aimed = strong = piled = 0  # words left of each scope
         quoted = False
         for raw in clause.split():
             w = raw.strip(m.STRIP)
@@ -307,13 +328,16 @@ def weight_brute(text, stems):
             stem = next((stems[h] for h in heads if h in stems), 0.0)
             is_threat = w in m.THREAT
             insult = 0.0 if is_threat else stem
+            is_threat = is_threat or (not insult and "\x00" + w in stems)
             mark = not is_threat and not insult and m.QUOTE.search(raw)
             target = not is_threat and not insult and not mark and w in m.TARGET
             negation = not (is_threat or insult or mark or target) and w in m.NEGATION
             report = not (is_threat or insult or mark or target or negation) and w in m.REPORT
-            weight = insult * (1.5 if aimed else 1.0) + (m.THREAT_WEIGHT if target and threat else 0.0)
+            more = not (is_threat or insult or mark or target or negation or report) and w in m.INTENSIFIER
+            weight = insult * (1.5 if aimed else 1.0) * (1.3 if strong else 1.2 if piled else 1.0) + (m.THREAT_WEIGHT if target and threat else 0.0)
             total += weight * (0.4 if negated else 1.0) * (0.6 if reported or quoted else 1.0)
             aimed = 4 if target else max(0, aimed - 1)
+            strong, piled = (2, 0) if more else (0, 3) if insult else (max(0, strong - 1), max(0, piled - 1))
             threat = 4 if is_threat else 0 if target else max(0, threat - 1)
             negated = 3 if negation else max(0, negated - 1)
             if mark:
@@ -329,8 +353,8 @@ def weight_brute(text, stems):
 def test_composed_grammar_equals_its_machines():
     from lodestone.llm.toxicity import GRAMMAR, Lexicon, document_weight
 
-    rng, words = np.random.default_rng(8), ["idiot", "idiots!", "(scum)", "kill", "hurt,", "you", "they", "not", "never", "said", "wrote", '"quote', 'end"', "calm", "tree", ".", "\n", "x;y", "die", "sie"]
-    stems = {"idiot": 3.0, "scum": 1.25, "idio-": 0.5}
+    rng, words = np.random.default_rng(8), ["idiot", "idiots!", "(scum)", "kill", "hurt,", "you", "they", "not", "never", "said", "wrote", '"quote', 'end"', "calm", "tree", ".", "\n", "x;y", "die", "sie", "such", "totally", "SO", "gut"]
+    stems = {"idiot": 3.0, "scum": 1.25, "idio-": 0.5, "\x00gut": 1.0}
     for _ in range(2000):
         text = " ".join(rng.choice(words, rng.integers(0, 14)))
         assert math.isclose(document_weight(text, Lexicon(stems)), weight_brute(text, stems), abs_tol=1e-12), text
