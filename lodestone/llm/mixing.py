@@ -8,8 +8,8 @@ inclusion odds p/(1-p), and taken in that order until the words are reached. The
 ranks, refined once in the one cell that holds it, so a source that holds most rows never meets in one task.
 
 Defined results: null texts have size 0; a source that is null is one of its own, last in order; u is a hash of the
-document's id, source and seed, so reruns agree, and repeated rows are drawn together; of equal ranks the smaller doc_id
-goes first; sources without words take none; very long texts are counted whole; an empty table gives no rows; columns other
+document's id, source and seed, so reruns agree, and repeated rows are drawn together; documents of equal
+rank at the cut (a tie of 64-bit hashes) are taken or left together; sources without words take none; very long texts are counted whole; an empty table gives no rows; columns other
 than doc_id, source and text are ignored. Sources are labels of collections: their list is sorted in one task.
 """
 

@@ -9,7 +9,8 @@ equal fingerprints are one posting. A posting list that many fingerprints share
 one task up to `block` entries, and beyond that by tiles of block pairs dealt over tasks; only a spanning forest leaves.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; a row without doc_id gets its
-fingerprint and component but never names one; repeated rows are linked.
+fingerprint and component but never names one; repeated rows are linked; a bit set in exactly half of the shingles is 0; very long
+texts are hashed whole; an empty table gives no rows; columns other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,11 @@ their batch, where overlapping windows merge into maximal intervals, one row a d
 word sequences are taken for equal with a probability of about pairs of windows / 2**64.
 
 Defined results: null and empty texts have no words; a row without doc_id keeps all its words and precedes nobody; of rows
-with the same doc_id, windows at the same start tie, and neither removes the other (one such row never doubles results).
+with the same doc_id, windows at the same start tie, and neither removes the other (one such row never doubles results);
+very long texts are hashed whole; an empty table gives no rows; columns other than doc_id and text, whatever their names, are ignored.
+
+Marks return to the batch that a hash came from, so a task that is run again must see the batches it saw before. Scans of files give
+that; write the input to files first if it is anything else. A changed batch is an error, never a wrong result.
 """
 
 from __future__ import annotations

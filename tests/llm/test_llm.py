@@ -113,6 +113,24 @@ def test_embedding_links(spark, cell_rows, block):
     assert embedding_links(vectors(spark, rows).limit(0)).collect() == []
 
 
+def test_embedding_cells_at_their_default_size(spark):
+    """A label past the size at which cells start: pairs planted just above the threshold are found as the calibration promises, and no others."""
+    from lodestone.llm.embedding_dedup import embedding_links
+
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = np.where(np.arange(3000) % 10 == 0, 0.929, 0.931)  # a tenth just below
+    y = cosine[:, None] * x + np.sqrt(1 - cosine**2)[:, None] * side
+    rows = [(i, v.tolist(), 7) for i, v in enumerate([*x, *y])]
+    got = {r.vec_id: r.n_links for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.93).collect()}
+    assert sum(got.values()) % 2 == 0 and not any(got[i] for i in range(6000) if i % 3000 % 10 == 0)
+    assert sum(got[i] == 1 for i in range(3000)) / 2700 >= 0.97
+
+
 def test_embedding_links_of_repeated_ids(spark):
     """A vec_id under two labels is two vectors: their links and components stay apart."""
     from lodestone.llm.embedding_dedup import embedding_links
