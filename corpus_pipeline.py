@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame."""
+"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame.
+
+In every stage very long texts are worked on whole, an empty table gives no rows, and columns other than those of documents, whatever
+their names, are left behind.
+"""
 
 from __future__ import annotations
 
