@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # Names, rulers, exaltations, friendships and periods of the tradition.
 SIGNS = ["Aries", "Taurus", "Gemini", "Cancer", "Leo", "Virgo", "Libra", "Scorpio", "Sagittarius", "Capricorn", "Aquarius", "Pisces"]
 PLANETS = ["Sun", "Moon", "Mars", "Mercury", "Jupiter", "Venus", "Saturn"]
@@ -260,12 +262,23 @@ CLAIMS = [
 ]
 
 
+#: Of each kind, words of which a statement holds one.
+NEEDED = {
+    "dignity": ["exalted", "debilitated"], "own sign": ["own"], "lord": ["lord", "ruler", "rules"], "lord in": ["lord"], "aspect": ["aspect"], "combust": ["combust"], "retrograde": ["retrograde"], "vargottama": ["Vargottama"],
+    "navamsa": ["Navamsa"], "lagna": ["Lagna", "ascendant", "rising"], "from moon": ["from"], "conjunct": ["conjunct"], "cancelled": ["debility"], "yoga": ["yoga"], "dasha end": ["mahadasha"],
+}
+
+
 def fact_claims(text: Column) -> Column:
     """(kind, body, value) of statements in a text, of the kinds in CLAIMS."""
 
+    none = F.array().cast("array<struct<kind:string,body:string,value:string>>")
+
     def found(kind: str, pattern: str, body: str, value: str) -> Column:
         hits = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-        return F.transform(hits, lambda m: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(m, body, 1).alias("body"), F.regexp_extract(m, value, 1).alias("value")))
+        read = F.transform(hits, lambda m: F.struct(F.lit(kind).alias("kind"), F.regexp_extract(m, body, 1).alias("body"), F.regexp_extract(m, value, 1).alias("value")))
+        # a pattern is run only over texts that hold one of the words it needs
+        return F.when(reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in NEEDED[kind]]), read).otherwise(none)
 
     return F.concat(*[found(*k) for k in CLAIMS])
 
@@ -301,4 +314,6 @@ def unfounded_claims(texts: DataFrame, placed: DataFrame, periods: DataFrame | N
     """(text_id, kind, body, value) stated in texts (text_id, chart_id, text) that the chart does not hold; dates only where periods are given."""
     c = texts.select("text_id", "chart_id", F.explode(fact_claims(F.col("text"))).alias("c")).select("text_id", "chart_id", "c.*")
     c = c if periods is not None else c.where("kind <> 'dasha end'")
+    # every branch of what charts hold reads the placements: they are worked out once, for the charts that texts are about
+    placed = written(placed.join(texts.select("chart_id").distinct(), "chart_id", "left_semi"))
     return c.join(chart_claims(placed, periods), ["chart_id", "kind", "body", "value"], "left_anti").select("text_id", "kind", "body", "value")

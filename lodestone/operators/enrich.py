@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import time
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pandas as pd
@@ -157,28 +157,30 @@ def chunk_text(blocks: DataFrame, max_tokens: int = 800, overlap: float = 0.15,
     """(doc_id, chunk_id, element_ids, text): paragraphs (doc_id, seq, element_id, section, text) gathered per run of a section.
 
     A chunk takes paragraphs while the budget holds, and begins with whole trailing paragraphs of the one before, up to
-    the overlap. pieces(text, limit) gives (part, tokens) and may be any tokenizer. A fold per document: a grouped map.
+    the overlap. pieces(text, limit) gives (part, tokens) and may be any tokenizer. A fold over a document's paragraphs, of which it
+    holds one chunk's.
     """
     carry_most = int(max_tokens * overlap)
 
     rows = blocks.select("doc_id", "seq", "element_id", "section", "text")
 
-    def chunks(block: list[tuple]):
-        out: list[tuple] = []
-        doc = block[0][0]
+    def chunks(block: Iterator[tuple]):
+        made = 0
 
-        def emit(label, parts):
+        def chunk(doc, label, parts):
+            nonlocal made
+            made += 1
             ids = list(dict.fromkeys(p[0] for p in parts))
-            out.append((doc, f"{doc}:text:{len(out) + 1}", ids, "\n".join([label, "\n\n".join(p[1] for p in parts)])))
+            return doc, f"{doc}:text:{made}", ids, "\n".join([label, "\n\n".join(p[1] for p in parts)])
 
         for section, part in groupby(block, key=lambda r: tuple(r[3] or ())):
             label = " > ".join(section) or "(no section)"
             budget = max(1, max_tokens - sum(n for _, n in pieces(label, 1 << 30)) - 1)
             held, used = [], 0
-            for _, _, element, _, text in part:
+            for doc, _, element, _, text in part:
                 for piece, n in pieces(text, budget):
                     if held and used + n > budget:
-                        emit(label, held)
+                        yield chunk(doc, label, held)
                         keep, size = [], 0
                         while held and size + held[-1][2] <= carry_most:
                             keep.insert(0, held.pop())
@@ -187,8 +189,7 @@ def chunk_text(blocks: DataFrame, max_tokens: int = 800, overlap: float = 0.15,
                     held.append((element, piece, n))
                     used += n
             if held:
-                emit(label, held)
-        return out
+                yield chunk(doc, label, held)
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
     return fold(rows, ["doc_id"], ["seq"], chunks, f"doc_id {kind}, chunk_id string, element_ids array<string>, text string")

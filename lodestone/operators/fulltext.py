@@ -73,13 +73,13 @@ def asked_phrases(queries: DataFrame, mode: str, stems: bool) -> DataFrame:
     return queries.select("query_id", "question").mapInPandas(_parser(mode), PHRASES.format(kind)).where(F.lit(stems) | ~F.col("stemmed"))
 
 
-def term_places(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """(chunk_id, pos, stemmed, term): where texts hold the terms (stemmed, term), as words or as stems of their words."""
-    plain = terms.where("NOT stemmed").select(F.col("term").alias("word"), "stemmed", "term")
+def term_places(chunks: DataFrame, terms: DataFrame, stems: bool) -> DataFrame:
+    """(chunk_id, pos, stemmed, term): where texts hold the terms (stemmed, term), as words or, with stems, as stems of their words."""
+    dictionary = terms.where("NOT stemmed").select(F.col("term").alias("word"), "stemmed", "term")
     words = tokens(F.col("text"))
-    every = chunks.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
-    of_stems = _stems(every).join(terms.where("stemmed"), "term").select("word", "stemmed", "term")
-    dictionary = plain.union(of_stems)
+    if stems:
+        every = chunks.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
+        dictionary = dictionary.union(_stems(every).join(terms.where("stemmed"), "term").select("word", "stemmed", "term"))
     return chunks.select("chunk_id", F.posexplode(words).alias("pos", "word")).join(dictionary, "word").select("chunk_id", "pos", "stemmed", "term")
 
 
@@ -137,22 +137,31 @@ def search(chunks: DataFrame, queries: DataFrame | str, n: int = 20, mode: str =
     if isinstance(queries, str):
         queries = spark.createDataFrame([(1, queries)], "query_id int, question string")
     asked = written(asked_phrases(queries, mode, stems))
-    phrases = asked.select("phrase", "stemmed").where("phrase IS NOT NULL").distinct()
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     terms = asked.select("stemmed", F.explode("phrase").alias("term")).where("term IS NOT NULL").distinct()
-    places = written(term_places(chunks, terms))
-    stand = written(phrase_places(places, phrases))
+    of_query = asked.select("query_id", "stemmed", F.explode("phrase").alias("term")).where("term IS NOT NULL").distinct()
+    if mode == "any":  # each place of a word is a cover
+        hits = term_places(chunks, terms, stems).join(of_query, ["stemmed", "term"]).groupBy(*ROW).agg((F.count("*") * F.lit(WEIGHT)).alias("w"))
+        ranked = hits.groupBy("query_id", "chunk_id").agg(F.round(F.max("w"), 9).alias("score"))
+        return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    places = written(term_places(chunks, terms, stems))
+    if mode == "websearch":
+        stand = written(phrase_places(places, asked.select("phrase", "stemmed").where("phrase IS NOT NULL").distinct()))
+    else:  # phrases of one word each
+        stand = places.select("chunk_id", F.array("term").alias("phrase"), "stemmed", F.col("pos").alias("start"), F.col("pos").alias("stop"))
     held = stand.select("chunk_id", "phrase", "stemmed").distinct()
     needs = asked.where("NOT never").select("query_id", "stemmed", "g", "phrase").distinct()
     wants = needs.groupBy("query_id", "g", "stemmed").agg(F.count("*").alias("wants"))
     met = needs.join(held, ["phrase", "stemmed"]).groupBy("query_id", "g", "stemmed", "chunk_id").agg(F.count("*").alias("met"))
     good = met.join(wants, ["query_id", "g", "stemmed"]).where("met = wants").select("query_id", "g", "stemmed", "chunk_id")
-    bad = asked.where("never").join(held, ["phrase", "stemmed"]).select("query_id", "g", "stemmed", "chunk_id").distinct()
-    hit = good.join(bad, ["query_id", "g", "stemmed", "chunk_id"], "left_anti")
+    hit = good
+    if mode == "websearch":
+        bad = asked.where("never").join(held, ["phrase", "stemmed"]).select("query_id", "g", "stemmed", "chunk_id").distinct()
+        hit = good.join(bad, ["query_id", "g", "stemmed", "chunk_id"], "left_anti")
+    hit = written(hit)
     found = needs.join(stand, ["phrase", "stemmed"]).join(hit, [*ROW, "g"], "left_semi")
-    of_query = asked.select("query_id", "stemmed", F.explode("phrase").alias("term")).where("term IS NOT NULL").distinct()
     words = of_query.join(places, ["stemmed", "term"]).join(hit.select(*ROW).distinct(), ROW, "left_semi").select(*ROW, "pos")
     ranked = cover_density(found, needs, words).select("query_id", "chunk_id", F.round("w", 9).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     if mode == "websearch":
         ranked = ranked.unionByName(_lacking(chunks, asked, bad)).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

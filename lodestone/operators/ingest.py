@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,27 +169,29 @@ def section_paths(blocks: DataFrame) -> DataFrame:
     """blocks (doc_id, seq, text, size, heading) with section_path: a stack of headings, popped while the top is no larger.
 
     Where blocks have page and bbox, a heading that wraps onto a second line extends the title it continues, also in the
-    path of the line before. A fold over one document's blocks in order; documents are independent, so it is a grouped map
-    (a document's blocks meet in one task).
+    path of the line before. A fold over one document's blocks in order, of which it holds one.
     """
     known = {"page", "bbox"} <= set(blocks.columns)
     rows = wrapped_headings(blocks) if known else blocks.withColumn("wraps", F.lit(False))
     text, size, heading, wraps = (rows.columns.index(c) for c in ("text", "size", "heading", "wraps"))
 
-    def stacked(block: list[tuple]):
-        stack, paths = [], []
+    def stacked(block: Iterator[tuple]):
+        stack, held = [], None
         for row in block:
             if row[heading]:
                 level, title = round(row[size] * 2) / 2, " ".join((row[text] or "").split())
                 if row[wraps]:
                     stack[-1] = (level, f"{stack[-1][1]} {title}")
-                    paths[-1] = [t for _, t in stack]
+                    held = (held[0], [t for _, t in stack])  # the line before has the whole title too
                 else:
                     while stack and stack[-1][0] <= level:
                         stack.pop()
                     stack.append((level, title))
-            paths.append([t for _, t in stack])
-        return [(*row[:wraps], *row[wraps + 1 :], path) for row, path in zip(block, paths)]
+            if held:
+                yield (*held[0], held[1])
+            held = ((*row[:wraps], *row[wraps + 1 :]), [t for _, t in stack])
+        if held:
+            yield (*held[0], held[1])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
     return fold(rows, ["doc_id"], ["seq"], stacked, f"{fields}, section_path array<string>")

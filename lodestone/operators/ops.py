@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def sign_in_replay(attempts: DataFrame, most: int = 5, minutes: int = 15) -> Dat
 
     at, ok = attempts.columns.index("ts_seconds"), attempts.columns.index("good")
 
-    def replay(rows: list[tuple]):
+    def replay(rows: Iterator[tuple]):
         failed, until = 0, float("-inf")
         for row in rows:
             if row[at] < until:
