@@ -205,7 +205,7 @@ def _sums(d: int, centres: np.ndarray):
             count += np.bincount(cell, minlength=len(centres))
         at = np.flatnonzero(count)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], ["cell", "n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], ["cell", "total"])
 
     return run
 
@@ -217,8 +217,10 @@ def fit_centres(vectors: DataFrame, key: str, cells: int, d: int, rows: int, per
     starts = sample.orderBy(F.xxhash64(key, F.lit(seed + 1)), key).limit(cells).collect()  # as many as there are cells
     centres = unit(np.array([r["embedding"] for r in starts], np.float64).reshape(-1, d))
     for _ in range(rounds):
-        sums = sample.select("embedding").mapInArrow(_sums(d, centres), "cell int, n long, total array<double>")
-        new = sums.groupBy("cell").agg(*[F.sum("n").alias("n"), F.array(*[F.sum(F.get("total", F.lit(i))) for i in range(d)]).alias("total")]).collect()
+        sums = sample.select("embedding").mapInArrow(_sums(d, centres), "cell int, total array<double>")
+        by_cell = sums.groupBy("cell").agg(F.collect_list("total").alias("t"))  # at most one vector a task
+        added = F.aggregate(F.slice("t", 2, F.size("t")), F.element_at("t", 1), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+        new = by_cell.select("cell", added.alias("total")).collect()
         moved = centres.copy()
         for r in new:
             moved[r["cell"]] = r["total"]

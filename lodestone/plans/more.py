@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import arithmetic, dates, numeric
 from ..functions import text as tx
-from ..operators import astro, captions, claims, enrich, evaluation, filters, ingest, memory, ops, reading, retrieval, verify
+from ..operators import astro, captions, claims, enrich, evaluation, filters, ingest, memory, ops, reading, render, retrieval, verify
 from ..session import new_folder, written
 from ..sources import files
 from ..sources.versions import Store
@@ -1358,6 +1358,32 @@ def grown_regions(t: Tables) -> DataFrame:
     return grown.select("page", *[F.col("bbox")[i].alias(x) for i, x in enumerate(("x0", "y0", "x1", "y1"))])
 
 
+@query(
+    """SELECT lang, '<table><caption>Documents in ' || lang || '</caption><thead><tr><th>source</th><th>n</th><th>first_words</th></tr></thead><tbody>' || string_agg('<tr><td>' || source || '</td><td>' || n || '</td><td>' ||
+  replace(replace(replace(replace(words, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</td></tr>', '' ORDER BY source) || '</tbody></table>' AS html
+FROM (SELECT lang, source, count(*) AS n, min(text) AS words FROM documents GROUP BY ALL) GROUP BY lang"""
+)
+def html_reports(t: Tables) -> DataFrame:
+    rows = t.documents.groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("text").alias("first_words"))
+    return render.html_tables(rows, "lang", ["source", "n", "first_words"], ["source"], F.concat(F.lit("Documents in "), "lang"))
+
+
+@query(
+    f"""SELECT chart_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 600 300">' || string_agg('<rect x="' || round((i - 1) * step + step * 0.1::DOUBLE, 1) || '" y="' || round((top - greatest(v, 0)) / span * 300, 1) || '" width="' || round(step * 0.8::DOUBLE, 1)
+  || '" height="' || round(abs(v) / span * 300, 1) || '" fill="' || {render.COLOURS!r}[(list_position(names, series) - 1) % 6 + 1] || '"><title>' || label || ': ' || v || '</title></rect>', '' ORDER BY i) || '</svg>' AS svg FROM (
+  SELECT *, row_number() OVER (PARTITION BY chart_id ORDER BY place, series) AS i, 600.0::DOUBLE / count(*) OVER w AS step, greatest(max(v) OVER w, 0) AS top, greatest(max(v) OVER w, 0) - least(min(v) OVER w, 0) AS span,
+    list_sort(list_distinct(list(series) OVER w)) AS names FROM (
+    SELECT l_orderkey AS chart_id, l_returnflag AS series, l_linenumber AS place, 'line ' || l_linenumber AS label, (l_quantity - 20)::DOUBLE AS v FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag))
+  WINDOW w AS (PARTITION BY chart_id)) GROUP BY chart_id HAVING max(abs(v)) > 0"""
+)
+def svg_charts(t: Tables) -> DataFrame:
+    """Quantities of an order's lines, less 20, as bars above and below zero."""
+    first = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity", "l_returnflag")).alias("r"))
+    points = first.select(F.col("l_orderkey").alias("chart_id"), F.col("r.l_returnflag").alias("series"), F.col("l_linenumber").alias("place"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("label"), (F.col("r.l_quantity") - 20).cast("double").alias("value"))
+    drawn = points.groupBy("chart_id").agg(F.max(F.abs("value")).alias("most")).where("most > 0").select("chart_id")
+    return render.svg_bars(points.join(drawn, "chart_id", "left_semi"))
+
+
 # --- files and stored versions
 
 @query(

@@ -535,3 +535,17 @@ def test_question_lists(tmp_path):
     path.write_text("- id: a\n- id: a\n")
     with pytest.raises(ValueError):
         files.read_questions(str(path))
+
+
+def test_render(spark):
+    from lodestone.operators import render
+
+    rows = spark.createDataFrame([("r", 2, "b<c"), ("r", 1, None), ('q"', 1, "x & y")], "name string, n int, said string")
+    got = {r.name: r.html for r in render.html_tables(rows, "name", ["n", "said"], ["n"]).collect()}
+    head = "<thead><tr><th>n</th><th>said</th></tr></thead>"
+    assert got["r"] == f"<table><caption>r</caption>{head}<tbody><tr><td>1</td><td></td></tr><tr><td>2</td><td>b&lt;c</td></tr></tbody></table>"
+    assert '<caption>q&quot;</caption>' in got['q"'] and "x &amp; y" in got['q"']
+    points = spark.createDataFrame([(1, "a", 1, "u", 3.0), (1, "b", 1, "v", -1.0), (1, "a", 2, "w", None), (2, "a", 1, "z", 0.0)], "chart_id int, series string, place int, label string, value double")
+    svg = {r.chart_id: r.svg for r in render.svg_bars(points).collect()}
+    assert svg[1].count("<rect") == 2 and 'y="0.0" width="160.0" height="225.0" fill="#4269d0"><title>u: 3.0' in svg[1] and 'y="225.0" width="160.0" height="75.0" fill="#efb118"' in svg[1]
+    assert 'height="0.0"' in svg[2] and render.svg_bars(points.limit(0)).count() == 0
