@@ -73,14 +73,26 @@ def asked_phrases(queries: DataFrame, mode: str, stems: bool) -> DataFrame:
     return queries.select("query_id", "question").mapInPandas(_parser(mode), PHRASES.format(kind)).where(F.lit(stems) | ~F.col("stemmed"))
 
 
-def term_places(chunks: DataFrame, terms: DataFrame, stems: bool) -> DataFrame:
-    """(chunk_id, pos, stemmed, term): where texts hold the terms (stemmed, term), as words or, with stems, as stems of their words."""
-    dictionary = terms.where("NOT stemmed").select(F.col("term").alias("word"), "stemmed", "term")
-    words = tokens(F.col("text"))
-    if stems:
-        every = chunks.select(F.explode(F.array_distinct(words)).alias("word")).distinct()
-        dictionary = dictionary.union(_stems(every).join(terms.where("stemmed"), "term").select("word", "stemmed", "term"))
-    return chunks.select("chunk_id", F.posexplode(words).alias("pos", "word")).join(dictionary, "word").select("chunk_id", "pos", "stemmed", "term")
+def term_words(chunks: DataFrame, terms: DataFrame, stems: bool) -> DataFrame:
+    """(word, stemmed, term): the words of texts that stand for the terms (stemmed, term), themselves or, with stems, by their stem."""
+    plain = terms.where("NOT stemmed").select(F.col("term").alias("word"), "stemmed", "term")
+    if not stems:
+        return plain
+    every = chunks.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).distinct()
+    return plain.union(_stems(every).join(terms.where("stemmed"), "term").select("word", "stemmed", "term"))
+
+
+def term_places(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """(chunk_id, pos, stemmed, term): where texts hold the terms that words (word, stemmed, term) stand for."""
+    return chunks.select("chunk_id", F.posexplode(tokens(F.col("text"))).alias("pos", "word")).join(words, "word").select("chunk_id", "pos", "stemmed", "term")
+
+
+def all_held(chunks: DataFrame, words: DataFrame, of_query: DataFrame) -> DataFrame:
+    """(query_id, stemmed, chunk_id) of chunks that hold every term of a query (query_id, stemmed, term); positions play no part."""
+    held = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).join(words, "word").select("chunk_id", "stemmed", "term").distinct()
+    wants = of_query.groupBy("query_id", "stemmed").agg(F.count("*").alias("wants"))
+    met = held.join(of_query, ["stemmed", "term"]).groupBy("query_id", "stemmed", "chunk_id").agg(F.count("*").alias("met"))
+    return met.join(wants, ["query_id", "stemmed"]).where("met = wants").select("query_id", "stemmed", "chunk_id")
 
 
 def phrase_places(places: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -140,25 +152,25 @@ def search(chunks: DataFrame, queries: DataFrame | str, n: int = 20, mode: str =
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     terms = asked.select("stemmed", F.explode("phrase").alias("term")).where("term IS NOT NULL").distinct()
     of_query = asked.select("query_id", "stemmed", F.explode("phrase").alias("term")).where("term IS NOT NULL").distinct()
+    standing = term_words(chunks, terms, stems)
     if mode == "any":  # each place of a word is a cover
-        hits = term_places(chunks, terms, stems).join(of_query, ["stemmed", "term"]).groupBy(*ROW).agg((F.count("*") * F.lit(WEIGHT)).alias("w"))
+        hits = term_places(chunks, standing).join(of_query, ["stemmed", "term"]).groupBy(*ROW).agg((F.count("*") * F.lit(WEIGHT)).alias("w"))
         ranked = hits.groupBy("query_id", "chunk_id").agg(F.round(F.max("w"), 9).alias("score"))
         return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    places = written(term_places(chunks, terms, stems))
-    if mode == "websearch":
-        stand = written(phrase_places(places, asked.select("phrase", "stemmed").where("phrase IS NOT NULL").distinct()))
-    else:  # phrases of one word each
-        stand = places.select("chunk_id", F.array("term").alias("phrase"), "stemmed", F.col("pos").alias("start"), F.col("pos").alias("stop"))
-    held = stand.select("chunk_id", "phrase", "stemmed").distinct()
     needs = asked.where("NOT never").select("query_id", "stemmed", "g", "phrase").distinct()
-    wants = needs.groupBy("query_id", "g", "stemmed").agg(F.count("*").alias("wants"))
-    met = needs.join(held, ["phrase", "stemmed"]).groupBy("query_id", "g", "stemmed", "chunk_id").agg(F.count("*").alias("met"))
-    good = met.join(wants, ["query_id", "g", "stemmed"]).where("met = wants").select("query_id", "g", "stemmed", "chunk_id")
-    hit = good
-    if mode == "websearch":
+    if mode == "all":  # phrases of one word; only chunks that hold them all are looked at word by word
+        hit = written(all_held(chunks, standing, of_query).withColumn("g", F.lit(0)))
+        places = written(term_places(chunks.join(hit.select("chunk_id").distinct(), "chunk_id", "left_semi"), standing))
+        stand = places.select("chunk_id", F.array("term").alias("phrase"), "stemmed", F.col("pos").alias("start"), F.col("pos").alias("stop"))
+    else:
+        places = written(term_places(chunks, standing))
+        stand = written(phrase_places(places, asked.select("phrase", "stemmed").where("phrase IS NOT NULL").distinct()))
+        held = stand.select("chunk_id", "phrase", "stemmed").distinct()
+        wants = needs.groupBy("query_id", "g", "stemmed").agg(F.count("*").alias("wants"))
+        met = needs.join(held, ["phrase", "stemmed"]).groupBy("query_id", "g", "stemmed", "chunk_id").agg(F.count("*").alias("met"))
+        good = met.join(wants, ["query_id", "g", "stemmed"]).where("met = wants").select("query_id", "g", "stemmed", "chunk_id")
         bad = asked.where("never").join(held, ["phrase", "stemmed"]).select("query_id", "g", "stemmed", "chunk_id").distinct()
-        hit = good.join(bad, ["query_id", "g", "stemmed", "chunk_id"], "left_anti")
-    hit = written(hit)
+        hit = written(good.join(bad, ["query_id", "g", "stemmed", "chunk_id"], "left_anti"))
     found = needs.join(stand, ["phrase", "stemmed"]).join(hit, [*ROW, "g"], "left_semi")
     words = of_query.join(places, ["stemmed", "term"]).join(hit.select(*ROW).distinct(), ROW, "left_semi").select(*ROW, "pos")
     ranked = cover_density(found, needs, words).select("query_id", "chunk_id", F.round("w", 9).alias("score"))
