@@ -395,13 +395,8 @@ def test_slow_tools_are_cancelled(spark, monkeypatch):
 
     from lodestone.plans import tools
 
-    def sleeps(frames):
-        for pdf in frames:
-            time.sleep(40)
-            yield pdf
-
-    def slow(c):
-        return c.chunks.select("chunk_id").coalesce(1).mapInPandas(sleeps, "chunk_id string")  # a slot each
+    def slow(c):  # one task of the JVM that would take days
+        return c.chunks.sparkSession.range(0, 1 << 50, 1, 1).where("pmod(xxhash64(id), 1000003) = -1")
 
     def fails(c):
         raise ZeroDivisionError("by zero")
