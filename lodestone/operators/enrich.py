@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import cosine
 from ..functions.text import collapse
-from .folds import fold
+from .folds import streamed
 
 # Phrases by which a paragraph points to a figure or table near it.
 VISUAL = r"(?:diagram|figure|chart|table|graph|picture|illustration|image)"
@@ -192,7 +192,7 @@ def chunk_text(blocks: DataFrame, max_tokens: int = 800, overlap: float = 0.15,
                 yield chunk(doc, label, held)
 
     kind = blocks.schema["doc_id"].dataType.simpleString()
-    return fold(rows, ["doc_id"], ["seq"], chunks, f"doc_id {kind}, chunk_id string, element_ids array<string>, text string")
+    return streamed(rows, ["doc_id"], ["seq"], chunks, f"doc_id {kind}, chunk_id string, element_ids array<string>, text string")
 
 
 def figure_documents(figures: DataFrame) -> DataFrame:

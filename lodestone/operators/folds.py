@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], run: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, rows: int = 4096) -> DataFrame:
+def streamed(df: DataFrame, keys: list[str], order: list[str], run: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, rows: int = 4096) -> DataFrame:
     """run(rows) of each key's rows in order, an iterator of tuples of df's columns; what it gives are rows of schema.
 
     Rows are dealt by key and sorted in their partition, and a task streams them: many small keys cost no call of Spark's
@@ -37,3 +37,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], run: Callable[[Iterat
         yield emit(out)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(task, schema)
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str], run: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """As streamed(), for a run that needs all rows of a key at once: they are held as a list."""
+    return streamed(df, keys, order, lambda rows: run(list(rows)), schema)

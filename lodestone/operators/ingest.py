@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import box_area, box_gap, box_overlap, center_in
 from ..functions.text import norm_key
 from . import spatial
-from .folds import fold
+from .folds import streamed
 
 # A numeric cell, and how a figure's or table's caption begins.
 NUMBER = r"^[~≈<>]?\s*[-+]?\$?\d[\d,]*(\.\d+)?\s*(%|[kKmMbBxX×])?$"
@@ -194,7 +194,7 @@ def section_paths(blocks: DataFrame) -> DataFrame:
             yield (*held[0], held[1])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema)
-    return fold(rows, ["doc_id"], ["seq"], stacked, f"{fields}, section_path array<string>")
+    return streamed(rows, ["doc_id"], ["seq"], stacked, f"{fields}, section_path array<string>")
 
 
 def drawing_clusters(boxes: DataFrame, gap: float = 12.0) -> DataFrame:

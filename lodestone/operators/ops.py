@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import before, kept_until, moment, within
-from .folds import fold
+from .folds import streamed
 
 
 def questions_per_day(log: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -114,7 +114,7 @@ def sign_in_replay(attempts: DataFrame, most: int = 5, minutes: int = 15) -> Dat
             yield (*row, outcome)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in attempts.schema)
-    return fold(attempts, ["user_id"], ["ts_seconds", "event_id"], replay, f"{fields}, outcome string")
+    return streamed(attempts, ["user_id"], ["ts_seconds", "event_id"], replay, f"{fields}, outcome string")
 
 
 def threads_of(log: DataFrame, n: int = 50) -> DataFrame:
