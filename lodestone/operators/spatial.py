@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import box_gap
-from ..session import written
+from ..session import many, written
 
 
 def _side(c: str, i: int) -> Column:
@@ -38,7 +38,7 @@ def _placed(df: DataFrame, c: str, grow: float, cell: float, top: int, name: str
     def cells(low: int, high: int) -> Column:
         return F.explode(F.sequence(F.floor((_side(c, low) - grow) / wide), F.floor((_side(c, high) + grow) / wide)))
 
-    return rows.withColumn("cx", cells(0, 2)).withColumn("cy", cells(1, 3))
+    return many(rows.withColumn("cx", cells(0, 2)).withColumn("cy", cells(1, 3)))
 
 
 def grid_candidates(a: DataFrame, b: DataFrame, on: list[str], within: float = 0.0, cell: float | None = None) -> DataFrame:

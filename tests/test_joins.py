@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import spatial
 from lodestone.plans.registry import QUERIES
 
 
@@ -15,6 +16,13 @@ def test_charts(spark, sf, name):
     assert broadcasts(QUERIES[name][0](spark, sf)) == 0
 
 
+def test_boxes(spark):
+    b = spark.range(30).select(F.lit(1).alias("page"), F.col("id").alias("no"), F.array(*[(F.col("id") + i).cast("double") for i in (0, 0, 9, 9)]).alias("bbox"))
+    b.count()
+    near = spatial.grid_candidates(b.withColumnRenamed("bbox", "ba"), b.select("page", F.col("no").alias("v"), F.col("bbox").alias("bb")), ["page"])
+    assert broadcasts(near) == 0 and near.count() >= 30 * 30 - 20 * 21
+
+
 def test_stated_dates(spark):
     """Dates hold give or take a day, also of sub-periods; others, and days that no calendar has, are mistakes."""
     from lodestone.operators import astro, claims
