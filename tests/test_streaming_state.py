@@ -35,3 +35,23 @@ def test_sign_ins(spark, tmp_path):
     # from the same checkpoint nothing is given twice, and state goes on
     frame([(10_000, 77, t0 + 20_000_000, True)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert run() == sorted([*want, (9999, "ok")])
+
+
+def test_seconds_as_the_sql_has_them(spark, tmp_path):
+    """A lock from the nearest second on: 0.6 counts as 1, so that 3000 minutes later 0.4 is still locked."""
+    import datetime
+
+    import duckdb
+
+    from lodestone.plans.registry import QUERIES
+
+    at = [(0, 100_000), (1, 600_000), (180_001, 400_000), (180_002, 100_000)]
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(i, t0 + datetime.timedelta(seconds=s, microseconds=u), 7, "error", 1.0, '{"k": 1}') for i, (s, u) in enumerate(at)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+    c.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?, ?)", rows)
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    run, sql = QUERIES["sign_in_replay"]
+    got = {r.event_id: r.outcome for r in run(spark, str(tmp_path)).collect()}
+    assert got == dict(c.execute(sql).fetchall()) and got[2] == "locked"
