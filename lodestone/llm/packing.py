@@ -44,15 +44,13 @@ def byte_alphabet() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(other)}}
 
 
-class Coder(dict):
+class Coder:
     """Token ids as little-endian bytes, for a byte-level vocabulary in the json form of `tokenizers`.
 
-    Added tokens (as `<|endoftext|>`) are found first, wherever they stand, as `tokenizers` does. Between them, text
-    between single spaces is always whole tokens of the byte-level pattern, so those parts are looked up here.
+    Added tokens (as `<|endoftext|>`) are found first, wherever they stand, as `tokenizers` does. Very long text between
+    them is cut at single spaces, where the byte-level pattern always begins a token.
     """
 
-    MOST = 100_000
-
     def __init__(self, path: str):
         import json
 
@@ -64,27 +62,18 @@ class Coder(dict):
         ranks = {bytes(byte[c] for c in token): i for token, i in form["model"]["vocab"].items()}
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: the pattern of this family of vocabularies
         self.encode = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.double = re.compile(r"\s\s|\A\s|\s\Z").search
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in form["added_tokens"]):
             raise ValueError("added tokens that take part of their surroundings are not supported")
         self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in form["added_tokens"]}
         self.split = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else lambda t: [t]
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) > self.MOST:
-            self.clear()
-        out = self[part] = array("I", self.encode(" " + part)).tobytes()
-        return out
-
     def ids(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(self.split(text)))
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if len(text) > SEGMENT:
-            return b"".join(self._segment(x) for x in self._cut(text))
-        return self._segment(text)
+        return b"".join(array("I", self.encode(x)).tobytes() for x in self._cut(text))
 
     def _cut(self, text: str):
         a = 0
@@ -98,16 +87,6 @@ class Coder(dict):
             a = b
         yield text[a:]
 
-    def _segment(self, text: str) -> bytes:
-        spaced = text[:1] == " "  # a segment that goes on where another ended
-        if not text:
-            return b""
-        if self.double(text[1:] if spaced else text):
-            return array("I", self.encode(text)).tobytes()
-        parts = text.split(" ")
-        first = b"" if spaced else array("I", self.encode(parts[0])).tobytes()
-        return first + b"".join(map(self.__getitem__, parts[1:]))
-
 
 def coder(path: str) -> Coder:
     if path not in _coders:
@@ -359,8 +338,7 @@ def pack_pieces(pieces: DataFrame, size: int, shard: int = 4096, islands: int =
         shards = max(1, -(-n // shard))
         number = F.pmod(F.xxhash64("doc_id", "piece", "copy", "ids_crc32", F.lit(level)), F.lit(shards)).alias("shard")
         items = materialize(rest.select("*", number).groupBy("shard").applyInPandas(_shards(), "shard long, items binary"))
-        # what a shard leaves unfilled goes on, so migration is for the last levels, where nothing follows
-        best = grouped_shards(items, size, islands, epochs if shards <= islands else 1)
+        best = grouped_shards(items, size, islands, epochs)
         placed = materialize(items.join(best, "shard").select("shard", "items", "elite").mapInArrow(_placed(level), ROWS))
         full = F.col("fill") >= settled * size
         left = 0 if shards == 1 else placed.where(~full).count()

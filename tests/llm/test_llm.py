@@ -971,3 +971,19 @@ def test_word_windows_against_plain_hashes():
         assert len(g) == len(grams) and len(set(g.tolist())) == len(set(grams))
 
     same()
+
+
+def test_packing_searches_every_level_alike(spark, monkeypatch):
+    """As many epochs whatever the number of shards."""
+    from lodestone.llm import packing
+
+    seen, real = [], packing.grouped_shards
+
+    def watched(items, size, islands=3, epochs=3):
+        seen.append(epochs)
+        return real(items, size, islands, 0)
+
+    monkeypatch.setattr(packing, "grouped_shards", watched)
+    pieces = spark.range(60).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "7 + id % 5 AS length", "id AS ids_crc32", "0 AS copy")
+    assert packing.pack_pieces(pieces, 20, shard=10).count() == 60
+    assert len(seen) > 0 and set(seen) == {3}
