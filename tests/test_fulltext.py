@@ -97,3 +97,27 @@ def test_cover_density(spark, mode):
             assert all(abs(got[k][n + 1][1] + s) < 1e-8 for n, (s, _) in enumerate(want))
     none = asked.where("query_id < 0")
     assert fulltext.search(chunks, none, 5, mode).count() == 0 and fulltext.search(chunks.limit(0), asked, 5, mode).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["websearch", "all"])
+def test_ranks_in_the_row(spark, mode):
+    """Chunks are ranked in their row: places are shuffled once, to their chunk, and what is ranked once, to its query."""
+    from lodestone.operators import fulltext
+
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts(3))], "chunk_id long, text string")
+    asked = spark.createDataFrame([(0, 'red OR "fish blue"'), (1, "red fish"), (2, "runs -blue")], "query_id int, question string")
+    plan = fulltext.search(chunks, asked, 5, mode)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(query_id") == 1 and plan.count("Exchange hashpartitioning(chunk_id") == 1 and "SortMergeJoin" not in plan
+
+
+def test_postings_in_the_row(spark):
+    """Words are counted in their row, and a chunk's scores are summed where its postings are."""
+    from lodestone.operators import retrieval
+
+    chunks = spark.createDataFrame([(1, "red fish, Red x"), (2, None), (3, "y")], "chunk_id long, text string")
+    posts = retrieval.postings(chunks, spark.createDataFrame([(1, "red"), (2, "fish"), (3, "red")], "query_id int, term string"))
+    assert "Exchange hashpartitioning(chunk_id" not in posts._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, posts.select("chunk_id", "length", "term", "tf").collect())) == [(1, 4, "", 1), (1, 4, "fish", 1), (1, 4, "red", 2), (2, 0, "", 1), (3, 1, "", 1)]
+    asked = spark.createDataFrame([(1, "red"), (2, "fish red")], "query_id int, question string")
+    plan = retrieval.bm25_topn(chunks, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query_id#" in plan and not [x for x in plan.split("Exchange hashpartitioning(query_id#")[1:] if ", chunk_id#" in x.split(")")[0]]
