@@ -36,3 +36,10 @@ def test_stated_dates(spark):
     texts = spark.createDataFrame([(n, 1, t + ".") for n, t in enumerate(said)], "text_id int, chart_id int, text string")
     got = claims.period_mistakes(texts, astro.placements(bodies), periods).collect()
     assert sorted(r.text_id for r in got) == [2, 3, 5, 6] and {r.kind for r in got} == {"maha dates", "antar dates"}
+
+
+@pytest.mark.parametrize("name", ["lookup_answers", "house_lords"])
+def test_chart_rows(spark, sf, name):
+    """What needs one chart's bodies only is worked out in the chart's row: orders are dealt, two columns each, and nothing else is shuffled."""
+    plan = QUERIES[name][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(o_orderkey") == 1
