@@ -3,19 +3,29 @@
 A page with very many boxes is no single group: boxes are dealt to cells. Cells have levels, each twice as wide as the one below; a box is at
 the level whose cells are as wide as its longer side, so that it touches at most four of them, and stands in the cells of every
 coarser level as well. A pair meets at the coarser of its two levels, and of the cells it shares there it is taken in the one that
-holds the lower left corner of what the boxes have in common, so once.
+holds the lower left corner of what the boxes have in common, so once. That pays for pages with many boxes only: those of few are
+compared whole.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import box_gap
 from ..session import many, written
 
+#: Pages of so many boxes at most are compared whole: that bounds what a task holds of a page.
+WHOLE = 64
+
 
 def _side(c: str, i: int) -> Column:
     return F.get(F.col(c), F.lit(i))
@@ -62,6 +72,72 @@ def grid_join(a: DataFrame, b: DataFrame, on: list[str], within: float = 0.0, ce
     return grid_candidates(a, b, on, within, cell).where(box_gap(F.col("ba"), F.col("bb")) <= within)
 
 
+def split_pages(boxes: DataFrame, on: list[str], most: int = WHOLE) -> tuple[DataFrame, DataFrame | None]:
+    """(boxes of pages that have at most `most`, those of all larger pages); None where no page is larger."""
+    large = written(boxes.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*on))
+    return (boxes, None) if large.isEmpty() else (boxes.join(large, on, "left_anti"), boxes.join(large, on, "left_semi"))
+
+
+def _page_of(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """The number of each row's page, from 0, in a batch sorted by keys that are not null."""
+    new = np.zeros(batch.num_rows, bool)
+    for k in keys:
+        c = batch.column(k)
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def _whole_pages(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end where a page does."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if batch.num_rows:
+            page = _page_of(batch, keys)
+            last = int(np.searchsorted(page, page[-1]))
+            if last:
+                yield batch.slice(0, last)
+            held = batch.slice(last)
+    if held is not None:
+        yield held
+
+
+def clusters_of_pages(boxes: DataFrame, gap: float) -> DataFrame:
+    """boxes (doc_id, page, no, bbox) with cluster, as components() of linked_boxes() has it, for pages of few boxes: each is dealt to one task."""
+    on, sides, columns = ["doc_id", "page"], ["_x0", "_y0", "_x1", "_y1"], boxes.columns
+    shape = T.StructType([*boxes.schema.fields, T.StructField("cluster", boxes.schema["no"].dataType)])
+
+    def clustered(batch: pa.RecordBatch) -> pa.RecordBatch:
+        page, no = _page_of(batch, on), batch.column("no")
+        x0, y0, x1, y1 = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in sides)
+        same, ends = ~np.diff(_page_of(batch, [*on, "no"])).astype(bool), []
+        for d in count(1):  # every pair of a page is d rows apart, for some d
+            a = np.flatnonzero(page[d:] == page[:-d])
+            if not len(a):
+                break
+            b = a + d
+            near = np.maximum.reduce([np.zeros(len(a)), x0[b] - x1[a], x0[a] - x1[b], y0[b] - y1[a], y0[a] - y1[b]]) <= gap
+            if d == 1:
+                near |= same[a]
+            ends.append((a[near], b[near]))
+        u, v = (np.concatenate(x) if x else np.empty(0, int) for x in ([e[i] for e in ends] for i in (0, 1)))
+        root = np.arange(batch.num_rows)
+        while True:
+            least, now = np.minimum(root[u], root[v]), root.copy()
+            np.minimum.at(now, u, least)
+            np.minimum.at(now, v, least)
+            now = now[now]
+            if (now == root).all():
+                break
+            root = now
+        return pa.RecordBatch.from_arrays([*map(batch.column, columns), no.take(pa.array(root))], names=shape.names)
+
+    dealt = boxes.repartition(*on).sortWithinPartitions(*on, "no")
+    each = dealt.select(*columns, *[F.when(_usable("bbox"), _side("bbox", i).cast("double")).alias(c) for i, c in enumerate(sides)])
+    return each.mapInArrow(lambda batches: map(clustered, _whole_pages(batches, on)), shape)
+
+
 def components(nodes: DataFrame, edges: DataFrame, on: list[str], rounds: int = 100) -> DataFrame:
     """(on, no, root): of nodes (on, no) linked by edges (on, u, v) the least number each can reach.
 
