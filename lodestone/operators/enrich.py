@@ -24,11 +24,19 @@ ABOVE = rf"(?i)\b(?:{VISUAL}\s+above|(?:shown|illustrated|seen|pictured)\s+above
 
 
 @F.pandas_udf(T.StringType())
-def folded(s: pd.Series) -> pd.Series:
-    """Compatibility forms folded, lower case: subscripts compare with plain digits."""
+def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
 
 
+def folded(c: Column) -> Column:
+    """Compatibility forms folded, lower case: subscripts compare with plain digits. Only texts that are not ASCII go to Python.
+
+    Marked so that a filter on it is no second call, which has a Python process of its own.
+    """
+    odd = c.rlike(r"[^\x00-\x7f]")
+    return F.when(odd, _folded.asNondeterministic()(F.when(odd, c))).otherwise(F.lower(c))
+
+
 def word_set(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(folded(c), F.lit(r"[a-z0-9]+"), F.lit(0)))
 

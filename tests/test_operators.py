@@ -152,6 +152,22 @@ def test_label_shares(spark):
     assert {(r.element_id, r.share, r.status) for r in enrich.label_shares(f).collect()} == {("a", 1.0, "ok"), ("b", 0.333, "needs_review")}
 
 
+def test_word_sets(spark):
+    """Words of folded texts as plain Python has them, and one call of Python a row."""
+    import re
+    import unicodedata
+
+    said = ["", "plain Words, plain", "q₁k₁=Ⅻ ½ﬁne", "e\u0301te x=\u0338y q\u0301r", "İstanbul K 10㎏", "ｆｕｌｌ－ｗｉｄｔｈ٣", "a\x00b\tc\u00a0d\u2003e", "straße x²y³ ΑΣ", "日本x\u0301語 한글a", "\U0001d400\U0001d7d8-z"]
+    plain = lambda t: sorted(set(re.findall("[a-z0-9]+", unicodedata.normalize("NFKC", t).lower())))
+    f = spark.createDataFrame([(i, "ok", [a], b) for i, (a, b) in enumerate((a, b) for a in said for b in said)], "element_id int, status string, visible_text array<string>, text string")
+    words = f.select("text", enrich.word_set(F.col("text")).alias("w"), enrich.word_set(F.lit(None).cast("string")).alias("none")).collect()
+    assert all(sorted(r.w) == plain(r.text) and r.none is None for r in words)
+    shares = enrich.label_shares(f)
+    want = {i: round(len(set(plain(a)) & set(plain(b))) / len(plain(a)), 3) for i, (a, b) in enumerate((a, b) for a in said for b in said) if b and plain(a)}
+    assert {r.element_id: r.share for r in shares.collect()} == pytest.approx(want, abs=1e-9)
+    assert shares._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_chunking(spark):
     text = lambda n, c: " ".join(f"{c}{i}" for i in range(n))
     rows = [("d", 1, "e1", ["S"], text(8, "a")), ("d", 2, "e2", ["S"], text(3, "b")), ("d", 3, "e3", ["S"], text(12, "c")), ("d", 4, "e4", ["T"], text(50, "d"))]
