@@ -64,12 +64,21 @@ def grid_candidates(a: DataFrame, b: DataFrame, on: list[str], within: float = 0
     return both.where((corner[0] == F.col("cx")) & (corner[1] == F.col("cy"))).drop("level", "cx", "cy", "a_level", "b_level")
 
 
-def grid_join(a: DataFrame, b: DataFrame, on: list[str], within: float = 0.0, cell: float | None = None) -> DataFrame:
+def grid_join(a: DataFrame, b: DataFrame, on: list[str], within: float = 0.0, cell: float | None = None, whole: int = WHOLE) -> DataFrame:
     """Rows of a (on, ba) with rows of b (on, bb) whose boxes are at most `within` apart. Broken boxes (null, not four, turned round) meet none.
 
-    cell: the width of the smallest cells; the mean longer side of all boxes unless given.
+    cell: the width of the smallest cells; the mean longer side of all boxes unless given. Pages with `whole` times `whole` pairs at
+    most are joined as they are, without cells.
     """
-    return grid_candidates(a, b, on, within, cell).where(box_gap(F.col("ba"), F.col("bb")) <= within)
+    a, b = a.where(_usable("ba")), b.where(_usable("bb"))
+    counted = lambda df, x, y: df.select(*on, F.lit(x).alias("x"), F.lit(y).alias("y"))
+    pages = counted(a, 1, 0).union(counted(b, 0, 1)).groupBy(*on).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    large = written(pages.where(F.col("x") * F.col("y") > whole * whole).select(*on))
+    near = lambda pairs: pairs.where(box_gap(F.col("ba"), F.col("bb")) <= within)
+    if large.isEmpty():
+        return near(a.join(b, on))
+    some = lambda df, how: df.join(large, on, how)
+    return near(some(a, "left_anti").join(some(b, "left_anti"), on)).union(near(grid_candidates(some(a, "left_semi"), some(b, "left_semi"), on, within, cell)))
 
 
 def split_pages(boxes: DataFrame, on: list[str], most: int = WHOLE) -> tuple[DataFrame, DataFrame | None]:
