@@ -38,8 +38,23 @@ def test_stated_dates(spark):
     assert sorted(r.text_id for r in got) == [2, 3, 5, 6] and {r.kind for r in got} == {"maha dates", "antar dates"}
 
 
-@pytest.mark.parametrize("name", ["lookup_answers", "house_lords"])
+@pytest.mark.parametrize("name", ["lookup_answers", "house_lords", "fact_lines"])
 def test_chart_rows(spark, sf, name):
     """What needs one chart's bodies only is worked out in the chart's row: orders are dealt, two columns each, and nothing else is shuffled."""
     plan = QUERIES[name][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(o_orderkey") == 1
+
+
+def test_dignities_are_read_off_tables(spark):
+    """Every planet in every sign as the rules have it, others none, and no rule for each planet in the plan."""
+    from lodestone.operators import astro
+
+    bodies = [*astro.PLANETS, "Rahu", "Ketu", "Lagna", None]
+    rows = [(i * 12 + s, b, 30.0 * s + 1, s % 2 == 0) for i, b in enumerate(bodies) for s in range(12)]
+    p = astro.placements(spark.createDataFrame(rows, "chart_id int, body string, longitude double, retrograde boolean"))
+    for r in p.collect():
+        up = astro.SIGNS.index(astro.EXALTED[r.body]) if r.body in astro.EXALTED else None
+        lord, planet = astro.RULERS[r.sign_no], r.body in astro.PLANETS
+        assert r.dignity == (None if up is None else "exalted" if up == r.sign_no else "debilitated" if (up + 6) % 12 == r.sign_no else "own sign" if lord == r.body else None)
+        assert r.relation == (None if not planet or lord == r.body else "friend's sign" if lord in astro.FRIENDS[r.body] else "enemy's sign" if lord in astro.ENEMIES[r.body] else "neutral sign")
+    assert p.select("dignity", "relation")._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") <= 2
