@@ -45,6 +45,12 @@ def test_chart_rows(spark, sf, name):
     assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(o_orderkey") == 1
 
 
+def test_houses_are_counted_where_charts_are(spark, sf):
+    """Each branch deals its orders, and nothing else is shuffled."""
+    plan = QUERIES["house_lookups"][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(o_orderkey" in plan and plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(o_orderkey")
+
+
 def test_dignities_are_read_off_tables(spark):
     """Every planet in every sign as the rules have it, others none, and no rule for each planet in the plan."""
     from lodestone.operators import astro
