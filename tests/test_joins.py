@@ -38,7 +38,7 @@ def test_stated_dates(spark):
     assert sorted(r.text_id for r in got) == [2, 3, 5, 6] and {r.kind for r in got} == {"maha dates", "antar dates"}
 
 
-@pytest.mark.parametrize("name", ["lookup_answers", "house_lords", "fact_lines"])
+@pytest.mark.parametrize("name", ["lookup_answers", "house_lords", "fact_lines", "chart_yogas"])
 def test_chart_rows(spark, sf, name):
     """What needs one chart's bodies only is worked out in the chart's row: orders are dealt, two columns each, and nothing else is shuffled."""
     plan = QUERIES[name][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
