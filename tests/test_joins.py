@@ -64,3 +64,12 @@ def test_dignities_are_read_off_tables(spark):
         assert r.dignity == (None if up is None else "exalted" if up == r.sign_no else "debilitated" if (up + 6) % 12 == r.sign_no else "own sign" if lord == r.body else None)
         assert r.relation == (None if not planet or lord == r.body else "friend's sign" if lord in astro.FRIENDS[r.body] else "enemy's sign" if lord in astro.ENEMIES[r.body] else "neutral sign")
     assert p.select("dignity", "relation")._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") <= 2
+
+
+def test_lines_are_dealt_before_they_are_grouped(spark, sf):
+    """No task gathers the groups of a whole split before the rows are dealt."""
+    from lodestone.plans.more import lines
+    from lodestone.plans.registry import Tables
+
+    plan = lines(Tables(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange") and "REPARTITION_BY_NUM" in plan
