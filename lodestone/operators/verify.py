@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import closest, format_value, found_in
 from ..functions.text import numbers_in, strip_ids
+from ..session import many
 
 
 def ledger(results: DataFrame) -> DataFrame:
@@ -14,7 +15,7 @@ def ledger(results: DataFrame) -> DataFrame:
     but a full record (where results have full) replaces what a search only touched on, the last one staying."""
     full = F.coalesce("full", F.lit(False)) if "full" in results.columns else F.lit(False)
     order = F.struct((~full).cast("int").alias("a"), F.when(full, -F.col("seq")).otherwise(F.col("seq")).alias("b"))
-    first = results.groupBy("question_id", "id").agg(F.min_by(F.struct("kind", "text", "estimated"), order).alias("r"))
+    first = results.groupBy("id", "question_id").agg(F.min_by(F.struct("kind", "text", "estimated"), order).alias("r"))
     return first.select("question_id", "id", "r.kind", "r.text", numbers_in(F.col("r.text")).alias("numbers"), F.coalesce("r.estimated", F.array().cast("array<double>")).alias("estimated"))
 
 
@@ -35,32 +36,59 @@ def chart_points(charts: DataFrame) -> DataFrame:
 
 
 def validate_charts(charts: DataFrame, evidence: DataFrame, most_slices: int = 8) -> DataFrame:
-    """(chart_id, ok, chart_type, approximate, errors): every value must be found in the evidence that its reference names."""
-    n = F.size("labels")
+    """(chart_id, ok, chart_type, approximate, errors, n_errors): every value must be found in the evidence that its reference names.
+
+    A chart_id names one chart of its question. A chart is dealt as one row for each id it names, with the points that name it; what the
+    evidence lacks is found in that row, and only counts and messages return to the chart. What names no id meets no evidence and is dealt
+    by its chart.
+    """
+    none, n = F.array().cast("array<string>"), F.size("labels")
     shape = F.filter(F.transform("series", lambda s: F.when(F.size(s["values"]) != n, F.concat(F.lit("series "), s["name"], F.lit(" has "), F.size(s["values"]).cast("string"), F.lit(" values for "), n.cast("string"), F.lit(" labels")))), lambda e: e.isNotNull())
     units = F.array_distinct(F.transform("series", lambda s: F.coalesce(s["unit"], F.lit("none"))))
-    mixed = F.when(F.size(units) > 1, F.array(F.concat(F.lit("different units on one axis ("), F.array_join(F.array_sort(units), ", "), F.lit(")")))).otherwise(F.array().cast("array<string>"))
-    base = charts.withColumn("shape_errors", F.concat(shape, mixed))
-    points = chart_points(base.where(F.size("shape_errors") == 0))
-    ev = evidence.select("question_id", F.col("id").alias("ref"), "numbers", "estimated")
-    p = points.join(ev, ["question_id", "ref"], "left")
-    key = F.concat("series", F.lit(":"), F.col("label"))
-    exact, rough = found_in(F.col("value"), F.col("numbers")), found_in(F.col("value"), F.col("estimated"))
-    hint = closest(F.col("value"), F.concat("numbers", "estimated"))
-    error = (
-        F.when(F.col("ref").isNull(), F.concat(F.lit("no source given for "), key))
-        .when(F.col("numbers").isNull(), F.concat(key, F.lit(": source "), F.col("ref"), F.lit(" was not returned")))
-        .when(~(exact | rough), F.concat(key, F.lit(": value "), format_value(F.col("value")), F.lit(" not found in "), F.col("ref"), F.coalesce(F.concat(F.lit("; closest value there is "), format_value(hint)), F.lit(""))))
-    )
-    g = p.select("chart_id", error.alias("error"), (~exact & rough).alias("rough")).groupBy("chart_id").agg(F.array_sort(F.collect_list("error")).alias("value_errors"), F.coalesce(F.bool_or("rough"), F.lit(False)).alias("approximate"))
-    cited = charts.select("chart_id", "question_id", F.explode("citations").alias("ref")).join(ev, ["question_id", "ref"], "left_anti").groupBy("chart_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("citation "), "ref", F.lit(" was not returned")))).alias("cite_errors"))
-    none = F.array().cast("array<string>")
-    j = base.join(g, "chart_id", "left").join(cited, "chart_id", "left")
-    errors = F.concat("shape_errors", F.coalesce("value_errors", none), F.coalesce("cite_errors", none))
+    mixed = F.when(F.size(units) > 1, F.array(F.concat(F.lit("different units on one axis ("), F.array_join(F.array_sort(units), ", "), F.lit(")")))).otherwise(none)
     one = F.get("series", F.lit(0))
     whole = (F.size("series") == 1) & (n <= most_slices) & F.forall(one["values"], lambda v: v >= 0) & (one["unit"] == "%") & (F.abs(F.aggregate(one["values"], F.lit(0.0), lambda a, v: a + v) - 100) <= 1)
-    kind = F.when((F.col("chart_type") == "pie") & (F.size("errors") == 0) & ~F.coalesce(whole, F.lit(False)), "bar").otherwise(F.col("chart_type"))
-    return j.withColumn("errors", errors).select("chart_id", (F.size("errors") == 0).alias("ok"), kind.alias("chart_type"), F.coalesce("approximate", F.lit(False)).alias("approximate"), "errors")
+    filled = charts.select("question_id", "chart_id", "chart_type", "value_refs", *[F.coalesce(c, F.array().cast(charts.schema[c].dataType)).alias(c) for c in ("labels", "series", "citations")])
+    base = filled.withColumn("shape_errors", F.concat(shape, mixed)).withColumn("whole", F.coalesce(whole, F.lit(False)))
+    # points in order, none where the shape is wrong: else each series has a value a label, or no values at all
+    fits, no_values = F.size("shape_errors") == 0, F.array().cast("array<double>")
+    keys = F.flatten(F.transform("series", lambda s: F.when(s["values"].isNull(), none).otherwise(F.transform("labels", lambda x: F.concat_ws(":", s["name"], x)))))
+    values = F.flatten(F.transform("series", lambda s: F.coalesce(s["values"], no_values)))
+    made = base.withColumn("keys", F.when(fits, keys).otherwise(none)).withColumn("values", F.when(fits, values).otherwise(no_values))
+    # references in the order of the points are taken as they are; others are looked up, which reads the map once a point
+    looked_up = F.transform("keys", lambda k: F.try_element_at("value_refs", k))
+    made = made.withColumn("refs", F.when(F.map_keys("value_refs") == F.col("keys"), F.map_values("value_refs")).otherwise(looked_up))
+    dealt = made.select("*", F.posexplode_outer(F.array_distinct(F.concat("refs", "citations"))).alias("pos", "ref"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    own = lambda c: F.filter(c, lambda x, i: F.get("refs", i).eqNullSafe(F.col("ref")))
+    # keys, which only messages show, are a column of their own: they are not dealt where none asks for messages
+    part = dealt.select(
+        "question_id", "chart_id", *[F.when(first, F.col(c)).alias(c) for c in ("chart_type", "shape_errors", "whole")], own("keys").alias("keys"), own("values").alias("values"),
+        F.size(F.filter("citations", lambda c: c == F.col("ref"))).alias("cited"), F.col("ref").isNotNull().alias("sourced"), F.coalesce("ref", F.col("chart_id").cast("string")).alias("place"),
+    )
+    ev = many(evidence.select(F.col("question_id").alias("asked"), "id", "numbers", "estimated"))
+    p = part.join(ev, (F.col("question_id") == F.col("asked")) & (F.col("place") == F.col("id")) & F.col("sourced"), "left")
+    exact, rough = lambda v: found_in(v, F.col("numbers")), lambda v: found_in(v, F.col("estimated"))
+    lacking = lambda v: F.col("numbers").isNull() | ~(exact(v) | rough(v))
+
+    def message(key: Column, value: Column) -> Column:
+        hint = closest(value, F.concat("numbers", "estimated"))
+        return (
+            F.when(~F.col("sourced"), F.concat(F.lit("no source given for "), key))
+            .when(F.col("numbers").isNull(), F.concat(key, F.lit(": source "), F.col("place"), F.lit(" was not returned")))
+            .when(lacking(value), F.concat(key, F.lit(": value "), format_value(value), F.lit(" not found in "), F.col("place"), F.coalesce(F.concat(F.lit("; closest value there is "), format_value(hint)), F.lit(""))))
+        )
+
+    wrong = F.filter(F.zip_with("keys", "values", message), lambda e: e.isNotNull())
+    uncited = F.when(F.col("id").isNull(), F.col("cited")).otherwise(0)
+    text = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    g = p.groupBy("chart_id", "question_id").agg(
+        F.sum(F.coalesce(F.size("shape_errors"), F.lit(0)) + F.size(F.filter("values", lacking)) + uncited).cast("int").alias("n_errors"), F.max("chart_type").alias("given"), F.bool_or("whole").alias("whole"),
+        F.coalesce(F.bool_or(F.exists("values", lambda v: ~exact(v) & rough(v))), F.lit(False)).alias("approximate"), F.flatten(F.collect_list("shape_errors")).alias("shape_errors"), text(wrong).alias("value_errors"),
+        text(F.array_repeat(F.concat(F.lit("citation "), "place", F.lit(" was not returned")), uncited)).alias("cite_errors"),
+    )
+    kind = F.when((F.col("given") == "pie") & (F.col("n_errors") == 0) & ~F.col("whole"), "bar").otherwise(F.col("given"))
+    return g.select("chart_id", (F.col("n_errors") == 0).alias("ok"), kind.alias("chart_type"), "approximate", F.concat("shape_errors", "value_errors", "cite_errors").alias("errors"), "n_errors")
 
 
 def block_citations(answers: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import spatial
+from lodestone.operators import spatial, verify
 from lodestone.plans.registry import QUERIES
 
 
@@ -73,3 +73,42 @@ def test_lines_are_dealt_before_they_are_grouped(spark, sf):
 
     plan = lines(Tables(spark, sf))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.rindex("HashAggregate") < plan.index("Exchange") and "REPARTITION_BY_NUM" in plan
+
+
+LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_linestatus string"
+
+
+def test_validate_chart_on_odd_lines(spark, tmp_path):
+    """Lines without a quantity or a key, orders that repeat a line, open ones and closed ones: as the SQL has them."""
+    import duckdb
+
+    rows = [(1, 1, 1, 1, 5.0, "O"), (1, 1, 1, 2, 5.0, "F"), (1, 1, 1, 3, 6.0, "F"), (2, 1, 1, 1, 0.0, "F"), (2, 1, 1, 2, 7.0, "O"), (3, 1, 1, 1, None, "F"), (4, 1, 1, 1, None, "O"), (4, 1, 1, 2, 8.0, "F")]
+    rows += [(5, None, 1, 1, 9.0, "F"), (5, None, 1, 2, 9.5, "O"), (6, 1, 1, 1, 3.0, "F"), (6, 1, 1, 1, 3.0, "F"), (None, 1, 1, 1, 2.0, "O"), (None, 1, 1, 2, 2.0, "F"), (None, 1, 1, 3, 4.0, "F"), (7, 1, 1, 1, 1.0, None)]
+    spark.createDataFrame(rows, LINE).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    run, sql = QUERIES["validate_chart"]
+    got = {tuple(r) for r in run(spark, str(tmp_path)).select("chart_id", "ok", "n_errors").collect()}
+    want = {r for r in duckdb.sql(f"WITH lineitem AS (FROM '{tmp_path}/lineitem.parquet/*.parquet') {sql}").fetchall()}
+    assert got == want and len(got) == 8
+
+
+def test_validate_chart_reads_lines_twice(spark, sf):
+    """Charts are made once, and what only messages show is not dealt where none asks for them."""
+    plan = QUERIES["validate_chart"][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange") == 4 and "Broadcast" not in plan and "format_string" not in plan
+
+
+def test_charts_meet_evidence_by_their_references(spark):
+    """No reference is no id, whatever the chart's own; points keep to their references, citations count each; equal ids of two questions are two charts."""
+    schema = "chart_id string, question_id int, chart_type string, labels array<string>, series array<struct<name:string,values:array<double>,unit:string>>, value_refs map<string,string>, citations array<string>"
+    rows = [
+        ("t", 1, "bar", ["a"], [("s", [1.0], "%")], {}, []), ("u", 1, "bar", ["a"], [("s", [1.0], "%")], None, ["zz", "zz", "t"]), ("v", 1, "pie", ["a", "b"], [("s", [1.0, 2.0], "%"), ("r", [2.0, 1.0], "%")], {"s:a": "t", "s:b": "w", "r:a": "w", "r:b": "w"}, []),
+        ("v", 2, "bar", ["a"], [("s", [1.0], "%")], {"s:a": "t"}, []), ("n", 1, "bar", None, None, None, None), ("m", 1, "bar", ["a"], [("s", None, "%"), ("r", [3.0], "%")], {"r:a": "w"}, []),
+        ("o", 1, "bar", ["a", "b"], [("s", [1.0, 2.0], "%")], {"s:b": "w", "s:a": "t"}, ["t"]),
+    ]
+    evidence = spark.createDataFrame([(1, "t", [1.0], []), (1, "w", [], [2.0])], "question_id int, id string, numbers array<double>, estimated array<double>")
+    out = sorted((r.chart_id, r.n_errors, r.ok, r.approximate, r.chart_type, r.errors) for r in verify.validate_charts(spark.createDataFrame(rows, schema), evidence).collect())
+    zz = "citation zz was not returned"
+    assert out == [
+        ("m", 1, False, False, "bar", ["r:a: value 3 not found in w; closest value there is 2"]), ("n", 0, True, False, "bar", []), ("o", 0, True, True, "bar", []), ("t", 1, False, False, "bar", ["no source given for s:a"]),
+        ("u", 3, False, False, "bar", ["no source given for s:a", zz, zz]), ("v", 1, False, False, "bar", ["s:a: source t was not returned"]), ("v", 1, False, True, "pie", ["r:b: value 1 not found in w; closest value there is 2"]),
+    ]
