@@ -45,6 +45,33 @@ def test_chart_rows(spark, sf, name):
     assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(o_orderkey") == 1
 
 
+@pytest.mark.parametrize("name, deals", [("unfounded_claims", 2)])
+def test_statements_are_looked_up_in_their_charts(spark, sf, name, deals):
+    """Orders are dealt, two columns at most, and neither statements nor what charts hold become rows that are dealt or written."""
+    plan = QUERIES[name][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(o_orderkey") == deals and plan.count("FileScan") == plan.count("orders.parquet") == deals
+
+
+def test_statements_of_odd_charts(spark):
+    """A chart without its rising point has no houses and no lords, but its bodies; of an unknown chart nothing holds; charts may be one row each."""
+    from lodestone.operators import astro
+
+    bodies = [(1, "Sun", 10.0), (1, "Moon", 95.0), (2, "Lagna", 5.0), (2, "Sun", 10.0), (2, "Moon", 95.0)]
+    rows = spark.createDataFrame([(*b, False) for b in bodies], "chart_id int, body string, longitude double, retrograde boolean")
+    said = "Sun is exalted. Moon rules the 4th. Moon is the 4th from the Moon. The Lagna is Aries. Sun mahadasha runs until 2001."
+    texts = spark.createDataFrame([(i * 10, i, said) for i in (1, 2, 3)] + [(40, None, said), (50, 2, None), (60, 2, "nothing")], "text_id int, chart_id int, text string")
+    periods = spark.createDataFrame([(2, "Sun", "1995-01-01", "2001-01-01"), (3, "Sun", "1995-01-01", "2001-01-01")], "chart_id int, lord string, start string, end string").withColumn("end", F.col("end").cast("date"))
+    every = {"dignity", "lord", "from moon", "lagna", "dasha end"}
+    want = {10: every - {"dignity"}, 20: {"from moon"}, 30: every - {"dasha end"}, 40: every}
+    charts = rows.groupBy("chart_id").agg(F.collect_list(F.struct("body", "longitude", "retrograde")).alias("bodies"))
+    for placed in (astro.placements(rows), charts):
+        for given in (periods, None):
+            got = {}
+            for r in astro.unfounded_claims(texts, placed, given).collect():
+                got.setdefault(r.text_id, set()).add(r.kind)
+            assert got == {k: v if given is not None else v - {"dasha end"} for k, v in want.items()}
+
+
 def test_houses_are_counted_where_charts_are(spark, sf):
     """Each branch deals its orders, and nothing else is shuffled."""
     plan = QUERIES["house_lookups"][0](spark, sf)._jdf.queryExecution().executedPlan().toString()
