@@ -37,6 +37,36 @@ def test_hybrid_websearch(spark, sf):
         assert all(math.isclose(got[q.query_id][c][3], want[c][3], abs_tol=1e-9) for c in want)
 
 
+def test_hybrid_websearch_asks_all_words(spark, sf):
+    """Every item is asked to its last word, three a search; all searches of a few items against plain Python."""
+    t = Tables(spark, sf)
+    chunks = {r.chunk_id: (r.text, np.array(r.embedding, float)) for r in t.chunks().collect()}
+    got = {}
+    for r in run(spark, sf, "hybrid_websearch"):
+        assert (r.item_id, r.word) == (r.query_id % (1 << 32), 3 * (r.query_id >> 32))
+        got.setdefault((r.item_id, r.word), {})[r.chunk_id] = (r.rank, r.semantic_rank, r.keyword_rank)
+    questions = {q.query_id: (re.split(r"\s+", q.question), np.array(q.vector, float)) for q in t.questions().collect()}
+    assert set(got) == {(q, i) for q, (w, _) in questions.items() for i in range(0, len(w), 3)}
+    for q, (w, v) in [x for x in questions.items() if x[0] % 13 == 0]:
+        semantic = top({c: round(float(x @ v / (np.linalg.norm(x) * np.linalg.norm(v))), 9) for c, (_, x) in chunks.items()}, 20)
+        for i in range(0, len(w), 3):
+            query = w[i] + (f' OR "{" ".join(w[i + 1 : i + 3])}"' if len(w) > i + 1 else "")
+            keyword = top({c: round(x, 9) for c, (text, _) in chunks.items() if (x := query_brute(text, query)) is not None}, 20)
+            fused = {c: round((1 / (60 + semantic[c]) if c in semantic else 0) + (1 / (60 + keyword[c]) if c in keyword else 0), 9) for c in {*semantic, *keyword}}
+            assert got[q, i] == {c: (rank, semantic.get(c), keyword.get(c)) for c, rank in top(fused, 8).items()}, (q, i)
+
+
+def test_questions_of_few_words(spark):
+    from lodestone.plans.more import asked_by_threes
+
+    rows = [(1, "one"), (2, "one two"), (3, "a b\nc  d"), (4, ""), (5, None), (6, "a b c d e f")]
+    asked = asked_by_threes(spark.createDataFrame([(i, q, [1.0]) for i, q in rows], "query_id long, question string, vector array<double>")).collect()
+    assert sorted((r.item_id, r.word, r.question) for r in asked) == [
+        (1, 0, "one"), (2, 0, 'one OR "two"'), (3, 0, 'a OR "b c"'), (3, 3, "d"), (4, 0, ""), (5, 0, ""), (6, 0, 'a OR "b c"'), (6, 3, 'd OR "e f"'),
+    ]
+    assert all(r.query_id == r.item_id + (r.word // 3 << 32) for r in asked)
+
+
 def test_chunk_text(spark, sf):
     got = {}
     for r in run(spark, sf, "chunk_text"):
